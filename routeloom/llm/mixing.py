@@ -75,11 +75,12 @@ def dot(p: Column, v: list[float]) -> Column:
     return sum((p[k] * F.lit(float(x)) for k, x in enumerate(v)), F.lit(0.0))
 
 
-def fit_rates(rows: DataFrame, weights: list[float], least: float = 0.0, steps: int = 25, tolerance: float = 1e-6) -> Column:
+def fit_rates(rows: DataFrame, weights: list[float], least: float = 0.0, steps: int = 25, tolerance: float = 1e-6, anchor: int | None = None) -> Column:
     """The rate of a row of `rows` (n_tokens, p) as a column, so that expected tokens by domain match `weights`.
 
-    The total stays what it is. Weights are scaled to add up to one. Without tokens every rate is one. Rates start
-    at one and never fall below `least`; where the targets can't be met the fit is the nearest.
+    Weights are scaled to add up to one. Without tokens every rate is one. Rates start at one and never fall below
+    `least`; where the targets can't be met the fit is the nearest. The total stays what it is, or, with `anchor`,
+    all rates are scaled alike so that a document surely of that domain has rate one.
     """
     k, tokens = len(weights), F.col("n_tokens").cast("double")
     sums = rows.agg(F.coalesce(F.sum(tokens), F.lit(0.0)), *(F.coalesce(F.sum(tokens * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)) for i in range(k) for j in range(k))).first()
@@ -96,10 +97,15 @@ def fit_rates(rows: DataFrame, weights: list[float], least: float = 0.0, steps:
         moves = F.split(F.lit(";".join(",".join(map(repr, v)) for v in history)), ";")
         moves = F.transform(moves, lambda s: F.split(s, ",").cast("array<double>"))
         rate = F.aggregate(moves, F.lit(1.0), lambda r, v: F.greatest(F.lit(float(least)), r - sum((F.col("p")[i] * v[i] for i in range(k)), F.lit(0.0))))
+    if anchor is not None:
+        sure = 1.0
+        for v in history:
+            sure = max(least, sure - v[anchor])
+        rate = rate / F.lit(sure) if sure > 0 else rate
     return rate
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, anchor: str | None = None, seed: int = 0) -> DataFrame:
     """doc_id, row_tie, n_tokens, p, rate, copies for each row of `docs` (doc_id, text).
 
     copies: the rate's whole part, and one more where a hash of doc_id and text falls below its fraction, so rows
@@ -109,7 +115,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least:
     logs = learn(labelled, domains)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row_tie"))
     rows = stored(posteriors(rows, logs), "posteriors")
-    rate = fit_rates(rows, [targets[d] for d in domains], least)
+    rate = fit_rates(rows, [targets[d] for d in domains], least, anchor=domains.index(anchor) if anchor else None)
     chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "row_tie"), F.lit(1 << 30)) / float(1 << 30)
     return rows.withColumn("rate", rate).withColumn("copies", (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
 
@@ -121,12 +127,12 @@ def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(known, "doc_id")
 
 
-#: Shares of tokens that the training mix should have.
-TARGETS = {"high": 0.86, "low": 0.08, "toxic": 0.06}
+#: Shares of tokens that the training mix should have, and the domain whose documents are taken once.
+TARGETS, ANCHOR = {"high": 0.95, "low": 0.01, "toxic": 0.04}, "high"
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """The rows of `docs`, with all columns, as often as their copies say."""
-    copies = mix(docs, labelled_documents(docs, labels), targets).select(F.col("doc_id").alias("key_id"), F.col("row_tie").alias("key_tie"), "copies").dropDuplicates(["key_id", "key_tie"])
+    copies = mix(docs, labelled_documents(docs, labels), targets, anchor=ANCHOR).select(F.col("doc_id").alias("key_id"), F.col("row_tie").alias("key_tie"), "copies").dropDuplicates(["key_id", "key_tie"])
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("key_id")) & (F.xxhash64("text") == F.col("key_tie"))
     return docs.join(copies.where("copies > 0"), same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
