@@ -108,8 +108,8 @@ def repositories(spark: SparkSession, path: str) -> DataFrame:
 def source_inventory(spark: SparkSession, folder: str, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
     """repo (first folder), modules, files, source_hash of Go sources under a folder of repositories; vendored files don't count."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = F.lit(folder.rstrip("/").removeprefix("file:").removeprefix("//"))
-    relative = F.substring_index(F.col("path"), F.concat(root, F.lit("/")), -1)
+    root = folder.rstrip("/").removeprefix("file:").removeprefix("//")
+    relative = F.substring_index("path", root + "/", -1)
     rows = files.select(relative.alias("file"), "content").withColumn("repo", F.substring_index("file", "/", 1)).withColumn("inside", F.regexp_replace("file", "^[^/]*/", ""))
     rows = rows.where(~F.col("inside").rlike(r"(^|/)(vendor|node_modules|\.[^/]+)/")).where(in_scope(F.col("inside"), list(include), list(exclude)))
     rows = rows.where(F.col("inside").rlike(r"\.go$|(^|/)go\.(mod|sum|work)$")).withColumn("digest", F.sha2("content", 256))
