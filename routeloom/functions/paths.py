@@ -39,7 +39,7 @@ def route_key(method: Column, path: Column) -> Column:
 
 def template_path(path: Column) -> Column:
     """`:x` and `*x` segments as `{x}`."""
-    return F.array_join(F.transform(F.split(path, "/"), lambda s: F.when((F.length(s) > 1) & s.substr(1, 1).isin(":", "*"), F.concat(F.lit("{"), F.substring(s, 2, 1 << 20), F.lit("}"))).otherwise(s)), "/")
+    return F.array_join(F.transform(F.split(path, "/"), lambda s: F.when(s.substr(1, 1).isin(":", "*"), F.concat(F.lit("{"), F.substring(s, 2, 1 << 20), F.lit("}"))).otherwise(s)), "/")
 
 
 def is_catch_all(path: Column) -> Column:
@@ -55,6 +55,13 @@ def tag_for(template: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(F.split(template, "/"), lambda s: (s != "") & ~s.startswith("{")), F.lit(1)), F.lit("default"))
 
 
+def operation_base(method: Column, template: Column) -> Column:
+    """Method and segments in capitals, parameters as `By…`; `Root` without segments."""
+    parts = F.transform(segments(template), lambda s: F.when(s.startswith("{") & s.endswith("}"), F.concat(F.lit("By"), pascal_case(F.regexp_replace(s, "^.|.$", "")))).otherwise(pascal_case(s)))
+    name = F.array_join(parts, "")
+    return F.concat(F.lower(method), F.when(name == "", "Root").otherwise(name))
+
+
 def pascal_case(text: Column) -> Column:
     """Runs of letters and digits, each with a capital."""
     parts = F.filter(F.split(text, "[^A-Za-z0-9]+"), lambda s: s != "")

@@ -58,27 +58,38 @@ def schema_major(version: Column) -> Column:
 
 def metric_text(numerator: Column, denominator: Column, status: Column) -> Column:
     body = F.when(F.coalesce(denominator, F.lit(0)) == 0, "N/A").otherwise(F.format_string("%.1f%% (%d/%d)", 100.0 * numerator / denominator, numerator, denominator))
-    return F.when(F.coalesce(status, F.lit("")) == "", body).otherwise(F.concat(body, F.lit(" · "), status))
+    return F.when((F.coalesce(denominator, F.lit(0)) == 0) | (status == "complete"), body).otherwise(F.concat(body, F.lit(" · "), status))
 
 
 def repo_name(module: Column) -> Column:
-    return F.substring_index(F.regexp_replace(module, r"/v\d+$", ""), "/", -1)
+    return F.when(module.endswith("/"), module).otherwise(F.substring_index(module, "/", -1))
 
 
 def repo_url(module: Column) -> Column:
-    return F.when(module.rlike(r"^github\.com/[^/]+/[^/]+"), F.concat(F.lit("https://"), F.regexp_extract(module, r"^(github\.com/[^/]+/[^/]+)", 1)))
+    return F.when(module.rlike(r"^(github\.com|gitlab\.com|bitbucket\.org)/[^/]*/"), F.concat(F.lit("https://"), F.substring_index(module, "/", 3)))
 
 
 def servers(host: Column, base_path: Column, schemes: Column) -> Column:
     """One address for each scheme; https without any; the base path alone without a host."""
-    address = F.transform(F.when(F.size(F.coalesce(schemes, F.array())) > 0, schemes).otherwise(F.array(F.lit("https"))), lambda s: F.concat(s, F.lit("://"), host, F.coalesce(base_path, F.lit(""))))
-    return F.when(F.coalesce(host, F.lit("")) != "", address).when(F.coalesce(base_path, F.lit("")).isin("", "/"), F.array().cast("array<string>")).otherwise(F.array(base_path))
+    given = F.coalesce(base_path, F.lit(""))
+    base = F.when(given.startswith("/"), given).otherwise(F.concat(F.lit("/"), given))
+    address = F.transform(F.when(F.size(F.coalesce(schemes, F.array())) > 0, schemes).otherwise(F.array(F.lit("https"))), lambda s: F.concat(s, F.lit("://"), host, base))
+    return F.when(F.coalesce(host, F.lit("")) != "", address).when(given == "", F.array().cast("array<string>")).otherwise(F.array(base))
 
 
 def valid_target_name(name: Column) -> Column:
     return name.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$") & ~name.contains("..")
 
 
+def valid_module_id(value: Column) -> Column:
+    return value.rlike("^(root|module-[0-9a-fA-F]{16})$")
+
+
+def module_id(path: Column) -> Column:
+    """Stable and safe for folders: root, or a hash of the path within the repository."""
+    return F.when(path == ".", "root").otherwise(F.concat(F.lit("module-"), F.substring(F.sha2(path, 256), 1, 16)))
+
+
 def ordered_difference(a: Column, b: Column) -> Column:
     """Distinct elements of a that b lacks, in a's order; nulls as empty."""
     empty = F.array().cast("array<string>")

@@ -9,23 +9,27 @@ from ..functions.paths import route_key
 from ..functions.symbols import candidate_id, known_non_auth, name_hint
 
 
-def suggest(routes: DataFrame, shapes: DataFrame, *by: str, samples: int = 5) -> DataFrame:
+def suggest(routes: DataFrame, shapes: DataFrame, *by: str, samples: int = 5, globals_: DataFrame | None = None) -> DataFrame:
     """Candidates of each module: symbol, route_count (distinct keys), shape, hints, first samples, rank.
 
     Distinct (symbol, key) pairs are made before they are gathered; samples are the smallest few, kept while
     combining. applies_to_all compares distinct keys to all rows, so duplicates make it false. Ranked by shape
     (confirmed, other, contradicted), hint, known others last, symbols on all routes last, fewer routes first.
+    `globals_` (by, symbol): global middleware, candidates without routes of their own. `shapes` may have an excerpt.
     """
     key = route_key(F.col("method"), F.col("normalizedPath"))
     pairs = routes.select(*by, key.alias("route"), F.explode("middleware.canonicalSymbol").alias("symbol")).where("symbol is not null").distinct()
     totals = routes.groupBy(*by).agg(F.count(F.lit(1)).alias("total_routes"))
     first = Window.partitionBy(*by, "symbol").orderBy("route")
     few = pairs.withColumn("at", F.row_number().over(first)).where(F.col("at") <= samples).groupBy(*by, "symbol").agg(F.array_sort(F.collect_list("route")).alias("samples"))
-    rows = pairs.groupBy(*by, "symbol").agg(F.count(F.lit(1)).alias("route_count")).join(few, [*by, "symbol"])
+    counts = pairs.groupBy(*by, "symbol").agg(F.count(F.lit(1)).alias("route_count"))
+    if globals_ is not None:
+        counts = counts.union(globals_.select(*by, "symbol", F.lit(0).cast("long")).where("symbol is not null")).groupBy(*by, "symbol").agg(F.sum("route_count").alias("route_count"))
+    rows = counts.join(few, [*by, "symbol"], "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
     rows = rows.join(totals, list(by)) if by else rows.join(totals)
-    rows = rows.join(shapes.select("symbol", "shape"), "symbol", "left")
+    rows = rows.join(shapes.select("symbol", "shape", (F.col("excerpt") if "excerpt" in shapes.columns else F.lit(None).cast("string")).alias("excerpt")), "symbol", "left")
     rows = rows.withColumns({"id": candidate_id(F.col("symbol")), "name_hint": name_hint(F.col("symbol")), "known_non_auth": known_non_auth(F.col("symbol")), "applies_to_all": (F.col("total_routes") > 0) & (F.col("route_count") == F.col("total_routes"))})
-    digits = [F.col("symbol"), *(F.col(c).cast("string") for c in ("route_count", "total_routes", "applies_to_all", "name_hint", "known_non_auth")), F.coalesce("shape", F.lit("")), F.array_join("samples", "\0")]
+    digits = [F.col("symbol"), *(F.col(c).cast("string") for c in ("route_count", "total_routes", "applies_to_all", "name_hint", "known_non_auth")), F.coalesce("shape", F.lit("")), F.coalesce("excerpt", F.lit("")), F.when(F.size("samples") > 0, F.array_join("samples", "\0"))]
     rows = rows.withColumn("fingerprint", F.sha2(F.concat_ws("\0", *digits), 256))
     order = Window.partitionBy(*by).orderBy(shape_rank(F.col("shape"), 1, 2), F.desc("name_hint"), "known_non_auth", "applies_to_all", "route_count", "symbol")
     return rows.withColumn("rank", F.row_number().over(order))
@@ -63,19 +67,32 @@ def fleet_candidates(candidates: DataFrame, target: str = "target", repos: int =
 
 
 def draft_assessment(candidates: DataFrame) -> DataFrame:
-    """Decisions proposed: an entry where a name hints at authentication and its shape is confirmed."""
-    return candidates.where("name_hint and shape = 'confirmed-shape'").select("id", "symbol", "fingerprint", F.lit("accept").alias("decision"))
+    """Decisions proposed: a guard where a name hints at authentication and its shape is confirmed."""
+    rows = candidates.where("name_hint and shape = 'confirmed-shape'")
+    return rows.select("id", "fingerprint", F.lit(True).alias("is_auth_guard"), F.lit("analyze").alias("assurance"), F.lit("drafted: the name hints at authentication and the control flow confirms it; not verified by anyone").alias("rationale"))
 
 
 def review(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Decisions joined to candidates by id; `problem` says what is wrong (unknown id, stale fingerprint, decided twice, unknown decision)."""
+    """Decisions (id, fingerprint, is_auth_guard, assurance, rationale) joined to candidates; `problem` says what is wrong, `eligible` what to suggest."""
     n = decisions.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    rows = decisions.select("id", F.col("fingerprint").alias("seen"), "decision").join(candidates.select("id", "symbol", "fingerprint"), "id", "left").join(n, "id")
-    problem = F.when(F.col("symbol").isNull(), "unknown candidate").when(F.col("n") > 1, "decided twice").when(F.col("seen") != F.col("fingerprint"), "changed since the review").when(~F.col("decision").isin("accept", "reject", "defer"), "unknown decision")
-    return rows.select("id", "symbol", "decision", problem.alias("problem"))
+    rows = decisions.withColumnRenamed("fingerprint", "seen").join(candidates.select("id", "symbol", "fingerprint"), "id", "left").join(n, "id")
+    problem = (
+        F.when(F.col("n") > 1, "decided twice")
+        .when(F.col("symbol").isNull(), "unknown candidate")
+        .when(F.col("seen") != F.col("fingerprint"), "changed since the review")
+        .when(F.trim(F.coalesce("rationale", F.lit(""))) == "", "no rationale")
+        .when(F.col("is_auth_guard") & ~F.coalesce(F.col("assurance").isin("analyze", "attested"), F.lit(False)), "unknown assurance")
+    )
+    return rows.select("id", "symbol", "is_auth_guard", "assurance", problem.alias("problem"), F.col("is_auth_guard").alias("eligible"))
 
 
 def import_review(candidates: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
-    """symbol, decision; any problem refuses all of them."""
+    """symbol, assurance of the guards to configure; any problem refuses all decisions."""
     rows = review(candidates, draft_assessment(candidates) if decisions is None else decisions)
-    return rows.withColumn("decision", F.when(F.col("problem").isNotNull(), F.raise_error(F.concat("id", F.lit(": "), "problem"))).otherwise(F.col("decision"))).select("symbol", "decision")
+    rows = rows.withColumn("assurance", F.when(F.col("problem").isNotNull(), F.raise_error(F.concat("id", F.lit(": "), "problem"))).otherwise(F.col("assurance")))
+    return rows.where(F.col("problem").isNotNull() | F.col("eligible")).select("symbol", "assurance")
+
+
+def review_summary(candidates: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """assessed, total_candidates, config_suggestions: one row."""
+    return reviewed.agg(F.count(F.lit(1)).alias("assessed"), F.count_if("eligible").alias("config_suggestions")).crossJoin(candidates.agg(F.count(F.lit(1)).alias("total_candidates")))

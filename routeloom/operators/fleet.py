@@ -14,9 +14,9 @@ COUNTS = ("routes", "proven", "public", "unknown")
 def roll_up(modules: DataFrame) -> DataFrame:
     """Targets of `modules` (target, module_id, kind, status, complete, counts): sums, status, completeness, category.
 
-    failed: a module with routes in view (kind gin-application or gin-no-routes) failed, or none succeeded.
+    failed: a module with routes in view (kind gin-application or gin-module-no-routes) failed, or none succeeded.
     """
-    gin = F.col("kind").isin("gin-application", "gin-no-routes")
+    gin = F.col("kind").isin("gin-application", "gin-module-no-routes")
     good = F.col("status") == "ok"
     rows = modules.groupBy("target").agg(
         F.count(F.lit(1)).alias("modules"),

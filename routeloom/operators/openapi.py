@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import is_catch_all, pascal_case, path_parameters, tag_for, template_path
+from ..functions.paths import is_catch_all, operation_base, path_parameters, tag_for, template_path
 from .classify import lookup
 from .config import Config
 
@@ -28,15 +28,15 @@ def operations(routes: DataFrame, config: Config, *by: str) -> DataFrame:
 
     Combined before the shuffle; registrations are counted by evidence, so a hot operation stays small.
     """
-    rows = routes.where(F.col("method").isin(*SHOWN)).withColumn("path", template_path(F.col("normalizedPath")))
-    evidence = F.struct(F.col("finalHandler.canonicalSymbol").alias("handler"), F.transform("middleware", lambda m: m["canonicalSymbol"]).alias("chain"))
-    rows = rows.select(*by, "path", "method", "ord", "normalizedPath", "auth", evidence.alias("evidence"))
-    grouped = rows.groupBy(*by, "path", "method").agg(F.min_by(F.struct("ord", "normalizedPath", "auth", "evidence"), "ord").alias("f"), F.count(F.lit(1)).alias("registrations"), F.count_distinct("evidence").alias("kinds"))
-    base = F.concat(F.lower("method"), pascal_case(F.col("path")))
+    rows = routes.where(F.col("method").isin(*SHOWN)).withColumn("path", template_path(F.col("ginPath")))
+    evidence = F.struct(F.col("finalHandler.displayName").alias("handler"), F.transform("middleware", lambda m: m["displayName"]).alias("chain"), F.col("auth.authStatus").alias("status"), F.col("auth.roles").alias("roles"), F.col("auth.scopes").alias("scopes"))
+    rows = rows.select(*by, "path", "method", "ord", "ginPath", "auth", evidence.alias("evidence"))
+    grouped = rows.groupBy(*by, "path", "method").agg(F.min_by(F.struct("ord", "ginPath", "auth"), "ord").alias("f"), F.count(F.lit(1)).alias("registrations"), F.count_distinct("evidence").alias("kinds"))
+    base = operation_base(F.col("method"), F.col("path"))
     return grouped.select(
         *by, "path", "method", F.col("f.ord").alias("ord"), "registrations",
         F.when(F.col("registrations") == 1, None).when(F.col("kinds") == 1, "info").otherwise("warning").alias("diagnostic"),
-        tag_for(F.col("path")).alias("tag"), path_parameters(F.col("path")).alias("parameters"), is_catch_all(F.col("f.normalizedPath")).alias("catch_all"),
+        tag_for(F.col("path")).alias("tag"), path_parameters(F.col("path")).alias("parameters"), is_catch_all(F.col("f.ginPath")).alias("catch_all"),
         security(F.col("f.auth"), config).alias("security"), base.alias("base_id"),
     )
 
@@ -46,10 +46,17 @@ def hidden(routes: DataFrame) -> DataFrame:
     return routes.where(~F.col("method").isin(*SHOWN)).select("ord", "method", "normalizedPath", F.lit("method-not-representable").alias("code"))
 
 
-def with_ids(operations_: DataFrame, *by: str) -> DataFrame:
-    """operation_id: the base, with -2, -3, … where it repeats, by order of registration."""
-    n = F.row_number().over(Window.partitionBy(*by, "base_id").orderBy("ord"))
-    return operations_.withColumn("n", n).withColumn("operation_id", F.when(F.col("n") == 1, F.col("base_id")).otherwise(F.concat("base_id", F.lit("-"), "n"))).drop("n")
+def with_ids(operations_: DataFrame, routes: DataFrame, *by: str) -> DataFrame:
+    """operation_id: the base, with -2, -3, … where it repeats, by order of registration.
+
+    Every registration uses up a number, also one that is merged into an earlier operation. Only routes whose base
+    several operations share are numbered.
+    """
+    shared = operations_.groupBy(*by, "base_id").agg(F.count(F.lit(1)).alias("ops")).where("ops > 1").select(*by, "base_id")
+    rows = routes.where(F.col("method").isin(*SHOWN)).select(*by, "ord", operation_base(F.col("method"), template_path(F.col("ginPath"))).alias("base_id"))
+    numbers = rows.join(shared, [*by, "base_id"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy(*by, "base_id").orderBy("ord")))
+    out = operations_.join(numbers, [*by, "base_id", "ord"], "left")
+    return out.withColumn("operation_id", F.when(F.coalesce("n", F.lit(1)) == 1, F.col("base_id")).otherwise(F.concat("base_id", F.lit("-"), "n"))).drop("n")
 
 
 def with_documented_ids(operations_: DataFrame, by: str) -> DataFrame:

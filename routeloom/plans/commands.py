@@ -64,7 +64,7 @@ def documentation(routes: DataFrame, spec_ops: DataFrame, spec_rows: DataFrame,
 def render(routes: DataFrame, findings: DataFrame, config: Config, form: str, title: str = "routes") -> str:
     """A saved audit as json, pretty, markdown, sarif, openapi or html text."""
     if form == "openapi":
-        return sinks.openapi(openapi.with_ids(openapi.operations(routes, config)), title)
+        return sinks.openapi(openapi.with_ids(openapi.operations(routes, config), routes), title)
     if form == "json":
         return sinks.routes_json(routes).first()[0]
     return {"pretty": lambda: sinks.pretty(routes), "markdown": lambda: sinks.markdown(routes, title), "sarif": lambda: sinks.sarif(findings), "html": lambda: sinks.html(routes, title)}[form]()

@@ -106,7 +106,7 @@ tot AS (SELECT {g}count(*) AS total_routes FROM e {'GROUP BY ' + by if by else '
 c0 AS (SELECT {g}symbol, count(*) AS route_count, list_slice(list(route ORDER BY route), 1, 5) AS samples FROM pairs GROUP BY {g}symbol),
 c1 AS (SELECT c0.*, tot.total_routes, sh.shape, {HINT.replace('symbol', 'c0.symbol')} AS name_hint, false AS known_non_auth, route_count = total_routes AS applies_to_all, 'mw-' || substr(sha256(c0.symbol), 1, 12) AS id
   FROM c0 JOIN tot {on} LEFT JOIN sh ON sh.symbol = c0.symbol),
-c2 AS (SELECT *, sha256(concat_ws(chr(0), symbol, route_count, total_routes, applies_to_all, name_hint, known_non_auth, coalesce(shape, ''), array_to_string(samples, chr(0)))) AS fingerprint,
+c2 AS (SELECT *, sha256(concat_ws(chr(0), symbol, route_count, total_routes, applies_to_all, name_hint, known_non_auth, coalesce(shape, ''), '', array_to_string(samples, chr(0)))) AS fingerprint,
   row_number() OVER ({'PARTITION BY ' + by if by else ''} ORDER BY CASE shape WHEN 'confirmed-shape' THEN 0 WHEN 'contradicted' THEN 2 ELSE 1 END, name_hint DESC, known_non_auth, applies_to_all, route_count, symbol) AS rank FROM c1)"""
 
 
@@ -114,10 +114,10 @@ SPECS = """
 sp AS (SELECT * FROM (VALUES ('s1', 'authored'), ('s2', 'generated'), ('s3', 'unknown')) s(spec_id, authorship)),
 ops0 AS (SELECT 's' || (i % 3 + 1) AS spec_id, CASE WHEN i % 2 = 0 THEN 'GET' ELSE 'POST' END || ' /api/v1/r' || i AS operation FROM range(0, 24) t(i)),
 ops AS (SELECT * FROM ops0 UNION ALL SELECT 's3', operation FROM ops0 WHERE spec_id = 's1'),
-docs AS (SELECT operation, count(DISTINCT spec_id) AS owners, bool_or(authorship = 'authored') AS authored, bool_or(authorship = 'unknown') AS unsure FROM ops JOIN sp USING (spec_id) GROUP BY 1),
+docs AS (SELECT operation, count(*) AS owners, bool_or(authorship = 'authored') AS authored, bool_or(authorship = 'unknown') AS unsure FROM ops JOIN sp USING (spec_id) GROUP BY 1),
 code AS (SELECT DISTINCT method || ' ' || path AS operation, true AS code FROM e),
 rec AS (SELECT operation, coalesce(code, false) AS in_code, owners IS NOT NULL AS in_docs, coalesce(owners, 0) AS owners, coalesce(code AND authored, false) AS covered,
-  CASE WHEN code AND authored THEN 'documented' WHEN code AND unsure THEN 'unknown' WHEN code THEN 'code-only' ELSE 'docs-only' END AS state, coalesce(owners, 0) > 1 AS ambiguous FROM code FULL OUTER JOIN docs USING (operation))"""
+  coalesce(code AND unsure, false) AS unsure, coalesce(code AND owners > 1, false) AS ambiguous FROM code FULL OUTER JOIN docs USING (operation))"""
 
 
 def modules(snapshot: int) -> str:
@@ -130,7 +130,7 @@ def modules(snapshot: int) -> str:
 def rolled(source: str) -> str:
     return f"""SELECT *, CASE WHEN routes > 0 THEN 'gin-routes' WHEN status = 'failed' THEN 'failed' WHEN NOT complete OR NOT verified THEN 'no-routes-unverified' WHEN any_gin THEN 'gin-no-routes' ELSE 'non-gin' END AS category FROM (
     SELECT target, count(*) AS modules, CAST(sum(routes) AS BIGINT) AS routes, CAST(sum(proven) AS BIGINT) AS proven, CAST(sum(public) AS BIGINT) AS public, CAST(sum(unknown) AS BIGINT) AS unknown,
-    bool_and(status = 'ok' AND complete) AS complete, bool_or(kind LIKE 'gin-%') AS any_gin, bool_and(status = 'ok' AND complete AND kind IN ('gin-application', 'gin-no-routes', 'go-module')) AS verified,
+    bool_and(status = 'ok' AND complete) AS complete, bool_or(kind LIKE 'gin-%') AS any_gin, bool_and(status = 'ok' AND complete AND kind IN ('gin-application', 'gin-module-no-routes', 'go-module')) AS verified,
     CASE WHEN count(*) FILTER (kind LIKE 'gin-%' AND status = 'failed') > 0 OR count(*) FILTER (status = 'ok') = 0 THEN 'failed' ELSE 'ok' END AS status FROM {source} GROUP BY target)"""
 
 
@@ -185,16 +185,16 @@ def oracle_sql() -> dict[str, str]:
         "report_summary": now(f"SELECT target, count(*) AS routes, {count}, count(*) FILTER (accepted) AS accepted_public, count(*) FILTER (basis = 'configured-guard-attested') AS attested_unresolved FROM cls GROUP BY 1"),
         "finding_severities": now("SELECT target, severity, count(*) AS n FROM fnd GROUP BY 1, 2"),
         "gate": both(f""", {VIOLATED}, b AS ({top('1')}), a AS ({top('')}), j AS (SELECT a.route AS ra, b.route AS rb, a.risk > b.risk AS worse FROM a FULL OUTER JOIN b USING (route))
-          SELECT 'public' AS gate, (SELECT count(*) FROM cls WHERE status = 'public' AND NOT accepted) > 0 AS matched UNION ALL SELECT 'unknown', EXISTS (SELECT 1 FROM cls WHERE status = 'unknown') UNION ALL SELECT 'attested-unresolved', EXISTS (SELECT 1 FROM cls WHERE basis = 'configured-guard-attested')
-          UNION ALL SELECT 'incomplete', false UNION ALL SELECT 'new', EXISTS (SELECT 1 FROM j WHERE rb IS NULL) UNION ALL SELECT 'regression', EXISTS (SELECT 1 FROM j WHERE worse) UNION ALL SELECT 'policy', EXISTS (SELECT 1 FROM v) UNION ALL SELECT 'policy:logged-first', EXISTS (SELECT 1 FROM v WHERE policy = 'logged-first') UNION ALL SELECT 'policy:none', false"""),
+          SELECT 'public' AS gate, (SELECT count(*) FROM cls WHERE status = 'public') > 0 AS matched UNION ALL SELECT 'unknown', EXISTS (SELECT 1 FROM cls WHERE status = 'unknown') UNION ALL SELECT 'attested-unresolved', EXISTS (SELECT 1 FROM cls WHERE basis = 'configured-guard-attested')
+          UNION ALL SELECT 'incomplete', false UNION ALL SELECT 'new', EXISTS (SELECT 1 FROM j WHERE rb IS NULL) OR EXISTS (SELECT rule, route FROM fnd EXCEPT SELECT rule, route FROM fnd1) UNION ALL SELECT 'regression', EXISTS (SELECT 1 FROM j WHERE worse) UNION ALL SELECT 'policy', EXISTS (SELECT 1 FROM v) UNION ALL SELECT 'policy:logged-first', EXISTS (SELECT 1 FROM v WHERE policy = 'logged-first') UNION ALL SELECT 'policy:none', false"""),
         "report_diff": both(DIFF),
         "finding_diff": both(f", a AS (SELECT DISTINCT {FP} AS fingerprint FROM fnd), b AS (SELECT DISTINCT {FP} AS fingerprint FROM fnd1) SELECT coalesce(a.fingerprint, b.fingerprint) AS fingerprint, CASE WHEN b.fingerprint IS NULL THEN 'new' ELSE 'resolved' END AS change FROM a FULL OUTER JOIN b ON a.fingerprint = b.fingerprint WHERE a.fingerprint IS NULL OR b.fingerprint IS NULL"),
         "suggest_auth": now(f", {suggestions('target')} SELECT target, id, symbol, route_count, total_routes, applies_to_all, name_hint, known_non_auth, shape, array_to_string(samples, ',') AS samples, fingerprint, rank FROM c2"),
         "bundle_fingerprint": now(f", {suggestions('target')} SELECT target, sha256(string_agg(symbol || ':' || fingerprint, chr(0) ORDER BY symbol || ':' || fingerprint)) AS bundle_fingerprint, any_value(opaque) AS opaque FROM c2 JOIN (SELECT target, count(*) FILTER (symbol IS NULL) AS opaque FROM e JOIN mw USING (route_id) GROUP BY 1) o USING (target) GROUP BY target"),
-        "import_review": now(f", {suggestions('')} SELECT symbol, 'accept' AS decision FROM c2 WHERE name_hint AND shape = 'confirmed-shape'"),
+        "import_review": now(f", {suggestions('')} SELECT symbol, 'analyze' AS assurance FROM c2 WHERE name_hint AND shape = 'confirmed-shape'"),
         "fleet_candidates": now(f", {suggestions('target')}, l AS (SELECT DISTINCT symbol, target || ': ' || unnest(samples) AS s FROM c2), f AS (SELECT symbol, CAST(sum(route_count) AS BIGINT) AS route_count, count(DISTINCT target) AS repo_count, bool_or(name_hint) AS name_hint, bool_or(known_non_auth) AS known_non_auth, CASE WHEN bool_or(shape = 'confirmed-shape') THEN 'confirmed-shape' WHEN bool_or(shape = 'contradicted') THEN 'contradicted' END AS shape, array_to_string(list_slice(list_sort(list(DISTINCT target)), 1, 20), ',') AS repos, (SELECT array_to_string(list_slice(list(s ORDER BY s), 1, 5), ',') FROM l WHERE l.symbol = c2.symbol) AS samples FROM c2 GROUP BY symbol) SELECT *, row_number() OVER (ORDER BY CASE shape WHEN 'confirmed-shape' THEN 0 WHEN 'contradicted' THEN 1 ELSE 2 END, name_hint DESC, known_non_auth, repo_count DESC, route_count DESC, symbol) AS rank FROM f"),
         "spec_reconcile": now(f", {SPECS} SELECT * FROM rec"),
-        "spec_coverage": now(f", {SPECS} SELECT count(*) FILTER (covered) AS numerator, count(*) FILTER (in_code) AS denominator, count(*) FILTER (state = 'code-only') AS code_only, count(*) FILTER (state = 'docs-only') AS docs_only, count(*) FILTER (ambiguous) AS ambiguous, CASE WHEN count(*) FILTER (in_code) = 0 THEN 'not-applicable' WHEN bool_or(state = 'unknown') THEN 'unknown' WHEN count(*) FILTER (covered) = count(*) FILTER (in_code) THEN 'complete' WHEN count(*) FILTER (covered) > 0 THEN 'partial' ELSE 'none' END AS status FROM rec"),
+        "spec_coverage": now(f", {SPECS} SELECT count(*) FILTER (covered) AS numerator, count(*) FILTER (in_code) AS denominator, count(*) FILTER (in_code AND NOT covered) AS code_only, count(*) FILTER (NOT in_code) AS docs_only, count(*) FILTER (ambiguous) AS ambiguous, CASE WHEN count(*) FILTER (in_code) = 0 OR bool_or(unsure) THEN 'unknown' ELSE 'complete' END AS status FROM rec"),
         "fleet_rollup": now(f", {modules(0)} {rolled('m0')}"),
         "fleet_totals": now(f", {modules(0)}, t AS ({rolled('m0')}) SELECT count(*) AS targets, CAST(sum(routes) AS BIGINT) AS routes, CAST(sum(proven) AS BIGINT) AS proven, CAST(sum(public) AS BIGINT) AS public, CAST(sum(unknown) AS BIGINT) AS unknown, count(*) FILTER (status = 'ok') AS succeeded, count(*) FILTER (status = 'failed') AS failed, bool_and(complete) AS complete FROM t"),
         "fleet_delta": both(FLEET_DELTA),
@@ -202,9 +202,10 @@ def oracle_sql() -> dict[str, str]:
         "disposition_tally": f"WITH {REPOS} SELECT status, reason, count(*) AS n FROM r5 GROUP BY 1, 2",
         "openapi_operations": now(r""", o AS (SELECT *, regexp_replace(path, '/r(\d)$', '/{r}/\1') AS p, EXISTS (SELECT 1) AS one, (SELECT list(coalesce(symbol, '') ORDER BY pos) FROM mw WHERE mw.route_id = cls.route_id) AS chain FROM cls),
           g AS (SELECT target, p AS path, method, min(route_id) AS first_id, count(*) AS registrations, count(DISTINCT array_to_string(chain, '|') || '#' || (k % 10)) AS kinds, arg_min(status, route_id) AS st, arg_min(guard, route_id) AS gd FROM o GROUP BY 1, 2, 3),
-          h AS (SELECT *, lower(method) || 'ApiV1R' || CASE WHEN path LIKE '%{r}%' THEN regexp_extract(path, '\d$') ELSE regexp_extract(path, '\d+$') END AS base FROM g)
+          b AS (SELECT *, lower(method) || 'ApiV1' || CASE WHEN p LIKE '%{r}%' THEN 'ByR' || regexp_extract(p, '\d$') ELSE 'R' || regexp_extract(p, '\d+$') END AS base FROM o),
+          u AS (SELECT route_id, base, row_number() OVER (PARTITION BY target, base ORDER BY route_id) AS nth FROM b), h AS (SELECT g.*, base, nth FROM g JOIN u ON route_id = first_id)
           SELECT target, path, method, first_id, registrations, CASE WHEN registrations = 1 THEN NULL WHEN kinds = 1 THEN 'info' ELSE 'warning' END AS diagnostic, 'api' AS tag, CASE WHEN path LIKE '%{r}%' THEN 'r' ELSE '' END AS parameters, false AS catch_all,
-            CASE WHEN st = 'public' THEN 'none' WHEN st = 'proven' AND gd = 'acme/auth.RequireUser' THEN 'bearer' ELSE 'unrefined' END AS security, base || CASE WHEN row_number() OVER (PARTITION BY target, base ORDER BY first_id) = 1 THEN '' ELSE '-' || row_number() OVER (PARTITION BY target, base ORDER BY first_id) END AS operation_id FROM h"""),
+            CASE WHEN st = 'public' THEN 'none' WHEN st = 'proven' AND gd = 'acme/auth.RequireUser' THEN 'bearer' ELSE 'unrefined' END AS security, base || CASE WHEN nth = 1 THEN '' ELSE '-' || nth END AS operation_id FROM h"""),
         "route_paths": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM pages), q AS (SELECT *, regexp_replace(path, '/+', '/', 'g') AS n, regexp_replace(path, '^/+|/+$', '', 'g') AS t FROM p)
           SELECT page_id, CASE WHEN n = '' THEN '/' WHEN n LIKE '/%' THEN n ELSE '/' || n END AS normalized, regexp_matches(t, '(^|/)[^/]*1[^/]*$') AS has_one, regexp_matches(t, '^[^/]*/[^/]*$') AS two_deep, coalesce(list_filter(string_split(path, '/'), lambda x: x <> '' AND x NOT LIKE '{%')[1], 'default') AS tag FROM q""",
         "symbol_functions": now(f"SELECT route_id, pos AS at, regexp_replace(symbol, '\\.[^.]*$', '') AS package, {HINT} AS hint, 'mw-' || substr(sha256(symbol), 1, 12) AS id FROM mw"),

@@ -57,7 +57,7 @@ def finding_severities(spark: SparkSession, d: str) -> DataFrame:
 def gate(spark: SparkSession, d: str) -> DataFrame:
     routes = classified(spark, d)
     found = policy.evaluate(routes, CONFIG, NOW).select("ruleId", "policyId")
-    return summary.gates(summary.summary(routes), found, compare.compare_routes(classified(spark, d, 1), routes), F.lit(True), ["public", "unknown", "attested-unresolved", "incomplete", "new", "regression", "policy", "policy:logged-first", "policy:none"])
+    return summary.gates(summary.summary(routes), found, compare.compare_routes(classified(spark, d, 1), routes), F.lit(True), ["public", "unknown", "attested-unresolved", "incomplete", "new", "regression", "policy", "policy:logged-first", "policy:none"], finding_diff(spark, d))
 
 
 def report_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -153,8 +153,8 @@ def disposition_tally(spark: SparkSession, d: str) -> DataFrame:
 
 
 def openapi_operations(spark: SparkSession, d: str) -> DataFrame:
-    routes = classified(spark, d).withColumn("normalizedPath", F.regexp_replace("normalizedPath", r"/r(\d)$", "/:r/$1"))
-    rows = openapi.with_ids(openapi.operations(routes, CONFIG, "target"), "target")
+    routes = classified(spark, d).withColumn("ginPath", F.regexp_replace("ginPath", r"/r(\d)$", "/:r/$1"))
+    rows = openapi.with_ids(openapi.operations(routes, CONFIG, "target"), routes, "target")
     return rows.select("target", "path", "method", F.col("ord").alias("first_id"), "registrations", "diagnostic", "tag", F.array_join("parameters", ",").alias("parameters"), "catch_all", "security", "operation_id")
 
 

@@ -89,6 +89,8 @@ def one(spark, column):
         ("/api/*", "/api/x", True), ("/api/*", "/api/x/y", False), ("/api/**", "/api", True), ("/api/**", "/api/x/y", True), ("**/admin", "/admin", True), ("**/admin", "/a/b/admin", True),
         ("**/admin", "/a/b/admins", False), ("/a/**/z", "/a/z", True), ("/a/**/z", "/a/b/c/z", True), ("/a/**/z", "/a/b/c", False), ("/r?", "/r1", True), ("/r?", "/r12", False),
         ("/r[0-3]", "/r2", True), ("/r[^0-3]", "/r2", False), ("/r[", "/r[", False), ("api/x/", "/api/x", True), ("**", "/", True), ("/v*/x", "/v1/x", True),
+        ("/admin/**", "/admin/users/123", True), ("/admin/**", "/other", False), ("/health", "/healthz", False), ("/*/users", "/admin/sub/users", False), ("**/*.go", "internal/analyzer/loader.go", True),
+        ("**/*.go", "main.go", True), ("**/*.go", "a/b.txt", False), ("**/generated/**", "internal/api/generated/routes.go", True), ("**/generated/**", "internal/api/routes.go", False),
     ],
 )
 def test_globs(spark, pattern, path, want):
@@ -111,6 +113,8 @@ def test_paths_and_symbols(spark):
     assert one(spark, symbols.name_hint(F.lit("acme/x.RequireUser"))) is True
     assert one(spark, symbols.metric_text(F.lit(1), F.lit(3), F.lit("partial"))) == "33.3% (1/3) · partial"
     assert one(spark, symbols.metric_text(F.lit(0), F.lit(0), F.lit(""))) == "N/A"
+    assert one(spark, paths.operation_base(F.lit("GET"), F.lit("/users/{id}"))) == "getUsersById" and one(spark, paths.operation_base(F.lit("GET"), F.lit("/"))) == "getRoot"
+    assert one(spark, symbols.repo_url(F.lit("github.com/a/b/c"))) == "https://github.com/a/b" and one(spark, symbols.repo_name(F.lit("github.com/a/b"))) == "b"
     assert one(spark, symbols.servers(F.lit("h"), F.lit("/v1"), F.array(F.lit("http"), F.lit("https")))) == ["http://h/v1", "https://h/v1"]
 
 
@@ -165,8 +169,12 @@ def test_candidates_rank_differently(spark):
 def test_review(spark):
     c = spark.createDataFrame([("mw-1", "s.Auth", "f1", True, "confirmed-shape"), ("mw-2", "s.B", "f2", False, "confirmed-shape")], "id string, symbol string, fingerprint string, name_hint boolean, shape string")
     assert [r["symbol"] for r in candidates.import_review(c).collect()] == ["s.Auth"]
-    bad = spark.createDataFrame([("mw-1", "old", "accept"), ("mw-9", "x", "accept")], "id string, fingerprint string, decision string")
-    assert {(r["id"], r["problem"]) for r in candidates.review(c, bad).collect()} == {("mw-1", "changed since the review"), ("mw-9", "unknown candidate")}
+    kind = "id string, fingerprint string, is_auth_guard boolean, assurance string, rationale string"
+    bad = spark.createDataFrame([("mw-1", "old", True, "analyze", "r"), ("mw-9", "x", True, "analyze", "r"), ("mw-2", "f2", True, "maybe", "r")], kind)
+    assert {(r["id"], r["problem"]) for r in candidates.review(c, bad).collect()} == {("mw-1", "changed since the review"), ("mw-9", "unknown candidate"), ("mw-2", "unknown assurance")}
+    good = spark.createDataFrame([("mw-1", "f1", True, "attested", "r"), ("mw-2", "f2", False, "", "r")], kind)
+    assert [tuple(r) for r in candidates.import_review(c, good).collect()] == [("s.Auth", "attested")]
+    assert candidates.review_summary(c, candidates.review(c, good)).first().asDict() == {"assessed": 2, "config_suggestions": 1, "total_candidates": 2}
     with pytest.raises(Exception, match="mw-"):
         candidates.import_review(c, bad).collect()
 
@@ -181,10 +189,10 @@ def test_discovery(spark):
 
 
 def test_coverage_and_engines(spark):
-    p = spark.createDataFrame([("r", "loaded", 0), ("r", "failed", 0), ("s", "loaded", 0)], "report string, status string, errors long")
+    p = spark.createDataFrame([("r", 2, 0, 0), ("r", 3, 1, 0), ("s", 1, 0, 0)], "report string, files long, errors long, load_errors long")
     d = spark.createDataFrame([("s", "note")], "report string, code string")
     assert {r["report"]: r["complete"] for r in summary.coverage(p, d, "report").collect()} == {"r": False, "s": True}
-    e = spark.createDataFrame([("e", "debug", None), ("f", "release", ["10.0.0.0/8"])], "engine string, mode string, trusted array<string>")
+    e = spark.createDataFrame([("e", "debug", ["10.0.0.0/8", "::/0"]), ("f", "release", None)], "engine string, mode string, trusted array<string>")
     assert {(r["engine"], r["ruleId"]) for r in summary.engine_findings(e).collect()} == {("e", "trust-all-proxies"), ("e", "debug-mode")}
 
 
@@ -212,7 +220,7 @@ def test_specs(spark):
     ops = spark.createDataFrame([("a", "get", "/u/{id}"), ("u", "PUT", "/v"), ("u", "GET", "/x"), ("g", "GET", "/w")], "spec_id string, method string, path string")
     s = spark.createDataFrame([("a", "authored"), ("u", "unknown"), ("g", "generated")], "spec_id string, authorship string")
     got = specs.reconcile(routes, ops, s)
-    assert {r["operation"]: r["state"] for r in got.collect()} == {"GET /u/{id}": "documented", "PUT /v": "unknown", "GET /x": "docs-only", "GET /w": "code-only"}
+    assert {r["operation"]: (r["in_code"], r["covered"], r["unsure"]) for r in got.collect()} == {"GET /u/{id}": (True, True, False), "PUT /v": (True, False, True), "GET /x": (False, False, False), "GET /w": (True, False, False)}
     assert specs.documentation(got).first()["status"] == "unknown"
 
 
