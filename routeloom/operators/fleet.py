@@ -164,3 +164,36 @@ def reusable(earlier: DataFrame, current: DataFrame) -> DataFrame:
     """Targets of `current` (target, pushedAt, fingerprint) whose earlier result holds: ok, complete, same push and fingerprint."""
     good = earlier.where("status = 'ok' and complete").select("target", "pushedAt", "fingerprint")
     return current.join(good, ["target", "pushedAt", "fingerprint"], "left_semi").where("pushedAt <> ''")
+
+
+def overview(targets: DataFrame, catalogs: DataFrame) -> DataFrame:
+    """docs (class of its documents) of each target and the share of observed operations that are documented.
+
+    `catalogs`: a row for each module (target, status, dialects array, numerator, denominator); null status: no catalog.
+    """
+    has = lambda d: F.bool_or(F.array_contains(F.coalesce("dialects", F.array().cast("array<string>")), d))
+    rows = catalogs.groupBy("target").agg(has("openapi3").alias("three"), has("swagger2").alias("two"), F.bool_or(F.coalesce(F.col("status") != "complete", F.lit(True))).alias("loose"), F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"))
+    docs = F.when(F.col("three") & F.col("two"), "both").when(F.col("three"), "openapi3").when(F.col("two"), "swagger2").when(F.coalesce("loose", F.lit(True)), "unavailable").otherwise("none")
+    share = F.when(F.col("denominator") > 0, F.round(100.0 * F.col("numerator") / F.col("denominator"), 1))
+    return targets.select("target").join(rows, "target", "left").select("target", docs.alias("docs"), share.alias("observed_percent"))
+
+
+def review_queue(targets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """state and candidates to review of each target (target, status, complete, reviewed, enrichment_issues).
+
+    Candidates are symbols whose name hints at authentication and that aren't known to do something else.
+    """
+    names = candidates.where("name_hint and not known_non_auth").groupBy("target").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
+    rows = targets.join(names, "target", "left")
+    some = F.size(F.coalesce("symbols", F.array().cast("array<string>"))) > 0
+    state = (
+        F.when(F.col("status") == "not-go-module", "not-applicable")
+        .when(F.col("status") != "ok", "scan-failed")
+        .when(~F.col("complete"), "scan-incomplete")
+        .when(F.col("reviewed"), "reviewed-config-applied")
+        .when(F.col("enrichment_issues") > 0, "enrichment-failed")
+        .when(some, "candidates-to-review")
+        .otherwise("no-candidates")
+    )
+    shown = state.isin("scan-incomplete", "enrichment-failed", "candidates-to-review")
+    return rows.select("target", state.alias("state"), F.when(shown, F.coalesce("symbols", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")).alias("symbols"))

@@ -274,3 +274,12 @@ def test_stream(spark, tmp_path):
     rows = spark.readStream.schema(ROUTE).parquet(str(tmp_path / "in"))
     incremental.classify_stream(rows, CONFIG, SHAPES, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first()["auth"]["authStatus"] == "proven"
+
+
+def test_overview_and_review_queue(spark):
+    t = spark.createDataFrame([("a", "ok", True, False, 0), ("b", "failed", True, False, 0), ("c", "ok", False, False, 0), ("d", "ok", True, True, 0), ("e", "ok", True, False, 0)], "target string, status string, complete boolean, reviewed boolean, enrichment_issues long")
+    c = spark.createDataFrame([("a", "s.Auth", True, False), ("a", "s.Log", False, False), ("d", "s.Auth", True, False)], "target string, symbol string, name_hint boolean, known_non_auth boolean")
+    got = {r["target"]: (r["state"], r["symbols"]) for r in fleet.review_queue(t, c).collect()}
+    assert got == {"a": ("candidates-to-review", ["s.Auth"]), "b": ("scan-failed", []), "c": ("scan-incomplete", []), "d": ("reviewed-config-applied", []), "e": ("no-candidates", [])}
+    k = spark.createDataFrame([("a", "complete", ["openapi3"], 1, 3), ("a", "complete", ["swagger2"], 1, 1), ("b", "complete", [], 0, 0), ("c", None, None, None, None)], "target string, status string, dialects array<string>, numerator long, denominator long")
+    assert {r["target"]: (r["docs"], r["observed_percent"]) for r in fleet.overview(t, k).collect()} == {"a": ("both", 50.0), "b": ("none", None), "c": ("unavailable", None), "d": ("unavailable", None), "e": ("unavailable", None)}
