@@ -4,8 +4,9 @@ A classifier learned from a table of labelled documents (multinomial naive Bayes
 document a posterior over domains. Nonnegative rates, one a document, are then fitted so that the expected tokens
 of each domain match the targets: least squares by projected gradient. The residual has one number a domain; a
 step moves every rate by the posterior times the residual (scaled by the inverse of the domains' second moments)
-and cuts it at zero. Rates are a function of the residuals so far, so a step is one scan that adds up as many
-numbers as there are domains, and nothing of a document ever leaves the executors.
+and cuts it at zero. Rates are a function of the posterior and the residuals so far, so tokens are added up by
+posterior once, a step is one scan of these sums that gives as many numbers as there are domains, and nothing of a
+document ever leaves the executors.
 
 DataFrame functions only; the driver solves systems of the size of the number of domains.
 """
@@ -18,9 +19,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 BUCKETS = 1 << 13
+GRID = 1024.0  # posteriors are multiples of one in so many
 SAMPLE = 20_000  # labelled documents to learn from at most, about; chosen by a hash of doc_id
 
 
@@ -57,7 +59,8 @@ def learn(labelled: DataFrame, domains: list[str], sample: int = SAMPLE) -> list
 def posteriors(docs: DataFrame, logs: list[list[float]]) -> DataFrame:
     """`docs` with n_tokens (words) and p (array, a posterior for each domain) in place of text.
 
-    A text counts each of its buckets once. Texts without words have the prior.
+    A text counts each of its buckets once. Texts without words have the prior. Posteriors are rounded to a grid, so
+    that documents of equal posteriors, and so of equal rates, can be added up.
     """
     rows = docs.withColumn("words", words_of(F.col("text"))).withColumn("n_tokens", F.size("words").cast("long"))
     rows = rows.withColumn("buckets", F.array_distinct(F.transform("words", bucket))).drop("words", "text")
@@ -68,7 +71,11 @@ def posteriors(docs: DataFrame, logs: list[list[float]]) -> DataFrame:
     rows = rows.withColumn("scores", F.array(*map(score, logs)))
     odds = F.transform("scores", lambda s: F.exp(F.greatest(s - F.array_max("scores"), F.lit(-700.0))))
     rows = rows.withColumn("odds", odds)
-    return rows.withColumn("p", F.transform("odds", lambda o: o / F.aggregate("odds", F.lit(0.0), lambda a, x: a + x))).drop("scores", "odds", "buckets")
+    whole = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
+    rows = rows.withColumn("p", F.transform("odds", lambda o: F.floor(GRID * o / whole) / GRID))
+    rest = 1.0 - F.aggregate("p", F.lit(0.0), lambda a, x: a + x)  # goes to the likeliest
+    best = F.array_position("odds", F.array_max("odds")) - 1
+    return rows.withColumn("p", F.transform("p", lambda x, i: x + F.when(i == best, rest).otherwise(0.0))).drop("scores", "odds", "buckets")
 
 
 def dot(p: Column, v: list[float]) -> Column:
@@ -83,8 +90,10 @@ def fit_rates(rows: DataFrame, weights: list[float], least: float = 0.0, steps:
     all rates are scaled alike so that a document surely of that domain has rate one.
     """
     k, tokens = len(weights), F.col("n_tokens").cast("double")
+    rows = stored(rows.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")), "cells")  # a rate depends on p alone
     sums = rows.agg(F.coalesce(F.sum(tokens), F.lit(0.0)), *(F.coalesce(F.sum(tokens * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)) for i in range(k) for j in range(k))).first()
     if not sums[0]:
+        release(rows)
         return F.lit(1.0)
     total, target = sums[0], np.array(weights) / sum(weights)
     scale = np.linalg.pinv(np.array(sums[1:]).reshape(k, k) / total, rcond=1e-9)
@@ -94,9 +103,9 @@ def fit_rates(rows: DataFrame, weights: list[float], least: float = 0.0, steps:
         if np.abs(share - target).max() < tolerance:
             break
         history.append([float(x) for x in scale @ (share - target)])
-        moves = F.split(F.lit(";".join(",".join(map(repr, v)) for v in history)), ";")
-        moves = F.transform(moves, lambda s: F.split(s, ",").cast("array<double>"))
+        moves = F.array(*(F.array(*map(F.lit, v)) for v in history))
         rate = F.aggregate(moves, F.lit(1.0), lambda r, v: F.greatest(F.lit(float(least)), r - sum((F.col("p")[i] * v[i] for i in range(k)), F.lit(0.0))))
+    release(rows)
     if anchor is not None:
         sure = 1.0
         for v in history:
