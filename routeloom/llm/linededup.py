@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release, stored
+
 SPREAD, LONG_WORDS, LEAST_WORDS = 3, 50, 20
 LAST = (1 << 63) - 1  # stands for a null doc_id, which comes last
 
@@ -61,12 +63,13 @@ def removals(docs: DataFrame, least_words: int = LEAST_WORDS, long_words: int =
     """row_order, gone (numbers of the chunks to remove) of keyed rows that lose any."""
     chunks = occurrences(docs, least_words, long_words, spread)
     again = chunks.groupBy("h").count().where("count > 1").select("h")
-    some = chunks.join(again, "h")
     place = (F.col("row_order") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("k").cast("decimal(10,0)")).cast("decimal(38,0)")
-    some = some.withColumn("place", place)
+    some = stored(chunks.join(again.hint("merge"), "h").withColumn("place", place), "chunks")  # used twice; texts of other chunks travel once
     firsts = some.groupBy("h", "chunk").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")  # byte by byte
     gone = some.join(firsts, ["h", "chunk"]).where("place > first")
-    return gone.groupBy("row_order").agg(F.collect_set("k").alias("gone"))
+    out = stored(gone.groupBy("row_order").agg(F.collect_set("k").alias("gone")), "gone")
+    release(some)
+    return out
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS, spread: int = SPREAD) -> DataFrame:
