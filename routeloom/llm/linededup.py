@@ -83,7 +83,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, long_words: int
     docs = docs.select([c for c in docs.columns if c not in new])
     rows = keyed(docs)
     gone = removals(rows, least_words, long_words, spread)
-    rows = chunked(rows.join(gone, "row_order", "left"), spread, long_words)
+    rows = chunked(rows.join(gone.hint("merge"), "row_order", "left"), spread, long_words)  # one plan at any size
     kept = F.filter(F.sequence(F.lit(1), F.size("ends")), lambda k: F.col("gone").isNull() | ~F.array_contains("gone", k))
     start = lambda k: F.when(k == 1, 1).otherwise(F.element_at("ends", F.greatest(k - 1, F.lit(1))) + 1)
     left = F.flatten(F.transform(kept, lambda k: F.slice("lines", start(k), F.element_at("ends", k) - start(k) + 1)))
