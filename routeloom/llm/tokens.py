@@ -81,7 +81,11 @@ class Ids:
 
     def _word(self, s: str) -> bytes:
         if not self.lower:  # a line break stands for itself; anything else follows a space
+            if s.isalpha():  # one pre-token
+                return self.part[" " + s]
             s = s if s[0] == "\n" else " " + s
+        elif s.isalpha() and s.isascii():
+            return self.part[s]
         return b"".join(map(self.part.__getitem__, self.pattern.findall(s)))
 
     def whole(self, text: str) -> bytes:
