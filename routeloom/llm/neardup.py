@@ -2,10 +2,11 @@
 
 Each distinct text has 128 min-hashes, dealt to 16 trees of depth 8. A tree is a sorted order of the texts by its
 eight values. Neighbours in an order whose common prefix is at least `SHALLOW` values long are candidates. Where few
-texts share such a prefix all of them meet; where many do, only neighbours within `WIDTH` places of the order
-meet, and those share the longest prefixes: the depth adapts to the region. A sketch (one byte of every second
+texts share such a prefix all of them meet; where many do, neighbours within `WIDTH` places of the order meet at
+first, and those share the longest prefixes: the depth adapts to the region. The texts of such crowded regions are
+joined afterwards by an exact prefix filter on their shingles, for links between components. A sketch (one byte of every second
 min-hash) that travels along drops candidates that cannot be similar. Of texts that candidates connect within a region each meets the smallest
-one, its hub, and where that is not likely similar the likeliest others; all other candidates of a text are kept in
+one, its hub, and where that is not likely similar the likeliest others; all other candidates of a text in a small region are kept in
 reserve, and they are tried where it is not in its hub's component after that. So pairs grow with texts and not with the squares of groups.
 
 Every link is confirmed on the two full shingle sets. Equal texts are one node from the start. Groups are the
@@ -98,7 +99,7 @@ def met(ids: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int, list[int],
     The hub is the smallest id that x is connected to by candidates. Tries are to be confirmed at first: the hub
     where it may be similar and, where it is not likely to be, the most similar candidate and the most similar one
     that likely is. Where x is not surely similar to its hub, all its candidates come along as partners, to be
-    tried if x and its hub turn out to be in different components.
+    tried if x and its hub turn out to be in different components. A crowded region needs none: see across().
     """
     m = len(ids)
     if m <= SMALL:
@@ -139,7 +140,7 @@ def met(ids: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int, list[int],
         if alike[k] < LIKELY:
             near = own[alike[own] >= LIKELY]
             tries += [int(ids[q]) for q in {*own[:1].tolist(), *near[:1].tolist()} - {row[k]}]
-        out.append((int(ids[k]), int(ids[row[k]]), tries, ids[own].tolist()))
+        out.append((int(ids[k]), int(ids[row[k]]), tries, ids[own].tolist() if m <= SMALL else []))
     return out
 
 
@@ -173,12 +174,13 @@ def regions(keys: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> Iterator[p
     yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["x", "hub", "tries", "partners"])
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """x, hub, tries, partners as in met(), by region, of `nodes` (id, signature, sketch)."""
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(x, hub, tries, partners as in met(), by region; doc_id of texts in crowded regions) of `nodes` (id, signature, sketch)."""
     step = 2 * DEPTH
     trees = F.array(*(F.struct(F.xxhash64(F.lit(t), F.substring("signature", step * t + 1, 2 * SHALLOW)).alias("key"), F.substring("signature", step * t + 1, step).alias("at")) for t in range(TREES)))
     rows = nodes.select("id", "sketch", F.explode(trees).alias("t")).select("t.key", "t.at", "id", "sketch")
-    keys = rows.groupBy("key").count()
+    keys = stored(rows.groupBy("key").count().where(F.col("count") > SMALL), "regions")
+    crowd = stored(rows.select("key", F.col("id").alias("doc_id")).join(keys.select("key").hint("merge"), "key").select("doc_id").distinct(), "crowd")
     limit = max(HOT, nodes.count() * TREES // 5000)
     hot = keys.where(F.col("count") > limit).select("key").collect()  # 5000 keys at most, as each has that share of rows
 
@@ -186,14 +188,14 @@ def candidates(nodes: DataFrame) -> DataFrame:
         return some.sortWithinPartitions("key", "at", "id").select("key", "id", "sketch").mapInArrow(neighbours, FOUND)
 
     if not hot:
-        return pairs(rows.repartition("key"))
+        return pairs(rows.repartition("key")), crowd
     crowded = F.broadcast(rows.sparkSession.createDataFrame(hot, "key long"))
-    return pairs(rows.join(crowded, "key", "left_anti").repartition("key")).union(pairs(rows.join(crowded, "key", "left_semi").repartitionByRange("key", "at", "id")))
+    return pairs(rows.join(crowded, "key", "left_anti").repartition("key")).union(pairs(rows.join(crowded, "key", "left_semi").repartitionByRange("key", "at", "id"))), crowd
 
 
-def texts_of(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Texts of the documents in `found`: only these travel from here on. Merge joins at any size, so plans don't change."""
-    needed = found.select(F.explode(F.array_distinct(F.concat(F.array("x", "hub"), "tries", "partners"))).alias("doc_id")).distinct()
+def texts_of(found: DataFrame, crowd: DataFrame, docs: DataFrame) -> DataFrame:
+    """Texts of the documents in `found` and `crowd`: only these travel from here on. Merge joins at any size, so plans don't change."""
+    needed = found.select(F.explode(F.array_distinct(F.concat(F.array("x", "hub"), "tries", "partners"))).alias("doc_id")).union(crowd).distinct()
     return stored(docs.select("doc_id", "text").join(needed.hint("merge"), "doc_id", "left_semi").distinct(), "texts")
 
 
@@ -229,21 +231,53 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
 
 
-def linked(found: DataFrame, docs: DataFrame) -> DataFrame:
+def across(crowd: DataFrame, texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """All pairs (x, y) of texts of `crowd` in different components of `groups` whose full sets may be similar enough.
+
+    A prefix filter with sizes and places, which loses no pair: sets are in one order of all shingles, and a pair's
+    first common shingle is early in both. Shingles of one component only come first in that order and join nothing,
+    the others follow from rare to common.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, c, t, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                s = shingles(words_of(text)).view(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(s), v), pa.int64()) for v in (i, c, t, len(s))] + [pa.array(s)], names=["id", "c", "t", "n", "s"])
+
+    own = texts.join(crowd.hint("merge"), "doc_id", "left_semi").join(groups.select(F.col("id").alias("doc_id"), "component").hint("merge"), "doc_id", "left")
+    own = own.select("doc_id", F.coalesce("component", "doc_id").alias("c"), F.xxhash64("text").alias("t"), "text")
+    items = stored(own.mapInArrow(run, "id long, c long, t long, n long, s long"), "shingles")
+    useful = items.groupBy("s").agg(F.count(F.lit(1)).alias("many"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s", "many")
+    ranked = items.join(useful.hint("merge"), "s").groupBy("id", "c", "t", "n").agg(F.sort_array(F.collect_list(F.struct("many", "s"))).alias("own"))
+    early = ranked.withColumn("before", F.expr("n - size(own)")).withColumn("early", F.expr(f"slice(own, 1, cast(greatest(0, n - ({PERCENT} * n + 99) div 100 + 1 - before) as int))"))
+    probes = stored(early.select("id", "c", "n", "before", F.posexplode("early").alias("p", "e")).selectExpr("e.s", "id", "c", "n", "before + 1 + p place"), "prefixes")
+    x = probes.selectExpr("s", "id x", "c cx", "n nx", "place px")
+    least = f"({2 * PERCENT} * ny + {100 + PERCENT - 1}) div {100 + PERCENT}"  # common shingles of two sets, the smaller of ny
+    y = probes.selectExpr("s", "id y", "c cy", "n ny", "place py").where(f"py <= ny - {least} + 1")
+    may = f"cx <> cy and nx >= ny and 100 * ny >= {PERCENT} * nx and {100 + PERCENT} * (1 + least(nx - px, ny - py)) >= {PERCENT} * (nx + ny)"
+    out = stored(ordered(x.join(y.hint("merge"), "s").where(may)), "across")
+    release(items, probes)
+    return out
+
+
+def linked(found: DataFrame, crowd: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed links (a, b) of `found`, enough of them to connect whatever any candidate would connect.
 
     Tries first. Every candidate pair joins two texts of a region with one hub; where both are in the hub's component
-    it can't change anything, and where one is not all its partners are tried.
+    it can't change anything, and where one is not all its partners are tried. Texts of `crowd` are also tried with
+    all texts of it that are in other components and may be similar.
     """
-    texts = texts_of(found, docs)
+    texts = texts_of(found, crowd, docs)
     first = stored(ordered(found.select("x", F.explode("tries").alias("y"))), "tries")
     links = confirmed(first, texts)
     groups = components(links)
     mine, hubs = groups.select(F.col("id").alias("x"), F.col("component").alias("cx")), groups.select(F.col("id").alias("hub"), F.col("component").alias("ch"))
     apart = found.where("size(partners) > 0").join(mine, "x", "left").join(hubs, "hub", "left").where(F.coalesce("cx", "x") != F.coalesce("ch", "hub"))
-    rest = stored(ordered(apart.select("x", F.explode("partners").alias("y"))).join(first, ["a", "b"], "left_anti"), "rest")
+    others = across(crowd, texts, groups)
+    rest = stored(ordered(apart.select("x", F.explode("partners").alias("y"))).union(others).distinct().join(first, ["a", "b"], "left_anti"), "rest")
     more = None if rest.isEmpty() else confirmed(rest, texts)
-    release(texts, first, rest)
+    release(texts, first, others, rest)
     return links if more is None else links.union(more)
 
 
@@ -275,9 +309,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(known.groupBy("class").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
     firsts = known.join(classes.select("class", F.col("id").alias("doc_id")), ["class", "doc_id"]).select(F.col("doc_id").alias("id"), "signature", "sketch").dropDuplicates(["id", "signature"])
     nodes = stored(firsts, "nodes")
-    found = stored(candidates(nodes), "found")
-    groups = components(linked(found, docs))
-    release(nodes, found)
+    pairs, crowd = candidates(nodes)
+    found = stored(pairs, "found")
+    groups = components(linked(found, crowd, docs))
+    release(nodes, found, crowd)
     copies = classes.where("n > 1").select("class", F.col("id").alias("first"))
     rows = table.select("doc_id", "n_shingles", "class").join(copies, "class", "left").withColumn("id", F.coalesce("first", F.when(F.col("class").isNotNull(), F.col("doc_id"))))
     rows = rows.join(groups, "id", "left")

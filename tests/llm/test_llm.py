@@ -252,6 +252,24 @@ def test_near_duplicates(spark, odd, none):
     assert neardup.keep_firsts(odd).columns == odd.columns
 
 
+def test_links_in_a_crowd(spark):
+    """Texts that are alike at 0.74 and not linked, among them pairs at 0.78: every link is found."""
+    same = [f"t{i}" for i in range(140)]
+    docs = [same + [f"p{i % 600}-{j}" if i % 600 < 100 and j < 4 else f"u{i}-{j}" for j in range(24)] for i in range(1200)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    column: dict = {}
+    has = np.zeros((1200, 30000), np.float32)
+    for i, w in enumerate(docs):
+        for k in range(len(w) - 4):
+            has[i, column.setdefault(tuple(w[k : k + 5]), len(column))] = 1
+    both = has @ has.T
+    links = np.argwhere(np.triu(100 * both >= 75 * (320 - both), 1)).tolist()  # 160 shingles each
+    assert links == [[i, i + 600] for i in range(100)]
+    first = {b: a for a, b in links}
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == {i: (160, first.get(i, i)) for i in range(1200)}
+
+
 def test_mixing(spark, none, real):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     rows = mixing.mix(real, mixing.labelled_documents(real, labels), {"high": 0.7, "low": 0.2, "toxic": 0.1}).toPandas()
