@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .license_texts import TEXTS
+
 #: Public licence notices (fixed values).
 TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
@@ -27,8 +29,42 @@ TEMPLATES = {
     "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0 line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "GPL-2.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-or-later": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-or-later": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "MIT name": "Licensed under the MIT License.",
+    "BSD line": "Released under the BSD License.",
+    "BSD name": "Licensed under the BSD License.",
+    "MPL-2.0 line": "Mozilla Public License, version 2.0",
+    "Unlicense line": "Released under the Unlicense.",
+    "CC0-1.0 line": "Licensed under CC0 1.0.",
+    "CC0-1.0 name": "CC0 1.0 Universal",
+    "GPL-2.0 line": "GNU General Public License, version 2",
+    "GPL-3.0 name": "GNU General Public License, version 3",
+    "LGPL-2.1 line": "GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0 line": "GNU Lesser General Public License, version 3",
+    "AGPL-3.0 line": "GNU Affero General Public License, version 3",
+    "CC-BY-4.0 name": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0 line": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-SA-4.0 name": "Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC-BY-ND-4.0 line": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-ND-4.0 name": "Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "CC-BY-NC-4.0 name": "Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-NC-SA-4.0 line": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-SA-4.0 name": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "CC-BY-NC-ND-4.0 line": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-NC-ND-4.0 name": "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    **TEXTS,
 }
 COVERAGE = 0.8
+SHORT, NOTICE = 20, 200  # words: shorter templates must occur whole; those between the two must agree in the telling words
+VERSION = frozenset(b"%d" % i for i in range(10))
+FAMILY = frozenset([b"lesser", b"affero"])
 OTHERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 SCHEMA = "doc_id long, n_words long, license string, coverage double, n_aligned int, start_word long, end_word long, licenses array<string>"
 
@@ -107,28 +143,58 @@ def best(text: list[bytes], template: list[bytes], least: float) -> list[tuple[i
     return top
 
 
+def whole(text: bytes, template: list[bytes]) -> int:
+    """Word at which `template` occurs in a text whose words have one space before and after each; -1: nowhere."""
+    at = text.find(b" " + b" ".join(template) + b" ")
+    return text.count(b" ", 0, at) if at > 0 else at
+
+
+def tells_apart(text: list[bytes], template: list[bytes], found: list[tuple[int, int]]) -> bool:
+    """Whether a notice that names a version agrees in all words that tell licences apart: numbers, lesser, library, affero."""
+    if len(template) >= NOTICE or VERSION.isdisjoint(template):
+        return True
+    here, there = {i for i, _ in found}, {j for _, j in found}
+    telling = VERSION | FAMILY
+    if any(w in telling and j not in there for j, w in enumerate(template)):
+        return False
+    return not any(i not in here and (text[i] in telling or text[i] == b"library" and text[i - 1] == b"gnu") for i in range(found[0][0], found[-1][0] + 1))
+
+
+def outer(hits: list[tuple]) -> list[tuple]:
+    """Hits (coverage, words, start, end, name) without those that lie inside a larger hit of another licence."""
+    return [h for h in hits if not any(o[1] > h[1] and o[2] <= h[2] and h[3] <= o[3] and o[4].split(" ")[0] != h[4].split(" ")[0] for o in hits)]
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = COVERAGE) -> DataFrame:
     """For each row of `docs` (doc_id, text): its best licence (null: none), coverage, place, and all that reach `least`.
 
     Ties go to the template named first. Null and empty texts have no licence; repeated rows give repeated rows.
-    A template is skipped only where its words in the text can't reach `least`. No shuffle.
+    A template is skipped only where its words in the text can't reach `least`. Templates under `SHORT` words must
+    occur whole, notices that name a version must agree in it, and a hit inside a larger one of another licence is
+    part of that. No shuffle.
     """
     own = {k: words(t) for k, t in (templates or TEMPLATES).items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = {k: set(t) for k, t in own.items()}
         every = set().union(*sets.values())
-        fewest = {k: max(1, int(least * len(t)) - (len(t) - len(sets[k]))) for k, t in own.items()}
+        fewest = {k: len(sets[k]) if len(t) < SHORT else max(1, int(least * len(t)) - (len(t) - len(sets[k]))) for k, t in own.items()}
         kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())]
         for b in batches:
             rows = []
             for text in b.column(1).to_pylist():
                 w = words(text)
                 here = every.intersection(w)
-                hits = []
+                hits, joined = [], b" " + b" ".join(w) + b" "
                 for k, t in own.items():
-                    if len(here & sets[k]) >= fewest[k] and (found := best(w, t, least)) and len(found) >= least * len(t):
+                    if len(here & sets[k]) < fewest[k]:
+                        continue
+                    if len(t) < SHORT:
+                        if t and (at := whole(joined, t)) >= 0:
+                            hits.append((1.0, len(t), at, at + len(t), k))
+                    elif (found := best(w, t, least)) and len(found) >= least * len(t) and tells_apart(w, t, found):
                         hits.append((len(found) / len(t), len(found), found[0][0], found[-1][0] + 1, k))
+                hits = outer(hits)
                 top = max(hits, key=lambda h: h[:2], default=(0.0, 0, None, None, None))
                 rows.append((len(w), top[4], top[0], top[1], top[2], top[3], [h[4] for h in hits]))
             yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True))], names=[x.split()[0] for x in SCHEMA.split(", ")])

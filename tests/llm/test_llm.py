@@ -111,6 +111,30 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_are_told_apart(spark):
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    want = {
+        "Licensed under CC BY 4.0.": "CC-BY-4.0",
+        "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Released under the BSD License.": "BSD",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        gnu.format("General Public License", 2): "GPL-2.0-or-later",
+        gnu.format("General Public License", 3): "GPL-3.0-or-later",
+        gnu.format("Lesser General Public License", "2.1"): "LGPL-2.1-or-later",
+        gnu.format("Affero General Public License", 3): "AGPL-3.0-or-later",
+        licenses.TEMPLATES["BSD-3-Clause"].replace("copyright holder", "Regents"): "BSD-3-Clause",
+        licenses.TEMPLATES["BSD-2-Clause"]: "BSD-2-Clause",
+        licenses.TEMPLATES["ISC"]: "ISC",
+        **{f"Copyright someone. {t} And more.": k.split(" ")[0] for k, t in licenses.TEXTS.items()},
+    }
+    rows = [(i, f"Some words before. {t} Some after.") for i, t in enumerate(want)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["license"].split(" ")[0] for i in range(len(rows))] == list(want.values())
+    assert all({x.split(" ")[0] for x in got[i]["licenses"]} == {k} for i, k in enumerate(want.values()) if i < 13)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abcdefgh"), max_size=14), st.lists(st.sampled_from("abcdefgh"), max_size=14))
 def test_alignment_is_a_common_subsequence(a, b):
