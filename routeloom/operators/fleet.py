@@ -171,7 +171,7 @@ def overview(targets: DataFrame, catalogs: DataFrame) -> DataFrame:
 
     `catalogs`: a row for each module (target, status, dialects array, numerator, denominator); null status: no catalog.
     """
-    has = lambda d: F.bool_or(F.array_contains(F.coalesce("dialects", F.array().cast("array<string>")), d))
+    has = lambda d: F.bool_or(F.exists(F.coalesce("dialects", F.array().cast("array<string>")), lambda x: F.replace(x, F.lit("-")) == d))  # noqa: E731  readers write openapi-3
     rows = catalogs.groupBy("target").agg(has("openapi3").alias("three"), has("swagger2").alias("two"), F.bool_or(F.coalesce(F.col("status") != "complete", F.lit(True))).alias("loose"), F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"))
     docs = F.when(F.col("three") & F.col("two"), "both").when(F.col("three"), "openapi3").when(F.col("two"), "swagger2").when(F.coalesce("loose", F.lit(True)), "unavailable").otherwise("none")
     share = F.when(F.col("denominator") > 0, F.round(100.0 * F.col("numerator") / F.col("denominator"), 1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import posixpath
 import re
 from collections.abc import Iterator
 
@@ -67,36 +68,118 @@ def aggregates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spec_documents(spark: SparkSession, folder: str, most_bytes: int = 2 << 20) -> DataFrame:
-    """spec_id, dialect, version, authorship, operations (method, path), problem of API documents in JSON under a folder.
+    """spec_id, dialect, version, authorship, operations (method, path), problem, local_refs of API documents in JSON or YAML under a folder.
 
-    Documents over `most_bytes` are reported, not read. Files are read on the executors.
+    Documents over `most_bytes`, that don't parse or have an unsupported version are reported, not read; problems of
+    references are reported beside what was read. Vendored and hidden folders don't count. Files are read on the
+    executors.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder)
+    root = folder.rstrip("/").removeprefix("file:")
+    root = "/" + root.lstrip("/") if "://" not in root else root.split("://", 1)[1]
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = every.option("pathGlobFilter", "*.{[jJ][sS][oO][nN],[yY][aA][mM][lL],[yY][mM][lL]}").load(folder)
+    files = files.where(~F.substring_index("path", root + "/", -1).rlike(r"(^|/)(vendor|node_modules|\.[^/]+)/"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [specification(p, c, n, most_bytes) for p, c, n in zip(pdf["path"], pdf["content"], pdf["length"], strict=True)]
-            yield pd.DataFrame([r for r in rows if r], columns=["spec_id", "dialect", "version", "authorship", "operations", "problem"])
+            rows = [specification(p, c, n, most_bytes, root) for p, c, n in zip(pdf["path"], pdf["content"], pdf["length"], strict=True)]
+            yield pd.DataFrame([r for r in rows if r], columns=["spec_id", "dialect", "version", "authorship", "operations", "problem", "local_refs", "targets"])
 
-    return files.select("path", "length", F.when(F.col("length") <= most_bytes, F.col("content")).alias("content")).mapInPandas(parse, "spec_id string, dialect string, version string, authorship string, operations array<struct<method:string,path:string>>, problem string")
+    schema = "spec_id string, dialect string, version string, authorship string, operations array<struct<method:string,path:string>>, problem string, local_refs array<string>, targets array<struct<ref:string,file:string>>"
+    specs = files.select("path", "length", F.when(F.col("length") <= most_bytes, F.col("content")).alias("content")).mapInPandas(parse, schema)
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_replace("path", "^[a-z0-9]+:/+", "/").alias("file"))
+    lost = specs.select("spec_id", F.explode("targets").alias("t")).select("spec_id", "t.*").join(there, "file", "left_anti")
+    lost = lost.groupBy("spec_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("spec-local-ref-unavailable: "), "ref"))), "; ").alias("lost"))
+    problem = F.concat_ws("; ", "problem", "lost")
+    return specs.join(lost, "spec_id", "left").withColumn("problem", F.when(problem != "", problem)).drop("lost", "targets")
 
 
-def specification(path: str, content: bytes | None, length: int, most: int) -> tuple | None:
+def loaded(text: str) -> object:
+    """The document of JSON, or the first one of YAML. ValueError: not to be parsed, or refused as the reference does."""
+    import yaml
+
+    def once(pairs: list) -> dict:
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("spec-parse-limit: duplicate mapping keys are unsupported")
+        return dict(pairs)
+
+    try:
+        if text.lstrip().startswith("{"):
+            try:
+                json.loads(text)
+            except ValueError:
+                pass  # perhaps YAML in braces
+            else:
+                return json.loads(text, object_pairs_hook=once)
+        loader = yaml.SafeLoader(text)
+        node = loader.get_node() if loader.check_node() else None
+        seen, todo = set(), [(node, 0)] if node else []
+        while todo:
+            n, depth = todo.pop()
+            if id(n) in seen:
+                raise ValueError("spec-parse-limit: YAML aliases are unsupported")
+            seen.add(id(n))
+            if len(seen) > 100_000 or depth > 64:
+                raise ValueError("spec-parse-limit: YAML node or depth limit exceeded")
+            if isinstance(n, yaml.MappingNode):
+                keys = [str(k.value) for k, _ in n.value]
+                if len(set(keys)) < len(keys):
+                    raise ValueError("spec-parse-limit: duplicate mapping keys are unsupported")
+                todo += [(c, depth + 1) for kv in n.value for c in kv]
+            elif isinstance(n, yaml.SequenceNode):
+                todo += [(c, depth + 1) for c in n.value]
+        return loader.construct_document(node) if node else None
+    except (yaml.YAMLError, RecursionError) as e:
+        raise ValueError(f"spec-parse-invalid: {e}") from None
+
+
+def references(doc: object) -> list[str]:
+    """The distinct `$ref` of a document, sorted."""
+    refs, todo = set(), [doc]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            refs |= {x["$ref"]} if isinstance(x.get("$ref"), str) else set()
+            todo += x.values()
+        elif isinstance(x, list):
+            todo += x
+    return sorted(refs)
+
+
+def specification(path: str, content: bytes | None, length: int, most: int, root: str) -> tuple | None:
     if length > most:
-        return path, None, None, None, [], "too large"
+        return path, None, None, None, [], "too large", [], []
+    text = content.decode("utf-8", "replace").removeprefix("\ufeff")
     try:
-        doc = json.loads(content)
-    except ValueError:
-        return None
-    if not isinstance(doc, dict) or not ("openapi" in doc or "swagger" in doc):
+        doc = loaded(text)
+    except ValueError as e:
+        named = re.search('"(openapi|swagger)"', text) if text.lstrip().startswith("{") else re.search(r"(?im)^(openapi|swagger):", text)
+        return (path, None, None, None, [], str(e), [], []) if named or str(e).startswith("spec-parse-limit") else None
+    if not isinstance(doc, dict) or (doc.get("openapi") is None and doc.get("swagger") is None):
         return None
-    dialect = "openapi-3" if "openapi" in doc else "swagger-2"
-    generated = str(doc.get("x-generated-by", "")) or "generated" in str((doc.get("info") or {}).get("description", "")).lower()
+    three, two = (str(doc.get(k)) if doc.get(k) is not None else "" for k in ("openapi", "swagger"))
+    if not three.startswith("3.") and two not in ("2", "2.0"):
+        return path, None, None, None, [], f"spec-version-unsupported: {three or two}", [], []
+    dialect, version = ("openapi-3", three) if three.startswith("3.") else ("swagger-2", "2.0")
+    said = doc.get("x-gin-recon-authorship")
+    authorship = said if said in ("authored", "generated") else "generated" if doc.get("x-generated") is True else "unknown"
     verbs = {"get", "put", "post", "delete", "options", "head", "patch", "trace"}
     paths = doc.get("paths") if isinstance(doc.get("paths"), dict) else {}
     base = str(doc.get("basePath", "")).rstrip("/") if dialect == "swagger-2" else ""
-    operations = [{"method": v.upper(), "path": base + p} for p, item in paths.items() if isinstance(item, dict) for v in item if v in verbs]
-    return path, dialect, str(doc.get("openapi") or doc.get("swagger")), "generated" if generated else "authored", sorted(operations, key=lambda o: (o["path"], o["method"])), None
+    operations = [{"method": str(v).upper(), "path": base + str(p)} for p, item in paths.items() if isinstance(item, dict) for v in item if str(v).lower() in verbs]
+    refs, bad, targets = references(doc), [], []
+    here = re.sub("^[a-z0-9]+:/+", "/", path)
+    for r in refs:
+        file = posixpath.normpath(posixpath.join(posixpath.dirname(here), r.split("#")[0]))
+        if r.startswith("#"):
+            continue
+        if "://" in r or r.startswith("//"):
+            bad.append(f"spec-remote-ref-rejected: {r}")
+        elif not file.startswith(root + "/"):
+            bad.append(f"spec-ref-escape-rejected: {r}")
+        else:
+            targets.append({"ref": r, "file": file})
+    return path, dialect, version, authorship, sorted(operations, key=lambda o: (o["path"], o["method"])), "; ".join(bad) or None, refs, targets
 
 
 def repositories(spark: SparkSession, path: str) -> DataFrame:

@@ -261,6 +261,22 @@ def test_manifest_and_spec_documents(spark, tmp_path):
     assert len(got) == 1 and got[0]["dialect"] == "swagger-2" and got[0]["operations"][0]["path"] == "/v1/u"
 
 
+def test_specifications(spark, tmp_path):
+    (tmp_path / "vendor").mkdir()
+    (tmp_path / "vendor/v.yaml").write_text("openapi: 3.0.0")
+    (tmp_path / "a.yaml").write_text("openapi: 3.0.1\nx-gin-recon-authorship: authored\npaths:\n  /a:\n    GET: {x: {$ref: 'b.YML#/x'}, y: {$ref: 'no.json'}, z: {$ref: 'https://h/x'}, w: {$ref: '../../o.json'}}\n")
+    (tmp_path / "b.YML").write_text("swagger: 2.0\nx-generated: true\n")
+    (tmp_path / "c.json").write_text('{"openapi": "3.1.0", "info": {"description": "Generated"}}')
+    (tmp_path / "d.json").write_text('{"openapi": "3.1.0", ')
+    (tmp_path / "e.yml").write_text("openapi: 4.0.0")
+    (tmp_path / "f.yml").write_text("openapi: 3.0.0\nopenapi: 3.0.0")
+    got = {r["spec_id"].rsplit("/", 1)[1]: r for r in readers.spec_documents(spark, str(tmp_path)).collect()}
+    assert {k: (r["dialect"], r["authorship"]) for k, r in got.items()} == {"a.yaml": ("openapi-3", "authored"), "b.YML": ("swagger-2", "generated"), "c.json": ("openapi-3", "unknown"), **dict.fromkeys(("d.json", "e.yml", "f.yml"), (None, None))}
+    assert [tuple(o) for o in got["a.yaml"]["operations"]] == [("GET", "/a")] and len(got["a.yaml"]["local_refs"]) == 4
+    assert got["a.yaml"]["problem"] == "spec-ref-escape-rejected: ../../o.json; spec-remote-ref-rejected: https://h/x; spec-local-ref-unavailable: no.json"
+    assert [got[k]["problem"].split(":")[0] for k in ("d.json", "e.yml", "f.yml")] == ["spec-parse-invalid", "spec-version-unsupported", "spec-parse-limit"]
+
+
 def test_source_inventory(spark, tmp_path):
     for p in ("a/go.mod", "a/x.go", "a/vendor/v/y.go", "b/y.go", "b/notes.txt"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
