@@ -9,6 +9,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words are runs of anything but ASCII white space; bytes.split() cuts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,9 +24,14 @@ def vocabulary(name: str) -> str:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset.
+
+    The latter only with a local master: on a cluster each executor would write to its own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="routeloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -51,7 +57,12 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives lost executors, keeps columns apart."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")  # the shuffles of this job end with it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -1,23 +1,31 @@
 """Removal of repeated passages by content-defined chunks of lines.
 
-Every line has a hash, and a rolling hash over the hashes of two neighbouring lines chooses the ends of chunks: a
-line ends a chunk where it is divisible by `spread`. So chunks depend on nearby lines only, and inserting a line
-moves no other chunk. A line of `long_words` words or more is a passage of its own and always a chunk. Chunks of
-several lines (or of one long line) that occur again anywhere are compared byte by byte; the first occurrence
-stays and the others go.
+Every line with a word has a hash, and a rolling hash over the hashes of two neighbouring lines chooses the ends of
+chunks: a line ends a chunk where it is divisible by `spread`. So chunks depend on nearby lines only, and inserting a
+line moves no other chunk. Chunks of several lines that occur again anywhere are removed, but for the first one.
 
-DataFrame functions only. Hashes travel first, so texts of chunks are shuffled only where their hash repeats.
+The edges of a repeated passage lie inside chunks, whose other lines differ. Therefore each line also begins a window
+and ends one: the fewest lines with `long_words` words. The sum of the rolling hash over a window is a difference of
+two sums of the document, so a window costs the same at any length. Any repeated run of `long_words` words or more is
+covered by windows that repeat, so the whole run goes, whatever is around it.
+
+Hashes travel first. Texts of chunks and windows are shuffled only where a hash repeats; they are compared byte by
+byte. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import release, stored
 
 SPREAD, LONG_WORDS, LEAST_WORDS = 3, 50, 20
+WORD_LETTERS = 10  # a line counts as a word for each so many code points at least: scripts without spaces
 LAST = (1 << 63) - 1  # stands for a null doc_id, which comes last
+TIES, PLACES = 1 << 20, 1 << 31
+SUMMED = (1 << 36) - 1  # bits of the rolling hash that are added up: no sum over a text overflows
+HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
 def hash_of(line: Column) -> Column:
@@ -25,71 +33,106 @@ def hash_of(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
 
 
-def spaces(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" ")))
-
-
-def chunked(docs: DataFrame, spread: int = SPREAD, long_words: int = LONG_WORDS) -> DataFrame:
-    """`docs` with `lines` and `ends` (number of the last line of each chunk, from 1)."""
-    lines = docs.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    lines = lines.withColumn("marks", F.transform("lines", lambda x: F.struct(hash_of(x).alias("h"), (spaces(x) + 1 >= long_words).alias("long"))))
-
-    def end(i: Column) -> Column:
-        here, after, before = (F.element_at("marks", F.least(F.greatest(i + d, F.lit(1)), F.size("marks"))) for d in (0, 1, -1))
-        rolled = (before["h"] * 31 + here["h"]) % spread == 0
-        return (i == F.size("marks")) | here["long"] | after["long"] | ((i > 1) & rolled)
-
-    return lines.withColumn("ends", F.filter(F.sequence(F.lit(1), F.size("marks")), end)).drop("marks")
+def words_in(line: Column) -> Column:
+    """Words of a line, or its code points by `WORD_LETTERS` where that is more; 0 without words."""
+    words = F.size(F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), ""))
+    return F.when(words > 0, F.greatest(words, F.floor(F.length(line) / WORD_LETTERS).cast("int"))).otherwise(0)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with the place of a row in the order of documents: doc_id, then 20 bits of the text's hash."""
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).cast("decimal(20,0)") * F.lit(1 << 20).cast("decimal(7,0)")
-    return docs.withColumn("row_order", (order + F.pmod(F.xxhash64("text"), F.lit(1 << 20)).cast("decimal(7,0)")).cast("decimal(27,0)"))
-
-
-def occurrences(docs: DataFrame, least_words: int, long_words: int, spread: int) -> DataFrame:
-    """row_order, k, chunk (its text), h: the chunks that may go, of rows that have been keyed."""
-    rows = chunked(docs.select("row_order", "text"), spread, long_words)
-    start = lambda k: F.when(k == 1, 1).otherwise(F.element_at("ends", F.greatest(k - 1, F.lit(1))) + 1)
-    chunks = F.transform(F.sequence(F.lit(1), F.size("ends")), lambda k: F.struct(k.alias("k"), start(k).alias("start"), (F.element_at("ends", k) - start(k) + 1).alias("size")))
-    rows = rows.select("row_order", "lines", F.explode(chunks).alias("c"))
-    rows = rows.select("row_order", "c.k", "c.size", F.array_join(F.slice("lines", F.col("c.start"), F.col("c.size")), "\n").alias("chunk"))
-    n = spaces(F.col("chunk")) + F.col("size")
-    return rows.where((n >= long_words) | (n >= least_words) & (F.col("size") > 1)).select("row_order", "k", "chunk", F.xxhash64("chunk").alias("h"))
-
-
-def removals(docs: DataFrame, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS, spread: int = SPREAD) -> DataFrame:
-    """row_order, gone (numbers of the chunks to remove) of keyed rows that lose any."""
-    chunks = occurrences(docs, least_words, long_words, spread)
-    again = chunks.groupBy("h").count().where("count > 1").select("h")
-    place = (F.col("row_order") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("k").cast("decimal(10,0)")).cast("decimal(38,0)")
-    some = stored(chunks.join(again.hint("merge"), "h").withColumn("place", place), "chunks")  # used twice; texts of other chunks travel once
-    firsts = some.groupBy("h", "chunk").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")  # byte by byte
-    gone = some.join(firsts, ["h", "chunk"]).where("place > first")
-    out = stored(gone.groupBy("row_order").agg(F.collect_set("k").alias("gone")), "gone")
-    release(some)
+    """doc (doc_id), tie (20 bits of the text's hash), text, whole (the row itself) of each row of `docs`."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.pmod(F.xxhash64("text"), F.lit(TIES)).alias("tie"), "text", whole.alias("whole"))
+
+
+def once(value: Column, name: str) -> Column:
+    """The value as a generated column: plans that refer to it in a lambda don't compute it again for each element."""
+    return F.explode(F.array(value)).alias(name)
+
+
+def lines_of(rows: DataFrame) -> DataFrame:
+    """doc, tie, i (line number from 1), x (hash), h (short hash), w (words) of lines with words; line 0 stands before each text."""
+    lines = rows.where("text is not null").select("doc", "tie", F.posexplode(F.split(F.concat(F.lit("\n"), "text"), "\n", -1)).alias("i", "line"))
+    lines = lines.select("doc", "tie", "i", F.xxhash64("line").alias("x"), F.when(F.col("i") > 0, hash_of(F.col("line"))).alias("h"), words_in(F.col("line")).alias("w"))
+    return lines.where("w > 0 or i = 0").repartition("doc", "tie").dropDuplicates(["doc", "tie", "i"])
+
+
+def spans(rows: DataFrame, least_words: int, long_words: int, spread: int) -> DataFrame:
+    """doc, tie, a, b (first and last line), key (hash): the chunks and windows that may go; each (a, b) once."""
+    by, n = Window.partitionBy("doc", "tie").orderBy("i"), F.lit(long_words)
+    so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before, after = lambda c: F.lag(c).over(by), lambda c: F.lead(c).over(by)
+    rolled = F.pmod(before("h") * 31 + F.col("h"), F.lit(spread)) == 0
+    ends = (F.col("i") == 0) | after("i").isNull() | (F.col("w") >= n) | (after("w") >= n) | F.coalesce(rolled, F.lit(False))
+    r = F.xxhash64(before("x"), "x").bitwiseAND(F.lit(SUMMED))
+    lines = lines_of(rows).select("doc", "tie", "i", "x", "w", F.least("w", n).cast("long").alias("m"), r.alias("r"), ends.alias("ends"))
+    lines = lines.select("*", F.sum("m").over(so_far).alias("c"), F.sum("r").over(so_far).alias("s"), before("ends").alias("begins"))
+    lines = lines.select("*", after("i").alias("i1"), after("x").alias("x1"), after("s").alias("s1"))
+    begun = {k: F.last(F.when(F.col("begins"), F.col(c)), ignorenulls=True).over(so_far) for k, c in {"a": "i", "ax": "x", "as": "s", "ac": "c", "am": "m"}.items()}
+    lines = lines.select("*", *[c.alias(k) for k, c in begun.items()])
+
+    # c grows from line to line by 1 to long_words, so frames over it hold few lines
+    near = Window.partitionBy("doc", "tie").orderBy("c")
+    ahead, back = near.rangeBetween(long_words, 2 * long_words - 1), near.rangeBetween(1 - 2 * long_words, -long_words)
+    lines = lines.select("*", *[F.first(c).over(ahead).alias(f"to_{c}") for c in ("i", "s")], *[F.last(c).over(back).alias(f"from_{c}") for c in ("i1", "x1", "s1", "c")])
+    span = lambda a, b, x, s: F.struct(a.alias("a"), b.alias("b"), F.xxhash64(x, s).alias("key"))
+    col, shorter = F.col, F.col("c") - F.col("m")  # words without the last line
+    begin = col("ac") - col("am")  # words before the chunk
+    long_chunk = (col("c") - begin >= n) & (shorter - begin >= n) & (col("c") - col("ac") >= n)  # else a window is the same
+    short_chunk = (col("c") - begin < n) & (col("c") - begin >= least_words) & (col("i") > col("a"))
+    each = F.array(
+        F.when(col("to_i").isNotNull(), span(col("i1"), col("to_i"), col("x1"), col("to_s") - col("s1"))),
+        F.when(col("from_c").isNotNull() & (shorter - col("from_c") >= n), span(col("from_i1"), col("i"), col("from_x1"), col("s") - col("from_s1"))),
+        F.when((col("i") > 0) & col("ends") & (long_chunk | short_chunk), span(col("a"), col("i"), col("ax"), col("s") - col("as"))),
+    )
+    return lines.select("doc", "tie", F.explode(F.filter(each, lambda e: e.isNotNull())).alias("e")).select("doc", "tie", "e.a", "e.b", "e.key")
+
+
+def removals(rows: DataFrame, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS, spread: int = SPREAD) -> DataFrame:
+    """doc, tie, gone (array of lo, hi: lines to remove, in order, apart), runs (of neighbouring ones) of keyed rows that lose any."""
+    rows = rows.select("doc", "tie", "text")
+    every = stored(spans(rows, least_words, long_words, spread), "spans")
+    again = every.groupBy("key").count().where("count > 1").select("key")
+    some = every.join(again.hint("merge"), "key").groupBy("doc", "tie").agg(F.collect_list(F.struct("a", "b", "key")).alias("found"))
+    texts = rows.join(some.hint("merge"), ["doc", "tie"]).select("doc", "tie", once(F.split("text", "\n", -1), "lines"), "found").select("doc", "tie", "lines", F.explode("found").alias("e"))
+    place = (F.col("doc").cast("decimal(20,0)") * F.lit(TIES * PLACES).cast("decimal(16,0)") + (F.col("tie") * PLACES + F.col("e.a")).cast("decimal(18,0)")).cast("decimal(38,0)")
+    texts = stored(texts.select("doc", "tie", "e.a", "e.b", "e.key", place.alias("place"), F.array_join(F.slice("lines", F.col("e.a"), F.col("e.b") - F.col("e.a") + 1), "\n").alias("passage")), "passages")
+    firsts = texts.groupBy("key", "passage").agg(F.min("place").alias("first"))  # byte by byte
+    later = texts.join(firsts, ["key", "passage"]).where("place > first").select("doc", "tie", "a", "b")
+    order = Window.partitionBy("doc", "tie").orderBy("a", F.desc("b"))
+    covered = later.withColumn("to", F.coalesce(F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)))
+    pieces = covered.where("b > to").groupBy("doc", "tie").agg(F.sort_array(F.collect_list(F.struct(F.expr("greatest(a, to + 1)").alias("lo"), F.col("b").alias("hi")))).alias("gone"), F.count_if(F.expr("a > to + 1")).alias("runs"))
+    out = stored(pieces, "gone")
+    release(every, texts)
     return out
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS, spread: int = SPREAD) -> DataFrame:
-    """`docs` with the columns n_lines, n_removed_lines, n_chunks, n_removed_chunks, and text without the removed chunks.
+    """`docs` with the columns n_lines, n_removed_lines, n_removed_runs, and text without the passages that occur before.
+
+    A passage is a chunk of several lines with `least_words` words, or any run of lines with `long_words` words; a
+    line counts a word for each ten code points at least, so scripts without spaces count too. Of equal passages the
+    first in the order of documents stays: by doc_id, null ones last, equal ones by a hash of the text. Rows that are
+    equal in doc_id and text are one occurrence. Lines without words go where they lie inside a passage. A text of
+    which no word is left becomes empty. Null texts stay null and have no lines; empty texts have one. Columns of
+    `docs` named like the new ones are replaced; others keep their values, whatever their names.
 
-    Null texts stay null and have no lines. Rows that are equal in doc_id and text are one occurrence; rows with an
-    equal doc_id are ordered by a hash of the text, null doc_ids are last. Columns of `docs` named like the new ones
-    are replaced. No key gathers texts: counts are combined before the shuffle, joins on a hot chunk can be split.
+    No key gathers texts: counts are combined before the shuffle and joins on a hot passage can be split. A text's
+    own lines are sorted in one task, on disk where they are many.
     """
-    new = ["n_lines", "n_removed_lines", "n_chunks", "n_removed_chunks"]
-    docs = docs.select([c for c in docs.columns if c not in new])
+    new = ["n_lines", "n_removed_lines", "n_removed_runs"]
+    docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in new])
     rows = keyed(docs)
     gone = removals(rows, least_words, long_words, spread)
-    rows = chunked(rows.join(gone.hint("merge"), "row_order", "left"), spread, long_words)  # one plan at any size
-    kept = F.filter(F.sequence(F.lit(1), F.size("ends")), lambda k: F.col("gone").isNull() | ~F.array_contains("gone", k))
-    start = lambda k: F.when(k == 1, 1).otherwise(F.element_at("ends", F.greatest(k - 1, F.lit(1))) + 1)
-    left = F.flatten(F.transform(kept, lambda k: F.slice("lines", start(k), F.element_at("ends", k) - start(k) + 1)))
-    rows = rows.withColumn("left_lines", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(left))
-    has = F.col("text").isNotNull()
-    n_lines, n_chunks = F.when(has, F.size("lines")).otherwise(0), F.when(has, F.size("ends")).otherwise(0)
-    columns = {"n_lines": n_lines, "n_removed_lines": F.size("lines") - F.size("left_lines"), "n_chunks": n_chunks, "n_removed_chunks": F.coalesce(F.size("gone"), F.lit(0))}
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("left_lines", "\n"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], *[c.cast("long").alias(k) for k, c in columns.items()])
+    rows = rows.join(gone.hint("merge"), ["doc", "tie"], "left")  # one plan at any size
+    numbers = F.flatten(F.transform("gone", lambda g: F.sequence(g["lo"], g["hi"])))
+    lines = F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1))
+    rows = rows.select("whole", "text", "runs", once(F.struct(lines.alias("all"), numbers.alias("gone")), "lines"))
+    rows = rows.select("whole", "text", "runs", "lines", once(F.array_except(F.sequence(F.lit(1), F.size("lines.all")), F.col("lines.gone")), "kept"))
+    rest = F.array_join(F.transform("kept", lambda i: F.get("lines.all", i - 1)), "\n")
+    rows = rows.select("whole", "text", "runs", "kept", once(rest, "rest"))
+    left = F.when(F.col("rest").isNull(), F.col("text")).when(F.col("rest").rlike(HAS_WORD), F.col("rest")).otherwise("")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1)
+    n_gone = F.when(F.col("rest").isNull(), 0).when(F.col("rest").rlike(HAS_WORD), n_lines - F.size("kept")).otherwise(n_lines)
+    columns = {"n_lines": n_lines, "n_removed_lines": n_gone, "n_removed_runs": F.coalesce("runs", F.lit(0))}
+    return rows.select(*[(left if c == "text" else F.col("whole").getField(c)).alias(c) for c in docs.columns], *[c.cast("long").alias(k) for k, c in columns.items()])

@@ -31,9 +31,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_files(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY))
 
 
+def digest(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "n_lines", "n_removed_lines", "n_removed_runs", F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks", F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
+    return digest(linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,33 +65,46 @@ def queries() -> dict:
 
 OP6_SQL = f"""
 WITH lines AS (
-  SELECT doc_id, text, i, string_split(text, chr(10))[i] AS line, len(string_split(text, chr(10))) AS n
+  SELECT doc_id, i, string_split(text, chr(10))[i] AS line
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
-), marks AS (
-  SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h, length(line) - length(replace(line, ' ', '')) + 1 >= {linededup.LONG_WORDS} AS long FROM lines
+), counted AS (
+  SELECT *, len(list_filter(string_split(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda x: x <> '')) AS n FROM lines
+), worded AS (
+  SELECT doc_id, i, line, greatest(n, length(line) // {linededup.WORD_LETTERS}) AS w, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM counted WHERE n > 0
 ), around AS (
-  SELECT *, lag(h) OVER w AS h0, lead(long) OVER w AS long1 FROM marks WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-), ends AS (
-  SELECT *, i = n OR long OR coalesce(long1, false) OR (i > 1 AND (h0 * 31 + h) % {linededup.SPREAD} = 0) AS is_end FROM around
+  SELECT *, lag(h) OVER o AS h0, lead(w) OVER o AS w1, lead(i) OVER o AS i1, sum(least(w, {linededup.LONG_WORDS})) OVER o AS c
+  FROM worded WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), ended AS (
+  SELECT *, c - least(w, {linededup.LONG_WORDS}) AS c0, i1 IS NULL OR w >= {linededup.LONG_WORDS} OR w1 >= {linededup.LONG_WORDS} OR coalesce((h0 * 31 + h) % {linededup.SPREAD} = 0, false) AS ends FROM around
+), begun AS (
+  SELECT *, coalesce(lag(coalesce(ends, false)) OVER (PARTITION BY doc_id ORDER BY i), true) AS begins FROM ended
 ), numbered AS (
-  SELECT *, coalesce(sum(is_end::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS k FROM ends
-), chunks AS (
-  SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS size FROM numbered GROUP BY doc_id, k
-), eligible AS (
-  SELECT *, length(chunk) - length(replace(chunk, ' ', '')) + size AS w FROM chunks
-), ranked AS (
-  SELECT doc_id, k, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) AS r FROM eligible
-  WHERE w >= {linededup.LONG_WORDS} OR (w >= {linededup.LEAST_WORDS} AND size > 1)
-), marked AS (
-  SELECT c.*, coalesce(r, 1) > 1 AS gone FROM chunks c LEFT JOIN ranked USING (doc_id, k)
-), cleaned AS (
-  SELECT doc_id, CAST(sum(size) AS BIGINT) AS n_lines, count(*) AS n_chunks, CAST(sum(CASE WHEN gone THEN size ELSE 0 END) AS BIGINT) AS n_removed_lines,
-         CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed_chunks, coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone), '') AS t
-  FROM marked GROUP BY doc_id
+  SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM begun
+), spans AS (
+  SELECT a.doc_id, a.i AS a, b.i AS b FROM numbered a ASOF JOIN numbered b ON a.doc_id = b.doc_id AND a.c0 + {linededup.LONG_WORDS} <= b.c
+  UNION SELECT b.doc_id, a.i, b.i FROM numbered b ASOF JOIN numbered a ON a.doc_id = b.doc_id AND b.c - {linededup.LONG_WORDS} >= a.c0
+  UNION SELECT doc_id, min(i), max(i) FROM numbered GROUP BY doc_id, k
+        HAVING max(c) - min(c0) >= {linededup.LONG_WORDS} OR max(c) - min(c0) >= {linededup.LEAST_WORDS} AND count(*) > 1
+), passages AS (
+  SELECT doc_id, a, b, array_to_string(string_split(text, chr(10))[a:b], chr(10)) AS passage FROM spans JOIN documents USING (doc_id)
+), later AS (
+  SELECT doc_id, a, b FROM passages QUALIFY row_number() OVER (PARTITION BY passage ORDER BY doc_id, a) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM later
+), runs AS (
+  SELECT doc_id, count(*) AS n_gone, sum((g0 IS NULL OR g0 < i - 1)::INT) AS n_runs FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS g0 FROM gone) GROUP BY doc_id
+), rest AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS t FROM lines l SEMI JOIN runs r ON l.doc_id = r.doc_id ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
+), sized AS (
+  SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id
+), joined AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_lines, coalesce(n_gone, 0) AS n_gone, coalesce(n_runs, 0) AS n_runs, n_gone IS NULL AS same, d.text,
+         coalesce(regexp_matches(coalesce(t, ''), '[^\\x20\\x09-\\x0D]'), false) AS has
+  , t FROM documents d LEFT JOIN sized USING (doc_id) LEFT JOIN runs USING (doc_id) LEFT JOIN rest USING (doc_id)
 )
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed_lines, 0) AS n_removed_lines,
-       coalesce(n_removed_chunks, 0) AS n_removed_chunks, CAST(length(t) AS BIGINT) AS n_chars_left, md5(t) AS text_md5
-FROM documents d LEFT JOIN cleaned USING (doc_id)
+SELECT doc_id, n_lines, CAST(CASE WHEN same OR has THEN n_gone ELSE n_lines END AS BIGINT) AS n_removed_lines, CAST(n_runs AS BIGINT) AS n_removed_runs,
+       CAST(length(CASE WHEN same THEN text WHEN has THEN t ELSE '' END) AS BIGINT) AS n_chars_left, md5(CASE WHEN same THEN text WHEN has THEN t ELSE '' END) AS text_md5
+FROM joined
 """
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter
@@ -238,6 +239,43 @@ def test_line_dedup(spark, odd, none):
     assert set(odd.columns) <= set(linededup.dedup_lines(odd).columns)
 
 
+def test_repeated_passages_of_several_lines(spark):
+    """Planted between differing lines, passages of 2 to 8 lines go from the later document whole, and nothing else goes."""
+    r, rows, want = random.Random(5), [], {}
+    line = lambda n: " ".join(f"v{r.randrange(10**6)}" for _ in range(n))
+    shapes = [(3, 20), (4, 25), (2, 45), (6, 10), (8, 15), (1, 55)] * 4
+    for k, (n, words) in enumerate(shapes):
+        passage, own = "\n".join(line(words) for _ in range(n)), [[line(r.choice([4, 30])) for _ in range(r.choice([1, 3]))] for _ in range(4)]
+        rows += [(2 * k, "\n".join([*own[0], passage, *own[1]])), (2 * k + 1, "\n".join([*own[2], passage, *own[3]]))]
+        want |= {2 * k: rows[-2][1], 2 * k + 1: "\n".join(own[2] + own[3])}
+    chinese = "\n".join("".join(chr(0x4E00 + r.randrange(9000)) for _ in range(300)) for _ in range(2))
+    tabs = "\n".join("\t".join(line(30).split()) for _ in range(2))
+    for k, p in ((100, chinese), (102, tabs)):
+        rows += [(k, f"one\n{p}\ntwo"), (k + 1, f"three\n{p}\nfour")]
+        want |= {k: rows[-2][1], k + 1: "three\nfour"}
+    got = {x["doc_id"]: x["text"] for x in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_line_dedup_keeps_columns_with_its_own_names(spark):
+    names = "lines ends left_lines row_order gone marks doc tie whole key a b i x h w c s m r kept rest runs passage place found first".split()
+    docs = spark.createDataFrame([(1, "one\ntwo", *names), (2, "one\ntwo", *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = linededup.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed_lines", "n_removed_runs"]
+    assert sorted(tuple(x)[:-3] for x in got.collect()) == sorted(map(tuple, docs.collect()))
+
+
+def test_line_dedup_of_many_lines(spark):
+    """The time follows the number of lines, also behind a filter on the text."""
+    import corpus_pipeline
+
+    text = "\n".join(f"line {i} " + "with some words " * 3 for i in range(20_000))
+    docs = spark.createDataFrame([(1, text), (2, text + "\nand more")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {x["doc_id"]: x["text"] for x in corpus_pipeline.without_repeated_lines(spark, docs, DATA).collect()}
+    assert got == {1: text, 2: "and more"} and time.perf_counter() - began < 60
+
+
 def brute_groups(docs):
     sets = {}
     for i, t in docs:
@@ -348,11 +386,21 @@ def test_pipeline(spark):
     assert rows.agg(F.sum("length")).first()[0] == packing.pieces(kept, WORD).agg(F.sum("length")).first()[0]
 
 
-def test_line_dedup_matches_duckdb(spark):
+@pytest.mark.parametrize("kind", ["documents", "few lines", "blanks"])
+def test_line_dedup_matches_duckdb(spark, kind):
     import duckdb
+    import pandas as pd
 
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    if kind == "documents":
+        docs = spark.read.parquet(f"{DATA}/documents.parquet")
+        con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    else:
+        r = random.Random(9)
+        lines = [" ".join(f"{k}{i}" for i in range(n)) for k, n in zip("abcdefghij", (1, 3, 8, 12, 20, 26, 40, 49, 50, 70), strict=True)] + ["", " \t"] * (kind == "blanks")
+        documents = pd.DataFrame([(i, "\n".join(r.choice(lines) for _ in range(r.choice([0, 1, 2, 5, 12])))) for i in range(120)], columns=["doc_id", "text"])
+        docs = spark.createDataFrame(documents)
+        con.register("documents", documents)
     want = con.sql(queries.OP6_SQL).df()
-    got = queries.op6_line_dedup(spark, DATA).toPandas()
+    got = queries.digest(linededup.dedup_lines(docs.select("doc_id", "text"))).toPandas()
     assert sorted(map(repr, got[sorted(got)].values.tolist())) == sorted(map(repr, want[sorted(want)].values.tolist()))
