@@ -15,8 +15,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that occur before; those of which nothing is left go. n_chars follows the text."""
-    rows = linededup.dedup_lines(docs).where("n_removed_chunks = 0 or trim(text) <> ''").select(docs.columns)
+    """Documents without passages that occur before; those of which no word is left go. n_chars follows the text."""
+    rows = linededup.dedup_lines(docs).where("n_removed_lines = 0 or text <> ''").select(docs.columns)
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else rows
 
 
