@@ -15,6 +15,9 @@ byte. DataFrame functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,9 @@ def hash_of(line: Column) -> Column:
 def words_in(line: Column) -> Column:
     """Words of a line, or its code points by `WORD_LETTERS` where that is more; 0 without words."""
     words = F.size(F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), ""))
+    odd = [line == "", line.startswith(" "), line.endswith(" "), *[F.contains(line, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")]]
+    single = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1  # one space between two words
+    words = F.when(reduce(or_, odd), words).otherwise(single)
     return F.when(words > 0, F.greatest(words, F.floor(F.length(line) / WORD_LETTERS).cast("int"))).otherwise(0)
 
 
