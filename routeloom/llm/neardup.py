@@ -4,10 +4,13 @@ Each distinct text has 128 min-hashes, dealt to 16 trees of depth 8. A tree is a
 eight values. Neighbours in an order whose common prefix is at least `SHALLOW` values long are candidates. Where few
 texts share such a prefix all of them meet; where many do, neighbours within `WIDTH` places of the order meet at
 first, and those share the longest prefixes: the depth adapts to the region. The texts of such crowded regions are
-joined afterwards by an exact prefix filter on their shingles, for links between components. A sketch (one byte of every second
-min-hash) that travels along drops candidates that cannot be similar. Of texts that candidates connect within a region each meets the smallest
-one, its hub, and where that is not likely similar the likeliest others; all other candidates of a text in a small region are kept in
-reserve, and they are tried where it is not in its hub's component after that. So pairs grow with texts and not with the squares of groups.
+joined afterwards by an exact prefix filter on their shingles, for links between components; a bound on the shingles
+that two texts don't share, from bit sums of either set, drops pairs of texts that are alike but not similar enough
+before they become rows. A sketch (one byte of every second min-hash) that travels along drops candidates that cannot
+be similar. Of texts that candidates connect within a region each meets the smallest one, its hub, and where that is
+not likely similar the likeliest others; all other candidates of a text in a small region are kept in reserve, and
+they are tried where it is not in its hub's component after that. So pairs grow with texts and not with the squares
+of groups.
 
 Every link is confirmed on the two full shingle sets. Equal texts are one node from the start. Groups are the
 connected components of confirmed links, found by min-label propagation with pointer jumping over written tables.
@@ -31,8 +34,9 @@ WORDS, PERCENT = 5, 75
 TREES, DEPTH, SHALLOW = 16, 8, 3
 HASHES = TREES * DEPTH
 WIDTH, SMALL = 48, 96  # neighbours that meet in a large region; regions up to this size meet as a whole
-MAYBE, LIKELY, SURELY = 36, 52, 59  # of 64 sketch bytes: 3.5 standard errors below 0.75, one above it, three above it
+MAYBE, LIKELY = 34, 52  # of 64 sketch bytes: four standard errors below 0.75, one above it
 HOT = 4096  # rows of a region beyond which it is cut into ranges over several tasks
+SUMS = 16  # words of 64 bit sums of a set: the parity of the shingles that fall on each bit
 SETS = "doc_id long, n_shingles long, class binary, signature binary, sketch binary"
 PAIRS = "a long, b long"
 FOUND = "x long, hub long, tries array<long>, partners array<long>"
@@ -98,8 +102,8 @@ def met(ids: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int, list[int],
 
     The hub is the smallest id that x is connected to by candidates. Tries are to be confirmed at first: the hub
     where it may be similar and, where it is not likely to be, the most similar candidate and the most similar one
-    that likely is. Where x is not surely similar to its hub, all its candidates come along as partners, to be
-    tried if x and its hub turn out to be in different components. A crowded region needs none: see across().
+    that likely is. All candidates of x come along as partners, to be tried if x and its hub turn out to be in
+    different components. A crowded region needs none: see across().
     """
     m = len(ids)
     if m <= SMALL:
@@ -125,8 +129,6 @@ def met(ids: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int, list[int],
     row = order[hub]
     alike = (sketch == sketch[row]).sum(axis=1)
     x, y = np.concatenate([i, j]), np.concatenate([j, i])
-    weak = alike[x] < SURELY
-    x, y = x[weak], y[weak]
     same = (sketch[x] == sketch[y]).sum(axis=1)
     by = np.lexsort((ids[y], -same, x))  # by x, most similar first
     x, y = x[by], y[by]
@@ -181,21 +183,19 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = nodes.select("id", "sketch", F.explode(trees).alias("t")).select("t.key", "t.at", "id", "sketch")
     keys = stored(rows.groupBy("key").count().where(F.col("count") > SMALL), "regions")
     crowd = stored(rows.select("key", F.col("id").alias("doc_id")).join(keys.select("key").hint("merge"), "key").select("doc_id").distinct(), "crowd")
-    limit = max(HOT, nodes.count() * TREES // 5000)
-    hot = keys.where(F.col("count") > limit).select("key").collect()  # 5000 keys at most, as each has that share of rows
+    hot = keys.where(F.col("count") > HOT).select("key").hint("merge")
 
     def pairs(some: DataFrame) -> DataFrame:
         return some.sortWithinPartitions("key", "at", "id").select("key", "id", "sketch").mapInArrow(neighbours, FOUND)
 
-    if not hot:
+    if hot.isEmpty():
         return pairs(rows.repartition("key")), crowd
-    crowded = F.broadcast(rows.sparkSession.createDataFrame(hot, "key long"))
-    return pairs(rows.join(crowded, "key", "left_anti").repartition("key")).union(pairs(rows.join(crowded, "key", "left_semi").repartitionByRange("key", "at", "id"))), crowd
+    return pairs(rows.join(hot, "key", "left_anti").repartition("key")).union(pairs(rows.join(hot, "key", "left_semi").repartitionByRange("key", "at", "id"))), crowd
 
 
 def texts_of(found: DataFrame, crowd: DataFrame, docs: DataFrame) -> DataFrame:
     """Texts of the documents in `found` and `crowd`: only these travel from here on. Merge joins at any size, so plans don't change."""
-    needed = found.select(F.explode(F.array_distinct(F.concat(F.array("x", "hub"), "tries", "partners"))).alias("doc_id")).union(crowd).distinct()
+    needed = found.select(F.explode(F.array("x", "hub")).alias("doc_id")).union(crowd).distinct()  # each candidate is an x or a hub
     return stored(docs.select("doc_id", "text").join(needed.hint("merge"), "doc_id", "left_semi").distinct(), "texts")
 
 
@@ -203,11 +203,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of `pairs` (a, b) whose full sets are similar enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: OrderedDict[tuple, np.ndarray] = OrderedDict()
+        kept: OrderedDict[str, np.ndarray] = OrderedDict()
 
-        def of(i: int, text: str) -> np.ndarray:
-            if (s := kept.get((i, len(text)))) is None:
-                s = kept[i, len(text)] = shingles(words_of(text))
+        def of(text: str) -> np.ndarray:
+            if (s := kept.get(text)) is None:
+                s = kept[text] = shingles(words_of(text))
                 if len(kept) > 64:
                     kept.popitem(last=False)
             return s
@@ -215,7 +215,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             yes = []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s, t = of(a, x), of(b, y)
+                s, t = of(x), of(y)
                 if min(len(s), len(t)) * 100 < PERCENT * max(len(s), len(t)):
                     continue
                 both = len(np.intersect1d(s, t, assume_unique=True))
@@ -236,7 +236,8 @@ def across(crowd: DataFrame, texts: DataFrame, groups: DataFrame) -> DataFrame:
 
     A prefix filter with sizes and places, which loses no pair: sets are in one order of all shingles, and a pair's
     first common shingle is early in both. Shingles of one component only come first in that order and join nothing,
-    the others follow from rare to common.
+    the others follow from rare to common. Where the bit sums of two sets differ the sets do, so the bits that differ
+    and the shingles of one component only are a lower bound of what two texts don't share.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,12 +251,16 @@ def across(crowd: DataFrame, texts: DataFrame, groups: DataFrame) -> DataFrame:
     items = stored(own.mapInArrow(run, "id long, c long, t long, n long, s long"), "shingles")
     useful = items.groupBy("s").agg(F.count(F.lit(1)).alias("many"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s", "many")
     ranked = items.join(useful.hint("merge"), "s").groupBy("id", "c", "t", "n").agg(F.sort_array(F.collect_list(F.struct("many", "s"))).alias("own"))
+    parity = lambda w: F.aggregate("own", F.lit(0).cast("long"), lambda z, e: z.bitwiseXOR(F.when(F.shiftrightunsigned(e["s"], 6).bitwiseAND(F.lit(SUMS - 1)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), e["s"].bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))))
+    ranked = ranked.withColumn("sums", F.transform(F.sequence(F.lit(0), F.lit(SUMS - 1)), parity))
     early = ranked.withColumn("before", F.expr("n - size(own)")).withColumn("early", F.expr(f"slice(own, 1, cast(greatest(0, n - ({PERCENT} * n + 99) div 100 + 1 - before) as int))"))
-    probes = stored(early.select("id", "c", "n", "before", F.posexplode("early").alias("p", "e")).selectExpr("e.s", "id", "c", "n", "before + 1 + p place"), "prefixes")
-    x = probes.selectExpr("s", "id x", "c cx", "n nx", "place px")
+    probes = stored(early.select("id", "c", "n", "before", "sums", F.posexplode("early").alias("p", "e")).selectExpr("e.s", "id", "c", "n", "before", "before + 1 + p place", "sums"), "prefixes")
+    x = probes.selectExpr("s", "id x", "c cx", "n nx", "place px", "before bx", "sums ux")
     least = f"({2 * PERCENT} * ny + {100 + PERCENT - 1}) div {100 + PERCENT}"  # common shingles of two sets, the smaller of ny
-    y = probes.selectExpr("s", "id y", "c cy", "n ny", "place py").where(f"py <= ny - {least} + 1")
+    y = probes.selectExpr("s", "id y", "c cy", "n ny", "place py", "before by_", "sums uy").where(f"py <= ny - {least} + 1")
     may = f"cx <> cy and nx >= ny and 100 * ny >= {PERCENT} * nx and {100 + PERCENT} * (1 + least(nx - px, ny - py)) >= {PERCENT} * (nx + ny)"
+    differ = " + ".join(f"bit_count(ux[{k}] ^ uy[{k}])" for k in range(SUMS))
+    may += f" and {100 + PERCENT} * (bx + by_ + {differ}) <= {100 - PERCENT} * (nx + ny)"
     out = stored(ordered(x.join(y.hint("merge"), "s").where(may)), "across")
     release(items, probes)
     return out
@@ -300,8 +305,9 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text).
 
-    Texts without words are linked with nothing. Rows with an equal doc_id are one document. Rows without doc_id
-    have no component and are kept. A link at exactly the threshold counts.
+    Texts without words are linked with nothing. Rows with an equal doc_id are one document: what links to one of
+    them links to it. Rows without doc_id are linked with nothing, have no component and are kept. A link at exactly
+    the threshold counts. Texts of any length are read whole; a text's set is held once at a time.
     """
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     table = stored(sets(docs), "sets")
@@ -316,7 +322,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies = classes.where("n > 1").select("class", F.col("id").alias("first"))
     rows = table.select("doc_id", "n_shingles", "class").join(copies, "class", "left").withColumn("id", F.coalesce("first", F.when(F.col("class").isNotNull(), F.col("doc_id"))))
     rows = rows.join(groups, "id", "left")
-    component = F.coalesce("component", "id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
