@@ -371,7 +371,42 @@ def test_nearest(spark):
         own = got[got["query_id"] == q].sort_values("rank")
         assert own["vec_id"].tolist() == want and np.allclose(own["score"], s[want])
     assert set(got["query_id"]) == set(range(0, 700, 20))
-    assert vptree.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def brute_nearest(x, k=20):
+    d = np.asarray(x, np.float64)
+    out = {}
+    for q in range(0, len(d), 20):
+        s = (d * d[q]).sum(axis=1)
+        out[q] = [(i, s[i]) for i in sorted(range(len(d)), key=lambda i: (-s[i], i)) if i != q][:k]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["ties", "large norms", "clusters", "mixed norms"])
+def test_nearest_over_shards(spark, kind):
+    """Several shards and blocks: distinct vectors of equal products, large and mixed norms, cells that are left out."""
+    rng = np.random.default_rng(3)
+    x = {
+        "ties": lambda: rng.integers(-1, 2, size=(1500, 8)).astype(float) + np.eye(8)[0] * 2,
+        "large norms": lambda: rng.normal(size=(1500, 8)) * 1e4 + 3e4,
+        "clusters": lambda: rng.normal(size=(1500, 8)) * 0.01 + rng.normal(size=(10, 8))[rng.integers(0, 10, 1500)],
+        "mixed norms": lambda: rng.normal(size=(1500, 8)) * 10.0 ** rng.integers(-3, 4, size=(1500, 1)),
+    }[kind]()
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vptree.nearest(docs, shard=100).toPandas().sort_values(["query_id", "rank"])
+    want = brute_nearest(x)
+    assert {q: list(zip(g["vec_id"], g["score"], strict=True)) for q, g in got.groupby("query_id")} == want
+    loose = vptree.nearest(docs, shard=100, factor=1.2).toPandas()  # leaves out more; what it finds has its true score
+    d = np.asarray(x, np.float64)
+    assert all(r.score == (d[r.query_id] * d[r.vec_id]).sum() for r in loose.itertuples())
+    hits = sum(len({i for i, _ in want[q]} & set(g["vec_id"])) for q, g in loose.groupby("query_id"))
+    assert hits >= 0.7 * sum(map(len, want.values()))
+
+
+def test_nearest_of_few(spark):
+    of = lambda rows: sorted(map(tuple, vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, tie int, cell string")).collect()))
+    assert of([]) == [] and of([(20, [1.0], 1, "c")]) == []
+    assert of([(20, [1.0, 0.0], 1, "c"), (1, [2.0, 0.0], 1, "c"), (2, [9.0], 1, "c"), (40, [3.0], 1, "c")]) == [(20, 1, 1, 2.0), (40, 1, 2, 27.0)]
 
 
 def test_pipeline(spark):
