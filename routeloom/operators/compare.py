@@ -13,50 +13,61 @@ def risk(status: Column) -> Column:
     return F.when(status == "proven", 0).when(status == "unknown", 1).when(status == "public", 2)
 
 
-def riskiest(routes: DataFrame) -> DataFrame:
-    """A row for each route key: the riskiest; ties keep the first; no classification counts as no risk.
+def riskiest(routes: DataFrame, *by: str) -> DataFrame:
+    """A row for each route key (within `by`): the riskiest; ties keep the first; no classification counts as no risk.
 
     One aggregate with map-side combining (the key's maximum by risk and reversed place).
     """
     names = F.transform("middleware", lambda m: m["displayName"])
-    rows = routes.select(route_key(F.col("method"), F.col("normalizedPath")).alias("route"), "method", "normalizedPath", F.coalesce(risk(F.col("auth.authStatus")), F.lit(0)).alias("risk"), "ord", "auth", names.alias("chain"))
+    rows = routes.select(*by, route_key(F.col("method"), F.col("normalizedPath")).alias("route"), "method", "normalizedPath", F.coalesce(risk(F.col("auth.authStatus")), F.lit(0)).alias("risk"), "ord", "auth", names.alias("chain"))
     best = F.max_by(F.struct("method", "normalizedPath", "auth", "chain"), F.struct("risk", -F.col("ord")))
-    return rows.groupBy("route").agg(best.alias("r")).select("route", "r.*")
+    return rows.groupBy(*by, "route").agg(best.alias("r")).select(*by, "route", "r.*")
+
+
+#: What a changed classification is put down to (fixed output values).
+EXPLANATIONS = {
+    "tags lost": "Recognized auth tag(s) removed",
+    "tags won": "Recognized auth tag(s) added",
+    "grants lost": "Authorization grant(s) removed",
+    "grants won": "Authorization grant(s) added",
+    "chain": "Middleware removed from the route chain",
+    "unconfirmed": "The route is now guarded only by middleware whose enforcement could not be confirmed.",
+    "order": "The middleware chain order changed alongside the authentication classification.",
+    "other": "Authentication classification changed without a visible route-level middleware difference; check authMiddleware configuration or shared mount wiring.",
+}
 
 
 def explanation(b: str, a: str) -> Column:
     """Why the classification changed, most telling first."""
 
-    def listed(label: str, values: Column) -> Column:
-        return F.concat(F.lit(label + ": "), F.array_join(values, ", "), F.lit("."))
-
     def diff(field: str, x: str, y: str) -> Column:
         return ordered_difference(F.col(f"{x}.auth.{field}"), F.col(f"{y}.auth.{field}"))
 
-    lost, won = diff("tags", b, a), diff("tags", a, b)
-    less, more = F.concat(diff("roles", b, a), diff("scopes", b, a)), F.concat(diff("roles", a, b), diff("scopes", a, b))
-    gone = ordered_difference(F.col(f"{b}.chain"), F.col(f"{a}.chain"))
+    lists = {
+        "tags lost": diff("tags", b, a),
+        "tags won": diff("tags", a, b),
+        "grants lost": F.concat(diff("roles", b, a), diff("scopes", b, a)),
+        "grants won": F.concat(diff("roles", a, b), diff("scopes", a, b)),
+        "chain": ordered_difference(F.col(f"{b}.chain"), F.col(f"{a}.chain")),
+    }
     was, now = F.col(f"{b}.auth.authStatus"), F.col(f"{a}.auth.authStatus")
-    return (
-        F.when(F.size(lost) > 0, listed("Recognized auth tag(s) removed", lost))
-        .when(F.size(won) > 0, listed("Recognized auth tag(s) added", won))
-        .when(F.size(less) > 0, listed("Authorization grant(s) removed", less))
-        .when(F.size(more) > 0, listed("Authorization grant(s) added", more))
-        .when(F.size(gone) > 0, listed("Middleware removed from the route chain", gone))
-        .when((now == "unknown") & F.coalesce(was != "unknown", F.lit(True)), "The route is now guarded only by middleware whose enforcement could not be confirmed.")
-        .when(same_multiset(F.col(f"{b}.chain"), F.col(f"{a}.chain")) & (F.col(f"{b}.chain") != F.col(f"{a}.chain")), "The middleware chain order changed alongside the authentication classification.")
-        .otherwise("Authentication classification changed without a visible route-level middleware difference; check authMiddleware configuration or shared mount wiring.")
-    )
+    listed = [F.when(F.size(v) > 0, F.concat(F.lit(EXPLANATIONS[k] + ": "), F.array_join(v, ", "), F.lit("."))) for k, v in lists.items()]
+    moved = same_multiset(F.col(f"{b}.chain"), F.col(f"{a}.chain")) & (F.col(f"{b}.chain") != F.col(f"{a}.chain"))
+    plain = F.when((now == "unknown") & F.coalesce(was != "unknown", F.lit(True)), EXPLANATIONS["unconfirmed"]).when(moved, EXPLANATIONS["order"]).otherwise(EXPLANATIONS["other"])
+    return F.coalesce(*listed, plain)
+
 
+def compare_routes(baseline: DataFrame, current: DataFrame, *by: str) -> DataFrame:
+    """route, change (added, removed, regression, improvement), from, to, explanation: one full outer join on the key.
 
-def compare_routes(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """route, change (added, removed, regression, improvement), from, to, explanation: one full outer join on the key."""
-    b, a = riskiest(baseline).alias("b"), riskiest(current).alias("a")
-    rows = b.join(a, F.col("b.route") == F.col("a.route"), "full_outer")
+    With `by` (module, target) keys meet only within it, and its columns come first.
+    """
+    side = lambda df, name: riskiest(df, *by).select(*by, "route", F.struct("auth", "chain").alias(name))
+    rows = side(baseline, "b").join(side(current, "a"), [*by, "route"], "full_outer")
     old, new = risk(F.col("b.auth.authStatus")), risk(F.col("a.auth.authStatus"))
-    change = F.when(F.col("b.route").isNull(), "added").when(F.col("a.route").isNull(), "removed").when(new > old, "regression").when(new < old, "improvement")
-    both = F.col("b.route").isNotNull() & F.col("a.route").isNotNull()
-    return rows.select(F.coalesce("a.route", "b.route").alias("route"), change.alias("change"), F.when(both, F.col("b.auth.authStatus")).alias("from"), F.when(both, F.col("a.auth.authStatus")).alias("to"), F.when(both, explanation("b", "a")).alias("explanation")).where("change is not null")
+    change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(new > old, "regression").when(new < old, "improvement")
+    both = F.col("b").isNotNull() & F.col("a").isNotNull()
+    return rows.select(*by, "route", change.alias("change"), F.when(both, F.col("b.auth.authStatus")).alias("from"), F.when(both, F.col("a.auth.authStatus")).alias("to"), F.when(both, explanation("b", "a")).alias("explanation")).where("change is not null")
 
 
 def compare_findings(baseline: DataFrame, current: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.globs import any_glob
 from ..functions.symbols import valid_target_name
+from .classify import findings_of
+from .compare import compare_routes
 
 COUNTS = ("routes", "proven", "public", "unknown")
 
@@ -114,6 +116,21 @@ def fleet_delta(targets: DataFrame, modules: DataFrame) -> DataFrame:
     return rows.select("target", status.alias("status"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("added_routes", "removed_routes", "regressions", "improvements", "new_findings", "resolved_findings")))
 
 
+def compare(old: DataFrame, new: DataFrame, baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """fleet_delta() of two fleets: module rows (as for roll_up) and classified routes (with target, module_id) of each.
+
+    Route keys and findings meet within their module only; both sides are reduced to a row for each key first.
+    """
+    key = ["target", "module_id"]
+    counted = {"added": "added", "removed": "removed", "regression": "regressions", "improvement": "improvements"}
+    diff = compare_routes(baseline, current, *key).groupBy(*key).agg(*(F.count_if(F.col("change") == k).alias(v) for k, v in counted.items()))
+    both = old.select(key).join(new.select(key), key)
+    diff = both.join(diff, key, "left").na.fill(0, [*counted.values()])
+    prints = lambda routes, name: findings_of(routes, *key).select(*key, "fingerprint").distinct().withColumn(name, F.lit(1))
+    found = prints(baseline, "was").join(prints(current, "is_now"), [*key, "fingerprint"], "full_outer").groupBy(*key).agg(F.count_if(F.col("was").isNull()).alias("new"), F.count_if(F.col("is_now").isNull()).alias("resolved"))
+    return fleet_delta(target_delta(roll_up(old), roll_up(new)), module_delta(old, new, diff, found))
+
+
 def delta_summary(delta: DataFrame) -> DataFrame:
     """One row: targets by status and all sums; complete unless something could not be compared."""
     kinds = {"added_targets": "added-target", "removed_targets": "removed-target", "status_changes": "status-changed"}

@@ -1,8 +1,9 @@
 """Route evidence derived from the `events` table, so that engine and oracle start from the same facts.
 
-Rows with event_id % 7 = 0 are the current snapshot, those with 1 the baseline. The chain is a logger and, by
-event_id % 11, a guard, an opaque entry, a wrapper or an unconfigured symbol; every 13th route has a broken guard
-after it. Facts are projections of one scan; there is no shuffle.
+Every event is a route of the current snapshot (0) and of the baseline (1); what differs between them is its path and
+its chain. The chain is a logger and, by k and a remainder of event_id, a guard, an opaque entry, a wrapper or an
+unconfigured symbol; every 13th route has a broken guard after it. Facts are projections of one scan of all events;
+there is no shuffle.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ NOW = "2024-06-01 00:00:00"
 CONFIG = Config(
     guards={USER: Guard("analyze", ("user",), ("member",), ("read",), "bearer"), ADMIN: Guard("attested", ("admin", "user"), ("admin",), ("read", "write")), LEGACY: Guard(), UNUSED: Guard()},
     wrappers=(WRAP,),
-    accepted_public=("GET /api/v1/r3", "POST /api/v1/r5", "GET /nope"),
+    accepted_public=("GET /api/v1/r9", "POST /api/v1/r5", "GET /nope"),
     policies=(
         Policy("no-public-writes", Selector(method=("post", "PUT", "DELETE")), Requirement(status=("proven", "unknown")), (Exemption("migration", "2024-12-31", Selector(path=("/api/v1/r1*",))), Exemption("past", "2024-05-31", Selector(path=("/**",))))),
         Policy("logged-first", Selector(path=("/api/*/r?", "/api/**/r19"), package=("acme/auth",)), Requirement(middlewareOrder=(LOGGER, USER))),
@@ -32,8 +33,10 @@ METHOD = {"click": "GET", "view": "GET", "signup": "POST", "purchase": "PUT"}
 
 def facts(spark: SparkSession, sf_dir: str, snapshot: int = 0) -> DataFrame:
     """target, module_id and the ROUTE columns of one snapshot."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_id") % 7 == snapshot)
-    g, k = F.col("event_id") % 11, F.get_json_object("props", "$.k").cast("long")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k, i = F.get_json_object("props", "$.k").cast("long"), F.col("event_id")
+    g = (k % 20 + (i % 2 * 3 if snapshot else i % 3)) % 11
+    place = k % 20 + (F.when(i % 29 == 0, 40) if snapshot else F.when(i % 31 == 0, 20)).otherwise(0)
 
     def entry(symbol, ordering: int, opaque=None, wrapped=None):
         names = [f.split(" ")[0] for f in ("displayName", "canonicalSymbol")]
@@ -47,7 +50,7 @@ def facts(spark: SparkSession, sf_dir: str, snapshot: int = 0) -> DataFrame:
     symbol = F.when(g < 4, USER).when(g < 6, ADMIN).when(g == 6, LEGACY).when(g == 8, WRAP).when(g == 9, CHECK)
     chain = F.array(entry(F.lit(LOGGER), 0), F.when(g < 10, entry(symbol, 1, g == 7, g == 8)), F.when(F.col("event_id") % 13 == 0, entry(F.lit(LEGACY), 2)))
     method = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in METHOD.items() for x in kv)), F.col("event_type")), F.lit("DELETE"))
-    path = F.concat(F.lit("/api/v1/r"), (k % 20).cast("string"))
+    path = F.concat(F.lit("/api/v1/r"), place.cast("string"))
     return events.select(
         F.concat(F.lit("repo-"), (F.col("user_id") % 5).cast("string")).alias("target"), F.concat(F.lit("mod-"), (F.col("user_id") % 3).cast("string")).alias("module_id"),
         F.col("event_id").alias("ord"), method.alias("method"), path.alias("ginPath"), path.alias("normalizedPath"), F.lit("http").alias("surfaceKind"), F.lit("direct").alias("registrationKind"),

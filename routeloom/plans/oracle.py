@@ -7,12 +7,14 @@ from .adapter import ADMIN, CHECK, LEGACY, LOGGER, UNUSED, USER, WRAP
 
 def facts(snapshot: int, s: str = "") -> str:
     """CTEs e (routes), mw (chains), auth (classification) for one snapshot, named with suffix s."""
+    g = "(k % 20 + event_id % 2 * 3) % 11" if snapshot else "(k % 20 + event_id % 3) % 11"
+    place = "(k % 20 + CASE WHEN event_id % 29 = 0 THEN 40 ELSE 0 END)" if snapshot else "(k % 20 + CASE WHEN event_id % 31 = 0 THEN 20 ELSE 0 END)"
     return f"""
 e{s} AS (
-  SELECT event_id AS route_id, 'repo-' || (user_id % 5) AS target, 'mod-' || (user_id % 3) AS module_id, event_id % 11 AS g,
+  SELECT event_id AS route_id, user_id, 'repo-' || (user_id % 5) AS target, 'mod-' || (user_id % 3) AS module_id, {g} AS g,
     CASE event_type WHEN 'click' THEN 'GET' WHEN 'view' THEN 'GET' WHEN 'signup' THEN 'POST' WHEN 'purchase' THEN 'PUT' ELSE 'DELETE' END AS method,
-    '/api/v1/r' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 20) AS path, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
-  FROM events WHERE event_id % 7 = {snapshot}
+    '/api/v1/r' || {place} AS path, k
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
 ), mw{s} AS (
   SELECT route_id, 0 AS pos, '{LOGGER}' AS symbol, false AS opaque FROM e{s}
   UNION ALL
@@ -40,7 +42,7 @@ e{s} AS (
   LEFT JOIN gm{s} gm ON gm.route_id = e.route_id AND gm.pos = coalesce(p, c, u) LEFT JOIN cfg{s} cf ON cf.symbol = gm.symbol
 ), cls{s} AS (
   SELECT *, CASE WHEN sure THEN 'proven' WHEN basis = 'no-configured-guard-matched' THEN 'public' ELSE 'unknown' END AS status,
-    basis = 'no-configured-guard-matched' AND route IN ('GET /api/v1/r3', 'POST /api/v1/r5', 'GET /nope') AS accepted
+    basis = 'no-configured-guard-matched' AND route IN ('GET /api/v1/r9', 'POST /api/v1/r5', 'GET /nope') AS accepted
   FROM auth{s}
 ), fnd{s} AS (
   SELECT route_id, target, module_id, route, 'matched-but-unenforced' AS rule, 'high' AS severity FROM cls{s} JOIN gm{s} USING (route_id) WHERE gm{s}.shape = 'contradicted'
@@ -112,8 +114,7 @@ c2 AS (SELECT *, sha256(concat_ws(chr(0), symbol, route_count, total_routes, app
 
 SPECS = """
 sp AS (SELECT * FROM (VALUES ('s1', 'authored'), ('s2', 'generated'), ('s3', 'unknown')) s(spec_id, authorship)),
-ops0 AS (SELECT 's' || (i % 3 + 1) AS spec_id, CASE WHEN i % 2 = 0 THEN 'GET' ELSE 'POST' END || ' /api/v1/r' || i AS operation FROM range(0, 24) t(i)),
-ops AS (SELECT * FROM ops0 UNION ALL SELECT 's3', operation FROM ops0 WHERE spec_id = 's1'),
+ops AS (SELECT DISTINCT 's' || ((k % 25 + user_id % 2) % 3 + 1) AS spec_id, method || ' /api/v1/r' || (k % 25 + 2) AS operation FROM e),
 docs AS (SELECT operation, count(*) AS owners, bool_or(authorship = 'authored') AS authored, bool_or(authorship = 'unknown') AS unsure FROM ops JOIN sp USING (spec_id) GROUP BY 1),
 code AS (SELECT DISTINCT method || ' ' || path AS operation, true AS code FROM e),
 rec AS (SELECT operation, coalesce(code, false) AS in_code, owners IS NOT NULL AS in_docs, coalesce(owners, 0) AS owners, coalesce(code AND authored, false) AS covered,
@@ -179,7 +180,7 @@ def oracle_sql() -> dict[str, str]:
         "classify": now("SELECT route_id, target, method, path AS \"normalizedPath\", status AS \"authStatus\", basis AS \"classificationBasis\", assurance, coalesce(gshape, CASE WHEN basis LIKE 'unconf%' THEN 'confirmed-shape' END) AS \"enforcementAnalysis\", coalesce(guard, CASE WHEN basis LIKE 'unconf%' THEN '" + CHECK + "' END) AS \"matchedEvidence\", CASE WHEN status = 'unknown' THEN 'medium' ELSE 'high' END AS confidence, accepted, tags FROM cls"),
         "route_findings": now(f'SELECT route_id, rule AS "ruleId", severity, {FP} AS fingerprint, route FROM fnd'),
         "stale_config": now("SELECT symbol, 'stale-auth-config' AS \"ruleId\", 'medium' AS severity, sha256('stale-auth-config|' || symbol) AS fingerprint FROM cfg WHERE symbol NOT IN (SELECT symbol FROM mw WHERE symbol IS NOT NULL)"),
-        "stale_baseline": now("SELECT entry, 'stale-baseline' AS \"ruleId\", 'low' AS severity, sha256('stale-baseline|' || entry) AS fingerprint, CASE WHEN status IS NULL THEN 'missing' ELSE 'not public' END AS reason FROM (SELECT unnest(['GET /api/v1/r3', 'POST /api/v1/r5', 'GET /nope']) AS entry) x LEFT JOIN (SELECT route, arg_max(status, route_id) AS status FROM cls GROUP BY 1) y ON route = entry WHERE status IS NULL OR status <> 'public'"),
+        "stale_baseline": now("SELECT entry, 'stale-baseline' AS \"ruleId\", 'low' AS severity, sha256('stale-baseline|' || entry) AS fingerprint, CASE WHEN status IS NULL THEN 'missing' ELSE 'not public' END AS reason FROM (SELECT unnest(['GET /api/v1/r9', 'POST /api/v1/r5', 'GET /nope']) AS entry) x LEFT JOIN (SELECT route, arg_max(status, route_id) AS status FROM cls GROUP BY 1) y ON route = entry WHERE status IS NULL OR status <> 'public'"),
         "verb_gaps": now(", g AS (SELECT path, method, status, count(*) AS n FROM cls WHERE NOT accepted GROUP BY 1, 2, 3) SELECT path AS \"normalizedPath\", 'per-verb-gap' AS \"ruleId\", 'high' AS severity, sha256('per-verb-gap|' || path) AS fingerprint, string_agg(method || '=' || status, ', ' ORDER BY method, status) AS methods, CAST(sum(n) AS BIGINT) AS n_routes FROM g GROUP BY path HAVING count(DISTINCT status) >= 2"),
         "policy_evaluate": now(f", {VIOLATED} SELECT route_id, policy AS \"policyId\", route, sha256('policy-violation|' || policy || '|' || route) AS fingerprint FROM v"),
         "report_summary": now(f"SELECT target, count(*) AS routes, {count}, count(*) FILTER (accepted) AS accepted_public, count(*) FILTER (basis = 'configured-guard-attested') AS attested_unresolved FROM cls GROUP BY 1"),
@@ -213,7 +214,7 @@ def oracle_sql() -> dict[str, str]:
         "chain_events": """WITH k AS (SELECT user_id, event_id, CASE WHEN event_id % 10 = 0 THEN 'use' WHEN event_id % 97 = 0 THEN 'fallback' ELSE 'route' END AS kind, 'acme/mw.M' || (event_id % 7) AS symbol FROM events)
           SELECT event_id AS ord, coalesce(array_to_string(CASE WHEN kind = 'fallback' THEN list(symbol ORDER BY event_id) FILTER (kind = 'use') OVER (PARTITION BY user_id) ELSE list(symbol ORDER BY event_id) FILTER (kind = 'use') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END, ','), '') AS chain FROM k QUALIFY kind <> 'use'""",
         "report_order": now("SELECT target, row_number() OVER (PARTITION BY target ORDER BY method, path, route_id) - 1 AS at, route_id FROM e"),
-        "sarif_results": now(f"SELECT DISTINCT {FP} AS fingerprint, CASE severity WHEN 'high' THEN 1 ELSE 2 END AS severity_rank, CASE severity WHEN 'high' THEN 'error' ELSE 'warning' END AS level, rule FROM fnd"),
+        "sarif_results": now(f"SELECT {FP} AS fingerprint, CASE severity WHEN 'high' THEN 1 ELSE 2 END AS severity_rank, CASE severity WHEN 'high' THEN 'error' ELSE 'warning' END AS level, rule FROM fnd"),
         "markdown_lines": now("SELECT route_id, '| ' || method || ' | ' || path || ' | ' || status || ' | ' || (SELECT string_agg(coalesce(symbol, 'func literal'), ' → ' ORDER BY pos) FROM mw WHERE mw.route_id = cls.route_id) || ' |' AS line FROM cls"),
     }
     return out

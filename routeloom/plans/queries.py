@@ -10,7 +10,8 @@ from ..operators import candidates, compare, fleet, openapi, policy, specs, summ
 from ..operators import classify as c
 from ..operators.discovery import canonical_order, chains, expand
 from ..sinks import render
-from .adapter import CONFIG, NOW, SHAPES, facts
+from ..sinks.tables import written
+from .adapter import CONFIG, METHOD, NOW, SHAPES, facts
 
 
 def classified(spark: SparkSession, d: str, snapshot: int = 0) -> DataFrame:
@@ -91,14 +92,17 @@ def fleet_candidates(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("symbol", "route_count", "repo_count", "name_hint", "known_non_auth", "shape", F.array_join("repos", ",").alias("repos"), F.array_join("samples", ",").alias("samples"), F.col("rank").cast("long").alias("rank"))
 
 
-def spec_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+def spec_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Specifications that document other paths than the code has, some operations twice."""
     specs_ = spark.createDataFrame([("s1", "authored"), ("s2", "generated"), ("s3", "unknown")], "spec_id string, authorship string")
-    ops = spark.range(0, 24).select(F.concat(F.lit("s"), (F.col("id") % 3 + 1).cast("string")).alias("spec_id"), F.when(F.col("id") % 2 == 0, "GET").otherwise("post").alias("method"), F.concat(F.lit("/api/v1/r"), F.col("id").cast("string")).alias("path"))
-    return specs_, ops.union(ops.where("spec_id = 's1'").withColumn("spec_id", F.lit("s3")))
+    events = spark.read.parquet(f"{d}/events.parquet")
+    k, method = F.get_json_object("props", "$.k").cast("long") % 25, F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in METHOD.items() for x in kv)), F.col("event_type")), F.lit("DELETE"))
+    ops = events.select(F.concat(F.lit("s"), ((k + F.col("user_id") % 2) % 3 + 1).cast("string")).alias("spec_id"), F.when(k % 2 == 0, method).otherwise(F.lower(method)).alias("method"), F.concat(F.lit("/api/v1/r"), (k + 2).cast("string")).alias("path"))
+    return specs_, ops.distinct()
 
 
 def spec_reconcile(spark: SparkSession, d: str) -> DataFrame:
-    specs_, ops = spec_tables(spark)
+    specs_, ops = spec_tables(spark, d)
     return specs.reconcile(facts(spark, d), ops, specs_)
 
 
@@ -106,15 +110,15 @@ def spec_coverage(spark: SparkSession, d: str) -> DataFrame:
     return specs.documentation(spec_reconcile(spark, d))
 
 
-def module_rows(spark: SparkSession, d: str, snapshot: int = 0) -> DataFrame:
-    rows = summary.summary(classified(spark, d, snapshot), "target", "module_id")
+def module_rows(routes: DataFrame, snapshot: int = 0) -> DataFrame:
+    rows = summary.summary(routes, "target", "module_id")
     failed = F.concat("target", "module_id") == ("repo-1mod-2" if snapshot == 0 else "repo-2mod-0")
     late = F.concat("target", "module_id") == "repo-3mod-1"
     return rows.select("target", "module_id", F.when(F.col("module_id") == "mod-2", "go-module").otherwise("gin-application").alias("kind"), F.when(failed, "failed").otherwise("ok").alias("status"), (~late).alias("complete"), "routes", "proven", "public", "unknown")
 
 
 def fleet_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return fleet.roll_up(module_rows(spark, d))
+    return fleet.roll_up(module_rows(classified(spark, d)))
 
 
 def fleet_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -122,19 +126,10 @@ def fleet_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fleet_delta(spark: SparkSession, d: str) -> DataFrame:
-    old, new = module_rows(spark, d, 1), module_rows(spark, d).where("target <> 'repo-4' or module_id <> 'mod-1'")
-    targets = fleet.target_delta(fleet.roll_up(old), fleet.roll_up(new))
-    key = ["target", "module_id"]
-    # Keys of different modules don't meet: the module becomes part of the path for the comparison.
-    within = lambda df: df.withColumn("normalizedPath", F.concat("target", F.lit("|"), "module_id", F.lit("|"), "normalizedPath"))
-    diff = compare.compare_routes(within(classified(spark, d, 1)), within(classified(spark, d)))
-    place = F.split(F.regexp_extract("route", "^[^ ]+ (.*)$", 1), r"\|")
-    diff = diff.select(place[0].alias("target"), place[1].alias("module_id"), "change").groupBy(*key).agg(*(F.count_if(F.col("change") == k).alias(v) for k, v in (("added", "added"), ("removed", "removed"), ("regression", "regressions"), ("improvement", "improvements"))))
-    both = old.select(key).join(new.select(key), key)
-    diff = both.join(diff, key, "left").na.fill(0, ["added", "removed", "regressions", "improvements"])
-    prints = lambda s: c.findings_of(classified(spark, d, s), *key).select(*key, "fingerprint").distinct().withColumn(f"s{s}", F.lit(1))
-    found = prints(1).join(prints(0), [*key, "fingerprint"], "full_outer").groupBy(*key).agg(F.count_if(F.col("s1").isNull()).alias("new"), F.count_if(F.col("s0").isNull()).alias("resolved"))
-    return fleet.fleet_delta(targets, fleet.module_delta(old, new, diff, found))
+    """Each snapshot is classified and written once; what is read again are its columns for counts, keys and findings."""
+    before, now = (written(classified(spark, d, s).select("target", "module_id", "ord", "method", "normalizedPath", "middleware", "source", "auth", "route_findings"), f"snapshot-{s}") for s in (1, 0))
+    old, new = module_rows(before, 1), module_rows(now).where("target <> 'repo-4' or module_id <> 'mod-1'")
+    return fleet.compare(old, new, before, now)
 
 
 def repo_listing(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +184,7 @@ def report_order(spark: SparkSession, d: str) -> DataFrame:
 
 def sarif_results(spark: SparkSession, d: str) -> DataFrame:
     rows = render.sarif_results(c.findings_of(classified(spark, d)))
-    return rows.select("at.fingerprint", F.col("at.severity").cast("long").alias("severity_rank"), F.get_json_object("result", "$.level").alias("level"), F.get_json_object("result", "$.ruleId").alias("rule")).distinct()
+    return rows.select("at.fingerprint", F.col("at.severity").cast("long").alias("severity_rank"), F.get_json_object("result", "$.level").alias("level"), F.get_json_object("result", "$.ruleId").alias("rule"))
 
 
 def markdown_lines(spark: SparkSession, d: str) -> DataFrame:
