@@ -37,6 +37,7 @@ WIDTH, SMALL = 48, 96  # neighbours that meet in a large region; regions up to t
 MAYBE, LIKELY = 34, 52  # of 64 sketch bytes: four standard errors below 0.75, one above it
 HOT = 4096  # rows of a region beyond which it is cut into ranges over several tasks
 SUMS = 16  # words of 64 bit sums of a set: the parity of the shingles that fall on each bit
+FREQUENT = 1 << 14  # shingles whose number of texts orders them; others come before these
 SETS = "doc_id long, n_shingles long, class binary, signature binary, sketch binary"
 PAIRS = "a long, b long"
 FOUND = "x long, hub long, tries array<long>, partners array<long>"
@@ -231,38 +232,64 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
 
 
+def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, texts that have them) of the `FREQUENT` most frequent ones, in order of the shingles.
+
+    A task counts what it reads before anything is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets_ = [shingles(words_of(t)).view(np.int64) for t in b.column(0).to_pylist()]
+            s, n = np.unique(np.concatenate([*sets_, np.array([], np.int64)]), return_counts=True)
+            yield pa.record_batch([pa.array(s), pa.array(n.astype(np.int64))], names=["s", "n"])
+
+    counts = texts.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > SMALL)
+    top = sorted((r["s"], r["n"]) for r in counts.orderBy(F.desc("n"), "s").limit(FREQUENT).collect())
+    return np.array([s for s, _ in top], np.int64), np.array([n for _, n in top], np.int64)
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """The bit sums of a set: the parity of its shingles on each of 64 * SUMS bits."""
+    place = (s >> np.uint64(64 - 6 - SUMS.bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(place, minlength=64 * SUMS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def across(crowd: DataFrame, texts: DataFrame, groups: DataFrame) -> DataFrame:
     """All pairs (x, y) of texts of `crowd` in different components of `groups` whose full sets may be similar enough.
 
-    A prefix filter with sizes and places, which loses no pair: sets are in one order of all shingles, and a pair's
-    first common shingle is early in both. Shingles of one component only come first in that order and join nothing,
-    the others follow from rare to common. Where the bit sums of two sets differ the sets do, so the bits that differ
-    and the shingles of one component only are a lower bound of what two texts don't share.
+    A prefix filter with sizes and places, which loses no pair: sets are in one order of all shingles, in which the
+    most frequent come last by their number, and a pair's first common shingle is early in both. Where the bit sums
+    of two sets differ the sets do, so the bits that differ are a lower bound of what two texts don't share. Of two
+    texts in different components one isn't in the lowest component that has their shingle; only such ones ask, so a
+    group that is one component already asks nothing.
     """
+    often, many = frequent(texts.join(crowd.hint("merge"), "doc_id", "left_semi"))
+    shared = texts.sparkSession.sparkContext.broadcast((often, many))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, many = shared.value
         for b in batches:
-            for i, c, t, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                s = shingles(words_of(text)).view(np.int64)
-                yield pa.record_batch([pa.array(np.full(len(s), v), pa.int64()) for v in (i, c, t, len(s))] + [pa.array(s)], names=["id", "c", "t", "n", "s"])
+            for i, c, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                s = shingles(words_of(text))
+                n, own = len(s), s.view(np.int64)
+                at = np.minimum(np.searchsorted(often, own), max(0, len(often) - 1))
+                weight = np.where(often[at] == own, many[at], 0) if len(often) else np.zeros(n, np.int64)
+                early = np.lexsort((own, weight))[: n - -(-PERCENT * n // 100) + 1]
+                m, sums = len(early), parities(s)
+                yield pa.record_batch([pa.array(own[early]), *(pa.array(np.full(m, v), pa.int64()) for v in (i, c, n)), pa.array(np.arange(1, m + 1)), pa.ListArray.from_arrays(np.arange(0, SUMS * m + 1, SUMS, dtype=np.int32), np.tile(sums, m))], names=["s", "id", "c", "n", "place", "sums"])
 
     own = texts.join(crowd.hint("merge"), "doc_id", "left_semi").join(groups.select(F.col("id").alias("doc_id"), "component").hint("merge"), "doc_id", "left")
-    own = own.select("doc_id", F.coalesce("component", "doc_id").alias("c"), F.xxhash64("text").alias("t"), "text")
-    items = stored(own.mapInArrow(run, "id long, c long, t long, n long, s long"), "shingles")
-    useful = items.groupBy("s").agg(F.count(F.lit(1)).alias("many"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s", "many")
-    ranked = items.join(useful.hint("merge"), "s").groupBy("id", "c", "t", "n").agg(F.sort_array(F.collect_list(F.struct("many", "s"))).alias("own"))
-    parity = lambda w: F.aggregate("own", F.lit(0).cast("long"), lambda z, e: z.bitwiseXOR(F.when(F.shiftrightunsigned(e["s"], 6).bitwiseAND(F.lit(SUMS - 1)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), e["s"].bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))))
-    ranked = ranked.withColumn("sums", F.transform(F.sequence(F.lit(0), F.lit(SUMS - 1)), parity))
-    early = ranked.withColumn("before", F.expr("n - size(own)")).withColumn("early", F.expr(f"slice(own, 1, cast(greatest(0, n - ({PERCENT} * n + 99) div 100 + 1 - before) as int))"))
-    probes = stored(early.select("id", "c", "n", "before", "sums", F.posexplode("early").alias("p", "e")).selectExpr("e.s", "id", "c", "n", "before", "before + 1 + p place", "sums"), "prefixes")
-    x = probes.selectExpr("s", "id x", "c cx", "n nx", "place px", "before bx", "sums ux")
-    least = f"({2 * PERCENT} * ny + {100 + PERCENT - 1}) div {100 + PERCENT}"  # common shingles of two sets, the smaller of ny
-    y = probes.selectExpr("s", "id y", "c cy", "n ny", "place py", "before by_", "sums uy").where(f"py <= ny - {least} + 1")
-    may = f"cx <> cy and nx >= ny and 100 * ny >= {PERCENT} * nx and {100 + PERCENT} * (1 + least(nx - px, ny - py)) >= {PERCENT} * (nx + ny)"
+    own = own.select("doc_id", F.coalesce("component", "doc_id").alias("c"), "text")
+    probes = stored(own.mapInArrow(run, "s long, id long, c long, n long, place long, sums array<long>"), "prefixes")
+    lowest = probes.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s", "low")
+    x = probes.join(lowest.hint("merge"), "s").where("c <> low").selectExpr("s", "low", "id x", "c cx", "n nx", "place px", "sums ux")
+    y = probes.selectExpr("s", "id y", "c cy", "n ny", "place py", "sums uy")
     differ = " + ".join(f"bit_count(ux[{k}] ^ uy[{k}])" for k in range(SUMS))
-    may += f" and {100 + PERCENT} * (bx + by_ + {differ}) <= {100 - PERCENT} * (nx + ny)"
+    may = f"cx <> cy and (cy = low or x < y) and 100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny) and {100 + PERCENT} * (1 + least(nx - px, ny - py)) >= {PERCENT} * (nx + ny) and {100 + PERCENT} * ({differ}) <= {100 - PERCENT} * (nx + ny)"
     out = stored(ordered(x.join(y.hint("merge"), "s").where(may)), "across")
-    release(items, probes)
+    release(probes)
     return out
 
 
