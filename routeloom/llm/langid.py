@@ -27,22 +27,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def buckets(text: str) -> np.ndarray:
-    """Bucket of every n-gram; the ends of a text look like spaces."""
-    codes = np.frombuffer(f"  {text.lower()}  ".encode("utf-32-le", "replace"), "<u4")
+def cut(text: str) -> list[str]:
+    """A text, lower-cased and with spaces at its ends, in pieces: memory doesn't follow its length.
+
+    Pieces overlap by the rest of an n-gram that begins at the last place of the one before, so none is lost or new.
+    """
+    padded = f"  {text.lower()}  "
+    return [padded[i : i + PIECE + GRAMS - 1] for i in range(0, len(padded), PIECE)]
+
+
+def buckets(piece: str) -> np.ndarray:
+    """Bucket of every n-gram that begins in the first `PIECE` places of a piece."""
+    codes = np.frombuffer(piece.encode("utf-32-le", "replace"), "<u4")
     codes = np.where(codes < 256, PLAIN[np.minimum(codes, 255)], codes).astype(np.uint32)
     grams, out = np.zeros(len(codes), np.uint32), []
     for n in range(GRAMS):
-        grams = (grams[: len(codes) - n] * np.uint32(0x01000193)) ^ codes[n:]
-        out.append(((grams + np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(17))
+        if n < len(codes):
+            grams = (grams[: len(codes) - n] * np.uint32(0x01000193)) ^ codes[n:]
+            out.append(((grams[:PIECE] + np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(17))
     return np.concatenate(out)
 
 
-def cut(text: str) -> list[str]:
-    """Long texts in pieces, so memory doesn't follow a text's length (n-grams over a cut see a space)."""
-    return [text[i : i + PIECE] for i in range(0, len(text), PIECE)] or [""]
-
-
 def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities by bucket) from `docs` (doc_id, text, lang) outside the test fold.
 
@@ -77,7 +82,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of `docs` (doc_id, text).
 
     `und` with score 0 where a text is null or has no letter, or nothing was learned. The score is the posterior of
-    the predicted language with equal priors; ties go to the first in order. Repeated rows give repeated rows.
+    the predicted language with equal priors; ties go to the first in order. Repeated rows give repeated rows; other
+    columns are not read. Texts of any length are scored whole, a piece of 2^18 code points at a time.
     """
     langs, matrix = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, matrix.astype(np.float32)))  # 128 KB a language
@@ -100,7 +106,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                     for piece in cut(texts[some[0]]):
                         sums[0] += logs[buckets(piece)].sum(axis=0, dtype=np.float64)
                 else:
-                    grams = [buckets(texts[i]) for i in some]
+                    grams = [np.concatenate([*map(buckets, cut(texts[i]))]) for i in some]
                     starts = np.concatenate([[0], np.cumsum([len(g) for g in grams])[:-1]]).astype(np.int64)
                     sums += np.add.reduceat(logs[np.concatenate(grams)], starts, axis=0, dtype=np.float64)
                 odds = np.exp(sums - sums.max(axis=1, keepdims=True))

@@ -2,8 +2,9 @@
 
 A text and a template are aligned on the words that both have exactly once: of these the longest increasing
 subsequence are anchors, anchors grow over equal words on either side, and the gaps between them are aligned
-again in the same way. Coverage is the share of the template's words that are aligned. Long texts are aligned
-window by window (twice the template's length, half overlapping), where the words there allow enough coverage.
+again in the same way. Coverage is the share of the template's words that are aligned. A licence may be spread over
+`SPAN` times the template's length; long texts are aligned window by window, where the words there allow enough
+coverage.
 """
 
 from __future__ import annotations
@@ -62,6 +63,7 @@ TEMPLATES = {
     **TEXTS,
 }
 COVERAGE = 0.8
+SPAN = 4  # template lengths that a licence may take up in a text
 SHORT, NOTICE = 20, 200  # words: shorter templates must occur whole; those between the two must agree in the telling words
 VERSION = frozenset(b"%d" % i for i in range(10))
 FAMILY = frozenset([b"lesser", b"affero"])
@@ -120,14 +122,19 @@ def align(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def best(text: list[bytes], template: list[bytes], least: float) -> list[tuple[int, int]]:
-    """The alignment that covers most of the template, at its first place; [] below `least`."""
+def best(text: list[bytes], template: list[bytes], least: float, span: int = SPAN) -> list[tuple[int, int]]:
+    """The alignment that covers most of the template, at its first place; [] below `least`.
+
+    Windows of twice `span` template lengths overlap by half, so an alignment over `span` lengths lies in one whole.
+    Where a window's alignment is too small, perhaps because copies hide each other's words, its parts are aligned.
+    """
     need, known, m, top = least * len(template), set(template), len(template), []
     at = [i for i, w in enumerate(text) if w in known]
     if len(at) < need:
         return top
-    starts = sorted({max(0, i // m * m - k * m) for i in at for k in (0, 1)})
-    todo = [(s, min(len(text), s + 2 * m)) for s in reversed(starts)]
+    step = span * m
+    starts = sorted({max(0, i // step * step - k * step) for i in at for k in (0, 1)})
+    todo = [(s, min(len(text), s + 2 * step)) for s in reversed(starts)]
     want = Counter(template)
     while todo:
         lo, hi = todo.pop()
@@ -137,9 +144,9 @@ def best(text: list[bytes], template: list[bytes], least: float) -> list[tuple[i
         found = align(part, template)
         if len(found) > max(len(top), need - 1e-9):
             top = [(lo + i, j) for i, j in found]
-        elif len(found) < need and hi - lo > m:  # perhaps two copies hide each other's words
-            step = max(1, (hi - lo - m) // 2)
-            todo += [(s, s + m) for s in range(lo, hi - m + 1, step)]
+        elif len(found) < need and hi - lo > m:
+            size = max(m, (hi - lo) // 2)
+            todo += [(s, s + size) for s in range(hi - size, lo - 1, -max(1, size // 2))]
     return top
 
 
@@ -168,7 +175,8 @@ def outer(hits: list[tuple]) -> list[tuple]:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = COVERAGE) -> DataFrame:
     """For each row of `docs` (doc_id, text): its best licence (null: none), coverage, place, and all that reach `least`.
 
-    Ties go to the template named first. Null and empty texts have no licence; repeated rows give repeated rows.
+    Ties go to the template named first. Null and empty texts have no licence; repeated rows give repeated rows; other
+    columns are not read. Whole texts of any length are scanned, window by window.
     A template is skipped only where its words in the text can't reach `least`. Templates under `SHORT` words must
     occur whole, notices that name a version must agree in it, and a hit inside a larger one of another licence is
     part of that. No shuffle.

@@ -1,12 +1,14 @@
 """Mixing documents to target weights of domains, with soft membership.
 
 A classifier learned from a table of labelled documents (multinomial naive Bayes over hashed words) gives each
-document a posterior over domains. Nonnegative rates, one a document, are then fitted so that the expected tokens
-of each domain match the targets: least squares by projected gradient. The residual has one number a domain; a
-step moves every rate by the posterior times the residual (scaled by the inverse of the domains' second moments)
-and cuts it at zero. Rates are a function of the posterior and the residuals so far, so tokens are added up by
-posterior once, a step is one scan of these sums that gives as many numbers as there are domains, and nothing of a
-document ever leaves the executors.
+document a posterior over domains. Naive Bayes is too sure of itself, as words aren't independent; so log
+likelihoods are divided by a power of the number of words and scaled, both chosen by the likelihood of labelled
+documents that were held out. Nonnegative rates, one a document, are then fitted so that the expected tokens of each
+domain match the targets: least squares by projected gradient. The residual has one number a domain; a step moves
+every rate by the posterior times the residual (scaled by the inverse of the domains' second moments) and cuts it at
+zero. Rates are a function of the posterior, rounded to a cell of a grid, and the residuals so far; expected tokens
+are added up by cell from the exact posteriors once, a step is one scan of these sums that gives as many numbers as
+there are domains, and nothing of a document ever leaves the executors.
 
 DataFrame functions only; the driver solves systems of the size of the number of domains.
 """
@@ -22,8 +24,12 @@ from pyspark.sql import functions as F
 from .common import release, stored
 
 BUCKETS = 1 << 13
-GRID = 1024.0  # posteriors are multiples of one in so many
+GRID = 1024  # cells of posteriors: rates are alike where these round alike
 SAMPLE = 20_000  # labelled documents to learn from at most, about; chosen by a hash of doc_id
+HELD = 5  # one labelled document in so many is held out, for calibration
+POWERS, SCALES = (0.0, 0.5, 1.0), tuple(2.0**k for k in range(-8, 11))  # what calibration chooses from
+#: Letters, digits and other signs as byte-pair vocabularies cut them first: what is counted as a token.
+TOKEN = r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
 def words_of(text: Column) -> Column:
@@ -39,14 +45,20 @@ def constants(values: list[float]) -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
-def learn(labelled: DataFrame, domains: list[str], sample: int = SAMPLE) -> list[list[float]]:
-    """Log probabilities by domain and bucket, prior added in a last place, from `labelled` (doc_id, text, domain).
-
-    To the driver come buckets times domains counts at most. A domain without documents has prior one.
-    """
+def sampled(labelled: DataFrame, domains: list[str], sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
+    """(to learn from, held out) of `labelled` (doc_id, text, domain); about `sample` rows at most, by a hash of doc_id."""
     labelled = labelled.where(F.col("domain").isin(domains) & F.col("text").isNotNull())
     if (classes := -(-labelled.select("doc_id").count() // sample)) > 1:
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(classes)) == 0)
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(HELD)) == 0
+    return labelled.where(~fold), labelled.where(fold)
+
+
+def learn(labelled: DataFrame, domains: list[str]) -> list[list[float]]:
+    """Log probabilities by domain and bucket, prior added in a last place, from `labelled` (text, domain).
+
+    To the driver come buckets times domains counts at most. A domain without documents has prior one.
+    """
     words = labelled.select("domain", F.explode(F.array_distinct(F.transform(words_of(F.col("text")), bucket))).alias("bucket"))
     docs = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = {d: [0.5] * BUCKETS for d in domains}
@@ -56,92 +68,141 @@ def learn(labelled: DataFrame, domains: list[str], sample: int = SAMPLE) -> list
     return [[math.log(c / sums[d]) for c in counts[d]] + [math.log((docs.get(d, 0) + 1) / total)] for d in domains]
 
 
-def posteriors(docs: DataFrame, logs: list[list[float]]) -> DataFrame:
-    """`docs` with n_tokens (words) and p (array, a posterior for each domain) in place of text.
+def scored(docs: DataFrame, logs: list[list[float]]) -> DataFrame:
+    """`docs` with n_tokens, n_buckets and scores (log likelihood by domain) in place of text; a text counts each bucket once."""
+    rows = docs.withColumns({"n_tokens": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TOKEN)).cast("long"), "buckets": F.array_distinct(F.transform(words_of(F.col("text")), bucket))}).drop("text")
 
-    A text counts each of its buckets once. Texts without words have the prior. Posteriors are rounded to a grid, so
-    that documents of equal posteriors, and so of equal rates, can be added up.
-    """
-    rows = docs.withColumn("words", words_of(F.col("text"))).withColumn("n_tokens", F.size("words").cast("long"))
-    rows = rows.withColumn("buckets", F.array_distinct(F.transform("words", bucket))).drop("words", "text")
     def score(own: list[float]) -> Column:
         table = constants(own[:-1])
-        return F.aggregate("buckets", F.lit(own[-1]), lambda a, i: a + F.element_at(table, i + 1))
+        return F.aggregate("buckets", F.lit(0.0), lambda a, i: a + F.element_at(table, i + 1))
+
+    return rows.withColumn("n_buckets", F.size("buckets")).withColumn("scores", F.array(*map(score, logs))).drop("buckets")
+
+
+def weighed(logs: list[list[float]], power: float, scale: float) -> Column:
+    """Log posterior by domain, up to a constant, from scores and n_buckets."""
+    own = F.lit(scale) / F.pow(F.greatest("n_buckets", F.lit(1)).cast("double"), F.lit(power))
+    return F.array(*(F.col("scores")[k] * own + F.lit(prior[-1]) for k, prior in enumerate(logs)))
+
+
+def calibrate(held: DataFrame, domains: list[str], logs: list[list[float]]) -> tuple[float, float]:
+    """(power, scale) under which the domains of `held` (text, domain) are likeliest; (0, 1), plain naive Bayes, without rows."""
+    choices = [(p, s) for p in POWERS for s in SCALES]
+    rows = stored(scored(held.select("text", "domain"), logs).where("n_buckets > 0"), "held")
+    at = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("int")
+
+    def loss(power: float, scale: float) -> Column:
+        z = weighed(logs, power, scale)
+        return F.sum(F.array_max(z) + F.log(F.aggregate(F.transform(z, lambda x: F.exp(F.greatest(x - F.array_max(z), F.lit(-700.0)))), F.lit(0.0), lambda a, x: a + x)) - F.element_at(z, at))
+
+    losses = rows.agg(*(loss(*c) for c in choices)).first()
+    release(rows)
+    return min(zip(losses, choices, strict=True))[1] if losses[0] is not None else (0.0, 1.0)
 
-    rows = rows.withColumn("scores", F.array(*map(score, logs)))
-    odds = F.transform("scores", lambda s: F.exp(F.greatest(s - F.array_max("scores"), F.lit(-700.0))))
-    rows = rows.withColumn("odds", odds)
-    whole = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
-    rows = rows.withColumn("p", F.transform("odds", lambda o: F.floor(GRID * o / whole) / GRID))
-    rest = 1.0 - F.aggregate("p", F.lit(0.0), lambda a, x: a + x)  # goes to the likeliest
-    best = F.array_position("odds", F.array_max("odds")) - 1
-    return rows.withColumn("p", F.transform("p", lambda x, i: x + F.when(i == best, rest).otherwise(0.0))).drop("scores", "odds", "buckets")
 
+def posteriors(docs: DataFrame, logs: list[list[float]], power: float = 0.0, scale: float = 1.0) -> DataFrame:
+    """`docs` with n_tokens, p (array, a posterior for each domain) and cell (p in multiples of 1 / GRID) in place of text.
 
-def dot(p: Column, v: list[float]) -> Column:
-    return sum((p[k] * F.lit(float(x)) for k, x in enumerate(v)), F.lit(0.0))
+    Texts without words have the prior.
+    """
+    rows = scored(docs, logs).withColumn("z", weighed(logs, power, scale))
+    rows = rows.withColumn("odds", F.transform("z", lambda z: F.exp(F.greatest(z - F.array_max("z"), F.lit(-700.0)))))
+    rows = rows.withColumn("whole_odds", F.aggregate("odds", F.lit(0.0), lambda a, x: a + x))
+    rows = rows.withColumn("p", F.transform("odds", lambda o: o / F.col("whole_odds")))
+    return rows.withColumn("cell", F.transform("p", lambda x: F.round(x * GRID).cast("int"))).drop("scores", "n_buckets", "z", "odds", "whole_odds")
 
 
-def fit_rates(rows: DataFrame, weights: list[float], least: float = 0.0, steps: int = 25, tolerance: float = 1e-6, anchor: int | None = None) -> Column:
-    """The rate of a row of `rows` (n_tokens, p) as a column, so that expected tokens by domain match `weights`.
+def fit_rates(rows: DataFrame, weights: list[float], growth: float = 1.0, anchor: int | None = None, steps: int = 100, tolerance: float = 1e-6) -> tuple[Column, float]:
+    """(rate of a row as a column, residual) of `rows` (n_tokens, p, cell), so that expected tokens by domain match `weights`.
 
-    Weights are scaled to add up to one. Without tokens every rate is one. Rates start at one and never fall below
-    `least`; where the targets can't be met the fit is the nearest. The total stays what it is, or, with `anchor`,
-    all rates are scaled alike so that a document surely of that domain has rate one.
+    Weights are scaled to add up to one. Without tokens every rate is one. Rates start at `growth`, and the expected
+    tokens of all rows shall be so many times what they are. No rate falls below zero; with `anchor`, none of a row
+    whose likeliest domain that is falls below one, so none of them is lost. The residual is the largest difference
+    between a domain's share and its weight after the last step; where the targets can't be met the fit is the nearest
+    that the steps reach.
     """
     k, tokens = len(weights), F.col("n_tokens").cast("double")
-    rows = stored(rows.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")), "cells")  # a rate depends on p alone
-    sums = rows.agg(F.coalesce(F.sum(tokens), F.lit(0.0)), *(F.coalesce(F.sum(tokens * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)) for i in range(k) for j in range(k))).first()
-    if not sums[0]:
-        release(rows)
-        return F.lit(1.0)
-    total, target = sums[0], np.array(weights) / sum(weights)
-    scale = np.linalg.pinv(np.array(sums[1:]).reshape(k, k) / total, rcond=1e-9)
-    rate, history = F.lit(1.0), []
-    for _ in range(steps):
-        share = np.array(rows.agg(*(F.sum(rate * tokens * F.col("p")[i]) for i in range(k))).first(), float) / total
-        if np.abs(share - target).max() < tolerance:
+    names = [f"e{i}" for i in range(k)]
+    cells = stored(rows.groupBy("cell").agg(*(F.sum(tokens * F.col("p")[i]).alias(e) for i, e in enumerate(names))), "cells")  # a rate depends on the cell alone
+    at = [F.col("cell")[i] / F.lit(float(GRID)) for i in range(k)]
+    sums = cells.agg(*(F.coalesce(F.sum(e), F.lit(0.0)) for e in names), *(F.coalesce(F.sum(F.col(e) * x), F.lit(0.0)) for e in names for x in at)).first()
+    total, target = sum(sums[:k]), np.array(weights) / sum(weights)
+    if not total:
+        release(cells)
+        return F.lit(1.0), 0.0
+    scale = np.linalg.pinv(np.array(sums[k:]).reshape(k, k) / total, rcond=1e-9)
+    likeliest = F.array_position("cell", F.array_max("cell")) - 1
+    least = F.when(likeliest == anchor, 1.0).otherwise(0.0) if anchor is not None else F.lit(0.0)
+    rate, history = F.lit(float(growth)), []
+    while True:
+        share = np.array(cells.agg(*(F.sum(rate * F.col(e)) for e in names)).first(), float) / (growth * total)
+        residual = float(np.abs(share - target).max())
+        if residual < tolerance or len(history) == steps:
             break
-        history.append([float(x) for x in scale @ (share - target)])
+        history.append([float(x) for x in scale @ (share - target) * growth])
         moves = F.array(*(F.array(*map(F.lit, v)) for v in history))
-        rate = F.aggregate(moves, F.lit(1.0), lambda r, v: F.greatest(F.lit(float(least)), r - sum((F.col("p")[i] * v[i] for i in range(k)), F.lit(0.0))))
-    release(rows)
-    if anchor is not None:
-        sure = 1.0
-        for v in history:
-            sure = max(least, sure - v[anchor])
-        rate = rate / F.lit(sure) if sure > 0 else rate
-    return rate
+        rate = F.aggregate(moves, F.lit(float(growth)), lambda r, v: F.greatest(least, r - sum((at[i] * v[i] for i in range(k)), F.lit(0.0))))
+    release(cells)
+    return rate, residual
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, anchor: str | None = None, seed: int = 0) -> DataFrame:
-    """doc_id, row_tie, n_tokens, p, rate, copies for each row of `docs` (doc_id, text).
+def model(labelled: DataFrame, domains: list[str]) -> tuple[list[list[float]], float, float]:
+    """(log probabilities, power, scale) from `labelled` (doc_id, text, domain)."""
+    some, held = sampled(labelled, domains)
+    logs = learn(some, domains)
+    return logs, *calibrate(held, domains, logs)
+
+
+def copied(rows: DataFrame, rate: Column, seed: int) -> DataFrame:
+    """`rows` (doc_id, row_tie, cell) with rate and copies."""
+    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "row_tie"), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.withColumn("rate", rate)
+    return rows.withColumn("copies", (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row_tie"))
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], growth: float = 1.0, anchor: str | None = None, seed: int = 0) -> DataFrame:
+    """doc_id, row_tie, n_tokens, p, cell, rate, copies, residual for each row of `docs` (doc_id, text).
 
     copies: the rate's whole part, and one more where a hash of doc_id and text falls below its fraction, so rows
-    are decided alone and always alike. Repeated rows get the same copies. Null texts have no tokens.
+    are decided alone and always alike. Repeated rows get the same copies. Null and empty texts have no tokens and
+    the prior. residual is that of the fit. Tokens are letters' and signs' runs and single digits, as byte-pair
+    vocabularies cut them first. Other columns of `docs` are not read; texts of any length are read whole.
     """
     domains = sorted(targets)
-    logs = learn(labelled, domains)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row_tie"))
-    rows = stored(posteriors(rows, logs), "posteriors")
-    rate = fit_rates(rows, [targets[d] for d in domains], least, anchor=domains.index(anchor) if anchor else None)
-    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "row_tie"), F.lit(1 << 30)) / float(1 << 30)
-    return rows.withColumn("rate", rate).withColumn("copies", (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
+    logs, power, scale = model(labelled, domains)
+    rows = stored(posteriors(keyed(docs), logs, power, scale), "posteriors")
+    rate, residual = fit_rates(rows, [targets[d] for d in domains], growth, domains.index(anchor) if anchor else None)
+    return copied(rows, rate, seed).withColumn("residual", F.lit(residual))
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, domain (toxic, low, high) of documents that `labels` (doc_id, quality, toxic) covers; nulls don't label."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "high")
-    known = labels.select("doc_id", domain.alias("domain")).where("domain is not null and doc_id is not null").dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", domain.alias("domain")).where("domain is not null and doc_id is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     return docs.select("doc_id", "text").join(known, "doc_id")
 
 
-#: Shares of tokens that the training mix should have, and the domain whose documents are taken once.
-TARGETS, ANCHOR = {"high": 0.95, "low": 0.01, "toxic": 0.04}, "high"
+#: Shares of expected tokens that the training mix should have, the domain whose documents are all taken, and how much
+#: of the corpus the mix should be.
+TARGETS, ANCHOR, GROWTH = {"high": 0.85, "low": 0.07, "toxic": 0.08}, "high", 1.25
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The rows of `docs`, with all columns, as often as their copies say."""
-    copies = mix(docs, labelled_documents(docs, labels), targets, anchor=ANCHOR).select(F.col("doc_id").alias("key_id"), F.col("row_tie").alias("key_tie"), "copies").dropDuplicates(["key_id", "key_tie"])
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("key_id")) & (F.xxhash64("text") == F.col("key_tie"))
-    return docs.join(copies.where("copies > 0"), same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, seed: int = 0) -> DataFrame:
+    """The rows of `docs`, with all columns whatever their names, as often as their copies say.
+
+    Null and empty texts, repeated rows and null doc_ids as in mix(); no rows give no rows. Posteriors are computed
+    again with the rows, so no text is shuffled.
+    """
+    domains = sorted(targets)
+    logs, power, scale = model(labelled_documents(docs, labels), domains)
+    cells = stored(posteriors(keyed(docs), logs, power, scale).select("n_tokens", "p", "cell"), "posteriors")
+    rate, _ = fit_rates(cells, [targets[d] for d in domains], GROWTH, domains.index(ANCHOR) if ANCHOR in domains else None)
+    release(cells)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rows = docs.select(whole, F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row_tie"))
+    rows = copied(posteriors(rows, logs, power, scale), rate, seed).where("copies > 0")
+    return rows.select("whole", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("whole.*")

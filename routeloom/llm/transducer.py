@@ -7,10 +7,12 @@ reads one byte letter and is annotated with the change of the token count; the l
 transitions of its own, which end in the state between pre-tokens. Two tokens may stand side by side exactly if
 merging their letters gives the two again, which fixes the last token of every prefix; so the counts are exact.
 
-Before it, a scanner of seven states cuts a text into pre-tokens by character class. Long texts are cut into
-chunks at any place. The map of a chunk from the state before it to the state after it is held as (letters up to
-the first white space, tokens up to the last, letters after it): all states agree at white space. Maps compose
-associatively and are composed by a parallel prefix scan.
+Before it, a scanner of seven states cuts a text into pre-tokens by character class. The state of both together is
+(scanner's state, transducer's state, letter read last, whose transition depends on whether it is the last one). Long
+texts are cut into chunks at any place. The map of a chunk takes a state before it to (state after it, tokens emitted
+in it). There are too many states to tabulate all, so a map is tabulated at the states that are asked of it; at white
+space all states agree, so what follows the first one in a chunk is computed once for all of them. Maps compose
+associatively by a prefix scan; a map has a fixed size, whatever the length of a text or of its words.
 """
 
 from __future__ import annotations
@@ -154,6 +156,41 @@ def pre_tokens(word: str) -> Iterator[str]:
         yield word[start:]
 
 
+class Map:
+    """Of a stretch of text: state before -> (state after, tokens emitted), tabulated at the states asked for."""
+
+    __slots__ = ("of", "known")
+
+    def __init__(self, of):
+        self.of, self.known = of, {}
+
+    def __call__(self, state: tuple) -> tuple[tuple, int]:
+        key = (state[0], state[1].key, state[2])
+        found = self.known.get(key)
+        if found is None:
+            found = self.known[key] = self.of(state)
+        return found
+
+
+def compose(a: Map, b: Map) -> Map:
+    """First a, then b."""
+
+    def of(state: tuple) -> tuple[tuple, int]:
+        middle, n = a(state)
+        after, m = b(middle)
+        return after, n + m
+
+    return Map(of)
+
+
+def scan(maps: list[Map]) -> list[Map]:
+    """All prefixes' maps: pairs are composed, the half as long list is scanned, and the rest filled in."""
+    if len(maps) < 2:
+        return maps
+    odd = scan([compose(maps[i], maps[i + 1]) for i in range(0, len(maps) - 1, 2)])
+    return [maps[0] if not i else odd[i // 2] if i % 2 else compose(odd[i // 2 - 1], maps[i]) for i in range(len(maps))]
+
+
 class Counter:
     """Token counts of whole texts."""
 
@@ -165,40 +202,83 @@ class Counter:
         self.special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True))) or r"(?!)")
         self.part = Memo(self.machine.count, 150_000)
         self.word = Memo(lambda w: sum(map(self.part.__getitem__, pre_tokens(w))), 250_000)
-
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """(letters before the first white space, tokens between, letters after the last); None: no white space."""
-        words = BETWEEN.split(chunk)
-        if len(words) == 1:
-            return chunk, None, ""
-        return words[0], sum(map(self.word.__getitem__, words[1:-1])), words[-1]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        if a[1] is None:
-            return (a[0] + b[0], b[1], b[2])
-        if b[1] is None:
-            return (a[0], a[1], a[2] + b[0])
-        middle = a[2] + b[0]
-        return (a[0], a[1] + b[1] + (self.word[middle] if middle else 0), b[2])
-
-    def scan(self, maps: list[tuple]) -> list[tuple]:
-        """All prefixes' maps: pairs are composed, the half as long list is scanned, and the rest filled in."""
-        if len(maps) < 2:
-            return maps
-        pairs = [self.compose(maps[i], maps[i + 1]) for i in range(0, len(maps) - 1, 2)]
-        odd = self.scan(pairs)
-        return [maps[0] if not i else odd[i // 2] if i % 2 else self.compose(odd[i // 2 - 1], maps[i]) for i in range(len(maps))]
-
-    def total(self, m: tuple) -> int:
-        """The count when a text begins and ends with the chunk."""
-        return (m[1] or 0) + sum(self.word[w] for w in (m[0], m[2]) if w)
+        self.start = ("", self.machine.start, None)
+
+    def feed(self, state: tuple, text: str) -> tuple[tuple, int]:
+        """Read letters without white space, one by one: state before -> (state after, tokens emitted)."""
+        machine, part = self.machine, self.part
+        (kind, node, last), n = state, 0
+        for c in text:
+            new = "L" if LETTER.match(c) else "N" if NUMBER.match(c) else "O"
+            held = ""
+            if len(kind) == 2:  # an apostrophe and r, v or l
+                if kind[1] + c in ENDINGS:
+                    n += part[kind + c]
+                    kind = ""
+                    continue
+                n += part["'"]
+                held, kind = kind[1], "L"
+            elif kind == "'":
+                if c in ENDINGS:
+                    n += part["'" + c]
+                    kind = ""
+                    continue
+                if c in "rvl":
+                    kind += c
+                    continue
+                held, kind = "'", "O"
+            if held:
+                node, last = machine.start, held
+            if kind and kind != new:
+                n += self._end(node, last)
+                kind = ""
+            if not kind:
+                if new == "N":
+                    n += part[c]
+                    continue
+                if c == "'":
+                    kind = c
+                    continue
+                kind, node, last = new, machine.start, None
+            for letter in spelled(c):
+                if last is not None:
+                    node, change = node.next.get(last) or machine._next(node, last)
+                    n += change
+                last = letter
+        return ((kind, node, last) if kind in ("L", "O") else (kind, machine.start, None)), n
+
+    def _end(self, node: State, letter: str) -> int:
+        change = node.last.get(letter)
+        return self.machine._last(node, letter) if change is None else change
+
+    def finish(self, state: tuple) -> int:
+        """Tokens emitted where white space or the end of the text follows."""
+        kind, node, last = state
+        return 0 if not kind else sum(map(self.part.__getitem__, kind)) if kind[0] == "'" else self._end(node, last)
+
+    def chunk_map(self, text: str, lo: int, hi: int) -> Map:
+        first = BETWEEN.search(text, lo, hi)
+        if first is None:
+            return Map(lambda state: self.feed(state, text[lo:hi]))
+        *words, tail = BETWEEN.split(text[first.end() : hi])
+        fixed = sum(map(self.word.__getitem__, filter(None, words)))
+        after, n = self.feed(self.start, tail)
+        fixed += n
+
+        def of(state: tuple) -> tuple[tuple, int]:
+            before, m = self.feed(state, text[lo : first.start()])
+            return after, m + self.finish(before) + fixed
+
+        return Map(of)
 
     def _count(self, text: str) -> int:
         text = lowered(text)
         if len(text) <= self.chunk:
             words = BETWEEN.split(text) if re.search("[\x1c-\x1f]", text) else text.split()
             return sum(map(self.word.__getitem__, filter(None, words)))
-        return self.total(self.scan([self.chunk_map(text[i : i + self.chunk]) for i in range(0, len(text), self.chunk)])[-1])
+        whole = scan([self.chunk_map(text, i, min(len(text), i + self.chunk)) for i in range(0, len(text), self.chunk)])[-1]
+        after, n = whole(self.start)
+        return n + self.finish(after)
 
     def __call__(self, text: str | None) -> int:
         if not text:
@@ -222,7 +302,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens) for each row of `docs` (doc_id, text).
 
     Null and empty texts have no bytes and no tokens; repeated rows give repeated rows; other columns are not read.
-    `path`: a byte-pair vocabulary with word ends. No shuffle; a worker keeps a bounded part of the transducer.
+    Texts of any length, also without white space, take memory in proportion to the text alone. `path`: a byte-pair
+    vocabulary with word ends. No shuffle; a worker keeps a bounded part of the transducer.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,10 @@
 """Corpus operators against the libraries and brute force, and on the odd rows."""
 
+import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from array import array
 from collections import Counter
@@ -59,6 +61,35 @@ def test_chunks_compose():
         assert cut(t) == whole(t) == len(Tokenizer.from_file(WORD).encode(t, add_special_tokens=False).ids)
 
 
+@settings(max_examples=150, deadline=None)
+@given(texts, st.integers(1, 9))
+def test_state_maps_compose_at_any_place(text, chunk):
+    own = transducer.counter(WORD)
+    if any(s in text for s in own.specials) or tokens.doubtful().search(text):
+        return
+    low = tokens.lowered(text)
+    maps = [own.chunk_map(low, i, min(len(low), i + chunk)) for i in range(0, len(low), chunk)]
+    n = 0
+    for k, m in enumerate(transducer.scan(maps), 1):
+        after, n = m(own.start)
+        assert n + own.finish(after) == own._count(low[: k * chunk])
+    left = own.start
+    for m in maps:  # one after another is the same
+        left, _ = m(left)
+    assert not maps or n + own.finish(after) == own._count(low)
+
+
+def test_a_long_word_takes_little_memory():
+    own = transducer.Counter(WORD, chunk=1024)
+    text = "".join(random.Random(4).choice("abcde") for _ in range(400_000))
+    tracemalloc.start()
+    n = own(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(tokens.ids_of(WORD).whole(text)) // 4
+    assert peak < 60e6  # with the heads of 400 chunks' prefixes it would be 80 MB and grow with the square
+
+
 def test_token_counts(odd, none):
     rows = transducer.token_counts(odd, WORD).collect()
     assert len(rows) == len(ODD) + 2 and transducer.token_counts(none, WORD).count() == 0
@@ -144,6 +175,46 @@ def test_alignment_is_a_common_subsequence(a, b):
     assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
 
 
+def common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row, old = [0], row
+        for j, y in enumerate(b):
+            row.append(old[j] + 1 if x == y else max(row[-1], old[j + 1]))
+    return row[-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.permutations(range(12)), st.lists(st.integers(0, 30), unique=True, max_size=20), st.lists(st.sampled_from("abcdefgh"), max_size=14), st.lists(st.sampled_from("abcdefgh"), max_size=14))
+def test_alignment_against_brute_force(template, text, a, b):
+    """Of words that are unique in both all that can be aligned are; of others never more than can."""
+    assert len(licenses.align(text, list(template))) == common_length(text, list(template))
+    assert len(licenses.align(a, b)) <= common_length(a, b)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 400), st.lists(st.integers(0, 9), min_size=30, max_size=30), st.sets(st.integers(0, 29), max_size=6))
+def test_best_window_against_brute_force(before, fillers, lost):
+    """A template with words left out and others between them, anywhere in a longer text: its coverage is that of the whole text."""
+    template = [f"t{i}" for i in range(30)]
+    text = [f"x{i % 7}" for i in range(before)]
+    for i, w in enumerate(template):
+        text += [f"f{i}-{k}" for k in range(fillers[i] % (2 * licenses.SPAN - 1))] + [w] * (i not in lost)
+    text += [f"y{i % 5}" for i in range(before // 2)]
+    span = [i for i, w in enumerate(text) if w in template]
+    if span[-1] - span[0] < licenses.SPAN * len(template):
+        assert len(licenses.best(text, template, 0.8)) == common_length(text, template) == 30 - len(lost)
+
+
+def test_licenses_with_words_between(spark, odd):
+    mit = licenses.words(licenses.TEMPLATES["MIT"])
+    text = " ".join(w for x in mit for w in (x.decode(), "foo", "bar"))
+    rows = [(1, f"{'and so on ' * 3000} {text} {'the end ' * 3000}", "x"), (None, text, "y")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, license string")).collect()
+    assert [(r["license"], r["coverage"], r["n_aligned"]) for r in got] == [("MIT", 1.0, len(mit))] * 2
+    assert licenses.scan(odd).count() == len(ODD) + 2
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.dictionaries(st.integers(1, 32), st.integers(1, 40), max_size=12))
 def test_plan(histogram):
@@ -332,18 +403,69 @@ def test_links_in_a_crowd(spark):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == {i: (160, first.get(i, i)) for i in range(1200)}
 
 
+def brute_mix(docs, labels, targets, growth, anchor):
+    """Posteriors and rates in numpy, from the rows that the operator learns from."""
+    domains = sorted(targets)
+    words = lambda t: {mixing_bucket(w) for w in re.findall(common.WORD, t or "")}
+    fold = {r["doc_id"]: r["held"] for r in labels.select("doc_id", (F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(mixing.HELD)) == 0).alias("held")).collect()}
+    known = [(r["doc_id"], words(r["text"]), domains.index(r["domain"])) for r in labels.collect()]
+    counts, prior = np.full((len(domains), mixing.BUCKETS), 0.5), np.ones(len(domains))
+    for i, w, k in known:
+        if not fold[i]:
+            counts[k, list(w)] += 1
+            prior[k] += 1
+    logs, prior = np.log(counts / counts.sum(axis=1, keepdims=True)), np.log(prior / prior.sum())
+
+    def softmax(w, power, scale):
+        z = prior + logs[:, list(w)].sum(axis=1) * scale / max(1, len(w)) ** power
+        z = np.exp(z - z.max())
+        return z / z.sum()
+
+    held = [(w, k) for i, w, k in known if fold[i] and w]
+    power, scale = min(((p, s) for p in mixing.POWERS for s in mixing.SCALES), key=lambda c: -sum(math.log(max(softmax(w, *c)[k], 1e-300)) for w, k in held))
+    p = np.array([softmax(words(t), power, scale) for _, t in docs])
+    n = np.array([len(re.findall(r"[^\W\d_]+|\d|[^\s\w]+|_+", t or "")) for _, t in docs], float)
+    cell = np.floor(p * mixing.GRID + 0.5)
+    least = np.where(cell.argmax(axis=1) == domains.index(anchor), 1.0, 0.0)
+    target, at, total = np.array([targets[d] for d in domains]), cell / mixing.GRID, n.sum()
+    scale_ = np.linalg.pinv((p * n[:, None]).T @ at / total, rcond=1e-9)
+    rate = np.full(len(docs), float(growth))
+    for _ in range(100):
+        share = (rate * n) @ p / (growth * total)
+        if np.abs(share - target).max() < 1e-6:
+            break
+        rate = np.maximum(least, rate - at @ (scale_ @ (share - target) * growth))
+    return p, n, rate
+
+
 def test_mixing(spark, none, real):
-    labels = spark.read.parquet(f"{DATA}/labels.parquet")
-    rows = mixing.mix(real, mixing.labelled_documents(real, labels), {"high": 0.7, "low": 0.2, "toxic": 0.1}).toPandas()
-    p = np.stack(rows["p"])
-    assert np.allclose(p.sum(axis=1), 1) and (rows["rate"] >= 0).all()
-    got = (p * (rows["n_tokens"] * rows["rate"]).to_numpy()[:, None]).sum(axis=0)
-    assert np.allclose(got / rows["n_tokens"].sum(), [0.7, 0.2, 0.1], atol=1e-3)
+    labels = mixing.labelled_documents(real, spark.read.parquet(f"{DATA}/labels.parquet"))
+    buckets = {r["w"]: r["b"] for r in real.select(F.explode(mixing.words_of(F.col("text"))).alias("w")).distinct().select("w", mixing.bucket(F.col("w")).alias("b")).collect()}
+    globals()["mixing_bucket"] = buckets.__getitem__
+    targets = {"high": 0.8, "low": 0.12, "toxic": 0.08}
+    rows = mixing.mix(real, labels, targets, 1.2, "high").toPandas().sort_values("doc_id")
+    docs = sorted((r["doc_id"], r["text"]) for r in real.select("doc_id", "text").collect())
+    p, n, rate = brute_mix(docs, labels, targets, 1.2, "high")
+    assert np.allclose(np.stack(rows["p"]), p, atol=1e-9) and (rows["n_tokens"] == n).all()
+    assert np.allclose(rows["rate"], rate, atol=1e-6)
+    share = (rate * n) @ p / (1.2 * n.sum())
+    assert np.abs(share - [0.8, 0.12, 0.08]).max() == pytest.approx(rows["residual"].iloc[0], abs=1e-6)
     assert ((rows["copies"] - rows["rate"]).abs() < 1).all()
-    own = mixing.labelled_documents(real, labels).join(spark.createDataFrame(rows[["doc_id"]].assign(best=[sorted(mixing.TARGETS)[k] for k in p.argmax(axis=1)])), "doc_id")
-    assert own.where("domain = best").count() > 0.8 * own.count()
-    assert mixing.mix(none, mixing.labelled_documents(none, labels), mixing.TARGETS).count() == 0
-    assert mixing.mixed(real, labels).columns == real.columns
+    assert (rows["copies"][p.argmax(axis=1) == 0] >= 1).all()  # none of the anchor's is lost
+    assert (p.max(axis=1) < 0.99).mean() > 0.5  # membership is soft
+    assert mixing.mix(none, mixing.labelled_documents(none, none.selectExpr("doc_id", "k quality", "k toxic")), mixing.TARGETS).count() == 0
+
+
+def test_mixed_rows(spark, odd, none, real):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    names = "copies copy p cell rate whole z odds scores buckets n_tokens row_tie key_id residual".split()
+    docs = real.select("*", *[F.lit(n).alias(n) for n in names])
+    got = mixing.mixed(docs, labels)
+    assert got.columns == docs.columns and got.where(" or ".join(f"{n} <> '{n}'" for n in names)).count() == 0
+    want = mixing.mix(real, mixing.labelled_documents(real, labels), mixing.TARGETS, mixing.GROWTH, mixing.ANCHOR).select("doc_id", "copies").collect()
+    assert Counter(r["doc_id"] for r in got.select("doc_id").collect()) == Counter({r["doc_id"]: r["copies"] for r in want if r["copies"]})
+    assert mixing.mixed(none, labels).count() == 0 and mixing.mixed(odd, labels.limit(0)).count() >= len(ODD)
+    assert mixing.mixed(odd, labels).columns == odd.columns
 
 
 def test_language(spark, odd, none):
@@ -357,6 +479,46 @@ def test_language(spark, odd, none):
     assert langid.predict(odd, langid.learn(none)).where("lang_pred <> 'und'").count() == 0 and langid.predict(none, langid.learn(docs)).count() == 0
 
 
+def test_language_against_brute_force(spark):
+    """Plain-Python naive Bayes over the same n-grams."""
+
+    def grams(text):
+        s = [ord(c) if ord(c) >= 128 or "a" <= c <= "z" else 32 for c in f"  {text.lower()}  "]
+        for i in range(len(s)):
+            h = 0
+            for n in range(min(3, len(s) - i)):
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ s[i + n]
+                yield ((h + n & 0xFFFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF) >> 17
+
+    r = random.Random(2)
+    rows = [(i, " ".join("".join(r.choice(a) for _ in range(r.randrange(1, 7))) for _ in range(r.randrange(1, 12))), k) for i in range(150) for k, a in [r.choice([("aa", "abcdeé"), ("bb", "cdefgh1"), ("cc", "中文字a")])]]
+    train = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 5]
+    counts = {k: Counter() for k in ("aa", "bb", "cc")}
+    for _, t, k in train:
+        counts[k].update(grams(t))
+    sums = {k: sum(c.values()) + langid.BUCKETS for k, c in counts.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in langid.predict(docs.drop("lang"), langid.learn(docs)).collect()}
+    for i, t, _ in rows:
+        if any(map(str.isalpha, t)):
+            z = {k: sum(math.log((c[g] + 1) / sums[k]) for g in grams(t)) for k, c in counts.items()}
+            top = max(z, key=z.get)
+            assert got[i] == (top, pytest.approx(1 / sum(math.exp(v - z[top]) for v in z.values()), abs=1e-4))
+        else:
+            assert got[i] == ("und", 0.0)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(max_size=60), st.integers(3, 20))
+def test_language_pieces_lose_no_ngram(text, piece):
+    whole = Counter(np.concatenate([*map(langid.buckets, langid.cut(text))]).tolist())
+    old, langid.PIECE = langid.PIECE, piece
+    try:
+        assert Counter(np.concatenate([*map(langid.buckets, langid.cut(text))]).tolist()) == whole
+    finally:
+        langid.PIECE = old
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(700, 12)).astype(np.float32) * rng.uniform(0.2, 3, size=(700, 1)).astype(np.float32)
