@@ -126,9 +126,37 @@ def _policy(data: dict) -> Policy:
     return _build(Policy, data)
 
 
+def _yaml(text: str) -> dict:
+    """One YAML document of plain mappings, lists and strings: no double keys, aliases, tags of its own or second document."""
+    import yaml
+
+    loader = yaml.BaseLoader(text)
+    try:
+        node = loader.get_single_node()
+        seen, todo = set(), [node] if node else []
+        while todo:
+            n = todo.pop()
+            if id(n) in seen:
+                raise ValueError(f"line {n.start_mark.line + 1}: aliases are not permitted in configuration")
+            seen.add(id(n))
+            if not n.tag.startswith("tag:yaml.org,2002:"):
+                raise ValueError(f"line {n.start_mark.line + 1}: custom tag {n.tag!r} is not permitted in configuration")
+            if isinstance(n, yaml.MappingNode):
+                _pairs([(k.value, None) for k, _ in n.value])
+                todo += [c for kv in n.value for c in kv]
+            elif isinstance(n, yaml.SequenceNode):
+                todo += n.value
+        data = loader.construct_document(node) if node else {}
+    except yaml.YAMLError as e:
+        raise ValueError(f"invalid YAML: {e}") from None
+    if not isinstance(data, dict):
+        raise ValueError("configuration must be a mapping")
+    return data
+
+
 def decode(text: str) -> Config:
-    """A strict JSON configuration: unknown fields and double keys are refused, all other errors are told at once."""
-    data = json.loads(text, object_pairs_hook=_pairs)
+    """A strict configuration in JSON or YAML: unknown fields and double keys are refused, all other errors are told at once."""
+    data = json.loads(text, object_pairs_hook=_pairs) if text.lstrip().startswith("{") else _yaml(text)
     known = {"version", "authMiddleware", "authWrappers", "acceptedPublic", "policies"}
     if unknown := set(data) - known:
         raise ValueError(f"unknown fields {sorted(unknown)}")

@@ -46,8 +46,23 @@ def category(routes: Column, status: Column, complete: Column, modules: Column,
 
 
 def totals(targets: DataFrame) -> DataFrame:
-    """One row over all targets."""
-    return targets.agg(F.count(F.lit(1)).alias("targets"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS), F.count_if(F.col("status") == "ok").alias("succeeded"), F.count_if(F.col("status") == "failed").alias("failed"), F.coalesce(F.bool_and("complete"), F.lit(True)).alias("complete"))
+    """One row over all targets: sums, targets by status, completeness; with a column `specifications` (documents found) also theirs."""
+    status = {"succeeded": "ok", "failed": "failed", "inconclusive": "inconclusive", "not_go_module": "not-go-module"}
+    whole = F.col("complete") & ~F.col("status").isin("failed", "inconclusive")
+    specs = [F.coalesce(F.sum("specifications"), F.lit(0)).alias("specifications"), F.count_if(F.col("specifications") > 0).alias("repositories_with_specifications")] if "specifications" in targets.columns else []
+    return targets.agg(F.count(F.lit(1)).alias("targets"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS), *(F.count_if(F.col("status") == v).alias(k) for k, v in status.items()), F.coalesce(F.bool_and(whole), F.lit(True)).alias("complete"), *specs)
+
+
+def mismatches(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """kind of each fingerprint (scope, scan) in which two fleets (one row each: scope_fingerprint, scan_fingerprint) differ.
+
+    Fleets that differ can't be compared; where neither has a fingerprint there is nothing to differ in.
+    """
+    b, a = (df.limit(1).select(F.struct("scope_fingerprint", "scan_fingerprint").alias(k)) for df, k in ((baseline, "b"), (current, "a")))
+    both = b.withColumn("one", F.lit(1)).join(a.withColumn("one", F.lit(1)), "one")
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    kinds = [F.when(empty(f"b.{k}_fingerprint") != empty(f"a.{k}_fingerprint"), k) for k in ("scope", "scan")]
+    return both.select(F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
 
 
 def groups(targets: DataFrame) -> DataFrame:

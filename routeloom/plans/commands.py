@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import candidates, classify, compare, discovery, fleet as fleets, openapi, policy, specs, summary
 from ..operators.config import Config
+from ..schema import BUILD_CONTEXT
 from ..sinks import render as sinks
 
 
@@ -15,31 +17,54 @@ from ..sinks import render as sinks
 class Audit:
     routes: DataFrame
     findings: DataFrame
+    engine_findings: DataFrame | None
     violations: DataFrame
     stale_guards: DataFrame
     stale_baseline: DataFrame
     verb_gaps: DataFrame
     summary: DataFrame
+    coverage: DataFrame | None
     delta: DataFrame | None
+    new_findings: DataFrame | None
+    gates: DataFrame | None
 
 
-def inventory(evidence: DataFrame) -> DataFrame:
-    """Routes in canonical order, without classification."""
-    return discovery.canonical_order(evidence.drop("auth"))
+def inventory(evidence: DataFrame, *by: str) -> DataFrame:
+    """Routes in canonical order (of each report, with `by`), without classification."""
+    return discovery.canonical_order(evidence.drop("auth"), *by)
 
 
-def audit(evidence: DataFrame, config: Config, now: str, shapes: dict[str, str] | None = None, baseline: DataFrame | None = None, syntax_only: bool = False) -> Audit:
-    """Classified routes and everything found about them. `baseline`: classified routes of an earlier audit."""
+def audit(
+    evidence: DataFrame, config: Config, now: str, shapes: dict[str, str] | None = None, baseline: DataFrame | None = None, syntax_only: bool = False, *,
+    engines: DataFrame | None = None, packages: DataFrame | None = None, diagnostics: DataFrame | None = None, envelopes: tuple[DataFrame, DataFrame] | None = None, fail_on: list[str] = (),
+) -> Audit:
+    """Classified routes and everything found about them.
+
+    `baseline`: classified routes of an earlier audit; `envelopes`: the heads of both reports, which must be
+    comparable before anything is compared. `packages` and `diagnostics` give the scan's coverage, `fail_on` the gates.
+    """
+    if envelopes is not None and (reasons := [r["reason"] for r in compare.incompatibilities(*envelopes).collect()]):
+        raise ValueError(f"the baseline can't be compared: {', '.join(reasons)} differ")
     routes = classify.classify(evidence, config, shapes)
+    found, violations, counts = classify.findings_of(routes), policy.evaluate(routes, config, now), summary.summary(routes)
+    coverage = None if packages is None else summary.coverage(packages, diagnostics if diagnostics is not None else packages.limit(0).selectExpr("'' code"))
+    delta = None if baseline is None else compare.compare_routes(baseline, routes)
+    new = None if baseline is None else compare.compare_findings(classify.findings_of(baseline), found)
+    complete = F.lit(True) if coverage is None else F.col("complete")
+    gates = summary.gates(counts if coverage is None else counts.crossJoin(coverage.select("complete")), violations.select("ruleId", "policyId"), delta, complete, list(fail_on), new) if fail_on else None
     return Audit(
         routes,
-        classify.findings_of(routes),
-        policy.evaluate(routes, config, now),
+        found,
+        None if engines is None else summary.engine_findings(engines),
+        violations,
         classify.stale_guards(routes, config, syntax_only),
         classify.stale_baseline(routes, config),
         classify.verb_gaps(routes),
-        summary.summary(routes),
-        None if baseline is None else compare.compare_routes(baseline, routes),
+        counts,
+        coverage,
+        delta,
+        new,
+        gates,
     )
 
 
@@ -51,10 +76,28 @@ def import_review(suggested: DataFrame, decisions: DataFrame | None = None) -> D
     return candidates.import_review(suggested, decisions)
 
 
-def fleet(modules: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(targets, totals, groups) of module rows."""
+@dataclass
+class Fleet:
+    targets: DataFrame
+    totals: DataFrame
+    groups: DataFrame
+    delta: DataFrame | None = None
+    delta_summary: DataFrame | None = None
+
+
+def fleet(modules: DataFrame, routes: DataFrame | None = None, baseline: tuple[DataFrame, DataFrame] | None = None, heads: tuple[DataFrame, DataFrame] | None = None) -> Fleet:
+    """Roll-up, totals and groups of module rows; with `baseline` (module rows, classified routes) also what changed.
+
+    `heads`: one row of fingerprints for the baseline and for this run; where they differ nothing is compared.
+    """
     targets = fleets.roll_up(modules)
-    return targets, fleets.totals(targets), fleets.groups(targets)
+    out = Fleet(targets, fleets.totals(targets), fleets.groups(targets))
+    if baseline is not None:
+        if heads is not None and (kinds := [r["kind"] for r in fleets.mismatches(*heads).collect()]):
+            raise ValueError(f"the {' and '.join(kinds)} fingerprint does not match the current run")
+        out.delta = fleets.compare(baseline[0], modules, baseline[1], routes)
+        out.delta_summary = fleets.delta_summary(out.delta)
+    return out
 
 
 def documentation(routes: DataFrame, spec_ops: DataFrame, spec_rows: DataFrame, *by: str) -> DataFrame:
@@ -66,7 +109,8 @@ def render(routes: DataFrame, findings: DataFrame, config: Config, form: str, ti
     if form == "openapi":
         return sinks.openapi(openapi.with_ids(openapi.operations(routes, config), routes), title)
     if form == "json":
-        return sinks.routes_json(routes).first()[0]
+        target = F.struct(F.lit(title).alias("module"), F.lit(None).cast(BUILD_CONTEXT).alias("buildContext"))
+        return sinks.one(sinks.reports_json(routes, findings, target, policies=tuple(p.id for p in config.policies)), "report")
     return {"pretty": lambda: sinks.pretty(routes), "markdown": lambda: sinks.markdown(routes, title), "sarif": lambda: sinks.sarif(findings), "html": lambda: sinks.html(routes, title)}[form]()
 
 

@@ -197,7 +197,7 @@ def oracle_sql() -> dict[str, str]:
         "spec_reconcile": now(f", {SPECS} SELECT * FROM rec"),
         "spec_coverage": now(f", {SPECS} SELECT count(*) FILTER (covered) AS numerator, count(*) FILTER (in_code) AS denominator, count(*) FILTER (in_code AND NOT covered) AS code_only, count(*) FILTER (NOT in_code) AS docs_only, count(*) FILTER (ambiguous) AS ambiguous, CASE WHEN count(*) FILTER (in_code) = 0 OR bool_or(unsure) THEN 'unknown' ELSE 'complete' END AS status FROM rec"),
         "fleet_rollup": now(f", {modules(0)} {rolled('m0')}"),
-        "fleet_totals": now(f", {modules(0)}, t AS ({rolled('m0')}) SELECT count(*) AS targets, CAST(sum(routes) AS BIGINT) AS routes, CAST(sum(proven) AS BIGINT) AS proven, CAST(sum(public) AS BIGINT) AS public, CAST(sum(unknown) AS BIGINT) AS unknown, count(*) FILTER (status = 'ok') AS succeeded, count(*) FILTER (status = 'failed') AS failed, bool_and(complete) AS complete FROM t"),
+        "fleet_totals": now(f", {modules(0)}, t AS ({rolled('m0')}) SELECT count(*) AS targets, CAST(sum(routes) AS BIGINT) AS routes, CAST(sum(proven) AS BIGINT) AS proven, CAST(sum(public) AS BIGINT) AS public, CAST(sum(unknown) AS BIGINT) AS unknown, count(*) FILTER (status = 'ok') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'inconclusive') AS inconclusive, count(*) FILTER (status = 'not-go-module') AS not_go_module, bool_and(complete AND status NOT IN ('failed', 'inconclusive')) AS complete FROM t"),
         "fleet_delta": both(FLEET_DELTA),
         "org_dispositions": f"WITH {REPOS} SELECT * FROM r5",
         "disposition_tally": f"WITH {REPOS} SELECT status, reason, count(*) AS n FROM r5 GROUP BY 1, 2",

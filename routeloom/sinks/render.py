@@ -16,15 +16,45 @@ from ..functions.paths import route_key
 from ..functions.symbols import severity_rank
 from ..schema import SCHEMA_VERSION
 
-WITH_NULLS = {"ignoreNullFields": "false"}
 
-
-def routes_json(routes: DataFrame, *by: str, audit: bool = True) -> DataFrame:
-    """`routes` (a JSON array in order) for each report; inventories have no auth keys, audits always have them."""
-    fields = ["method", "normalizedPath", "middleware", "source"] + ["auth"] * audit
-    chain = F.transform(F.coalesce("middleware", F.array()), lambda m: F.struct(m["displayName"].alias("displayName"), m["canonicalSymbol"].alias("canonicalSymbol"), m["orderingIndex"].alias("orderingIndex"), F.coalesce(m["wrappedSymbols"], F.array().cast("array<string>")).alias("wrappedSymbols")))
-    rows = routes.withColumn("middleware", chain).select(*by, "ord", F.to_json(F.struct(*fields), WITH_NULLS).alias("j"))
-    return rows.groupBy(*by).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "j"))), lambda x: x["j"]), ","), F.lit("]")).alias("routes"))
+def reports_json(routes: DataFrame, findings: DataFrame | None, target: Column, *by: str, command: str = "audit", profile: str = "typed", policies: tuple[str, ...] = (), delta: DataFrame | None = None, diagnostics: DataFrame | None = None) -> DataFrame:
+    """`report`: the whole envelope of each report as JSON, which readers.reports() reads back.
+
+    `target`: a struct with module and buildContext. Lists are there even when empty, in order; an audit has summary,
+    findings, policyEvaluation and activeExceptions, an inventory has none of them. `delta` is compare_routes() with
+    `by`. A report is one document, so its routes meet in one row; write_reports() has no such row.
+    """
+    names = ["method", "ginPath", "normalizedPath", "surfaceKind", "registrationKind", "middleware", "finalHandler", "source", "pathConfidence"] + ["auth"] * (command == "audit")
+    listed = lambda rows, at, value: F.transform(F.array_sort(F.collect_list(F.struct(at, value.alias("x")))), lambda e: e["x"])
+    joined = lambda left, right: (left.join(right, list(by), "left") if by else left.join(right))
+    out = routes.groupBy(*by).agg(F.first(target).alias("report_target"), listed(routes, F.col("ord"), F.struct(*[c for c in names if c in routes.columns])).alias("routes"))
+    nothing = lambda kind: F.array().cast(f"array<{kind}>")
+    if diagnostics is not None:
+        rows = diagnostics.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("code", "severity", "message", "route"))).alias("diagnostics"))
+        out = joined(out, rows)
+    fields = {
+        "schemaVersion": F.lit(SCHEMA_VERSION), "tool": F.lit("routeloom"), "command": F.lit(command), "analysisProfile": F.lit(profile), "target": F.col("report_target"), "routes": F.col("routes"),
+        "globalMiddleware": nothing("string"), "fallbackSurfaces": nothing("string"), "diagnostics": F.coalesce("diagnostics", nothing("struct<code string, severity string, message string, route string>")) if diagnostics is not None else nothing("string"),
+    }
+    if command == "audit":
+        counts = {"totalRoutes": F.lit(True), "proven": F.col("auth.authStatus") == "proven", "provenByAttestedUnresolved": F.col("auth.classificationBasis") == "configured-guard-attested", "public": F.col("auth.authStatus") == "public", "unknown": F.col("auth.authStatus") == "unknown"}
+        out = joined(out, routes.groupBy(*by).agg(F.struct(*(F.count_if(c).alias(k) for k, c in counts.items())).alias("n")))
+        f = F.struct(F.col("fingerprint").alias("id"), "ruleId", "fingerprint", "severity", "route", "source", "detail", "recommendation")
+        found = findings.groupBy(*by).agg(listed(findings, F.struct(severity_rank(F.col("severity")).alias("s"), "fingerprint", "ord"), f).alias("findings"))
+        severities = findings.groupBy(*by, "severity").count().groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "count")))).alias("severities"))
+        out = joined(joined(out, found), severities)
+        n = F.col("n")
+        fields |= {
+            "summary": F.struct(n["totalRoutes"].alias("totalRoutes"), (n["proven"] - n["provenByAttestedUnresolved"]).alias("provenByConfirmedShape"), n["provenByAttestedUnresolved"].alias("provenByAttestedUnresolved"), n["public"].alias("public"), n["unknown"].alias("unknown"), F.coalesce("severities", F.create_map().cast("map<string,bigint>")).alias("findingsBySeverity")),
+            "findings": F.coalesce("findings", F.array()), "policyEvaluation": F.struct(F.array(*map(F.lit, policies)).cast("array<string>").alias("evaluatedPolicies")), "activeExceptions": nothing("string"),
+        }
+    if delta is not None:
+        of = lambda change: F.array_sort(F.collect_list(F.when(F.col("change") == change, F.col("route"))))
+        moved = lambda change: F.array_sort(F.collect_list(F.when(F.col("change") == change, F.struct(F.substring_index("route", " ", 1).alias("method"), F.regexp_replace("route", "^[^ ]* ", "").alias("path"), "from", "to", "explanation"))))
+        rows = delta.groupBy(*by).agg(F.struct(of("added").alias("addedRoutes"), of("removed").alias("removedRoutes"), moved("regression").alias("authRegressions"), moved("improvement").alias("authImprovements")).alias("delta"))
+        out = joined(out, rows)
+        fields["delta"] = F.col("delta")
+    return out.select(*by, F.to_json(F.struct(*(c.alias(k) for k, c in fields.items()))).alias("report"))
 
 
 def write_reports(routes: DataFrame, path: str, report: str) -> None:
@@ -33,8 +63,11 @@ def write_reports(routes: DataFrame, path: str, report: str) -> None:
 
 
 def markdown_escape(text: Column) -> Column:
-    """Characters that mean something in Markdown tables get a backslash; line breaks become spaces."""
-    return F.regexp_replace(F.regexp_replace(text, r"[\r\n]+", " "), r"([\\`*_{}\[\]<>|])", r"\\$1")
+    """Text that stays inside a table cell: backslashes and bars are escaped, backticks become apostrophes, line breaks spaces, angle brackets entities."""
+    out = F.regexp_replace(text, r"\r\n|\r|\n", " ")
+    for old, new in (("\\", "\\\\"), ("|", "\\|"), ("`", "'"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
 
 
 def markdown_routes(routes: DataFrame) -> DataFrame:
@@ -113,6 +146,11 @@ def _ordered(lines: DataFrame, most: int) -> list[str]:
     return [r["line"] for r in lines.orderBy("at").select("line").toLocalIterator()]
 
 
+def one(documents: DataFrame, column: str, most: int = 64 << 20) -> str:
+    """The only document of a frame, after its size was checked where it is."""
+    return "".join(_ordered(documents.select(F.lit(0).alias("at"), F.col(column).alias("line")), most))
+
+
 def schema(kind: str) -> str:
     """JSON Schema of the main documents' envelopes."""
     required = {"report": ["schemaVersion", "command", "target", "routes", "findings", "diagnostics"], "fleet": ["schemaVersion", "kind", "targets"], "config": ["version"]}
