@@ -43,7 +43,7 @@ def operations(routes: DataFrame, config: Config, *by: str) -> DataFrame:
 
 def hidden(routes: DataFrame) -> DataFrame:
     """Routes whose method a document can't show, as diagnostics."""
-    return routes.where(~F.col("method").isin(*SHOWN)).select("ord", "method", "normalizedPath", F.lit("method-not-representable").alias("code"))
+    return routes.where(~F.col("method").isin(*SHOWN)).select("ord", "method", "normalizedPath", F.lit("openapi-non-representable-method").alias("code"))
 
 
 def with_ids(operations_: DataFrame, routes: DataFrame, *by: str) -> DataFrame:
@@ -89,6 +89,48 @@ def overlay(operations_: DataFrame, documented: DataFrame, *by: str) -> DataFram
     return rows.withColumn("router_mismatch", F.coalesce((F.size("routers") > 0) & ~F.array_contains("routers", claim), F.lit(False)))
 
 
+def described(operations_: DataFrame, params: DataFrame, responses: DataFrame, *by: str) -> DataFrame:
+    """Operations with documented `all_parameters`, `body` and `responses`.
+
+    `params`: path, method, ord, name, in, required, description, schema (JSON); `responses`: path, method, ord,
+    status, description, schema. A parameter of the same name and place replaces an earlier one at its position, path
+    parameters come first. The first body stays; without one, form fields make an object. The last response of a
+    status stays; none at all give one default response.
+    """
+    key = [*by, "path", "method"]
+    own = operations_.select(*key, F.posexplode("parameters").alias("at", "name")).select(*key, (F.col("at") - (1 << 20)).cast("long").alias("ord"), "name", F.lit("path").alias("in"), F.lit(True).alias("required"), F.lit(None).cast("string").alias("description"), F.lit('{"type":"string"}').alias("schema"))
+    fields = [*key, F.col("ord").cast("long").alias("ord"), "name", "in", "required", "description", "schema"]
+    plain = own.union(params.where("`in` not in ('body', 'formData')").select(fields))
+    last = plain.groupBy(*key, "name", "in").agg(F.min("ord").alias("at"), F.max_by(F.struct("required", "description", "schema"), "ord").alias("p"))
+    listed = last.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "name", "in", "p.required", "p.description", "p.schema"))).alias("all_parameters"))
+    body = params.where("`in` = 'body'").groupBy(*key).agg(F.min_by(F.struct("description", "required", "schema"), "ord").alias("body"))
+    form = params.where("`in` = 'formData'").groupBy(*key, "name").agg(F.max_by("schema", "ord").alias("schema"), F.bool_or("required").alias("required"))
+    form = form.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("name", "schema", "required"))).alias("form"))
+    answers = responses.groupBy(*key, "status").agg(F.max_by(F.struct(F.when(F.col("description") != "", F.col("description")).otherwise("Response").alias("description"), "schema"), "ord").alias("r"))
+    answers = answers.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("status", "r.description", "r.schema"))).alias("responses"))
+    return operations_.join(listed, key, "left").join(body, key, "left").join(form, key, "left").join(answers, key, "left")
+
+
+def description_conflicts(params: DataFrame, responses: DataFrame, *by: str) -> DataFrame:
+    """path, method, code, n: bodies and responses that another declaration replaced or that can't be shown beside another."""
+    key = [*by, "path", "method"]
+    bodies = params.groupBy(*key).agg(F.count_if(F.col("in") == "body").alias("b"), F.count_if(F.col("in") == "formData").alias("f"))
+    bodies = bodies.select(*key, F.lit("swag-request-body-conflict").alias("code"), (F.greatest(F.col("b") - 1, F.lit(0)) + F.when((F.col("b") > 0) & (F.col("f") > 0), 1).otherwise(0)).alias("n"))
+    doubled = responses.groupBy(*key, "status").count().groupBy(*key).agg(F.sum(F.col("count") - 1).alias("n")).select(*key, F.lit("swag-response-conflict").alias("code"), "n")
+    return bodies.union(doubled).where("n > 0")
+
+
+def info(module: str, documentation: dict | None = None, title: str = "", version: str = "") -> dict:
+    """The head of a document: the module's name unless documentation or, before that, the configuration names it."""
+    d, name = documentation or {}, module.rstrip("/").rsplit("/", 1)[-1] if module else ""
+    out = {"title": title or d.get("title") or (f"{name} API" if name else "Routes"), "version": version or d.get("version") or "0.0.0"}
+    out |= {k: d[k] for k in ("description", "termsOfService") if d.get(k)}
+    for part in ("contact", "license"):
+        if given := {k: v for k, v in (d.get(part) or {}).items() if v}:
+            out[part] = given
+    return out
+
+
 def last_wins(items: DataFrame, *key: str) -> DataFrame:
     """The last of items (ord, value) with a key, and whether another one was replaced: parameters, responses."""
     return items.groupBy(*key).agg(F.max_by("value", "ord").alias("value"), (F.count(F.lit(1)) > 1).alias("replaced"))

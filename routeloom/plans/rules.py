@@ -158,6 +158,24 @@ def documented_ids(spark: SparkSession, d: str) -> DataFrame:
     return openapi.with_documented_ids(rows.select("target", "path", "method", "ord", "base_id", "documented_id"), "target").select("target", "path", "method", "operation_id")
 
 
+def descriptions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    ops = table(spark, d, "part", path="concat('/r', p_partkey % 20, '/{id}')", method="element_at(array('GET', 'POST', 'PUT'), cast(p_partkey % 3 + 1 AS int))").distinct().withColumn("parameters", F.array(F.lit("id")))
+    params = table(spark, d, "part", path="concat('/r', p_partkey % 20, '/{id}')", method="element_at(array('GET', 'POST', 'PUT'), cast(p_partkey % 3 + 1 AS int))", ord="p_partkey", name="CASE WHEN p_partkey % 11 = 0 THEN 'id' ELSE concat('p', p_partkey % 4) END", where="CASE WHEN p_partkey % 11 = 0 THEN 'path' ELSE element_at(array('query', 'header', 'body', 'formData'), cast(p_partkey % 7 % 4 + 1 AS int)) END", required="p_partkey % 2 = 0", description="concat('d', p_partkey)", schema="'{\"type\":\"integer\"}'")
+    responses = table(spark, d, "part", path="concat('/r', p_partkey % 20, '/{id}')", method="element_at(array('GET', 'POST', 'PUT'), cast(p_partkey % 3 + 1 AS int))", ord="p_partkey", status="concat('20', p_partkey % 5)", description="CASE WHEN p_partkey % 2 = 0 THEN '' ELSE concat('r', p_partkey) END", schema="'{}'").where("status < '203'")
+    return ops, params.withColumnRenamed("where", "in"), responses
+
+
+def openapi_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    rows = openapi.described(*descriptions(spark, d))
+    of = lambda c, text: F.array_join(F.transform(c, text), ",")
+    return rows.select("path", "method", of("all_parameters", lambda p: F.concat_ws(":", p["in"], p["name"], F.coalesce(p["description"], F.lit("")))).alias("parameters"), F.col("body.description").alias("body"), of("form", lambda f: F.concat_ws(":", f["name"], f["required"].cast("string"))).alias("form"), of("responses", lambda r: F.concat_ws(":", r["status"], r["description"])).alias("responses"))
+
+
+def openapi_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    _, params, responses = descriptions(spark, d)
+    return openapi.description_conflicts(params, responses)
+
+
 def component_merge(spark: SparkSession, d: str) -> DataFrame:
     return openapi.components(table(spark, d, "part", target="concat('repo-', p_partkey % 5)", id="concat('T', p_partkey % 40)", ord="p_partkey", schema="CASE WHEN p_partkey % 40 < 20 THEN '{\"type\":\"object\"}' ELSE concat('{\"minimum\":', p_partkey % 3, '}') END"), "target")
 
@@ -219,4 +237,4 @@ def report_json(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-ALL = (text_rules, joined_paths, template_rules, scope_filter, markdown_cells, engine_findings, scan_coverage, compatibility, fingerprint_mismatch, reuse, review_queue, docs_overview, fleet_delta_summary, repo_groups, review_decisions, review_summary, hidden_methods, openapi_overlay, documented_ids, component_merge, unknown_references, last_wins, type_schemas, global_merge, uncalled_registrars, annotation_join, nested_groups, report_json)
+ALL = (text_rules, joined_paths, template_rules, scope_filter, markdown_cells, engine_findings, scan_coverage, compatibility, fingerprint_mismatch, reuse, review_queue, docs_overview, fleet_delta_summary, repo_groups, review_decisions, review_summary, hidden_methods, openapi_overlay, documented_ids, openapi_descriptions, openapi_conflicts, component_merge, unknown_references, last_wins, type_schemas, global_merge, uncalled_registrars, annotation_join, nested_groups, report_json)

@@ -17,6 +17,15 @@ each AS (SELECT id, CASE WHEN length(symbol) % 3 = 0 THEN 'old' ELSE fingerprint
 dec AS (SELECT id, seen, guard, assurance, rationale FROM each UNION ALL SELECT id, seen, guard, assurance, rationale FROM each WHERE symbol LIKE '%Wrap' UNION ALL SELECT 'mw-none', seen, guard, assurance, rationale FROM each WHERE symbol LIKE '%Wrap'),
 rev AS (SELECT d.id, o.symbol, d.assurance, CASE WHEN count(*) OVER (PARTITION BY d.id) > 1 THEN 'decided twice' WHEN o.symbol IS NULL THEN 'unknown candidate' WHEN seen <> o.fingerprint THEN 'changed since the review' WHEN trim(rationale) = '' THEN 'no rationale' WHEN guard AND d.assurance NOT IN ('analyze', 'attested') THEN 'unknown assurance' END AS problem, guard AS eligible
   FROM dec d LEFT JOIN own o ON o.id = d.id)"""
+DESCRIBED = """
+q AS (SELECT '/r' || (p_partkey % 20) || '/{id}' AS path, ['GET', 'POST', 'PUT'][p_partkey % 3 + 1] AS method, p_partkey AS ord, CASE WHEN p_partkey % 11 = 0 THEN 'id' ELSE 'p' || (p_partkey % 4) END AS name, CASE WHEN p_partkey % 11 = 0 THEN 'path' ELSE ['query', 'header', 'body', 'formData'][p_partkey % 7 % 4 + 1] END AS place, p_partkey % 2 = 0 AS required, 'd' || p_partkey AS description FROM part),
+o AS (SELECT DISTINCT path, method FROM q),
+p AS (SELECT path, method, name, place, min(ord) AS first_at, arg_max(description, ord) AS d FROM (SELECT path, method, ord, name, place, description FROM q WHERE place NOT IN ('body', 'formData') UNION ALL SELECT path, method, -1, 'id', 'path', '' FROM o) GROUP BY 1, 2, 3, 4),
+pl AS (SELECT path, method, string_agg(place || ':' || name || ':' || d, ',' ORDER BY first_at) AS parameters FROM p GROUP BY 1, 2),
+b AS (SELECT path, method, arg_min(description, ord) AS body FROM q WHERE place = 'body' GROUP BY 1, 2),
+f AS (SELECT path, method, string_agg(name || ':' || required, ',' ORDER BY name) AS form FROM (SELECT path, method, name, bool_or(required) AS required FROM q WHERE place = 'formData' GROUP BY 1, 2, 3) GROUP BY 1, 2),
+s AS (SELECT path, method, ord, '20' || (ord % 5) AS status, CASE WHEN ord % 2 = 0 THEN 'Response' ELSE 'r' || ord END AS description FROM q WHERE ord % 5 < 3),
+r AS (SELECT path, method, string_agg(status || ':' || d, ',' ORDER BY status) AS responses FROM (SELECT path, method, status, arg_max(description, ord) AS d FROM s GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
 #: The documented operations of openapi_overlay: a row for each (target, path, method).
 OPS = """
 ops AS (SELECT target, path, method, min(route_id) AS ord, CAST(regexp_extract(path, '\\d+$') AS INT) AS tail FROM cls GROUP BY 1, 2, 3),
@@ -61,10 +70,14 @@ def oracle_sql() -> dict[str, str]:
         "repo_groups": f"SELECT target AS name, category FROM ({now(f', {modules(0)} {rolled("m0")}')})",
         "review_decisions": now(f", {suggestions('')}, {DECIDED} SELECT * FROM rev"),
         "review_summary": now(f", {suggestions('')}, {DECIDED} SELECT count(*) AS assessed, count(*) FILTER (eligible) AS config_suggestions, (SELECT count(*) FROM own) AS total_candidates FROM rev"),
-        "hidden_methods": now("SELECT route_id, 'CONNECT' AS method, path AS \"normalizedPath\", 'method-not-representable' AS code FROM e WHERE route_id % 5 = 1"),
+        "hidden_methods": now("SELECT route_id, 'CONNECT' AS method, path AS \"normalizedPath\", 'openapi-non-representable-method' AS code FROM e WHERE route_id % 5 = 1"),
         "openapi_overlay": now(f", {OPS} SELECT target, path, method, documented_id, summary, tail % 3 = 0 AND tail % 4 = 1 AND NOT (method = 'GET' AND path = '/elsewhere') AS router_mismatch FROM docs"),
         "documented_ids": now(f""", {OPS}, b AS (SELECT *, lower(method) || 'ApiV1R' || tail AS base FROM docs), n AS (SELECT *, row_number() OVER (PARTITION BY target, base ORDER BY ord) AS i, row_number() OVER (PARTITION BY target, documented_id ORDER BY ord) AS j FROM b)
           SELECT target, path, method, CASE WHEN documented_id IS NULL THEN base || CASE WHEN i > 1 THEN '-' || i ELSE '' END ELSE documented_id || CASE WHEN j > 1 THEN '' || j ELSE '' END END AS operation_id FROM n"""),
+        "openapi_descriptions": f"""WITH {DESCRIBED} SELECT path, method, parameters, body, form, responses FROM o LEFT JOIN pl USING (path, method) LEFT JOIN b USING (path, method) LEFT JOIN f USING (path, method) LEFT JOIN r USING (path, method)""",
+        "openapi_conflicts": f"""WITH {DESCRIBED}, n AS (SELECT path, method, count(*) FILTER (place = 'body') AS b, count(*) FILTER (place = 'formData') AS f FROM q GROUP BY 1, 2)
+          SELECT path, method, 'swag-request-body-conflict' AS code, greatest(b - 1, 0) + CASE WHEN b > 0 AND f > 0 THEN 1 ELSE 0 END AS n FROM n WHERE greatest(b - 1, 0) + CASE WHEN b > 0 AND f > 0 THEN 1 ELSE 0 END > 0
+          UNION ALL SELECT path, method, 'swag-response-conflict', count(*) - count(DISTINCT status) AS n FROM s GROUP BY 1, 2 HAVING n > 0""",
         "component_merge": """WITH s AS (SELECT 'repo-' || (p_partkey % 5) AS target, 'T' || (p_partkey % 40) AS id, p_partkey AS ord, CASE WHEN p_partkey % 40 < 20 THEN '{"type":"object"}' ELSE '{"minimum":' || (p_partkey % 3) || '}' END AS s FROM part) SELECT target, id, arg_min(s, ord) AS schema, count(DISTINCT s) > 1 AS conflict FROM s GROUP BY 1, 2""",
         "unknown_references": "SELECT 'T' || p_partkey AS id, 'T' || p_partkey * 3 AS ref FROM part WHERE p_partkey * 3 NOT IN (SELECT p_partkey FROM part)",
         "last_wins": "SELECT o_custkey AS operation, 'p' || (o_orderkey % 3) AS name, arg_max(o_orderstatus, o_orderkey) AS value, count(*) > 1 AS replaced FROM orders GROUP BY 1, 2",

@@ -105,21 +105,50 @@ def sarif(findings: DataFrame, most: int = 64 << 20) -> str:
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "routeloom", "rules": [{"id": r} for r in rules]}}, "results": [json.loads(r) for r in results]}]}, sort_keys=True)
 
 
-def openapi(operations: DataFrame, title: str, version: str = "0.0.0", most: int = 64 << 20) -> str:
-    """An OpenAPI 3.1 document of operations with ids (path, method, operation_id, tag, parameters, security)."""
-    op = F.struct("path", F.lower("method").alias("method"), "operation_id", "tag", "parameters", "security", "registrations")
+def openapi(operations: DataFrame, title: str, version: str = "0.0.0", most: int = 64 << 20, *, info: dict | None = None, servers: list[str] = (), tags: list[dict] = (), schemes: dict[str, dict] | None = None, schemas: DataFrame | None = None, accept: str = "application/json") -> str:
+    """An OpenAPI 3.1 document of operations with ids (path, method, operation_id, tag, parameters, security).
+
+    Also of what described() adds to them, of `info` (title and version unless given), `servers`, `tags`, security
+    schemes and component schemas (id, schema as JSON).
+    """
+    more = [c for c in ("summary", "all_parameters", "body", "form", "responses") if c in operations.columns]
+    op = F.struct("path", F.lower("method").alias("method"), "operation_id", "tag", "parameters", "security", "registrations", *more)
     paths: dict = {}
     for line in _ordered(operations.select(F.struct("path", "method").alias("at"), F.to_json(op).alias("line")), most):
         o = json.loads(line)
         item = {"operationId": o["operation_id"], "tags": [o["tag"]], "responses": {"default": {"description": "Not described"}}, "x-registrations": o["registrations"]}
-        if o.get("parameters"):
+        content = lambda schema: {"content": {accept: {"schema": json.loads(schema)}}} if schema else {}
+        if o.get("summary"):
+            item["summary"] = o["summary"]
+        if o.get("responses"):
+            item["responses"] = {r["status"]: {"description": r["description"]} | content(r.get("schema")) for r in o["responses"]}
+        if o.get("body"):
+            item["requestBody"] = {"required": bool(o["body"].get("required"))} | ({"description": o["body"]["description"]} if o["body"].get("description") else {}) | content(o["body"].get("schema"))
+        elif o.get("form"):
+            needed = [f["name"] for f in o["form"] if f.get("required")]
+            schema = {"type": "object", "properties": {f["name"]: json.loads(f["schema"]) for f in o["form"]}} | ({"required": needed} if needed else {})
+            item["requestBody"] = {"content": {"multipart/form-data": {"schema": schema}}}
+        if o.get("all_parameters"):
+            item["parameters"] = [{"name": p["name"], "in": p["in"], "required": bool(p.get("required")), "schema": json.loads(p["schema"])} | ({"description": p["description"]} if p.get("description") else {}) for p in o["all_parameters"]]
+        elif o.get("parameters"):
             item["parameters"] = [{"name": p, "in": "path", "required": True, "schema": {"type": "string"}} for p in o["parameters"]]
         if o["security"] == "none":
             item["security"] = []
         elif o["security"] != "unrefined":
             item["security"] = [{o["security"]: []}]
         paths.setdefault(o["path"], {})[o["method"]] = item
-    return json.dumps({"openapi": "3.1.0", "info": {"title": title, "version": version}, "paths": paths}, sort_keys=True)
+    document: dict = {"openapi": "3.1.0", "info": info or {"title": title, "version": version}, "paths": paths}
+    if servers:
+        document["servers"] = [{"url": s} for s in servers]
+    if tags:
+        document["tags"] = list(tags)
+    parts = {"securitySchemes": schemes or {}, "schemas": {}}
+    if schemas is not None:
+        line = F.to_json(F.struct("id", "schema"))
+        parts["schemas"] = {s["id"]: json.loads(s["schema"]) for s in map(json.loads, _ordered(schemas.select(F.col("id").alias("at"), line.alias("line")), most))}
+    if parts := {k: v for k, v in parts.items() if v}:
+        document["components"] = parts
+    return json.dumps(document, sort_keys=True)
 
 
 def html(routes: DataFrame, title: str, most: int = 64 << 20) -> str:

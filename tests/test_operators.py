@@ -299,3 +299,80 @@ def test_overview_and_review_queue(spark):
     assert got == {"a": ("candidates-to-review", ["s.Auth"]), "b": ("scan-failed", []), "c": ("scan-incomplete", []), "d": ("reviewed-config-applied", []), "e": ("no-candidates", [])}
     k = spark.createDataFrame([("a", "complete", ["openapi3"], 1, 3), ("a", "complete", ["swagger2"], 1, 1), ("b", "complete", [], 0, 0), ("c", None, None, None, None)], "target string, status string, dialects array<string>, numerator long, denominator long")
     assert {r["target"]: (r["docs"], r["observed_percent"]) for r in fleet.overview(t, k).collect()} == {"a": ("both", 50.0), "b": ("none", None), "c": ("unavailable", None), "d": ("unavailable", None), "e": ("unavailable", None)}
+
+
+def test_yaml_configuration():
+    text = """
+version: "1"
+authMiddleware:
+  a.Yes: {assurance: attested, tags: [t]}
+acceptedPublic: [GET /open]
+policies:
+  - id: p
+    match: {method: [GET]}
+    exceptions: [{reason: r, expires: 2024-12-31}]
+"""
+    config = decode(text)
+    assert config == decode(json.dumps({"version": "1", "authMiddleware": {"a.Yes": {"assurance": "attested", "tags": ["t"]}}, "acceptedPublic": ["GET /open"], "policies": [{"id": "p", "match": {"method": ["GET"]}, "exceptions": [{"reason": "r", "expires": "2024-12-31"}]}]}))
+    for bad in ("authMiddleware: !x {}", "a: &b {}\nauthWrappers: *b", "acceptedPublic: []\nacceptedPublic: []", "nope: 1", "- a", "{a: 1", "acceptedPublic: []\n---\nacceptedPublic: []"):
+        with pytest.raises(ValueError):
+            decode(bad)
+
+
+def test_audit_as_a_whole(spark):
+    rows = frame(spark, [route(0, "GET", "/a", [mw("a.Yes")]), route(1, "POST", "/b", [])])
+    earlier = classify.classify(frame(spark, [route(0, "GET", "/a", [mw("a.Yes")]), route(1, "POST", "/b", [mw("a.Yes")])]), CONFIG, SHAPES)
+    head = lambda profile: spark.createDataFrame([("1.0", "audit", profile, None)], "schemaVersion string, command string, analysisProfile string, buildContext string")
+    more = dict(
+        engines=spark.createDataFrame([("e", "debug", ["0.0.0.0/0"])], "engine string, mode string, trusted array<string>"),
+        packages=spark.createDataFrame([(3, 0, 0), (2, 1, 0)], "files int, errors int, load_errors int"),
+        fail_on=["public", "regression", "incomplete", "new", "policy:none"],
+    )
+    got = commands.audit(rows, CONFIG, "2024-06-01 00:00:00", SHAPES, earlier, envelopes=(head("typed"), head("typed")), **more)
+    assert {r["gate"]: r["matched"] for r in got.gates.collect()} == {"public": True, "regression": True, "incomplete": True, "new": True, "policy:none": False}
+    assert {r["ruleId"] for r in got.engine_findings.collect()} == {"trust-all-proxies", "debug-mode"}
+    assert [(r["failed_files"], r["complete"]) for r in got.coverage.collect()] == [(2, False)]
+    with pytest.raises(ValueError, match="analysis profile"):
+        commands.audit(rows, CONFIG, "2024-06-01 00:00:00", SHAPES, earlier, envelopes=(head("typed"), head("syntax")))
+
+
+def test_fleet_with_baseline(spark):
+    fields = "target string, module_id string, kind string, status string, complete boolean, routes long, proven long, public long, unknown long"
+    modules = spark.createDataFrame([("r", "root", "gin-application", "ok", True, 1, 0, 1, 0)], fields)
+    of = lambda chain: classify.classify(frame(spark, [route(0, "GET", "/a", chain)]).selectExpr("'r' target", "'root' module_id", "*"), CONFIG, SHAPES)
+    head = lambda s: spark.createDataFrame([("x", s)], "scope_fingerprint string, scan_fingerprint string")
+    got = commands.fleet(modules, of([]), (modules, of([mw("a.Yes")])), (head("1"), head("1")))
+    assert [(r["status"], r["regressions"], r["new_findings"]) for r in got.delta.collect()] == [("unchanged", 1, 1)]
+    assert got.delta_summary.first()["complete"] is True and got.totals.first()["not_go_module"] == 0
+    with pytest.raises(ValueError, match="scan fingerprint"):
+        commands.fleet(modules, of([]), (modules, of([])), (head("1"), head("2")))
+
+
+def test_report_is_read_back(spark, tmp_path):
+    rows = classify.classify(frame(spark, [route(1, "POST", '/b|"x"', [mw(None)]), route(0, "GET", "/a", [mw("a.Yes")])]), CONFIG, SHAPES)
+    (tmp_path / "r.json").write_text(commands.render(rows, classify.findings_of(rows), CONFIG, "json", "acme/m"))
+    back = readers.reports(spark, f"file://{tmp_path}/r.json")
+    got = [tuple(r) for r in readers.routes_of(back).orderBy("ord").select("method", "normalizedPath", "auth", "middleware", "source").collect()]
+    assert got == [tuple(r) for r in rows.orderBy("ord").select("method", "normalizedPath", "auth", "middleware", "source").collect()]
+    assert sorted(r["fingerprint"] for r in readers.findings_of(back).collect()) == sorted(r["fingerprint"] for r in classify.findings_of(rows).collect())
+    report = json.loads((tmp_path / "r.json").read_text())
+    assert report["activeExceptions"] == [] and report["summary"]["findingsBySeverity"] == {"medium": 1} and report["target"]["module"] == "acme/m"
+    assert "summary" not in json.loads(render.one(render.reports_json(rows, None, F.struct(F.lit("m").alias("module")), command="inventory"), "report"))
+
+
+def test_openapi_document(spark):
+    ops = spark.createDataFrame([("/u/{id}", "GET", "getUById", "u", ["id"], "bearer", 1)], "path string, method string, operation_id string, tag string, parameters array<string>, security string, registrations long")
+    params = spark.createDataFrame([("/u/{id}", "GET", k, n, p, k == 1, f"d{k}", '{"type":"integer"}') for k, (n, p) in enumerate([("q", "query"), ("id", "path"), ("q", "query"), ("f", "formData")])], "path string, method string, ord long, name string, in string, required boolean, description string, schema string")
+    answers = spark.createDataFrame([("/u/{id}", "GET", 0, "200", "", '{"$ref":"#/components/schemas/U"}')], "path string, method string, ord long, status string, description string, schema string")
+    schemas = spark.createDataFrame([("U", '{"type":"object"}')], "id string, schema string")
+    doc = json.loads(render.openapi(openapi.described(ops, params, answers), "", info=openapi.info("acme/users", {"version": "2", "license": {"name": "MIT"}}), servers=["/v1"], tags=[{"name": "u"}], schemes={"bearer": {"type": "http", "scheme": "bearer"}}, schemas=schemas))
+    item = doc["paths"]["/u/{id}"]["get"]
+    assert [(p["name"], p["in"], p["schema"]["type"], p.get("description")) for p in item["parameters"]] == [("id", "path", "integer", "d1"), ("q", "query", "integer", "d2")]
+    assert item["responses"] == {"200": {"description": "Response", "content": {"application/json": {"schema": {"$ref": "#/components/schemas/U"}}}}}
+    assert item["requestBody"]["content"]["multipart/form-data"]["schema"]["properties"] == {"f": {"type": "integer"}}
+    assert doc["info"] == {"title": "users API", "version": "2", "license": {"name": "MIT"}} and doc["servers"] == [{"url": "/v1"}] and set(doc["components"]) == {"securitySchemes", "schemas"}
+
+
+def test_markdown_cells_stay_in_their_table(spark):
+    rows = spark.createDataFrame([("a|b", 0), ("\\", 1), ("`x`<b>\r\ny\nz", 2), (None, 3)], "t string, i int")
+    assert [r[0] for r in rows.orderBy("i").select(render.markdown_escape(F.col("t"))).collect()] == ["a\\|b", "\\\\", "'x'&lt;b&gt; y z", None]
