@@ -7,7 +7,8 @@ import tempfile
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words are runs of anything but ASCII white space; bytes.split() cuts at the same six characters.
@@ -53,6 +54,11 @@ def drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def once(value: Column, name: str) -> Column:
+    """The value as a generated column: plans that refer to it in a lambda or a filter don't compute it again there."""
+    return F.explode(F.array(value)).alias(name)
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives lost executors, keeps columns apart."""
     spark = df.sparkSession

@@ -21,7 +21,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import once, release, stored
 
 SPREAD, LONG_WORDS, LEAST_WORDS = 3, 50, 20
 WORD_LETTERS = 10  # a line counts as a word for each so many code points at least: scripts without spaces
@@ -51,11 +51,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.pmod(F.xxhash64("text"), F.lit(TIES)).alias("tie"), "text", whole.alias("whole"))
 
 
-def once(value: Column, name: str) -> Column:
-    """The value as a generated column: plans that refer to it in a lambda don't compute it again for each element."""
-    return F.explode(F.array(value)).alias(name)
-
-
 def lines_of(rows: DataFrame) -> DataFrame:
     """doc, tie, i (line number from 1), x (hash), h (short hash), w (words) of lines with words; line 0 stands before each text."""
     lines = rows.where("text is not null").select("doc", "tie", F.posexplode(F.split(F.concat(F.lit("\n"), "text"), "\n", -1)).alias("i", "line"))

@@ -5,8 +5,8 @@ document a posterior over domains. Naive Bayes is too sure of itself, as words a
 likelihoods are divided by a power of the number of words and scaled, both chosen by the likelihood of labelled
 documents that were held out. Nonnegative rates, one a document, are then fitted so that the expected tokens of each
 domain match the targets: least squares by projected gradient. The residual has one number a domain; a step moves
-every rate by the posterior times the residual (scaled by the inverse of the domains' second moments) and cuts it at
-zero. Rates are a function of the posterior, rounded to a cell of a grid, and the residuals so far; expected tokens
+every rate by the posterior times the residual (scaled by the inverse of the domains' second moments over the rates
+that aren't cut) and cuts it at zero. Rates are a function of the posterior, rounded to a cell of a grid, and the residuals so far; expected tokens
 are added up by cell from the exact posteriors once, a step is one scan of these sums that gives as many numbers as
 there are domains, and nothing of a document ever leaves the executors.
 
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import once, release, stored
 
 BUCKETS = 1 << 13
 GRID = 1024  # cells of posteriors: rates are alike where these round alike
@@ -79,25 +79,32 @@ def scored(docs: DataFrame, logs: list[list[float]]) -> DataFrame:
     return rows.withColumn("n_buckets", F.size("buckets")).withColumn("scores", F.array(*map(score, logs))).drop("buckets")
 
 
-def weighed(logs: list[list[float]], power: float, scale: float) -> Column:
+def weighed(logs: list[list[float]], power: Column, scale: Column) -> Column:
     """Log posterior by domain, up to a constant, from scores and n_buckets."""
-    own = F.lit(scale) / F.pow(F.greatest("n_buckets", F.lit(1)).cast("double"), F.lit(power))
+    own = scale / F.pow(F.greatest("n_buckets", F.lit(1)).cast("double"), power)
     return F.array(*(F.col("scores")[k] * own + F.lit(prior[-1]) for k, prior in enumerate(logs)))
 
 
-def calibrate(held: DataFrame, domains: list[str], logs: list[list[float]]) -> tuple[float, float]:
-    """(power, scale) under which the domains of `held` (text, domain) are likeliest; (0, 1), plain naive Bayes, without rows."""
-    choices = [(p, s) for p in POWERS for s in SCALES]
-    rows = stored(scored(held.select("text", "domain"), logs).where("n_buckets > 0"), "held")
-    at = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("int")
+def exponentials(z: Column) -> Column:
+    """Of each value, the largest first brought to zero."""
+    return F.transform(z, lambda x: F.exp(F.greatest(x - F.array_max(z), F.lit(-700.0))))
+
+
+def total_of(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
-    def loss(power: float, scale: float) -> Column:
-        z = weighed(logs, power, scale)
-        return F.sum(F.array_max(z) + F.log(F.aggregate(F.transform(z, lambda x: F.exp(F.greatest(x - F.array_max(z), F.lit(-700.0)))), F.lit(0.0), lambda a, x: a + x)) - F.element_at(z, at))
 
-    losses = rows.agg(*(loss(*c) for c in choices)).first()
+def calibrate(held: DataFrame, domains: list[str], logs: list[list[float]]) -> tuple[float, float]:
+    """(power, scale) under which the domains of `held` (text, domain) are likeliest; (0, 1), plain naive Bayes, without rows."""
+    choices = F.array(*(F.struct(F.lit(p).alias("power"), F.lit(s).alias("scale")) for p in POWERS for s in SCALES))
+    at = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("int").alias("at")
+    rows = stored(scored(held.select("text", "domain"), logs).where("n_buckets > 0").select("n_buckets", "scores", at), "held")
+    each = rows.select("n_buckets", "scores", "at", F.explode(choices).alias("c")).select("at", "c.power", "c.scale", weighed(logs, F.col("c.power"), F.col("c.scale")).alias("z"))
+    loss = F.array_max("z") + F.log(total_of(exponentials(F.col("z")))) - F.element_at("z", F.col("at"))
+    losses = each.groupBy("power", "scale").agg(F.sum(loss).alias("loss")).collect()
     release(rows)
-    return min(zip(losses, choices, strict=True))[1] if losses[0] is not None else (0.0, 1.0)
+    best = min(((r["loss"], r["power"], r["scale"]) for r in losses), default=(0, 0.0, 1.0))
+    return best[1], best[2]
 
 
 def posteriors(docs: DataFrame, logs: list[list[float]], power: float = 0.0, scale: float = 1.0) -> DataFrame:
@@ -105,43 +112,56 @@ def posteriors(docs: DataFrame, logs: list[list[float]], power: float = 0.0, sca
 
     Texts without words have the prior.
     """
-    rows = scored(docs, logs).withColumn("z", weighed(logs, power, scale))
-    rows = rows.withColumn("odds", F.transform("z", lambda z: F.exp(F.greatest(z - F.array_max("z"), F.lit(-700.0)))))
-    rows = rows.withColumn("whole_odds", F.aggregate("odds", F.lit(0.0), lambda a, x: a + x))
+    rows = scored(docs, logs).withColumn("z", weighed(logs, F.lit(power), F.lit(scale)))
+    rows = rows.withColumn("odds", exponentials(F.col("z"))).withColumn("whole_odds", total_of(F.col("odds")))
     rows = rows.withColumn("p", F.transform("odds", lambda o: o / F.col("whole_odds")))
-    return rows.withColumn("cell", F.transform("p", lambda x: F.round(x * GRID).cast("int"))).drop("scores", "n_buckets", "z", "odds", "whole_odds")
+    cell = F.transform("p", lambda x: F.round(x * GRID).cast("int")).alias("cell")
+    return rows.select("*", cell).select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], once(F.struct("n_tokens", "p", "cell"), "own")).select("*", "own.*").drop("own")
 
 
-def fit_rates(rows: DataFrame, weights: list[float], growth: float = 1.0, anchor: int | None = None, steps: int = 100, tolerance: float = 1e-6) -> tuple[Column, float]:
+def fit_rates(rows: DataFrame, weights: list[float], growth: float = 1.0, anchor: int | None = None, steps: int = 60, tolerance: float = 1e-6) -> tuple[Column, float]:
     """(rate of a row as a column, residual) of `rows` (n_tokens, p, cell), so that expected tokens by domain match `weights`.
 
     Weights are scaled to add up to one. Without tokens every rate is one. Rates start at `growth`, and the expected
     tokens of all rows shall be so many times what they are. No rate falls below zero; with `anchor`, none of a row
     whose likeliest domain that is falls below one, so none of them is lost. The residual is the largest difference
-    between a domain's share and its weight after the last step; where the targets can't be met the fit is the nearest
-    that the steps reach.
+    between a domain's share and its weight after the best step; where the targets can't be met the fit is the nearest
+    that was reached before five steps brought it down by less than 2 % each.
     """
     k, tokens = len(weights), F.col("n_tokens").cast("double")
     names = [f"e{i}" for i in range(k)]
     cells = stored(rows.groupBy("cell").agg(*(F.sum(tokens * F.col("p")[i]).alias(e) for i, e in enumerate(names))), "cells")  # a rate depends on the cell alone
     at = [F.col("cell")[i] / F.lit(float(GRID)) for i in range(k)]
-    sums = cells.agg(*(F.coalesce(F.sum(e), F.lit(0.0)) for e in names), *(F.coalesce(F.sum(F.col(e) * x), F.lit(0.0)) for e in names for x in at)).first()
-    total, target = sum(sums[:k]), np.array(weights) / sum(weights)
+    total, target = sum(cells.agg(*(F.coalesce(F.sum(e), F.lit(0.0)) for e in names)).first()), np.array(weights) / sum(weights)
     if not total:
         release(cells)
         return F.lit(1.0), 0.0
-    scale = np.linalg.pinv(np.array(sums[k:]).reshape(k, k) / total, rcond=1e-9)
     likeliest = F.array_position("cell", F.array_max("cell")) - 1
     least = F.when(likeliest == anchor, 1.0).otherwise(0.0) if anchor is not None else F.lit(0.0)
-    rate, history = F.lit(float(growth)), []
+
+    def after(moves: list[list[float]]) -> Column:
+        """The rate once it has been moved and cut so often."""
+        if not moves:
+            return F.lit(float(growth))
+        flat = constants([x for v in moves for x in v])
+        step = lambda r, t: F.greatest(least, r - sum((at[i] * F.element_at(flat, t * k + i + 1) for i in range(k)), F.lit(0.0)))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(len(moves) - 1)), F.lit(float(growth)), step)
+
+    moves, best, reached = [], [], float("inf")
     while True:
-        share = np.array(cells.agg(*(F.sum(rate * F.col(e)) for e in names)).first(), float) / (growth * total)
-        residual = float(np.abs(share - target).max())
-        if residual < tolerance or len(history) == steps:
+        now = cells.select(*names, *(x.alias(f"p{i}") for i, x in enumerate(at)), after(moves).alias("rate"), least.alias("least"))
+        free = (F.col("rate") > F.col("least")).cast("double")
+        sums = np.array(now.agg(*(F.sum(F.col("rate") * F.col(e)) for e in names), *(F.sum(free * F.col(e) * F.col(f"p{i}")) for e in names for i in range(k))).first(), float) / (growth * total)
+        off = sums[:k] - target
+        if np.abs(off).max() < 0.98 * reached or len(moves) < 3:
+            if np.abs(off).max() < reached:
+                best, reached, since = list(moves), float(np.abs(off).max()), 0
+        else:
+            since += 1
+        if reached < tolerance or since == 5 or len(moves) == steps:
             break
-        history.append([float(x) for x in scale @ (share - target) * growth])
-        moves = F.array(*(F.array(*map(F.lit, v)) for v in history))
-        rate = F.aggregate(moves, F.lit(float(growth)), lambda r, v: F.greatest(least, r - sum((at[i] * v[i] for i in range(k)), F.lit(0.0))))
+        moves.append([float(x) for x in np.linalg.pinv(sums[k:].reshape(k, k), rcond=1e-9) @ off])
+    rate, residual = after(best), reached
     release(cells)
     return rate, residual
 
@@ -169,7 +189,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], growth:
 
     copies: the rate's whole part, and one more where a hash of doc_id and text falls below its fraction, so rows
     are decided alone and always alike. Repeated rows get the same copies. Null and empty texts have no tokens and
-    the prior. residual is that of the fit. Tokens are letters' and signs' runs and single digits, as byte-pair
+    the prior. residual is that of fit_rates(). Tokens are letters' and signs' runs and single digits, as byte-pair
     vocabularies cut them first. Other columns of `docs` are not read; texts of any length are read whole.
     """
     domains = sorted(targets)

@@ -428,13 +428,18 @@ def brute_mix(docs, labels, targets, growth, anchor):
     cell = np.floor(p * mixing.GRID + 0.5)
     least = np.where(cell.argmax(axis=1) == domains.index(anchor), 1.0, 0.0)
     target, at, total = np.array([targets[d] for d in domains]), cell / mixing.GRID, n.sum()
-    scale_ = np.linalg.pinv((p * n[:, None]).T @ at / total, rcond=1e-9)
-    rate = np.full(len(docs), float(growth))
-    for _ in range(100):
-        share = (rate * n) @ p / (growth * total)
-        if np.abs(share - target).max() < 1e-6:
+    rate, best, since = np.full(len(docs), float(growth)), (np.inf, None), 0
+    for step in range(61):
+        off = (rate * n) @ p / (growth * total) - target
+        if (now := np.abs(off).max()) < 0.98 * best[0] or step < 3:
+            best, since = ((now, rate), 0) if now < best[0] else (best, since)
+        else:
+            since += 1
+        if best[0] < 1e-6 or since == 5:
             break
-        rate = np.maximum(least, rate - at @ (scale_ @ (share - target) * growth))
+        free = (rate > least)[:, None]
+        rate = np.maximum(least, rate - at @ (np.linalg.pinv((p * n[:, None] * free).T @ at / (growth * total), rcond=1e-9) @ off))
+    rate = best[1]
     return p, n, rate
 
 
