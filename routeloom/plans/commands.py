@@ -111,7 +111,7 @@ def render(routes: DataFrame, findings: DataFrame, config: Config, form: str, ti
     if form == "json":
         target = F.struct(F.lit(title).alias("module"), F.lit(None).cast(BUILD_CONTEXT).alias("buildContext"))
         return sinks.one(sinks.reports_json(routes, findings, target, policies=tuple(p.id for p in config.policies)), "report")
-    return {"pretty": lambda: sinks.pretty(routes), "markdown": lambda: sinks.markdown(routes, title), "sarif": lambda: sinks.sarif(findings), "html": lambda: sinks.html(routes, title)}[form]()
+    return {"pretty": lambda: sinks.pretty(routes, findings=findings), "markdown": lambda: sinks.markdown(routes, title, findings=findings), "sarif": lambda: sinks.sarif(findings), "html": lambda: sinks.html(routes, title)}[form]()
 
 
 def schema(kind: str) -> str:

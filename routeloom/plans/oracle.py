@@ -215,6 +215,6 @@ def oracle_sql() -> dict[str, str]:
           SELECT event_id AS ord, coalesce(array_to_string(CASE WHEN kind = 'fallback' THEN list(symbol ORDER BY event_id) FILTER (kind = 'use') OVER (PARTITION BY user_id) ELSE list(symbol ORDER BY event_id) FILTER (kind = 'use') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END, ','), '') AS chain FROM k QUALIFY kind <> 'use'""",
         "report_order": now("SELECT target, row_number() OVER (PARTITION BY target ORDER BY method, path, route_id) - 1 AS at, route_id FROM e"),
         "sarif_results": now(f"SELECT {FP} AS fingerprint, CASE severity WHEN 'high' THEN 1 ELSE 2 END AS severity_rank, CASE severity WHEN 'high' THEN 'error' ELSE 'warning' END AS level, rule FROM fnd"),
-        "markdown_lines": now("SELECT route_id, '| ' || method || ' | ' || path || ' | ' || status || ' | ' || (SELECT string_agg(coalesce(symbol, 'func literal'), ' → ' ORDER BY pos) FROM mw WHERE mw.route_id = cls.route_id) || ' |' AS line FROM cls"),
+        "markdown_lines": now("SELECT route_id, '| ' || method || ' | `' || path || '` | [' || status || coalesce('/' || coalesce(gshape, CASE WHEN basis LIKE 'unconf%' THEN 'confirmed-shape' END), '') || CASE WHEN accepted THEN ', accepted' ELSE '' END || '] | ' || (SELECT string_agg(coalesce(symbol, 'func literal'), ' → ' ORDER BY pos) FROM mw WHERE mw.route_id = cls.route_id) || ' | acme/api.Handler' || (k % 10) || ' | router.go:' || route_id || ' |' AS line FROM cls"),
     }
     return out

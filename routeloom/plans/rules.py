@@ -62,6 +62,17 @@ def markdown_cells(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages", page_id="page_id", t="concat('a|b`c\\\\d\\r\\n', html)").select("page_id", F.md5(render.markdown_escape(F.col("t"))).alias("cell"))
 
 
+def markdown_findings(spark: SparkSession, d: str) -> DataFrame:
+    rows = c.findings_of(q.classified(spark, d)).withColumns({"detail": F.lit("x|y"), "recommendation": F.when(F.col("ord") % 2 == 0, "<b>")})
+    return render.markdown_findings(rows).select(F.col("at.ord").alias("route_id"), F.col("at.fingerprint").alias("fingerprint"), "line")
+
+
+def sarif_notifications(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "supplier", code="concat('c', s_suppkey % 3)", severity="element_at(array('error', 'warning', 'info'), cast(s_suppkey % 3 + 1 AS int))", message="concat('m|', s_suppkey)", source="CASE WHEN s_suppkey % 2 = 0 THEN named_struct('file', 'a.go', 'line', CASE WHEN s_suppkey % 4 = 0 THEN cast(s_suppkey AS int) END) END")
+    at = lambda path: F.get_json_object("result", path)
+    return render.sarif_notifications(rows).select(at("$.descriptor.id").alias("code"), at("$.level").alias("level"), at("$.message.text").alias("message"), at("$.locations[0].physicalLocation.artifactLocation.uri").alias("uri"), F.coalesce(at("$.locations[0].physicalLocation.region.startLine"), F.lit("-")).alias("line"))
+
+
 def engine_findings(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "supplier", engine="concat('e', s_suppkey)", mode="CASE s_suppkey % 3 WHEN 0 THEN 'debug' WHEN 1 THEN 'release' END", trusted="CASE s_suppkey % 4 WHEN 0 THEN array('10.0.0.0/8', '0.0.0.0/0') WHEN 1 THEN array('::/0') WHEN 2 THEN array() END")
     return summary.engine_findings(rows)
@@ -237,4 +248,4 @@ def report_json(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-ALL = (text_rules, joined_paths, template_rules, scope_filter, markdown_cells, engine_findings, scan_coverage, compatibility, fingerprint_mismatch, reuse, review_queue, docs_overview, fleet_delta_summary, repo_groups, review_decisions, review_summary, hidden_methods, openapi_overlay, documented_ids, openapi_descriptions, openapi_conflicts, component_merge, unknown_references, last_wins, type_schemas, global_merge, uncalled_registrars, annotation_join, nested_groups, report_json)
+ALL = (text_rules, joined_paths, template_rules, scope_filter, markdown_cells, markdown_findings, sarif_notifications, engine_findings, scan_coverage, compatibility, fingerprint_mismatch, reuse, review_queue, docs_overview, fleet_delta_summary, repo_groups, review_decisions, review_summary, hidden_methods, openapi_overlay, documented_ids, openapi_descriptions, openapi_conflicts, component_merge, unknown_references, last_wins, type_schemas, global_merge, uncalled_registrars, annotation_join, nested_groups, report_json)

@@ -54,6 +54,8 @@ def oracle_sql() -> dict[str, str]:
             CASE m WHEN 1 THEN 'v' || k WHEN 2 THEN 'files' WHEN 3 THEN 'a-b' ELSE 'default' END AS tag, CASE m WHEN 0 THEN 'getRoot' WHEN 1 THEN 'getV' || k || 'UsersById' WHEN 2 THEN 'getFilesByPath' WHEN 3 THEN 'getABCDByXByY' ELSE 'getByOnly' END AS operation FROM p""",
         "scope_filter": "SELECT p_partkey AS k, p_partkey % 5 BETWEEN 1 AND 3 AND p_partkey % 3 <> 2 AS inside FROM part",
         "markdown_cells": r"""SELECT page_id, md5(replace(replace(replace(replace(replace(replace(replace(replace('a|b`c\d' || chr(13) || chr(10) || html, '\', '\\'), '|', '\|'), '`', ''''), chr(13) || chr(10), ' '), chr(10), ' '), chr(13), ' '), '<', '&lt;'), '>', '&gt;')) AS cell FROM pages""",
+        "markdown_findings": now(f"SELECT route_id, {FP} AS fingerprint, '- **' || severity || '** `' || rule || '` · `' || route || '` — x\\|y' || CASE WHEN route_id % 2 = 0 THEN chr(10) || '  - _Recommendation:_ &lt;b&gt;' ELSE '' END AS line FROM fnd"),
+        "sarif_notifications": "SELECT 'c' || (s_suppkey % 3) AS code, ['error', 'warning', 'note'][s_suppkey % 3 + 1] AS level, 'm\\|' || s_suppkey AS message, CASE WHEN s_suppkey % 2 = 0 THEN 'a.go' END AS uri, CASE WHEN s_suppkey % 4 = 0 THEN CAST(s_suppkey AS VARCHAR) ELSE '-' END AS line FROM supplier",
         "engine_findings": "SELECT 'e' || s_suppkey AS engine, 'trust-all-proxies' AS \"ruleId\", 'medium' AS severity FROM supplier WHERE s_suppkey % 4 < 2 UNION ALL SELECT 'e' || s_suppkey, 'debug-mode', 'low' FROM supplier WHERE s_suppkey % 3 = 0",
         "scan_coverage": """WITH p AS (SELECT 'repo-' || (p_partkey % 5) AS target, p_size AS files, p_partkey % 45 = 1 AS bad, p_partkey % 50 = 2 AS lost FROM part), s AS (SELECT 'repo-' || (s_suppkey % 4) AS target, count(*) FILTER (s_suppkey % 8 IN (3, 6)) AS n FROM supplier GROUP BY 1)
           SELECT target, count(*) AS discovered_packages, count(*) FILTER (bad) AS failed_packages, CAST(sum(files) AS BIGINT) AS discovered_files, CAST(coalesce(sum(files) FILTER (bad), 0) AS BIGINT) AS failed_files, count(*) FILTER (lost) AS load_errors, coalesce(any_value(n), 0) AS unresolved_registrations, count(*) FILTER (bad) = 0 AND count(*) FILTER (lost) = 0 AND coalesce(any_value(n), 0) = 0 AS complete FROM p LEFT JOIN s USING (target) GROUP BY target""",

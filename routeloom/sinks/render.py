@@ -70,17 +70,48 @@ def markdown_escape(text: Column) -> Column:
     return out
 
 
-def markdown_routes(routes: DataFrame) -> DataFrame:
-    """ord, line: a table row for each route."""
-    names = F.array_join(F.transform("middleware", lambda m: markdown_escape(F.coalesce(m["displayName"], F.lit("?")))), " → ")
-    return routes.select("ord", F.concat(F.lit("| "), F.concat_ws(" | ", "method", markdown_escape(F.col("normalizedPath")), F.coalesce(F.col("auth.authStatus"), F.lit("-")), names), F.lit(" |")).alias("line"))
+def auth_label(auth: Column) -> Column:
+    """[status/enforcement, accepted], as far as known; empty without classification."""
+    label = F.concat(F.lit("["), auth["authStatus"], F.coalesce(F.concat(F.lit("/"), auth["enforcementAnalysis"]), F.lit("")), F.when(auth["accepted"], ", accepted").otherwise(""), F.lit("]"))
+    return F.coalesce(label, F.lit(""))
+
+
+def source_label(source: Column) -> Column:
+    return F.coalesce(F.concat_ws(":", source["file"], source["line"].cast("string")), F.lit(""))
+
+
+def markdown_code(text: Column) -> Column:
+    return F.concat(F.lit("`"), markdown_escape(text), F.lit("`"))
+
+
+def markdown_routes(routes: DataFrame, audit: bool = True) -> DataFrame:
+    """ord, line: a table row for each route: method, path, authentication (audits), chain, handler, source."""
+    name = lambda c: markdown_escape(F.coalesce(c, F.lit("?")))
+    chain = F.when(F.size("middleware") > 0, F.array_join(F.transform("middleware", lambda m: name(m["displayName"])), " → ")).otherwise("—")
+    cells = [markdown_escape(F.col("method")), markdown_code(F.col("normalizedPath")), *([markdown_escape(auth_label(F.col("auth")))] * audit), chain, name(F.col("finalHandler.displayName")), markdown_escape(source_label(F.col("source")))]
+    return routes.select("ord", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def markdown_findings(findings: DataFrame) -> DataFrame:
+    """at (severity, fingerprint, ord), line: a list item for each finding, with its recommendation below it."""
+    route = F.coalesce(F.concat(F.lit(" · "), markdown_code(F.col("route"))), F.lit(""))
+    advice = F.when(F.coalesce("recommendation", F.lit("")) != "", F.concat(F.lit("\n  - _Recommendation:_ "), markdown_escape(F.col("recommendation")))).otherwise("")
+    line = F.concat(F.lit("- **"), "severity", F.lit("** `"), markdown_escape(F.col("ruleId")), F.lit("`"), route, F.lit(" — "), markdown_escape(F.coalesce("detail", F.lit(""))), advice)
+    return findings.select(F.struct(severity_rank(F.col("severity")).alias("severity"), "fingerprint", "ord").alias("at"), line.alias("line"))
 
 
 def pretty_routes(routes: DataFrame) -> DataFrame:
     """ord, line: aligned text."""
-    label = F.coalesce(F.when(F.col("auth.accepted"), F.lit("public (accepted)")).otherwise(F.col("auth.authStatus")), F.lit("-"))
     chain = F.array_join(F.transform("middleware", lambda m: F.coalesce(m["displayName"], F.lit("?"))), ", ")
-    return routes.select("ord", F.format_string("%-7s %-40s %-18s %s", "method", "normalizedPath", label, chain).alias("line"))
+    handler = F.coalesce("finalHandler.displayName", F.lit("?"))
+    return routes.select("ord", F.format_string("%-7s %-40s %-34s %s -> %s  %s", "method", "normalizedPath", auth_label(F.col("auth")), chain, handler, source_label(F.col("source"))).alias("line"))
+
+
+def totals_line(routes: DataFrame) -> str:
+    """Routes by status, one sentence."""
+    status, attested = F.col("auth.authStatus"), F.coalesce(F.col("auth.classificationBasis") == "configured-guard-attested", F.lit(False))
+    n = routes.agg(F.count(F.lit(1)), F.count_if((status == "proven") & ~attested), F.count_if(attested), F.count_if(status == "public"), F.count_if(status == "unknown")).first()
+    return f"{n[0]} route(s): {n[1]} proven (confirmed-shape), {n[2]} proven (attested), {n[3]} public, {n[4]} unknown"
 
 
 def sarif_level(severity: Column) -> Column:
@@ -99,10 +130,23 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.select(F.struct(severity_rank(F.col("severity")).alias("severity"), "fingerprint").alias("at"), F.to_json(result).alias("result"))
 
 
-def sarif(findings: DataFrame, most: int = 64 << 20) -> str:
+def sarif_notifications(diagnostics: DataFrame) -> DataFrame:
+    """at, result: a notification for each diagnostic (code, severity, message, source): problems of the scan, not of the code."""
+    level = F.when(F.col("severity") == "error", "error").when(F.col("severity") == "warning", "warning").otherwise("note")
+    place = F.when(F.col("source").isNotNull(), F.array(F.struct(F.struct(F.struct(F.col("source.file").alias("uri")).alias("artifactLocation"), F.when(F.col("source.line").isNotNull(), F.struct(F.col("source.line").alias("startLine"))).alias("region")).alias("physicalLocation"))))
+    note = F.struct(F.struct(F.col("code").alias("id")).alias("descriptor"), level.alias("level"), F.struct(markdown_escape(F.col("message")).alias("text")).alias("message"), place.alias("locations"))
+    return diagnostics.select(F.struct("code", "message").alias("at"), F.to_json(note).alias("result"))
+
+
+def sarif(findings: DataFrame, most: int = 64 << 20, diagnostics: DataFrame | None = None, complete: bool = True) -> str:
+    """A SARIF log of findings as results, and of diagnostics and an incomplete scan as notifications of the run."""
     results = _ordered(sarif_results(findings).select("at", F.col("result").alias("line")), most)
+    notes = [] if diagnostics is None else [json.loads(r) for r in _ordered(sarif_notifications(diagnostics).select("at", F.col("result").alias("line")), most)]
+    if not complete:
+        notes.append({"descriptor": {"id": "incomplete-analysis"}, "level": "warning", "message": {"text": "the scan is incomplete: scanCoverage in the JSON report says what could not be resolved"}})
     rules = sorted({json.loads(r)["ruleId"] for r in results})
-    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "routeloom", "rules": [{"id": r} for r in rules]}}, "results": [json.loads(r) for r in results]}]}, sort_keys=True)
+    run = {"tool": {"driver": {"name": "routeloom", "rules": [{"id": r} for r in rules]}}, "results": [json.loads(r) for r in results], "invocations": [{"executionSuccessful": True} | ({"toolExecutionNotifications": notes} if notes else {})]}
+    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}, sort_keys=True)
 
 
 def openapi(operations: DataFrame, title: str, version: str = "0.0.0", most: int = 64 << 20, *, info: dict | None = None, servers: list[str] = (), tags: list[dict] = (), schemes: dict[str, dict] | None = None, schemas: DataFrame | None = None, accept: str = "application/json") -> str:
@@ -158,13 +202,24 @@ def html(routes: DataFrame, title: str, most: int = 64 << 20) -> str:
     return f'<!doctype html><meta charset="utf-8"><title>{_html.escape(title)}</title><h1>{_html.escape(title)}</h1><table id="t"></table><script type="application/json" id="d">{data}</script><script>for(const r of JSON.parse(d.textContent)){{const x=t.insertRow();x.insertCell().textContent=r.route;x.insertCell().textContent=r.status??"-"}}</script>'
 
 
-def markdown(routes: DataFrame, title: str, most: int = 64 << 20) -> str:
+def markdown(routes: DataFrame, title: str, most: int = 64 << 20, findings: DataFrame | None = None) -> str:
     lines = _ordered(markdown_routes(routes).select(F.col("ord").alias("at"), "line"), most)
-    return "\n".join([f"# {title}", "", "| Method | Path | Auth | Middleware |", "|---|---|---|---|", *lines, ""])
-
-
-def pretty(routes: DataFrame, most: int = 64 << 20) -> str:
-    return "\n".join(_ordered(pretty_routes(routes).select(F.col("ord").alias("at"), "line"), most)) + "\n"
+    head = ["| Method | Path | Auth | Middleware | Handler | Source |", "| --- | --- | --- | --- | --- | --- |"] if lines else ["_None._"]
+    out = [f"# {title}", "", "## Summary", "", totals_line(routes), "", f"## Routes ({len(lines)})", "", *head, *lines, ""]
+    if findings is not None:
+        found = _ordered(markdown_findings(findings), most)
+        out += [f"## Findings ({len(found)})", "", *(found or ["_None._"]), ""]
+    return "\n".join(out)
+
+
+def pretty(routes: DataFrame, most: int = 64 << 20, findings: DataFrame | None = None) -> str:
+    lines = _ordered(pretty_routes(routes).select(F.col("ord").alias("at"), "line"), most)
+    out = ["SUMMARY", f"  {totals_line(routes)}", "", f"ROUTES ({len(lines)})", *(f"  {x}" for x in lines or ["(none)"]), ""]
+    if findings is not None:
+        text = F.format_string("%-8s %s %s", "severity", "ruleId", F.coalesce("route", F.lit("")))
+        found = _ordered(findings.select(F.struct(severity_rank(F.col("severity")).alias("severity"), "fingerprint", "ord").alias("at"), text.alias("line")), most)
+        out += [f"FINDINGS ({len(found)})", *(f"  {x}" for x in found or ["(none)"]), ""]
+    return "\n".join(out)
 
 
 def _ordered(lines: DataFrame, most: int) -> list[str]:
