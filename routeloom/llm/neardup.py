@@ -354,6 +354,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_firsts(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all columns, that are the first of their group."""
+    """The rows of `docs`, with all columns whatever their names, that are the first of their group.
+
+    Texts without words and rows without doc_id are groups of their own and stay; rows of one doc_id stay or go together.
+    """
     kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").union(docs.where("doc_id is null")).select(docs.columns)

@@ -119,5 +119,8 @@ def pack(rows: DataFrame, capacity: int = 2048) -> DataFrame:
 
 
 def best_fit(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """Pieces of `docs` (doc_id, text) with their sequence and offset."""
+    """Pieces of `docs` (doc_id, text) with their sequence and offset; nulls, repeated rows and no rows as in pieces() and pack().
+
+    Other columns are not read; a document of any length is cut into as many pieces as it needs.
+    """
     return pack(stored(pieces(docs, path, capacity, end_id), "pieces"), capacity)

@@ -140,7 +140,8 @@ def judge(text: str | None, measures: Fertility) -> tuple:
 def quality(docs: DataFrame, path: str) -> DataFrame:
     """Measures and verdict for each row of `docs` (doc_id, text); `path`: a vocabulary with byte fallback.
 
-    Null and empty texts have no words and fail the base rule; repeated rows give repeated rows. No shuffle.
+    Null and empty texts have no words and fail the base rule; repeated rows give repeated rows; other columns are not
+    read. Texts of any length are measured whole, in memory in proportion to the text. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +156,10 @@ def quality(docs: DataFrame, path: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, path: str) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose text passes; the verdict is made in the same pass."""
+    """The rows of `docs`, with all their columns, whose text passes; the verdict is made in the same pass.
+
+    Null and empty texts don't pass; repeated rows pass alike; other columns may have any name. No rows give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measures = fertility(path)

@@ -162,10 +162,10 @@ def read_tokens(spark, files: list[tuple[str, int, int, int]], wanted: set[int]
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame([(f[0], f[3]) for f in files], "path string, before long")
-    return listed.repartition(max(1, len(files))).mapInArrow(read, READ)
+    return listed.repartition(max(1, min(len(files), 8 * spark.sparkContext.defaultParallelism))).mapInArrow(read, READ)
 
 
 def token_files(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
-    """Write, then read back."""
+    """Write the ids of `docs` (doc_id, text), then read them back; nulls, ties and repeated rows as in write_tokens()."""
     spark = docs.sparkSession
     return read_tokens(spark, write_tokens(docs, vocabulary, new_folder(spark, "tokens"), end_id))

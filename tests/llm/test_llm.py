@@ -606,3 +606,39 @@ def test_line_dedup_matches_duckdb(spark, kind):
     want = con.sql(queries.OP6_SQL).df()
     got = queries.digest(linededup.dedup_lines(docs.select("doc_id", "text"))).toPandas()
     assert sorted(map(repr, got[sorted(got)].values.tolist())) == sorted(map(repr, want[sorted(want)].values.tolist()))
+
+
+def test_stages_on_odd_rows(spark, odd, none):
+    """Nulls, empties, repeated rows, no rows and columns of any name go through every stage."""
+    import corpus_pipeline
+
+    names = "class id component kept signature copies p cell whole lines gone doc tie spans n_lines piece length salt rank".split()
+    more = odd.select("doc_id", "text", *[F.lit(n).alias(n) for n in names])
+    for docs in (more, none):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, docs, DATA)
+            assert got.columns == docs.columns
+            rows = got.collect()
+            assert all(r[n] == n for r in rows for n in names if n in docs.columns and n != "n_lines" and docs is more)
+            assert docs is more or not rows
+        assert corpus_pipeline.packed(spark, docs, DATA).count() == sum(x["length"] > 0 for x in packing.pieces(docs, WORD).collect())
+
+
+def test_very_long_texts(spark):
+    """Texts of a few megabytes, with and without white space, and beside them a short one."""
+    r = random.Random(8)
+    words = [f"word{i}" for i in range(5000)]
+    prose = "\n".join(" ".join(r.choice(words) for _ in range(20)) for _ in range(10_000))
+    docs = spark.createDataFrame([(1, prose, "en"), (2, prose + " end", "en"), (3, "x" * 1_000_000, None), (4, "short text", "en")], "doc_id long, text string, lang string")
+    by = lambda rows: {x["doc_id"]: x for x in rows.collect()}
+    assert by(quality.quality(docs, PIECE))[1]["n_words"] == 200_000
+    n = by(transducer.token_counts(docs, WORD))
+    packed = Counter()
+    for x in packing.best_fit(docs, WORD).collect():
+        packed[x["doc_id"]] += x["length"]
+    assert packed == {i: n[i]["n_tokens"] + 1 for i in n}
+    assert by(licenses.scan(docs))[2]["n_words"] == 200_001
+    assert {i: x["n_removed_lines"] for i, x in by(linededup.dedup_lines(docs)).items()} == {1: 0, 2: 9_999, 3: 0, 4: 0}
+    assert {i: x["component_id"] for i, x in by(neardup.near_duplicates(docs)).items()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert by(langid.predict(docs, langid.learn(docs)))[1]["lang_pred"] == "en"
+    assert by(tokenfiles.token_files(docs, BYTE))[2]["n_tokens"] > 200_000
