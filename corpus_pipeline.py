@@ -1,4 +1,7 @@
-"""A corpus from raw documents to packed sequences: quality rules, line dedup, near-duplicates, mixing, packing."""
+"""A corpus from raw documents to packed sequences: quality rules, line dedup, near-duplicates, mixing, packing.
+
+Every stage but the last returns the columns of what it gets, whatever else they are named; no rows give no rows.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,7 @@ from routeloom.llm.common import new_folder, table, vocabulary
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules; null and empty texts don't, repeated rows pass alike."""
     return quality.keep_good(docs, vocabulary("piece_bpe_32k.model"))
 
 
@@ -21,17 +24,17 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group."""
+    """One document of each group, its smallest doc_id; documents without doc_id or words stay."""
     return neardup.keep_firsts(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of domains asks for."""
+    """Documents as often as the mix of domains asks for; those likeliest of good quality at least once."""
     return mixing.mixed(docs, table(spark, sf_dir, "labels"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their sequence and offset."""
+    """Pieces with their sequence and offset; null and empty texts are a piece of their end id."""
     return packing.best_fit(docs, vocabulary("word_bpe_49k.json"))
 
 
