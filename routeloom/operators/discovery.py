@@ -67,6 +67,22 @@ def merge_globals(globals_: DataFrame) -> DataFrame:
     return rows.groupBy("field").agg(F.max_by("value", "ord").alias("value"), (F.count_distinct("value") > 1).alias("conflict"))
 
 
+def relativize(rows: DataFrame, root: str, external: DataFrame | None = None) -> DataFrame:
+    """`rows` with `file` relative to `root`; outside of it, module@version/path by `external` (file, module, version, dir).
+
+    A file that nothing names becomes external:unresolved where `external` is given, and stays otherwise: no document
+    shows where a module was kept.
+    """
+    base = root.rstrip("/") + "/"
+    inside = F.col("file").startswith(base)
+    rest = F.col("file")
+    if external is not None:
+        rows = rows.join(external.select("file", "module", F.coalesce("version", F.lit("")).alias("module_version"), "dir"), "file", "left")
+        label = F.concat("module", F.when(F.col("module_version") != "", F.concat(F.lit("@"), "module_version")).otherwise(""), F.lit("/"), F.expr("substr(file, length(dir) + 2)"))
+        rest = F.coalesce(label, F.lit("external:unresolved"))
+    return rows.withColumn("file", F.when(inside, F.substr("file", F.lit(len(base) + 1))).otherwise(rest)).drop("module", "module_version", "dir")
+
+
 def canonical_order(routes: DataFrame, *by: str) -> DataFrame:
     """`ord` by method, path and source, no source first."""
     w = Window.partitionBy(*by).orderBy("method", "normalizedPath", F.col("source.file").asc_nulls_first(), F.col("source.line").asc_nulls_first())

@@ -188,6 +188,11 @@ def dispositions(repos: DataFrame, include: list[str] = (), exclude: list[str] =
     return rows.select("full_name", "ord", "status", "reason")
 
 
+def manifest_order(results: DataFrame, manifest: DataFrame) -> DataFrame:
+    """`results` (name) with `ord`, their place in `manifest` (name, ord); those it lacks come first, as place 0."""
+    return results.join(manifest.select("name", "ord"), "name", "left").withColumn("ord", F.coalesce("ord", F.lit(0)))
+
+
 def tally(dispositions_: DataFrame) -> DataFrame:
     return dispositions_.groupBy("status", "reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "status", "reason")
 

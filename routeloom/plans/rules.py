@@ -225,6 +225,16 @@ def annotation_join(spark: SparkSession, d: str) -> DataFrame:
     return discovery.enrich(facts(spark, d), docs).select(F.col("ord").alias("route_id"), "swag")
 
 
+def relative_sources(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part", k="p_partkey", file="CASE p_partkey % 3 WHEN 0 THEN concat('/src/app/pkg/f', p_partkey, '.go') WHEN 1 THEN concat('/mod/lib/f', p_partkey, '.go') ELSE concat('/src/apple/f', p_partkey, '.go') END")
+    external = table(spark, d, "part", file="concat('/mod/lib/f', p_partkey, '.go')", module="'acme/lib'", version="CASE WHEN p_partkey % 2 = 0 THEN 'v1.2.0' END", dir="'/mod/lib'")
+    return discovery.relativize(rows, "/src/app", external)
+
+
+def manifest_order(spark: SparkSession, d: str) -> DataFrame:
+    return fleet.manifest_order(table(spark, d, "customer", name="concat('svc-', c_custkey)"), table(spark, d, "orders", name="concat('svc-', o_custkey)", ord="o_custkey * 3").distinct())
+
+
 def nested_groups(spark: SparkSession, d: str) -> DataFrame:
     """A tree of ten children each."""
     groups = table(spark, d, "customer", group_id="c_custkey", parent_id="CASE WHEN c_custkey >= 10 THEN floor(c_custkey / 10) END", prefix="concat('/g', c_custkey % 10, CASE WHEN c_custkey % 4 = 0 THEN '/' ELSE '' END)")
@@ -248,4 +258,4 @@ def report_json(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-ALL = (text_rules, joined_paths, template_rules, scope_filter, markdown_cells, markdown_findings, sarif_notifications, engine_findings, scan_coverage, compatibility, fingerprint_mismatch, reuse, review_queue, docs_overview, fleet_delta_summary, repo_groups, review_decisions, review_summary, hidden_methods, openapi_overlay, documented_ids, openapi_descriptions, openapi_conflicts, component_merge, unknown_references, last_wins, type_schemas, global_merge, uncalled_registrars, annotation_join, nested_groups, report_json)
+ALL = (text_rules, joined_paths, template_rules, scope_filter, markdown_cells, markdown_findings, sarif_notifications, engine_findings, scan_coverage, compatibility, fingerprint_mismatch, reuse, review_queue, docs_overview, fleet_delta_summary, repo_groups, review_decisions, review_summary, hidden_methods, openapi_overlay, documented_ids, openapi_descriptions, openapi_conflicts, component_merge, unknown_references, last_wins, type_schemas, global_merge, uncalled_registrars, annotation_join, relative_sources, manifest_order, nested_groups, report_json)

@@ -87,6 +87,8 @@ def oracle_sql() -> dict[str, str]:
         "global_merge": "WITH g AS (SELECT 'f' || (p_partkey % 6) AS field, p_partkey AS ord, CASE WHEN p_partkey % 6 < 3 THEN 'same' ELSE 'v' || (p_partkey % 7) END AS value FROM part WHERE p_partkey % 4 <> 0) SELECT field, arg_max(value, ord) AS value, count(DISTINCT value) > 1 AS conflict FROM g GROUP BY 1",
         "uncalled_registrars": "SELECT 'acme/routes.R' || c_custkey AS symbol FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
         "annotation_join": now("SELECT route_id, CASE WHEN k % 10 <> 3 THEN 'about ' || (k % 10) END AS swag FROM e"),
+        "relative_sources": "SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'pkg/f' || p_partkey || '.go' WHEN 1 THEN 'acme/lib' || CASE WHEN p_partkey % 2 = 0 THEN '@v1.2.0' ELSE '' END || '/f' || p_partkey || '.go' ELSE 'external:unresolved' END AS file FROM part",
+        "manifest_order": "SELECT 'svc-' || c_custkey AS name, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN c_custkey * 3 ELSE 0 END AS ord FROM customer",
         "nested_groups": """WITH RECURSIVE t(k, path, depth) AS (SELECT c_custkey, '/g' || (c_custkey % 10) || CASE WHEN c_custkey % 4 = 0 THEN '/' ELSE '' END, 0 FROM customer WHERE c_custkey < 10
           UNION ALL SELECT c_custkey, rtrim(path, '/') || '/g' || (c_custkey % 10) || CASE WHEN c_custkey % 4 = 0 THEN '/' ELSE '' END, depth + 1 FROM customer JOIN t ON k = c_custkey // 10 WHERE c_custkey >= 10) SELECT k AS group_id, path, CAST(depth AS BIGINT) AS depth FROM t""",
         "report_json": both(f""", {REPORT}"""),

@@ -15,3 +15,4 @@ TARGET_STATUS = ("ok", "failed", "inconclusive", "not-go-module")
 METHODS = ("GET", "POST", "PUT", "PATCH", "HEAD", "OPTIONS", "DELETE", "CONNECT", "TRACE")
 RISK = {"proven": 0, "unknown": 1, "public": 2}
 SCHEMA_VERSION = "1.0"
+TOOL_VERSION, RULESET_VERSION = "0.2.0", "1"

@@ -11,18 +11,19 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from ..functions.paths import route_key
 from ..functions.symbols import severity_rank
-from ..schema import SCHEMA_VERSION
+from ..schema import AUTH_STATUS, RULESET_VERSION, SCHEMA_VERSION, SEVERITIES, TARGET_STATUS, TOOL_VERSION
 
 
-def reports_json(routes: DataFrame, findings: DataFrame | None, target: Column, *by: str, command: str = "audit", profile: str = "typed", policies: tuple[str, ...] = (), delta: DataFrame | None = None, diagnostics: DataFrame | None = None) -> DataFrame:
+def reports_json(routes: DataFrame, findings: DataFrame | None, target: Column, *by: str, command: str = "audit", profile: str = "typed", policies: tuple[str, ...] = (), delta: DataFrame | None = None, diagnostics: DataFrame | None = None, coverage: DataFrame | None = None) -> DataFrame:
     """`report`: the whole envelope of each report as JSON, which readers.reports() reads back.
 
     `target`: a struct with module and buildContext. Lists are there even when empty, in order; an audit has summary,
     findings, policyEvaluation and activeExceptions, an inventory has none of them. `delta` is compare_routes() with
-    `by`. A report is one document, so its routes meet in one row; write_reports() has no such row.
+    `by`, `coverage` summary.coverage(); without the latter the scan counts as complete. A report is one document, so its routes meet in one row; write_reports() has no such row.
     """
     names = ["method", "ginPath", "normalizedPath", "surfaceKind", "registrationKind", "middleware", "finalHandler", "source", "pathConfidence"] + ["auth"] * (command == "audit")
     listed = lambda rows, at, value: F.transform(F.array_sort(F.collect_list(F.struct(at, value.alias("x")))), lambda e: e["x"])
@@ -33,9 +34,16 @@ def reports_json(routes: DataFrame, findings: DataFrame | None, target: Column,
         rows = diagnostics.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("code", "severity", "message", "route"))).alias("diagnostics"))
         out = joined(out, rows)
     fields = {
-        "schemaVersion": F.lit(SCHEMA_VERSION), "tool": F.lit("routeloom"), "command": F.lit(command), "analysisProfile": F.lit(profile), "target": F.col("report_target"), "routes": F.col("routes"),
+        "schemaVersion": F.lit(SCHEMA_VERSION), "tool": F.lit("routeloom"), "toolVersion": F.lit(TOOL_VERSION), "classifierRulesetVersion": F.lit(RULESET_VERSION), "command": F.lit(command), "analysisProfile": F.lit(profile), "target": F.col("report_target"), "routes": F.col("routes"),
         "globalMiddleware": nothing("string"), "fallbackSurfaces": nothing("string"), "diagnostics": F.coalesce("diagnostics", nothing("struct<code string, severity string, message string, route string>")) if diagnostics is not None else nothing("string"),
     }
+    if coverage is not None:
+        scanned = coverage.select(*by, F.struct(
+            F.col("discovered_packages").alias("discoveredPackages"), (F.col("discovered_packages") - F.col("failed_packages")).alias("analyzedPackages"), F.col("failed_packages").alias("failedPackages"), F.col("discovered_files").alias("discoveredFiles"),
+            (F.col("discovered_files") - F.col("failed_files")).alias("analyzedFiles"), F.col("failed_files").alias("failedFiles"), F.col("unresolved_registrations").alias("unresolvedRegistrations"), F.lit(profile).alias("profile"), "complete",
+        ).alias("scan_coverage"))
+        out = joined(out, scanned)
+    fields["scanCoverage"] = F.col("scan_coverage") if coverage is not None else F.struct(F.lit(profile).alias("profile"), F.lit(True).alias("complete"))
     if command == "audit":
         counts = {"totalRoutes": F.lit(True), "proven": F.col("auth.authStatus") == "proven", "provenByAttestedUnresolved": F.col("auth.classificationBasis") == "configured-guard-attested", "public": F.col("auth.authStatus") == "public", "unknown": F.col("auth.authStatus") == "unknown"}
         out = joined(out, routes.groupBy(*by).agg(F.struct(*(F.count_if(c).alias(k) for k, c in counts.items())).alias("n")))
@@ -235,7 +243,29 @@ def one(documents: DataFrame, column: str, most: int = 64 << 20) -> str:
     return "".join(_ordered(documents.select(F.lit(0).alias("at"), F.col(column).alias("line")), most))
 
 
+#: Fields with a closed set of values.
+CLOSED = {"schemaVersion": (SCHEMA_VERSION,), "command": ("inventory", "audit"), "severity": SEVERITIES, "authStatus": AUTH_STATUS, "assurance": ("analyze", "attested"), "confidence": ("high", "medium", "low")}
+#: What every document must have.
+REQUIRED = {"report": ("schemaVersion", "tool", "toolVersion", "classifierRulesetVersion", "command", "analysisProfile", "target", "routes", "globalMiddleware", "fallbackSurfaces", "scanCoverage", "diagnostics"), "fleet": ("schemaVersion", "kind", "targets"), "config": ()}
+
+
+def json_schema(kind: DataType, name: str = "", closed: dict = CLOSED) -> dict:
+    """JSON Schema of a Spark type; fields in `closed` have only those values."""
+    if isinstance(kind, StructType):
+        return {"type": "object", "additionalProperties": False, "properties": {f.name: json_schema(f.dataType, f.name, closed) for f in kind}}
+    if isinstance(kind, ArrayType):
+        return {"type": "array", "items": json_schema(kind.elementType, "", closed)}
+    if isinstance(kind, MapType):
+        return {"type": "object", "additionalProperties": json_schema(kind.valueType, "", closed)}
+    plain = {"string": "string", "boolean": "boolean", "int": "integer", "bigint": "integer", "double": "number"}[kind.simpleString()]
+    return {"type": plain} | ({"enum": list(closed[name])} if name in closed else {})
+
+
 def schema(kind: str) -> str:
-    """JSON Schema of the main documents' envelopes."""
-    required = {"report": ["schemaVersion", "command", "target", "routes", "findings", "diagnostics"], "fleet": ["schemaVersion", "kind", "targets"], "config": ["version"]}
-    return json.dumps({"$schema": "https://json-schema.org/draft/2020-12/schema", "title": kind, "type": "object", "required": required[kind], "additionalProperties": kind == "config", "properties": {k: {"const": SCHEMA_VERSION} if k == "schemaVersion" else {} for k in required[kind]}}, sort_keys=True)
+    """JSON Schema of a document (report, fleet, config), from the types that the readers have."""
+    from ..sources.readers import AGGREGATE, CONFIGURATION, REPORT, REPORT_REST
+
+    types = {"report": f"{REPORT}, {REPORT_REST}", "fleet": AGGREGATE, "config": CONFIGURATION}[kind]
+    closed = CLOSED | ({"status": TARGET_STATUS} if kind == "fleet" else {})
+    body = json_schema(StructType.fromDDL(types), "", closed) | ({"required": list(REQUIRED[kind])} if REQUIRED[kind] else {})
+    return json.dumps({"$schema": "https://json-schema.org/draft/2020-12/schema", "title": kind} | body, sort_keys=True)

@@ -21,6 +21,19 @@ REPORT = (
     f"findings array<struct<{FINDING.replace(' string', ':string').replace(' struct<', ':struct<')}>>, diagnostics array<struct<code string, severity string, message string, route string>>"
 )
 
+#: What a written report has besides, and the other documents.
+REPORT_REST = (
+    "toolVersion string, classifierRulesetVersion string, globalMiddleware array<string>, fallbackSurfaces array<string>, activeExceptions array<string>, policyEvaluation struct<evaluatedPolicies array<string>>, "
+    "scanCoverage struct<discoveredPackages bigint, analyzedPackages bigint, failedPackages bigint, discoveredFiles bigint, analyzedFiles bigint, failedFiles bigint, unresolvedRegistrations bigint, profile string, complete boolean>, "
+    "summary struct<totalRoutes bigint, provenByConfirmedShape bigint, provenByAttestedUnresolved bigint, public bigint, unknown bigint, findingsBySeverity map<string, bigint>>, "
+    "delta struct<addedRoutes array<string>, removedRoutes array<string>, authRegressions array<struct<method string, path string, `from` string, `to` string, explanation string>>, authImprovements array<struct<method string, path string, `from` string, `to` string, explanation string>>>"
+)
+AGGREGATE = "kind string, schemaVersion string, scanFingerprint string, targets array<struct<name string, status string, complete boolean, pushedAt string, modules array<struct<id string, kind string, status string, complete boolean, routes long, proven long, public long, unknown long>>>>"
+SELECTOR = "struct<method array<string>, path array<string>, status array<string>, tag array<string>, role array<string>, scope array<string>, package array<string>, surfaceKind array<string>>"
+CONFIGURATION = (
+    "version string, authMiddleware map<string, struct<assurance string, tags array<string>, roles array<string>, scopes array<string>, openapiScheme string>>, authWrappers array<string>, acceptedPublic array<string>, "
+    f"policies array<struct<id string, match {SELECTOR}, exceptions array<struct<reason string, expires string, match {SELECTOR}>>>>"
+)
 
 def reports(spark: SparkSession, path: str) -> DataFrame:
     """Saved reports, a file each, with `report_id`; statuses out of their set refuse the read of their row."""
@@ -60,8 +73,7 @@ def manifest(text: str) -> list[dict]:
 
 def aggregates(spark: SparkSession, path: str) -> DataFrame:
     """Targets of saved fleet aggregates; a repeated target name refuses the read."""
-    schema = "kind string, schemaVersion string, scanFingerprint string, targets array<struct<name string, status string, complete boolean, pushedAt string, modules array<struct<id string, kind string, status string, complete boolean, routes long, proven long, public long, unknown long>>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    rows = spark.read.schema(AGGREGATE).option("multiLine", True).json(path)
     names = F.col("targets.name")
     checked = F.when(F.size(F.array_distinct(names)) < F.size(names), F.raise_error(F.lit("a target is named twice"))).otherwise(F.col("targets"))
     return rows.select("scanFingerprint", F.explode(checked).alias("t")).select("scanFingerprint", "t.*")

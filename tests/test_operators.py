@@ -376,3 +376,11 @@ def test_openapi_document(spark):
 def test_markdown_cells_stay_in_their_table(spark):
     rows = spark.createDataFrame([("a|b", 0), ("\\", 1), ("`x`<b>\r\ny\nz", 2), (None, 3)], "t string, i int")
     assert [r[0] for r in rows.orderBy("i").select(render.markdown_escape(F.col("t"))).collect()] == ["a\\|b", "\\\\", "'x'&lt;b&gt; y z", None]
+
+
+def test_schemas_name_every_field():
+    report = json.loads(commands.schema("report"))
+    assert set(report["required"]) <= set(report["properties"]) and report["additionalProperties"] is False
+    assert report["properties"]["routes"]["items"]["properties"]["auth"]["properties"]["authStatus"]["enum"] == ["proven", "public", "unknown"]
+    assert json.loads(commands.schema("fleet"))["properties"]["targets"]["items"]["properties"]["status"]["enum"][0] == "ok"
+    assert "policies" in json.loads(commands.schema("config"))["properties"]
