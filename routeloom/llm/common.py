@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
+from typing import ClassVar
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,8 +88,11 @@ class Memo(dict):
     Emptying a generation changes speed only, so memory stays bounded on any input.
     """
 
+    every: ClassVar[list[weakref.ref]] = []
+
     def __init__(self, make, limit: int, longest: int = 48):
         super().__init__()
+        Memo.every.append(weakref.ref(self))
         self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def __missing__(self, key):
@@ -100,3 +105,11 @@ class Memo(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def forget(*keep: Memo) -> None:
+    """Empty all memos of this worker but `keep`: a worker that runs several operators holds one's at a time."""
+    for memo in filter(None, (ref() for ref in Memo.every)):
+        if not any(memo is k for k in keep):
+            memo.clear()
+            memo.old = {}

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, release, stored
+from .common import Memo, forget, release, stored
 
 WORDS, PERCENT = 5, 75
 TREES, DEPTH, SHALLOW = 16, 8, 3
@@ -51,7 +51,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @lru_cache(maxsize=1)
 def word_hashes() -> Memo:
-    return Memo(lambda w: xxhash.xxh3_64_intdigest(w, 7), 300_000)
+    return Memo(lambda w: xxhash.xxh3_64_intdigest(w, 7), 150_000)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -83,6 +83,7 @@ def sets(docs: DataFrame) -> DataFrame:
     """A row for each row of `docs`; class: 128 bits of the word sequence (null: no words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(word_hashes())
         for b in batches:
             n, classes, signatures, sketches = [], [], [], []
             for text in b.column(1).to_pylist():
@@ -240,9 +241,10 @@ def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets_ = [shingles(words_of(t)).view(np.int64) for t in b.column(0).to_pylist()]
-            s, n = np.unique(np.concatenate([*sets_, np.array([], np.int64)]), return_counts=True)
-            yield pa.record_batch([pa.array(s), pa.array(n.astype(np.int64))], names=["s", "n"])
+            for i in range(0, len(b), 1000):
+                sets_ = [shingles(words_of(t)).view(np.int64) for t in b.column(0).slice(i, 1000).to_pylist()]
+                s, n = np.unique(np.concatenate([*sets_, np.array([], np.int64)]), return_counts=True)
+                yield pa.record_batch([pa.array(s), pa.array(n.astype(np.int64))], names=["s", "n"])
 
     counts = texts.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > SMALL)
     top = sorted((r["s"], r["n"]) for r in counts.orderBy(F.desc("n"), "s").limit(FREQUENT).collect())

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 from .tokens import ids_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -34,6 +34,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = ids_of(path)
+        forget(encode.word, encode.part)
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -19,7 +19,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import Memo
+from .common import Memo, forget
 
 SYMBOLS = [c.encode() for c in "#*$%&|<>"]
 
@@ -70,7 +70,7 @@ class Fertility:
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes = {i for i in range(self.model.get_piece_size()) if self.model.is_byte(i)}
-        self.words = Memo(self._word, 200_000)
+        self.words = Memo(self._word, 80_000)
 
     def _word(self, word: bytes) -> tuple:
         s = word.decode("utf-8", "replace")
@@ -146,6 +146,7 @@ def quality(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measures = fertility(path)
+        forget(measures.words)
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64(), pa.string()] + [pa.float64()] * 3 + [pa.string()]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for b in batches:
@@ -163,6 +164,7 @@ def keep_good(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measures = fertility(path)
+        forget(measures.words)
         for b in batches:
             yield b.filter(pa.array([judge(t, measures)[6] for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.bool_()))
 

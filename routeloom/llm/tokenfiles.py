@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import forget, new_folder
 from .tokens import ids_of
 
 FRAME = 1 << 18  # bytes of ids a frame
@@ -128,6 +128,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, part = ids_of(vocabulary), int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId()
+        forget(encode.word, encode.part)
         out, done, name = None, [], lambda: f"{folder}/part-{part:06d}-{len(done):05d}.tok"
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

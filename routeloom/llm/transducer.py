@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo
+from .common import Memo, forget
 from .tokens import SPACES, doubtful, ids_of, lowered, spelled
 
 END = "</w>"
@@ -308,6 +308,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(path)
+        forget(counts.word, counts.part)
         for b in batches:
             texts = b.column(1).to_pylist()
             n = [counts(t) for t in texts]
