@@ -25,8 +25,8 @@ from .common import once, release, stored
 
 SPREAD, LONG_WORDS, LEAST_WORDS = 3, 50, 20
 WORD_LETTERS = 10  # a line counts as a word for each so many code points at least: scripts without spaces
-LAST = (1 << 63) - 1  # stands for a null doc_id, which comes last
-TIES, PLACES = 1 << 20, 1 << 31
+LAST = (1 << 63) - 1  # stands for a null doc_id in row keys; the key's second part tells it from a row of this doc_id
+TIES, PLACES, UNKNOWN = 1 << 31, 1 << 31, 1 << 62  # in the order of passages: texts of one doc_id, lines, texts without doc_id
 SUMMED = (1 << 36) - 1  # bits of the rolling hash that are added up: no sum over a text overflows
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -46,9 +46,25 @@ def words_in(line: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc (doc_id), tie (20 bits of the text's hash), text, whole (the row itself) of each row of `docs`."""
+    """doc (doc_id), tie (the text's 128-bit hash and whether doc_id is null), text, whole (the row itself) of each row of `docs`.
+
+    Rows share a key only where doc_id and text are equal, so no row's lines are taken for another's.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.pmod(F.xxhash64("text"), F.lit(TIES)).alias("tie"), "text", whole.alias("whole"))
+    known = F.unhex(F.when(F.col("doc_id").isNull(), "01").otherwise("00"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.concat(F.unhex(F.md5("text")), known).alias("tie"), "text", whole.alias("whole"))
+
+
+def place(a: Column) -> Column:
+    """Where line `a` of a keyed row stands among all: by doc_id, null ones last by 62 bits of a hash, then 31 bits of a hash, then the line.
+
+    It only orders. Two texts of one doc_id that collide in it keep both copies of a passage at one line; none loses more.
+    """
+    big = lambda c: c.cast("decimal(20,0)")
+    unknown = F.lit(1 << 62).cast("decimal(20,0)") * 2 + big(F.pmod(F.xxhash64(F.lit("unknown"), "tie"), F.lit(UNKNOWN)))
+    doc = F.when(F.substring("tie", 17, 1) == F.unhex(F.lit("01")), unknown).otherwise(big(F.col("doc"))).cast("decimal(20,0)")
+    tie = F.pmod(F.xxhash64("tie"), F.lit(TIES)) * PLACES + a
+    return (doc * F.lit(TIES * PLACES).cast("decimal(19,0)") + tie.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
@@ -96,8 +112,7 @@ def removals(rows: DataFrame, least_words: int = LEAST_WORDS, long_words: int =
     again = every.groupBy("key").count().where("count > 1").select("key")
     some = every.join(again.hint("merge"), "key").groupBy("doc", "tie").agg(F.collect_list(F.struct("a", "b", "key")).alias("found"))
     texts = rows.join(some.hint("merge"), ["doc", "tie"]).select("doc", "tie", once(F.split("text", "\n", -1), "lines"), "found").select("doc", "tie", "lines", F.explode("found").alias("e"))
-    place = (F.col("doc").cast("decimal(20,0)") * F.lit(TIES * PLACES).cast("decimal(16,0)") + (F.col("tie") * PLACES + F.col("e.a")).cast("decimal(18,0)")).cast("decimal(38,0)")
-    texts = stored(texts.select("doc", "tie", "e.a", "e.b", "e.key", place.alias("place"), F.array_join(F.slice("lines", F.col("e.a"), F.col("e.b") - F.col("e.a") + 1), "\n").alias("passage")), "passages")
+    texts = stored(texts.select("doc", "tie", "e.a", "e.b", "e.key", place(F.col("e.a")).alias("place"), F.array_join(F.slice("lines", F.col("e.a"), F.col("e.b") - F.col("e.a") + 1), "\n").alias("passage")), "passages")
     firsts = texts.groupBy("key", "passage").agg(F.min("place").alias("first"))  # byte by byte
     later = texts.join(firsts, ["key", "passage"]).where("place > first").select("doc", "tie", "a", "b")
     order = Window.partitionBy("doc", "tie").orderBy("a", F.desc("b"))
@@ -114,7 +129,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, long_words: int
     A passage is a chunk of several lines with `least_words` words, or any run of lines with `long_words` words; a
     line counts a word for each ten code points at least, so scripts without spaces count too. Of equal passages the
     first in the order of documents stays: by doc_id, null ones last, equal ones by a hash of the text. Rows that are
-    equal in doc_id and text are one occurrence. Lines without words go where they lie inside a passage. A text of
+    equal in doc_id and text are one occurrence; rows that differ in either never touch each other's lines. Lines without words go where they lie inside a passage. A text of
     which no word is left becomes empty. Null texts stay null and have no lines; empty texts have one. Columns of
     `docs` named like the new ones are replaced; others keep their values, whatever their names.
 
