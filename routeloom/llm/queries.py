@@ -45,7 +45,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = mixing.mix(docs, mixing.labelled_documents(docs, table(spark, sf_dir, "labels")), mixing.TARGETS, mixing.GROWTH, mixing.ANCHOR)
+    rows = mixing.mix(docs, mixing.labelled_documents(docs, table(spark, sf_dir, "labels")), mixing.TARGETS, mixing.GROWTH)
     names = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(sorted(mixing.TARGETS))]
     return rows.select("doc_id", "n_tokens", *names, "rate", "copies", "residual")
 

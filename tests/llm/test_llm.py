@@ -129,8 +129,9 @@ def test_fertility_measures():
     n = sum(ids.values())
     got = quality.judge(text, quality.fertility(PIECE))
     assert got[7] == n and got[8] == "LATIN"
-    assert got[10] == pytest.approx(sum(c for i, c in ids.items() if model.is_byte(i)) / n)
-    assert got[11] == pytest.approx(-sum(c / n * np.log2(c / n) for c in ids.values()))
+    assert got[10] == pytest.approx(sum(map(str.isalpha, text)) / n)
+    assert got[11] == pytest.approx(sum(c for i, c in ids.items() if model.is_byte(i)) / n)
+    assert got[12] == pytest.approx(-sum(c / n * np.log2(c / n) for c in ids.values()))
     assert quality.judge("q1Zx9Kk " * 3 + "kW8 jjZ2 0xPq zzKv 7yTr bN5c Lm3X " * 4, quality.fertility(PIECE))[6] is False
 
 
@@ -426,7 +427,7 @@ def brute_mix(docs, labels, targets, growth, anchor):
     p = np.array([softmax(words(t), power, scale) for _, t in docs])
     n = np.array([len(re.findall(r"[^\W\d_]+|\d|[^\s\w]+|_+", t or "")) for _, t in docs], float)
     cell = np.floor(p * mixing.GRID + 0.5)
-    least = np.where(cell.argmax(axis=1) == domains.index(anchor), 1.0, 0.0)
+    least = np.where(cell.argmax(axis=1) == (domains.index(anchor) if anchor else -1), 1.0, 0.0)
     target, at, total = np.array([targets[d] for d in domains]), cell / mixing.GRID, n.sum()
     rate, best, since = np.full(len(docs), float(growth)), (np.inf, None), 0
     for step in range(61):
@@ -461,13 +462,29 @@ def test_mixing(spark, none, real):
     assert mixing.mix(none, mixing.labelled_documents(none, none.selectExpr("doc_id", "k quality", "k toxic")), mixing.TARGETS).count() == 0
 
 
+def test_mixing_far_from_the_corpus(spark):
+    """The registered targets: many rates are cut at zero, and rates and residual are those of brute force."""
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = mixing.labelled_documents(docs_, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    buckets = {r["w"]: r["b"] for r in docs_.select(F.explode(mixing.words_of(F.col("text"))).alias("w")).distinct().select("w", mixing.bucket(F.col("w")).alias("b")).collect()}
+    globals()["mixing_bucket"] = buckets.__getitem__
+    texts_ = [tuple(r) for r in docs_.select("doc_id", "text").orderBy("doc_id").collect()]
+    for targets, cut in ((mixing.TARGETS, 0.0), ({"high": 0.1, "low": 0.6, "toxic": 0.3}, 0.1)):
+        far = mixing.mix(docs_, labels, targets, mixing.GROWTH).orderBy("doc_id").toPandas()
+        p, n, rate = brute_mix(texts_, labels, targets, mixing.GROWTH, None)
+        want = np.array([targets[d] for d in sorted(targets)])
+        assert np.abs(n @ p / n.sum() - want).max() > 0.2
+        assert np.allclose(far["rate"], rate, atol=1e-6) and (rate == 0).mean() >= cut and (rate >= 0).all()
+        assert far["residual"].iloc[0] == pytest.approx(np.abs((rate * n) @ p / n.sum() - want).max(), abs=1e-6) and far["residual"].iloc[0] < 0.01
+
+
 def test_mixed_rows(spark, odd, none, real):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     names = "copies copy p cell rate whole z odds scores buckets n_tokens row_tie key_id residual".split()
     docs = real.select("*", *[F.lit(n).alias(n) for n in names])
     got = mixing.mixed(docs, labels)
     assert got.columns == docs.columns and got.where(" or ".join(f"{n} <> '{n}'" for n in names)).count() == 0
-    want = mixing.mix(real, mixing.labelled_documents(real, labels), mixing.TARGETS, mixing.GROWTH, mixing.ANCHOR).select("doc_id", "copies").collect()
+    want = mixing.mix(real, mixing.labelled_documents(real, labels), mixing.KEPT_TARGETS, mixing.KEPT_GROWTH, mixing.ANCHOR).select("doc_id", "copies").collect()
     assert Counter(r["doc_id"] for r in got.select("doc_id").collect()) == Counter({r["doc_id"]: r["copies"] for r in want if r["copies"]})
     assert mixing.mixed(none, labels).count() == 0 and mixing.mixed(odd, labels.limit(0)).count() >= len(ODD)
     assert mixing.mixed(odd, labels).columns == odd.columns
