@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, linededup, mixing, neardup, packing, quality, tokenfiles, transducer, vptree
+from . import exactdedup, hardnegatives, langid, licenses, linededup, mixing, neardup, packing, quality, tokenfiles, transducer, vptree, whitening
 from .common import table, vocabulary
 
 WORD_VOCABULARY, BYTE_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -59,8 +59,22 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.groups(spark, f"{sf_dir}/documents.parquet")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh row are moved on by one before anything else."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return hardnegatives.mine(vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fertility, op2_token_counts, op3_license_scan, op4_best_fit, op5_token_files, op6_line_dedup, op7_near_duplicates, op8_soft_mixing, op9_language, op10_nearest)}
+    return {f.__name__: f for f in (op1_fertility, op2_token_counts, op3_license_scan, op4_best_fit, op5_token_files, op6_line_dedup, op7_near_duplicates, op8_soft_mixing, op9_language, op10_nearest, op11_exact_groups, op12_whitening, op13_hard_negatives)}
 
 
 OP6_SQL = f"""
@@ -108,5 +122,27 @@ FROM joined
 """
 
 
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size, row_number() OVER w = 1 AS kept, h AS text_sha256
+FROM t WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
+"""
+OP13_SQL = f"""
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor({hardnegatives.SCALE} * CAST(c AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % {hardnegatives.EVERY} = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor, other AS positive, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= {hardnegatives.POSITIVES}
+), n AS (
+  SELECT p.anchor, positive, other, p.score AS ps, s.score AS ns, row_number() OVER (PARTITION BY p.anchor, positive ORDER BY s.score DESC, other) AS k
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT same AND {hardnegatives.LOW} * p.score <= 100 * s.score AND 100 * s.score <= {hardnegatives.HIGH} * p.score
+)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(k AS INTEGER) AS rank, other AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE k <= {hardnegatives.NEGATIVES}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL}
+    return {"op6_line_dedup": OP6_SQL, "op11_exact_groups": OP11_SQL, "op13_hard_negatives": OP13_SQL}
