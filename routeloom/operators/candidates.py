@@ -75,10 +75,10 @@ def draft_assessment(candidates: DataFrame) -> DataFrame:
 def review(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     """Decisions (id, fingerprint, is_auth_guard, assurance, rationale) joined to candidates; `problem` says what is wrong, `eligible` what to suggest."""
     n = decisions.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    rows = decisions.withColumnRenamed("fingerprint", "seen").join(candidates.select("id", "symbol", "fingerprint"), "id", "left").join(n, "id")
+    rows = decisions.withColumnRenamed("fingerprint", "seen").join(candidates.select("id", "symbol", "fingerprint", F.lit(True).alias("known")), "id", "left").join(n, "id")
     problem = (
         F.when(F.col("n") > 1, "decided twice")
-        .when(F.col("symbol").isNull(), "unknown candidate")
+        .when(F.col("known").isNull(), "unknown candidate")
         .when(F.col("seen") != F.col("fingerprint"), "changed since the review")
         .when(F.trim(F.coalesce("rationale", F.lit(""))) == "", "no rationale")
         .when(F.col("is_auth_guard") & ~F.coalesce(F.col("assurance").isin("analyze", "attested"), F.lit(False)), "unknown assurance")
@@ -86,11 +86,40 @@ def review(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows.select("id", "symbol", "is_auth_guard", "assurance", problem.alias("problem"), F.col("is_auth_guard").alias("eligible"))
 
 
-def import_review(candidates: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
-    """symbol, assurance of the guards to configure; any problem refuses all decisions."""
-    rows = review(candidates, draft_assessment(candidates) if decisions is None else decisions)
-    rows = rows.withColumn("assurance", F.when(F.col("problem").isNotNull(), F.raise_error(F.concat("id", F.lit(": "), "problem"))).otherwise(F.col("assurance")))
-    return rows.where(F.col("problem").isNotNull() | F.col("eligible")).select("symbol", "assurance")
+#: What a decision may say about a guard besides its assurance, and what stands for nothing said.
+GRANTS = {"tags": "array<string>", "roles": "array<string>", "scopes": "array<string>", "openapi_scheme": "string", "transparent_wrapper": "boolean"}
+OUTCOMES = {"no guard": "reviewer marked this candidate as not an auth guard", "no symbol": "candidate has no canonical symbol to key a config entry by"}
+
+
+def decided(candidates: DataFrame, decisions: DataFrame | None = None, assessed: str | None = None) -> DataFrame:
+    """id, symbol, is_auth_guard, rationale, reason, eligible, assurance and grants of every decision, checked as a whole first.
+
+    Any problem refuses all decisions before anything is returned, so it doesn't matter what is read of the result.
+    `assessed`: the fingerprint of the bundle that was reviewed; another one than that of `candidates` refuses too.
+    """
+    decisions = draft_assessment(candidates) if decisions is None else decisions
+    if assessed is not None and (now := bundle(candidates).first()["bundle_fingerprint"]) != assessed:
+        raise ValueError(f"the review was made of another bundle: {assessed} is not {now}")
+    checked = review(candidates, decisions)
+    if bad := [f"{r['id']}: {r['problem']}" for r in checked.where("problem is not null").orderBy("id").limit(20).collect()]:
+        raise ValueError(f"decisions are refused: {'; '.join(bad)}")
+    grants = [(F.col(c) if c in decisions.columns else F.lit(None)).cast(t).alias(c) for c, t in GRANTS.items()]
+    rows = checked.select("id", "symbol").join(decisions.select("id", "is_auth_guard", "assurance", "rationale", *grants), "id")
+    reason = F.when(~F.col("is_auth_guard"), OUTCOMES["no guard"]).when(F.coalesce("symbol", F.lit("")) == "", OUTCOMES["no symbol"])
+    rows = rows.withColumn("reason", reason).withColumn("eligible", F.col("reason").isNull())
+    return rows.select("id", "symbol", "is_auth_guard", "rationale", "reason", "eligible", *(F.when(F.col("eligible"), F.col(c)).alias(c) for c in ("assurance", *GRANTS)))
+
+
+def import_review(candidates: DataFrame, decisions: DataFrame | None = None, assessed: str | None = None) -> DataFrame:
+    """symbol, assurance, tags, roles, scopes, openapi_scheme, transparent_wrapper of the guards to configure; any problem refuses all decisions."""
+    return decided(candidates, decisions, assessed).where("eligible").select("symbol", "assurance", *GRANTS)
+
+
+def configuration(suggested: DataFrame) -> dict:
+    """authMiddleware and authWrappers of import_review() as a configuration's sections; as many rows as were decided."""
+    rows = suggested.orderBy("symbol").collect()
+    said = lambda r: {"assurance": r["assurance"]} | {k: list(r[k]) for k in ("tags", "roles", "scopes") if r[k]} | ({"openapiScheme": r["openapi_scheme"]} if r["openapi_scheme"] else {})
+    return {"authMiddleware": {r["symbol"]: said(r) for r in rows}, "authWrappers": [r["symbol"] for r in rows if r["transparent_wrapper"]]}
 
 
 def review_summary(candidates: DataFrame, reviewed: DataFrame) -> DataFrame:

@@ -80,6 +80,11 @@ def incompatibilities(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """Reasons why two report envelopes (one row each: schemaVersion, command, analysisProfile, buildContext) can't be compared."""
     b, a = baseline.limit(1).select(F.struct("*").alias("b")), current.limit(1).select(F.struct("*").alias("a"))
     both = b.withColumn("one", F.lit(1)).join(a.withColumn("one", F.lit(1)), "one")
+    return incompatible(both).select("reason")
+
+
+def incompatible(pairs: DataFrame) -> DataFrame:
+    """`pairs` (heads of reports in the structs `b` and `a`) with `reason`, a row for each in which they can't be compared."""
     major = schema_major(F.col("b.schemaVersion")).eqNullSafe(schema_major(F.col("a.schemaVersion"))) & schema_major(F.col("a.schemaVersion")).isNotNull()
     reasons = F.array(
         F.when(~major, "schema version"),
@@ -87,4 +92,4 @@ def incompatibilities(baseline: DataFrame, current: DataFrame) -> DataFrame:
         F.when(~F.col("b.analysisProfile").eqNullSafe(F.col("a.analysisProfile")), "analysis profile"),
         F.when(~F.col("b.buildContext").eqNullSafe(F.col("a.buildContext")), "build context"),
     )
-    return both.select(F.explode(F.array_compact(reasons)).alias("reason"))
+    return pairs.select("*", F.explode(F.array_compact(reasons)).alias("reason"))

@@ -71,16 +71,20 @@ def relativize(rows: DataFrame, root: str, external: DataFrame | None = None) ->
     """`rows` with `file` relative to `root`; outside of it, module@version/path by `external` (file, module, version, dir).
 
     A file that nothing names becomes external:unresolved where `external` is given, and stays otherwise: no document
-    shows where a module was kept.
+    shows where a module was kept. A file that `external` has twice is one of the least module. Rows keep their number
+    and all other columns, whatever their names.
     """
     base = root.rstrip("/") + "/"
     inside = F.col("file").startswith(base)
-    rest = F.col("file")
+    own, rest = [F.col(f"whole.`{c}`") for c in rows.columns], F.col("file")
+    rows = rows.select("file", F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("whole"))
     if external is not None:
-        rows = rows.join(external.select("file", "module", F.coalesce("version", F.lit("")).alias("module_version"), "dir"), "file", "left")
-        label = F.concat("module", F.when(F.col("module_version") != "", F.concat(F.lit("@"), "module_version")).otherwise(""), F.lit("/"), F.expr("substr(file, length(dir) + 2)"))
+        named = external.groupBy("file").agg(F.min(F.struct("module", F.coalesce("version", F.lit("")).alias("version"), "dir")).alias("of"))
+        rows = rows.join(named, "file", "left")
+        label = F.concat("of.module", F.when(F.col("of.version") != "", F.concat(F.lit("@"), "of.version")).otherwise(""), F.lit("/"), F.expr("substr(file, length(of.dir) + 2)"))
         rest = F.coalesce(label, F.lit("external:unresolved"))
-    return rows.withColumn("file", F.when(inside, F.substr("file", F.lit(len(base) + 1))).otherwise(rest)).drop("module", "module_version", "dir")
+    inside = F.when(inside, F.substr("file", F.lit(len(base) + 1))).otherwise(rest)
+    return rows.select(*[inside.alias("file") if c == "file" else own[i].alias(c) for i, c in enumerate(rows.schema["whole"].dataType.names)])
 
 
 def canonical_order(routes: DataFrame, *by: str) -> DataFrame:

@@ -198,8 +198,13 @@ def tally(dispositions_: DataFrame) -> DataFrame:
 
 
 def reusable(earlier: DataFrame, current: DataFrame) -> DataFrame:
-    """Targets of `current` (target, pushedAt, fingerprint) whose earlier result holds: ok, complete, same push and fingerprint."""
-    good = earlier.where("status = 'ok' and complete").select("target", "pushedAt", "fingerprint")
+    """Targets of `current` (target, pushedAt, fingerprint) whose earlier result holds: complete, same push and fingerprint, ok or no Go module.
+
+    The latter with a complete inventory, where `earlier` says so (inventory_complete). What was recorded of files is
+    checked by integrity.reusable().
+    """
+    sure = F.coalesce("inventory_complete", F.lit(False)) if "inventory_complete" in earlier.columns else F.lit(True)
+    good = earlier.where(F.col("complete") & ((F.col("status") == "ok") | (F.col("status") == "not-go-module") & sure)).select("target", "pushedAt", "fingerprint")
     return current.join(good, ["target", "pushedAt", "fingerprint"], "left_semi").where("pushedAt <> ''")
 
 

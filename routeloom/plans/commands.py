@@ -72,8 +72,8 @@ def suggest_auth(evidence: DataFrame, shapes: DataFrame, *by: str) -> DataFrame:
     return candidates.suggest(evidence, shapes, *by)
 
 
-def import_review(suggested: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
-    return candidates.import_review(suggested, decisions)
+def import_review(suggested: DataFrame, decisions: DataFrame | None = None, assessed: str | None = None) -> DataFrame:
+    return candidates.import_review(suggested, decisions, assessed)
 
 
 @dataclass

@@ -84,7 +84,7 @@ def bundle_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 def import_review(spark: SparkSession, d: str) -> DataFrame:
     own = candidates.suggest(facts(spark, d), shapes(spark))
-    return candidates.import_review(own)
+    return candidates.import_review(own).select("symbol", "assurance")
 
 
 def fleet_candidates(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .oracle import FLEET_DELTA, FP, both, modules, now, rolled, suggestions
-from .rules import HEADS, JOINED, TYPES
+from .rules import JOINED, TYPES
 
 
 def text(value: str | None) -> str:
@@ -33,10 +33,9 @@ docs AS (SELECT *, CASE WHEN tail % 3 = 0 AND tail % 2 = 0 THEN 'named' || (tail
 
 
 def oracle_sql() -> dict[str, str]:
-    compatible = " UNION ALL ".join(
-        f"SELECT {i} AS pair, unnest(list_filter([CASE WHEN {text(b[0])} IS NULL OR {text(a[0])} IS NULL OR split_part({text(b[0])}, '.', 1) <> split_part({text(a[0])}, '.', 1) THEN 'schema version' END, CASE WHEN {text(b[1])} <> 'audit' OR {text(a[1])} <> 'audit' THEN 'command' END, CASE WHEN {text(b[2])} IS DISTINCT FROM {text(a[2])} THEN 'analysis profile' END, CASE WHEN {text(b[3])} IS DISTINCT FROM {text(a[3])} THEN 'build context' END], lambda x: x IS NOT NULL)) AS reason"
-        for i, (b, a) in enumerate((h[:4], h[4:]) for h in HEADS)
-    )
+    head = lambda k, t, s: f"CASE WHEN {k} % 19 <> 7 THEN {k} % 3 // 2 + 1 END AS major{s}, {k} % 11 <> 4 AS audit{s}, {t} = 'F' AS syntax{s}, CASE WHEN {t} <> 'P' THEN substr({t}, 1, 1) END AS goos{s}"
+    compatible = f"""WITH f AS (SELECT o_custkey AS c, min(o_orderkey) AS k0, arg_min(o_orderstatus, o_orderkey) AS t0 FROM orders GROUP BY 1), p AS (SELECT o_orderkey AS k, {head("o_orderkey", "o_orderstatus", "")}, {head("k0", "t0", "0")} FROM orders JOIN f ON c = o_custkey)
+      SELECT k, 'schema version' AS reason FROM p WHERE coalesce(major <> major0, true) UNION ALL SELECT k, 'command' FROM p WHERE NOT (audit AND audit0) UNION ALL SELECT k, 'analysis profile' FROM p WHERE syntax <> syntax0 UNION ALL SELECT k, 'build context' FROM p WHERE goos IS DISTINCT FROM goos0"""
     types = " ".join(f"WHEN {i} THEN {text(s)}" for i, (_, s) in enumerate(TYPES))
     cases = ", ".join(f"({i}, {text(p)})" for i, (b, r, p) in enumerate(JOINED))
     bases = ", ".join(f"({i}, {text(b)}, {text(r)})" for i, (b, r, _) in enumerate(JOINED))

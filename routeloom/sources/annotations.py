@@ -12,16 +12,22 @@ from pyspark.sql import DataFrame
 
 SCHEMA = "symbol string, summary string, description string, operation_id string, deprecated boolean, tags array<string>, accepts array<string>, produces array<string>, routers array<string>, security array<string>, parameters array<struct<name:string,place:string,type:string,required:boolean,description:string>>, responses array<struct<status:string,kind:string,type:string,description:string>>, headers array<struct<status:string,name:string,type:string,description:string>>, extensions string, issues array<string>"
 #: Short names of media types (fixed values).
-MEDIA = {"json": "application/json", "xml": "text/xml", "plain": "text/plain", "html": "text/html", "mpfd": "multipart/form-data", "x-www-form-urlencoded": "application/x-www-form-urlencoded", "octet-stream": "application/octet-stream", "png": "image/png", "jpeg": "image/jpeg", "gif": "image/gif"}
+MEDIA = {"json": "application/json", "xml": "application/xml", "plain": "text/plain", "html": "text/html", "mpfd": "multipart/form-data", "x-www-form-urlencoded": "application/x-www-form-urlencoded", "json-api": "application/vnd.api+json", "octet-stream": "application/octet-stream", "png": "image/png", "jpeg": "image/jpeg"}
+#: Words for truth values (fixed values).
+TRUTH = {"1": True, "t": True, "T": True, "TRUE": True, "true": True, "True": True, "0": False, "f": False, "F": False, "FALSE": False, "false": False, "False": False}
 PLACES = {"query", "path", "header", "body", "formData"}
 
 
 def literal(text: str):
-    """A JSON value, else the text itself."""
+    """A JSON value, else a truth value, else a number, else the text itself."""
+    text = text.strip()
     try:
-        return json.loads(text)
-    except ValueError:
-        return text
+        return json.loads(text, parse_constant=lambda name: TRUTH[name])  # NaN and the like are no JSON
+    except (ValueError, KeyError):
+        pass
+    if text in TRUTH:
+        return TRUTH[text]
+    return float(text) if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", text) else text
 
 
 def fields(text: str) -> list[str]:
@@ -51,7 +57,7 @@ def parse(comment: str | None) -> dict:
         elif name == "tags":
             out["tags"] += [t for t in map(str.strip, rest.split(",")) if t and t not in out["tags"]]
         elif name in ("accept", "produce"):
-            out[f"{name}s"] += [MEDIA.get(t, t) for t in map(str.strip, rest.split(",")) if t]
+            out[f"{name}s"] = list(dict.fromkeys([*out[f"{name}s"], *(MEDIA.get(t.lower(), t) for t in map(str.strip, rest.split(",")) if t)]))
         elif name == "security":
             out["security"].append(rest)
         elif name in ("router", "deprecatedrouter"):

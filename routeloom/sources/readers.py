@@ -8,11 +8,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from ..functions.globs import in_scope
-from ..schema import AUTH, AUTH_STATUS, BUILD_CONTEXT, FINDING, MIDDLEWARE, SOURCE
+from ..functions.symbols import valid_module_id, valid_target_name
+from ..operators.integrity import KINDS, artifact_problem, commit_problem, ref_problem
+from ..schema import AUTH, AUTH_STATUS, BUILD_CONTEXT, FINDING, MIDDLEWARE, SOURCE, TARGET_STATUS
 
 REPORT = (
     "schemaVersion string, tool string, command string, analysisProfile string, "
@@ -28,19 +31,34 @@ REPORT_REST = (
     "summary struct<totalRoutes bigint, provenByConfirmedShape bigint, provenByAttestedUnresolved bigint, public bigint, unknown bigint, findingsBySeverity map<string, bigint>>, "
     "delta struct<addedRoutes array<string>, removedRoutes array<string>, authRegressions array<struct<method string, path string, `from` string, `to` string, explanation string>>, authImprovements array<struct<method string, path string, `from` string, `to` string, explanation string>>>"
 )
-AGGREGATE = "kind string, schemaVersion string, scanFingerprint string, targets array<struct<name string, status string, complete boolean, pushedAt string, modules array<struct<id string, kind string, status string, complete boolean, routes long, proven long, public long, unknown long>>>>"
+ARTIFACT = "struct<tree string, path string, bytes long, sha256 string>"
+AGGREGATE = (
+    "kind string, schemaVersion string, tool string, toolVersion string, scanFingerprint string, "
+    f"targets array<struct<name string, status string, complete boolean, pushedAt string, sourceFingerprint string, repository struct<ref string, scannedCommit string>, inventory struct<complete boolean>, artifacts array<{ARTIFACT}>, routes long, proven long, public long, unknown long, "
+    f"modules array<struct<id string, kind string, status string, complete boolean, report string, apiHtml string, artifacts array<{ARTIFACT}>, routes long, proven long, public long, unknown long>>>>, "
+    "repositoryGroups struct<withRoutes array<string>, reference array<struct<name string, category string>>>"
+)
 SELECTOR = "struct<method array<string>, path array<string>, status array<string>, tag array<string>, role array<string>, scope array<string>, package array<string>, surfaceKind array<string>>"
 CONFIGURATION = (
     "version string, authMiddleware map<string, struct<assurance string, tags array<string>, roles array<string>, scopes array<string>, openapiScheme string>>, authWrappers array<string>, acceptedPublic array<string>, "
     f"policies array<struct<id string, match {SELECTOR}, exceptions array<struct<reason string, expires string, match {SELECTOR}>>>>"
 )
 
+#: The field of a document that says who wrote it.
+AUTHORSHIP = r"x-[\w.-]+-authorship"
+
+
 def reports(spark: SparkSession, path: str) -> DataFrame:
-    """Saved reports, a file each, with `report_id`; statuses out of their set refuse the read of their row."""
+    """Saved reports, a file each, with `report_id`; an unknown version, command or status refuses the read of its row."""
     rows = spark.read.schema(REPORT).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("report_id", F.input_file_name())
     odd = F.exists(F.coalesce("routes", F.array()), lambda r: r["auth"].isNotNull() & ~F.coalesce(r["auth"]["authStatus"].isin(*AUTH_STATUS), F.lit(False)))
     bad = F.when(F.col("schemaVersion").isNull() | ~F.col("schemaVersion").startswith("1."), "schema version").when(~F.col("command").isin("audit", "inventory"), "command").when(odd, "auth status")
-    return rows.withColumn("command", F.when(bad.isNotNull(), F.raise_error(F.concat("report_id", F.lit(": bad "), bad))).otherwise(F.col("command")))
+    return refused(rows, F.concat("report_id", F.lit(": bad "), bad))
+
+
+def refused(rows: DataFrame, problem: Column) -> DataFrame:
+    """`rows`, or an error that names the first problem: a filter, so it holds whatever columns are read, and for counts."""
+    return rows.where(F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(F.lit(True)))
 
 
 def routes_of(reports_: DataFrame) -> DataFrame:
@@ -71,12 +89,68 @@ def manifest(text: str) -> list[dict]:
     return targets
 
 
-def aggregates(spark: SparkSession, path: str) -> DataFrame:
-    """Targets of saved fleet aggregates; a repeated target name refuses the read."""
-    rows = spark.read.schema(AGGREGATE).option("multiLine", True).json(path)
-    names = F.col("targets.name")
-    checked = F.when(F.size(F.array_distinct(names)) < F.size(names), F.raise_error(F.lit("a target is named twice"))).otherwise(F.col("targets"))
-    return rows.select("scanFingerprint", F.explode(checked).alias("t")).select("scanFingerprint", "t.*")
+def aggregates(spark: SparkSession, path: str, legacy: bool = False) -> DataFrame:
+    """Targets of saved fleet aggregates, a file each; one whose envelope or records are out of form refuses the read.
+
+    Checked are the envelope (none is `legacy`), names, statuses, refs, commits, module ids and kinds, artifact records,
+    names and ids that come twice, keys that a JSON object has twice and fields that aren't known.
+    """
+    texts = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
+
+    def strict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(problem=[json_problem(t, fields) for t in pdf["value"]])
+
+    fields = fields_of(StructType.fromDDL(AGGREGATE))
+    rows = texts.mapInPandas(strict, "value string, file string, problem string").withColumn("a", F.from_json("value", AGGREGATE, {"mode": "PERMISSIVE"}))
+    a = F.col("a")
+    current = F.coalesce(a["schemaVersion"] != "", F.lit(False)) | F.coalesce(a["kind"] != "", F.lit(False))
+    envelope = F.when(current, F.when(~F.coalesce((a["schemaVersion"] == "1.0") & (a["kind"] == "fleet") & (a["toolVersion"] != ""), F.lit(False)), "invalid fleet aggregate envelope")).otherwise(F.lit(None if legacy else "unversioned fleet aggregate"))
+    no = lambda test: ~F.coalesce(test, F.lit(False))
+    twice = lambda values: F.size(F.array_distinct(values)) < F.size(values)
+    none = F.array().cast(f"array<{ARTIFACT}>")
+    record = lambda r: artifact_problem(r["tree"], r["path"], r["bytes"], r["sha256"])
+    records = lambda rs: F.get(F.filter(F.transform(F.coalesce(rs, none), record), lambda p: p.isNotNull()), 0)
+    first = lambda values: F.get(F.filter(values, lambda p: p.isNotNull()), 0)
+    module = lambda m: F.coalesce(F.when(no(valid_module_id(m["id"])), "invalid module id"), F.when(no(m["status"].isin(*TARGET_STATUS)), "invalid module status"), F.when(current & no(m["kind"].isin(*KINDS)), "invalid module kind"), records(m["artifacts"]))
+    target = lambda t: F.coalesce(
+        F.when(no(valid_target_name(t["name"])), "invalid target name"), F.when(no(t["status"].isin(*TARGET_STATUS)), "invalid status"),
+        F.when(current, F.coalesce(ref_problem(t["repository"]["ref"]), commit_problem(t["repository"]["scannedCommit"]))), F.when(twice(t["modules"]["id"]), "duplicate module id"),
+        first(F.transform(t["modules"], module)), records(t["artifacts"]),
+    )
+    none_at_all = F.when(a["targets"].isNull(), "targets must be an array")
+    bad = F.coalesce(F.col("problem"), envelope, none_at_all, F.when(twice(a["targets"]["name"]), "a target is named twice"), first(F.transform(a["targets"], target)))
+    return refused(rows, F.concat("file", F.lit(": "), bad)).select("a.scanFingerprint", F.explode("a.targets").alias("t")).select("scanFingerprint", "t.*")
+
+
+def fields_of(kind: DataType) -> dict | None:
+    """Names of a type's fields and of theirs; None where there are none."""
+    if isinstance(kind, ArrayType):
+        return fields_of(kind.elementType)
+    return {f.name: fields_of(f.dataType) for f in kind.fields} if isinstance(kind, StructType) else None
+
+
+def json_problem(text: str, fields: dict) -> str | None:
+    """What is wrong with a JSON document: a key twice, a field that isn't among `fields`, or more after its end."""
+
+    def once(pairs: list) -> dict:
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("a key comes twice")
+        return dict(pairs)
+
+    try:
+        todo = [(json.loads(text, object_pairs_hook=once), fields)]
+    except ValueError as e:
+        return f"invalid fleet aggregate: {e}"
+    while todo:
+        value, known = todo.pop()
+        if isinstance(value, list):
+            todo += [(v, known) for v in value]
+        elif isinstance(value, dict) and known is not None:
+            if lost := sorted(set(value) - set(known)):
+                return f"unknown field {lost[0]}"
+            todo += [(v, known[k]) for k, v in value.items()]
+    return None
 
 
 def spec_documents(spark: SparkSession, folder: str, most_bytes: int = 2 << 20) -> DataFrame:
@@ -173,7 +247,7 @@ def specification(path: str, content: bytes | None, length: int, most: int, root
     if not three.startswith("3.") and two not in ("2", "2.0"):
         return path, None, None, None, [], f"spec-version-unsupported: {three or two}", [], []
     dialect, version = ("openapi-3", three) if three.startswith("3.") else ("swagger-2", "2.0")
-    said = doc.get("x-gin-recon-authorship")
+    said = next((v for k, v in doc.items() if re.fullmatch(AUTHORSHIP, str(k))), None)
     authorship = said if said in ("authored", "generated") else "generated" if doc.get("x-generated") is True else "unknown"
     verbs = {"get", "put", "post", "delete", "options", "head", "patch", "trace"}
     paths = doc.get("paths") if isinstance(doc.get("paths"), dict) else {}

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from routeloom.plans import oracle, programs, queries, rules, rules_sql
+from routeloom.plans import fleets, oracle, programs, queries, rules, rules_sql
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -15,7 +15,7 @@ def rows(frame, columns):
     return sorted(map(repr, f.where(f.notna(), None).values.tolist()))
 
 
-QUERIES, SQL = queries.queries() | {f.__name__: f for f in rules.ALL} | programs.queries(), oracle.oracle_sql() | rules_sql.oracle_sql() | programs.oracle_sql()
+QUERIES, SQL = queries.queries() | {f.__name__: f for f in rules.ALL} | programs.queries() | fleets.queries(), oracle.oracle_sql() | rules_sql.oracle_sql() | programs.oracle_sql() | fleets.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
