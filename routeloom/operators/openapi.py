@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import is_catch_all, operation_base, path_parameters, tag_for, template_path
 from .classify import lookup
 from .config import Config
+from .structs import rendered, shape
 
 #: Methods that a document can show (fixed values).
 SHOWN = ("GET", "PUT", "POST", "DELETE", "OPTIONS", "HEAD", "PATCH", "TRACE")
@@ -148,31 +147,5 @@ def unknown_references(schemas: DataFrame) -> DataFrame:
 
 
 def schema_json(types: DataFrame) -> DataFrame:
-    """JSON schemas of type descriptions (id, type such as []string, map[string]int, *pkg.User, time.Time)."""
-
-    def one(t: str, depth: int = 0) -> dict:
-        if depth > 64:
-            return {}
-        if t.startswith("*"):
-            return one(t[1:], depth + 1)
-        if t.startswith("[]"):
-            return {"type": "string", "format": "byte"} if t == "[]byte" else {"type": "array", "items": one(t[2:], depth + 1)}
-        if t.startswith("map[string]"):
-            return {"type": "object", "additionalProperties": one(t[11:], depth + 1)}
-        if t in ("string", "bool"):
-            return {"type": "boolean" if t == "bool" else t}
-        if t in ("int", "int8", "int16", "int32", "int64", "uint", "uint8", "uint16", "uint32", "uint64"):
-            return {"type": "integer"} | ({"format": "int64"} if t.endswith("64") else {"format": "int32"} if t.endswith("32") else {}) | ({"minimum": 0} if t[0] == "u" else {})
-        if t in ("float32", "float64"):
-            return {"type": "number", "format": "float" if t == "float32" else "double"}
-        if t == "time.Time":
-            return {"type": "string", "format": "date-time"}
-        return {"$ref": f"#/components/schemas/{t}"} if t and t not in ("any", "interface{}") else {}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        for pdf in batches:
-            yield pdf.assign(schema=[json.dumps(one(t or ""), sort_keys=True) for t in pdf["type"]])[["id", "schema"]]
-
-    return types.select("id", "type").mapInPandas(run, "id string, schema string")
+    """id, schema (JSON) of type descriptions (id, type such as []string, map[string]int, *pkg.User, time.Time); {} where nothing can be said."""
+    return types.select("id", F.coalesce(rendered(shape(F.col("type"))), F.lit("{}")).alias("schema"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import constants, enforcement, registrars
+from ..operators import constants, enforcement, registrars, structs
 
 KINDS = ("group", "use", "route", "route", "route", "route", "call", "call")
 
@@ -116,6 +116,21 @@ def folded_paths(spark: SparkSession, d: str) -> DataFrame:
     return constants.folded(wanted, nodes, variables, writes, fields)
 
 
+def struct_components(spark: SparkSession, d: str) -> DataFrame:
+    """Parts are structs, the orders of their items fields; some embed other parts. Suppliers say which are wanted."""
+    items, suppliers, parts = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("lineitem", "supplier", "part"))
+    o, s, n = F.col("o"), F.col("s"), F.col("n")
+    rows = items.groupBy(F.col("l_partkey").alias("p"), F.col("l_orderkey").alias("o")).agg(F.min("l_suppkey").alias("s")).join(F.broadcast(parts.agg(F.max("p_partkey").alias("n"))))
+    name, pick = (lambda k: F.concat(F.lit("acme/m.T"), k.cast("string"))), (lambda i, *c: F.element_at(F.array(*map(F.lit, c)), (i + 1).cast("int")))
+    embedded = o % 101 == 0
+    base = F.when(embedded | (o % 6 == 2), name((o * 7) % n)).otherwise(pick(o % 6, "string", "int64", "", "float32", "time.Time", "func()"))
+    kind = F.when(embedded, F.concat(pick(o % 2, "", "*"), base)).otherwise(F.concat(pick(o % 4, "", "*", "[]", "map[string]"), pick(s % 3, "", "[]", "*"), base))
+    tag = F.when(embedded, "").when(o % 7 == 0, F.concat(F.lit('json:"j'), (o % 11).cast("string"), F.lit(',omitempty"'))).when(o % 7 == 1, 'json:"-"').when(o % 7 == 2, 'binding:"required"').when(o % 7 == 3, 'json:"k" validate:"min=1, required" example:"5"')
+    field = F.when(embedded, F.concat(F.lit("T"), ((o * 7) % n).cast("string"))).when(o % 13 == 0, "lower").otherwise(F.concat(F.lit("F"), (o % 50).cast("string")))
+    fields = rows.select(name(F.col("p")).alias("struct"), o.cast("int").alias("ord"), field.alias("name"), kind.alias("type"), tag.alias("tag"), embedded.alias("embedded"))
+    return structs.components(suppliers.select(F.concat(F.lit("[]"), name(F.col("s_suppkey") * 3)).alias("type")), fields).select("id", "struct", "schema")
+
+
 PROGRAM = """
 RECURSIVE o AS (
   SELECT *, o_orderkey AS k, o_custkey AS c, last_value(CASE WHEN o_orderkey % 8 = 0 THEN o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM orders
@@ -180,7 +195,47 @@ RECURSIVE top AS (SELECT max(p_partkey) AS most FROM part), w AS (
 )
 SELECT CAST(context AS VARCHAR) AS context, CAST(root AS VARCHAR) AS id, CASE WHEN count(value) = count(*) THEN string_agg(value, '' ORDER BY pos) END AS value FROM v GROUP BY context, root"""
 
-ALL = (registrar_routes, registrar_diagnostics, library_entries, enforcement_shapes, wrapped_chains, folded_paths)
+STRUCTS = r"""
+RECURSIVE top AS (SELECT max(p_partkey) AS n FROM part), li AS (
+  SELECT l_partkey AS p, l_orderkey AS o, min(l_suppkey) AS s, n FROM lineitem, top GROUP BY ALL
+), f AS (
+  SELECT p, o, o % 101 = 0 AS emb, CASE WHEN o % 101 = 0 OR o % 6 = 2 THEN (o * 7) % n END AS r, CASE o % 6 WHEN 2 THEN NULL WHEN 4 THEN 'time.Time' END AS other, CASE o % 6 WHEN 0 THEN 'string' WHEN 1 THEN 'integer' WHEN 3 THEN 'number' END AS t, CASE o % 6 WHEN 1 THEN '"format":"int64",' WHEN 3 THEN '"format":"float",' ELSE '' END AS fmt,
+    CASE WHEN o % 101 = 0 THEN o % 2 ELSE o % 4 END AS w2, CASE WHEN o % 101 = 0 THEN 0 ELSE s % 3 END AS w1, CASE WHEN o % 101 = 0 THEN -1 ELSE o % 7 END AS tag FROM li
+), b AS (
+  SELECT *, coalesce('acme/m.T' || r, other) AS target, CASE WHEN coalesce('acme/m.T' || r, other) IS NOT NULL THEN '{"$ref":"#/components/schemas/' || list_last(string_split(coalesce('acme/m.T' || r, other), '.')) || '_' || substr(sha256(coalesce('acme/m.T' || r, other)), 1, 10) || '"}' WHEN t IS NOT NULL THEN '{' || fmt || '"type":"' || t || '"}' END AS b,
+    CASE WHEN coalesce('acme/m.T' || r, other) IS NULL AND t IS NOT NULL THEN '{' || fmt || '"type":["' || t || '","null"]}' END AS bn FROM f
+), w AS (
+  SELECT *, CASE w1 WHEN 0 THEN b WHEN 1 THEN '{' || coalesce('"items":' || b || ',', '') || '"type":"array"}' ELSE coalesce(bn, b) END AS s1, CASE w1 WHEN 1 THEN '{' || coalesce('"items":' || b || ',', '') || '"type":["array","null"]}' ELSE coalesce(bn, b) END AS s1n FROM b
+), v AS (
+  SELECT *, CASE w2 WHEN 0 THEN s1 WHEN 1 THEN s1n WHEN 2 THEN '{' || coalesce('"items":' || s1 || ',', '') || '"type":"array"}' ELSE '{' || coalesce('"additionalProperties":' || s1 || ',', '') || '"type":"object"}' END AS sch FROM w
+), own AS (
+  SELECT p, o, emb, r, CASE tag WHEN 0 THEN 'j' || (o % 11) WHEN 3 THEN 'k' ELSE CASE WHEN emb THEN 'T' || r ELSE 'F' || (o % 50) END END AS prop, tag IN (2, 3) AS req,
+    CASE WHEN tag <> 3 OR sch IS NULL THEN sch WHEN sch LIKE '{"$ref"%' THEN sch[:-2] || ',"example":5}' WHEN w2 = 3 THEN regexp_replace(sch, '"type":"object"\}$', '"example":5,"type":"object"}') ELSE '{"example":5,' || sch[2:] END AS sch
+  FROM v WHERE tag <> 1 AND (emb OR o % 13 <> 0)
+), st AS (
+  SELECT DISTINCT p FROM f
+), edge AS (
+  SELECT DISTINCT p, r FROM f WHERE r IS NOT NULL
+), reach AS (
+  SELECT s_suppkey * 3 AS p FROM supplier SEMI JOIN st ON st.p = s_suppkey * 3
+  UNION SELECT edge.r FROM reach JOIN edge ON edge.p = reach.p JOIN st ON st.p = edge.r
+), plain AS (
+  SELECT own.p, prop, sch, req, '0' || lpad(CAST(999999999 - o AS VARCHAR), 9, '0') AS place FROM own LEFT JOIN st ON st.p = own.r WHERE NOT emb OR st.p IS NULL
+), walk AS (
+  SELECT own.p, own.r AS inside, '1' || lpad(CAST(o AS VARCHAR), 9, '0') AS place, [own.p, own.r] AS above FROM own JOIN st ON st.p = own.r WHERE emb
+  UNION ALL SELECT walk.p, own.r, place || '1' || lpad(CAST(own.o AS VARCHAR), 9, '0'), list_append(above, own.r) FROM walk JOIN own ON own.p = walk.inside AND own.emb JOIN st ON st.p = own.r WHERE NOT list_contains(above, own.r)
+), every AS (
+  SELECT * FROM plain UNION ALL SELECT walk.p, prop, sch, req, walk.place || plain.place FROM walk JOIN plain ON plain.p = walk.inside
+), won AS (
+  SELECT p, prop, arg_min(sch, place) FILTER (sch IS NOT NULL OR true) AS sch FROM (SELECT p, prop, sch, place FROM every QUALIFY row_number() OVER (PARTITION BY p, prop ORDER BY place) = 1) GROUP BY 1, 2
+), body AS (
+  SELECT p, string_agg('"' || prop || '":' || sch, ',' ORDER BY prop) AS props FROM won WHERE sch IS NOT NULL GROUP BY 1
+), must AS (
+  SELECT p, string_agg('"' || prop || '"', ',' ORDER BY prop) AS must FROM every WHERE req GROUP BY 1
+)
+SELECT 'T' || p || '_' || substr(sha256('acme/m.T' || p), 1, 10) AS id, 'acme/m.T' || p AS struct, '{' || coalesce('"properties":{' || props || '},', '') || coalesce('"required":[' || must || '],', '') || '"type":"object"}' AS schema FROM (SELECT DISTINCT p FROM reach) LEFT JOIN body USING (p) LEFT JOIN must USING (p)"""
+
+ALL = (registrar_routes, registrar_diagnostics, library_entries, enforcement_shapes, wrapped_chains, folded_paths, struct_components)
 
 
 def queries() -> dict:
@@ -191,6 +246,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "enforcement_shapes": f"WITH {CODE}",
         "folded_paths": f"WITH {FOLDED}",
+        "struct_components": f"WITH {STRUCTS}",
         "wrapped_chains": """WITH e AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN 'acme/mw.W' || (o_orderkey % 13) END AS symbol, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey // 2 END AS nxt FROM orders)
           SELECT e.id, concat_ws(',', a.symbol, b.symbol, c.symbol) AS wrapped FROM e LEFT JOIN e a ON a.id = e.nxt LEFT JOIN e b ON b.id = a.nxt AND a.symbol IS NOT NULL LEFT JOIN e c ON c.id = b.nxt AND b.symbol IS NOT NULL""",
         "registrar_routes": f"""WITH {PROGRAM} SELECT entry, t AS at, func, 'GET' AS method, full_path AS path, full_path AS "normalizedPath", array_to_string(list_append(chain, mw), ',') AS chain, h AS handler FROM rt WHERE base IS NOT NULL AND path IS NOT NULL""",

@@ -196,17 +196,11 @@ def last_wins(spark: SparkSession, d: str) -> DataFrame:
     return openapi.last_wins(table(spark, d, "orders", operation="o_custkey", name="concat('p', o_orderkey % 3)", ord="o_orderkey", value="o_orderstatus"), "operation", "name")
 
 
-#: Types and their JSON schemas (fixed values).
-TYPES = (
-    ("string", '{"type": "string"}'), ("bool", '{"type": "boolean"}'), ("int", '{"type": "integer"}'), ("int64", '{"format": "int64", "type": "integer"}'), ("uint32", '{"format": "int32", "minimum": 0, "type": "integer"}'),
-    ("float32", '{"format": "float", "type": "number"}'), ("[]byte", '{"format": "byte", "type": "string"}'), ("[]*pkg.User", '{"items": {"$ref": "#/components/schemas/pkg.User"}, "type": "array"}'),
-    ("map[string][]int", '{"additionalProperties": {"items": {"type": "integer"}, "type": "array"}, "type": "object"}'), ("time.Time", '{"format": "date-time", "type": "string"}'), ("any", "{}"),
-)
-
-
 def type_schemas(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.element_at(F.array(*(F.lit(t) for t, _ in TYPES)), (F.col("id") % len(TYPES) + 1).cast("int"))
-    return openapi.schema_json(table(spark, d, "supplier", id="s_suppkey").select(F.col("id").cast("string").alias("id"), kind.alias("type")))
+    """Types of two wrappers and a base, by the numbers of customers."""
+    k = "c_custkey"
+    kind = f"concat(element_at(array('', '*', '[]', 'map[string]'), cast({k} % 4 + 1 AS int)), element_at(array('', '[]', '*'), cast({k} % 3 + 1 AS int)), CASE {k} % 5 WHEN 0 THEN 'string' WHEN 1 THEN 'int64' WHEN 2 THEN 'float32' WHEN 3 THEN concat('acme/m.T', {k}) ELSE 'func()' END)"
+    return openapi.schema_json(table(spark, d, "customer", id=f"cast({k} AS string)", type=kind))
 
 
 def global_merge(spark: SparkSession, d: str) -> DataFrame:

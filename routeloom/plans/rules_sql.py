@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .oracle import FLEET_DELTA, FP, both, modules, now, rolled, suggestions
-from .rules import JOINED, TYPES
+from .rules import JOINED
 
 
 def text(value: str | None) -> str:
@@ -36,7 +36,6 @@ def oracle_sql() -> dict[str, str]:
     head = lambda k, t, s: f"CASE WHEN {k} % 19 <> 7 THEN {k} % 3 // 2 + 1 END AS major{s}, {k} % 11 <> 4 AS audit{s}, {t} = 'F' AS syntax{s}, CASE WHEN {t} <> 'P' THEN substr({t}, 1, 1) END AS goos{s}"
     compatible = f"""WITH f AS (SELECT o_custkey AS c, min(o_orderkey) AS k0, arg_min(o_orderstatus, o_orderkey) AS t0 FROM orders GROUP BY 1), p AS (SELECT o_orderkey AS k, {head("o_orderkey", "o_orderstatus", "")}, {head("k0", "t0", "0")} FROM orders JOIN f ON c = o_custkey)
       SELECT k, 'schema version' AS reason FROM p WHERE coalesce(major <> major0, true) UNION ALL SELECT k, 'command' FROM p WHERE NOT (audit AND audit0) UNION ALL SELECT k, 'analysis profile' FROM p WHERE syntax <> syntax0 UNION ALL SELECT k, 'build context' FROM p WHERE goos IS DISTINCT FROM goos0"""
-    types = " ".join(f"WHEN {i} THEN {text(s)}" for i, (_, s) in enumerate(TYPES))
     cases = ", ".join(f"({i}, {text(p)})" for i, (b, r, p) in enumerate(JOINED))
     bases = ", ".join(f"({i}, {text(b)}, {text(r)})" for i, (b, r, _) in enumerate(JOINED))
     return {
@@ -82,7 +81,10 @@ def oracle_sql() -> dict[str, str]:
         "component_merge": """WITH s AS (SELECT 'repo-' || (p_partkey % 5) AS target, 'T' || (p_partkey % 40) AS id, p_partkey AS ord, CASE WHEN p_partkey % 40 < 20 THEN '{"type":"object"}' ELSE '{"minimum":' || (p_partkey % 3) || '}' END AS s FROM part) SELECT target, id, arg_min(s, ord) AS schema, count(DISTINCT s) > 1 AS conflict FROM s GROUP BY 1, 2""",
         "unknown_references": "SELECT 'T' || p_partkey AS id, 'T' || p_partkey * 3 AS ref FROM part WHERE p_partkey * 3 NOT IN (SELECT p_partkey FROM part)",
         "last_wins": "SELECT o_custkey AS operation, 'p' || (o_orderkey % 3) AS name, arg_max(o_orderstatus, o_orderkey) AS value, count(*) > 1 AS replaced FROM orders GROUP BY 1, 2",
-        "type_schemas": f"SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE s_suppkey % {len(TYPES)} {types} END AS schema FROM supplier",
+        "type_schemas": r"""WITH k AS (SELECT c_custkey AS k, 'acme/m.T' || c_custkey AS r, CASE c_custkey % 5 WHEN 0 THEN '"type":"string"' WHEN 1 THEN '"format":"int64","type":"integer"' WHEN 2 THEN '"format":"float","type":"number"' END AS t FROM customer),
+          b AS (SELECT *, CASE WHEN k % 5 = 3 THEN '{"$ref":"#/components/schemas/T' || k || '_' || substr(sha256(r), 1, 10) || '"}' ELSE '{' || t || '}' END AS b, CASE WHEN k % 5 = 3 THEN '{"$ref":"#/components/schemas/T' || k || '_' || substr(sha256(r), 1, 10) || '"}' ELSE '{' || regexp_replace(t, '"type":("\w+")', '"type":[\1,"null"]') || '}' END AS bn FROM k),
+          i AS (SELECT *, coalesce('"items":' || b || ',', '') AS items FROM b), w AS (SELECT *, CASE k % 3 WHEN 0 THEN b WHEN 1 THEN '{' || items || '"type":"array"}' ELSE bn END AS s, CASE k % 3 WHEN 1 THEN '{' || items || '"type":["array","null"]}' ELSE bn END AS sn FROM i)
+          SELECT CAST(k AS VARCHAR) AS id, coalesce(CASE k % 4 WHEN 0 THEN s WHEN 1 THEN sn WHEN 2 THEN '{' || coalesce('"items":' || s || ',', '') || '"type":"array"}' ELSE '{' || coalesce('"additionalProperties":' || s || ',', '') || '"type":"object"}' END, '{}') AS schema FROM w""",
         "global_merge": "WITH g AS (SELECT 'f' || (p_partkey % 6) AS field, p_partkey AS ord, CASE WHEN p_partkey % 6 < 3 THEN 'same' ELSE 'v' || (p_partkey % 7) END AS value FROM part WHERE p_partkey % 4 <> 0) SELECT field, arg_max(value, ord) AS value, count(DISTINCT value) > 1 AS conflict FROM g GROUP BY 1",
         "uncalled_registrars": "SELECT 'acme/routes.R' || c_custkey AS symbol FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
         "annotation_join": now("SELECT route_id, CASE WHEN k % 10 <> 3 THEN 'about ' || (k % 10) END AS swag FROM e"),
