@@ -40,7 +40,7 @@ JOINED = (
 
 def joined_paths(spark: SparkSession, d: str) -> DataFrame:
     """Every case with the name of every nation as first segment."""
-    names = table(spark, d, "nation", n="lower(n_name)").where("n not like '% %'")
+    names = table(spark, d, "nation", n="lower(replace(n_name, ' ', '-'))")
     cases = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(b).alias("base"), F.lit(r).alias("relative")) for i, (b, r, _) in enumerate(JOINED))))
     rows = names.select("n", cases.alias("c")).select("n", "c.*")
     return rows.select("n", "i", paths.join_paths(F.concat(F.lit("/"), "n", "base"), F.col("relative")).alias("path"))
@@ -169,7 +169,7 @@ def documented_ids(spark: SparkSession, d: str) -> DataFrame:
 def descriptions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     ops = table(spark, d, "part", path="concat('/r', p_partkey % 20, '/{id}')", method="element_at(array('GET', 'POST', 'PUT'), cast(p_partkey % 3 + 1 AS int))").distinct().withColumn("parameters", F.array(F.lit("id")))
     params = table(spark, d, "part", path="concat('/r', p_partkey % 20, '/{id}')", method="element_at(array('GET', 'POST', 'PUT'), cast(p_partkey % 3 + 1 AS int))", ord="p_partkey", name="CASE WHEN p_partkey % 11 = 0 THEN 'id' ELSE concat('p', p_partkey % 4) END", where="CASE WHEN p_partkey % 11 = 0 THEN 'path' ELSE element_at(array('query', 'header', 'body', 'formData'), cast(p_partkey % 7 % 4 + 1 AS int)) END", required="p_partkey % 2 = 0", description="concat('d', p_partkey)", schema="'{\"type\":\"integer\"}'")
-    responses = table(spark, d, "part", path="concat('/r', p_partkey % 20, '/{id}')", method="element_at(array('GET', 'POST', 'PUT'), cast(p_partkey % 3 + 1 AS int))", ord="p_partkey", status="concat('20', p_partkey % 5)", description="CASE WHEN p_partkey % 2 = 0 THEN '' ELSE concat('r', p_partkey) END", schema="'{}'").where("status < '203'")
+    responses = table(spark, d, "part", path="concat('/r', p_partkey % 20, '/{id}')", method="element_at(array('GET', 'POST', 'PUT'), cast(p_partkey % 3 + 1 AS int))", ord="p_partkey", status="concat('20', p_partkey % 5)", description="CASE WHEN p_partkey % 2 = 0 THEN '' ELSE concat('r', p_partkey) END", schema="'{}'")
     return ops, params.withColumnRenamed("where", "in"), responses
 
 
@@ -208,7 +208,7 @@ def global_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def uncalled_registrars(spark: SparkSession, d: str) -> DataFrame:
-    return discovery.uncalled_registrars(table(spark, d, "customer", symbol="concat('acme/routes.R', c_custkey)"), table(spark, d, "orders", callee="concat('acme/routes.R', o_custkey)")).select("symbol")
+    return discovery.uncalled_registrars(table(spark, d, "customer", symbol="concat('acme/routes.R', c_custkey)"), table(spark, d, "orders", callee="concat('acme/routes.R', o_custkey * 2)")).select("symbol")
 
 
 def annotation_join(spark: SparkSession, d: str) -> DataFrame:

@@ -24,7 +24,7 @@ p AS (SELECT path, method, name, place, min(ord) AS first_at, arg_max(descriptio
 pl AS (SELECT path, method, string_agg(place || ':' || name || ':' || d, ',' ORDER BY first_at) AS parameters FROM p GROUP BY 1, 2),
 b AS (SELECT path, method, arg_min(description, ord) AS body FROM q WHERE place = 'body' GROUP BY 1, 2),
 f AS (SELECT path, method, string_agg(name || ':' || required, ',' ORDER BY name) AS form FROM (SELECT path, method, name, bool_or(required) AS required FROM q WHERE place = 'formData' GROUP BY 1, 2, 3) GROUP BY 1, 2),
-s AS (SELECT path, method, ord, '20' || (ord % 5) AS status, CASE WHEN ord % 2 = 0 THEN 'Response' ELSE 'r' || ord END AS description FROM q WHERE ord % 5 < 3),
+s AS (SELECT path, method, ord, '20' || (ord % 5) AS status, CASE WHEN ord % 2 = 0 THEN 'Response' ELSE 'r' || ord END AS description FROM q),
 r AS (SELECT path, method, string_agg(status || ':' || d, ',' ORDER BY status) AS responses FROM (SELECT path, method, status, arg_max(description, ord) AS d FROM s GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
 #: The documented operations of openapi_overlay: a row for each (target, path, method).
 OPS = """
@@ -45,7 +45,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT k, CASE k % 4 WHEN 0 THEN '1' WHEN 1 THEN '12' END AS major, CASE WHEN den = 0 THEN 'N/A' ELSE printf('%.1f%% (%d/%d)', 100.0 * num / den, num, den) || CASE WHEN done THEN '' ELSE ' · unknown' END END AS metric,
             CASE WHEN module LIKE '%/' THEN module ELSE list_last(string_split(module, '/')) END AS repo, CASE WHEN k % 5 <> 0 THEN 'https://github.com/acme/svc' || k END AS url,
             CASE WHEN host <> '' THEN CASE WHEN k % 2 = 0 THEN 'http://' || host || b || ',wss://' || host || b ELSE 'https://' || host || b END WHEN base = '' THEN '' ELSE b END AS servers, k % 4 = 2 AS safe, ident AS module_id, k % 2 = 1 AS valid_id FROM s""",
-        "joined_paths": f"""WITH c(i, path) AS (VALUES {cases}), s(i, base, relative) AS (VALUES {bases}), n AS (SELECT lower(n_name) AS n FROM nation WHERE n_name NOT LIKE '% %')
+        "joined_paths": f"""WITH c(i, path) AS (VALUES {cases}), s(i, base, relative) AS (VALUES {bases}), n AS (SELECT lower(replace(n_name, ' ', '-')) AS n FROM nation)
           SELECT n, i, CASE WHEN relative = '' THEN '/' || n || base WHEN base = '/a/b' AND relative = '..' THEN '/' || n || '/a' WHEN base = '/api' AND relative = '../../x' THEN '/x' ELSE '/' || n || CASE WHEN base IN ('/', '') AND relative = '/' THEN '/' ELSE path END END AS path FROM n, c JOIN s USING (i)""",
         "template_rules": r"""WITH p AS (SELECT c_custkey AS k, c_custkey % 5 AS m FROM customer)
           SELECT k, CASE m WHEN 0 THEN '/' WHEN 1 THEN '/v' || k || '/users/{id}' WHEN 2 THEN '/files/{path}' WHEN 3 THEN '/a-b/c_d/{x}/{y}' ELSE '/{only}' END AS template, CASE m WHEN 0 THEN '' WHEN 1 THEN 'id' WHEN 2 THEN 'path' WHEN 3 THEN 'x,y' ELSE 'only' END AS parameters, m = 2 AS catch_all,
@@ -86,7 +86,7 @@ def oracle_sql() -> dict[str, str]:
           i AS (SELECT *, coalesce('"items":' || b || ',', '') AS items FROM b), w AS (SELECT *, CASE k % 3 WHEN 0 THEN b WHEN 1 THEN '{' || items || '"type":"array"}' ELSE bn END AS s, CASE k % 3 WHEN 1 THEN '{' || items || '"type":["array","null"]}' ELSE bn END AS sn FROM i)
           SELECT CAST(k AS VARCHAR) AS id, coalesce(CASE k % 4 WHEN 0 THEN s WHEN 1 THEN sn WHEN 2 THEN '{' || coalesce('"items":' || s || ',', '') || '"type":"array"}' ELSE '{' || coalesce('"additionalProperties":' || s || ',', '') || '"type":"object"}' END, '{}') AS schema FROM w""",
         "global_merge": "WITH g AS (SELECT 'f' || (p_partkey % 6) AS field, p_partkey AS ord, CASE WHEN p_partkey % 6 < 3 THEN 'same' ELSE 'v' || (p_partkey % 7) END AS value FROM part WHERE p_partkey % 4 <> 0) SELECT field, arg_max(value, ord) AS value, count(DISTINCT value) > 1 AS conflict FROM g GROUP BY 1",
-        "uncalled_registrars": "SELECT 'acme/routes.R' || c_custkey AS symbol FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+        "uncalled_registrars": "SELECT 'acme/routes.R' || c_custkey AS symbol FROM customer WHERE c_custkey NOT IN (SELECT o_custkey * 2 FROM orders)",
         "annotation_join": now("SELECT route_id, CASE WHEN k % 10 <> 3 THEN 'about ' || (k % 10) END AS swag FROM e"),
         "relative_sources": "SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'pkg/f' || p_partkey || '.go' WHEN 1 THEN 'acme/lib' || CASE WHEN p_partkey % 2 = 0 THEN '@v1.2.0' ELSE '' END || '/f' || p_partkey || '.go' ELSE 'external:unresolved' END AS file FROM part",
         "manifest_order": "SELECT 'svc-' || c_custkey AS name, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN c_custkey * 3 ELSE 0 END AS ord FROM customer",

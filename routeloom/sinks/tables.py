@@ -6,30 +6,40 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder in spark.checkpoint.dir and read again; cuts the lineage and survives lost executors.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset.
 
-    Where the setting is empty a local master takes a folder of its own; a cluster has none that all machines share.
+    The latter only with a local master: on a cluster each executor would write to its own disk.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="routeloom-")
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root}/routeloom-{name}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return root
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    path = f"{shared_root(spark)}/routeloom-{name}-{uuid.uuid4().hex}"
+    atexit.register(drop, spark, path)
+    return path
 
 
-def _drop(spark, path: str) -> None:
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ours; a session that has ended leaves it to the cluster's own clean-up."""
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session is gone; the cluster clears its folder
+    except Exception:  # noqa: BLE001  the session is gone
         pass
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read again; cuts the lineage and survives lost executors."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
