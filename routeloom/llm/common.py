@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 import weakref
 from typing import ClassVar
 
@@ -12,6 +9,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.tables import drop, new_folder
+
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words are runs of anything but ASCII white space; bytes.split() cuts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,36 +25,6 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset.
-
-    The latter only with a local master: on a cluster each executor would write to its own disk.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="routeloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    path = f"{shared_root(spark)}/routeloom-{name}-{uuid.uuid4().hex}"
-    atexit.register(drop, spark, path)
-    return path
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Remove a folder of ours; a session that has ended leaves it to the cluster's own clean-up."""
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session is gone
-        pass
-
-
 def once(value: Column, name: str) -> Column:
     """The value as a generated column: plans that refer to it in a lambda or a filter don't compute it again there."""
     return F.explode(F.array(value)).alias(name)
