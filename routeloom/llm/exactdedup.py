@@ -29,6 +29,8 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",  # one bound for all stores of an executor
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # no disk is taken before it is written to
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # an executor holds the stores of its running tasks only
 }
 
 
