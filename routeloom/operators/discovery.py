@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import join_paths, normalize_path
+from ..sinks.tables import written
 
 #: What a registration for any method expands to (fixed values).
 ANY_METHODS = ("GET", "POST", "PUT", "PATCH", "HEAD", "OPTIONS", "DELETE", "CONNECT", "TRACE")
@@ -14,13 +15,16 @@ ANY_METHODS = ("GET", "POST", "PUT", "PATCH", "HEAD", "OPTIONS", "DELETE", "CONN
 def group_paths(groups: DataFrame, depth: int = 32) -> DataFrame:
     """group_id, path, depth, lineage of nested groups (group_id, parent_id null at a root, prefix), `depth` levels at most.
 
-    Levels are walked down by joins; each level moves only the groups found in the one before. Cycles end at the bound.
+    Levels are walked down by joins; each level moves only the groups found in the one before and is written, so none
+    is computed again for the next. Cycles end where they close.
     """
+    groups = written(groups.select("group_id", "parent_id", "prefix"), "groups")
     level = groups.where("parent_id is null").select("group_id", normalize_path(F.col("prefix")).alias("path"), F.lit(0).alias("depth"), F.array("group_id").alias("lineage"))
     out = level
     for d in range(1, depth + 1):
         level = groups.alias("g").join(level.alias("p"), F.col("g.parent_id") == F.col("p.group_id")).where(~F.array_contains("p.lineage", F.col("g.group_id")))
         level = level.select("g.group_id", join_paths(F.col("p.path"), F.col("g.prefix")).alias("path"), F.lit(d).alias("depth"), F.concat("p.lineage", F.array("g.group_id")).alias("lineage"))
+        level = written(level, "level")
         if level.isEmpty():
             break
         out = out.unionByName(level)

@@ -127,7 +127,10 @@ def fleet_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def fleet_delta(spark: SparkSession, d: str) -> DataFrame:
     """Each snapshot is classified and written once; what is read again are its columns for counts, keys and findings."""
-    before, now = (written(classified(spark, d, s).select("target", "module_id", "ord", "method", "normalizedPath", "middleware", "source", "auth", "route_findings"), f"snapshot-{s}") for s in (1, 0))
+    text = F.lit(None).cast("string")
+    names = F.transform("middleware", lambda m: F.struct(m["displayName"].alias("displayName"))).alias("middleware")
+    rules = F.transform("route_findings", lambda f: F.struct(f["ruleId"].alias("ruleId"), f["severity"].alias("severity"), text.alias("detail"), text.alias("recommendation"))).alias("route_findings")
+    before, now = (written(classified(spark, d, s).select("target", "module_id", "ord", "method", "normalizedPath", names, text.alias("source"), "auth", rules), f"snapshot-{s}") for s in (1, 0))
     old, new = module_rows(before, 1), module_rows(now).where("target <> 'repo-4' or module_id <> 'mod-1'")
     return fleet.compare(old, new, before, now)
 
