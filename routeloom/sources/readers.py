@@ -251,8 +251,7 @@ def specification(path: str, content: bytes | None, length: int, most: int, root
     authorship = said if said in ("authored", "generated") else "generated" if doc.get("x-generated") is True else "unknown"
     verbs = {"get", "put", "post", "delete", "options", "head", "patch", "trace"}
     paths = doc.get("paths") if isinstance(doc.get("paths"), dict) else {}
-    base = str(doc.get("basePath", "")).rstrip("/") if dialect == "swagger-2" else ""
-    operations = [{"method": str(v).upper(), "path": base + str(p)} for p, item in paths.items() if isinstance(item, dict) for v in item if str(v).lower() in verbs]
+    operations = [{"method": str(v).upper(), "path": str(p)} for p, item in paths.items() if isinstance(item, dict) for v in item if str(v).lower() in verbs]
     refs, bad, targets = references(doc), [], []
     here = re.sub("^[a-z0-9]+:/+", "/", path)
     for r in refs:

@@ -259,7 +259,7 @@ def test_manifest_and_spec_documents(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"swagger": "2.0", "basePath": "/v1/", "paths": {"/u": {"get": {}, "x-y": 1}}}')
     (tmp_path / "n.json").write_text("{}")
     got = readers.spec_documents(spark, str(tmp_path)).collect()
-    assert len(got) == 1 and got[0]["dialect"] == "swagger-2" and got[0]["operations"][0]["path"] == "/v1/u"
+    assert len(got) == 1 and got[0]["dialect"] == "swagger-2" and got[0]["operations"][0]["path"] == "/u"
 
 
 def test_specifications(spark, tmp_path):
