@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import integrity
+from ..sinks.tables import new_folder
+from ..streaming import resume
 from .rules import table
 
 
@@ -53,7 +57,23 @@ def tree_hashes(spark: SparkSession, d: str) -> DataFrame:
     return integrity.tree_hashes(table(spark, d, "part", root="p_brand", path="concat(p_type, '/', p_partkey, '.yaml')", sha256="sha2(p_name, 256)"), "root")
 
 
-ALL = (saved_fleet_problems, reuse_problems, tree_hashes)
+def resumed_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as results of their customers, taken from a stream into state; each customer's result that holds, or none."""
+    path = f"{d}/orders.parquet"
+    files = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may be one file as well as a folder
+    k = "o_orderkey"
+    results = files.selectExpr(
+        f"CASE WHEN {k} % 211 = 4 THEN NULL ELSE concat('svc-', o_custkey) END AS target", f"CASE WHEN {k} % 197 = 6 THEN NULL ELSE {k} END AS attempt", "CASE o_orderstatus WHEN 'P' THEN 'failed' WHEN 'O' THEN 'not-go-module' ELSE 'ok' END AS status",
+        f"CASE WHEN {k} % 193 = 7 THEN NULL ELSE o_orderstatus <> 'P' AND {k} % 5 <> 0 END AS complete", f"CASE WHEN {k} % 3 > 0 THEN concat('c', {k}) END AS commit", "CAST(o_orderdate AS timestamp) AS scanned_at",
+    )
+    state = new_folder(spark, "resume")
+    resume.observe(results, state, {"table": "orders"}, timedelta(days=700), timedelta(hours=36))
+    targets = table(spark, d, "customer", target="concat('svc-', c_custkey)")
+    rows = targets.join(resume.held(spark, state), "target", "left")
+    return rows.selectExpr("target", "attempt", "status", "commit", "cast(scanned_at as date) AS scanned", "attempt IS NULL AS to_do")
+
+
+ALL = (saved_fleet_problems, reuse_problems, tree_hashes, resumed_targets)
 
 
 def queries() -> dict:
@@ -95,5 +115,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "saved_fleet_problems": f"WITH {SAVED} SELECT target, module_id, problem, count(*) AS n FROM p GROUP BY ALL",
         "reuse_problems": f"WITH {REUSE} SELECT 'svc-' || k AS target, problem FROM p",
+        "resumed_targets": """WITH o AS (SELECT *, CAST(o_orderdate AS TIMESTAMP) AS seen, o_orderkey AS k FROM orders),
+l AS (SELECT * FROM o WHERE o_orderstatus <> 'P' AND k % 5 <> 0 AND k % 211 <> 4 AND k % 197 <> 6 AND k % 193 <> 7 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY seen DESC, k DESC) = 1),
+h AS (SELECT * FROM l WHERE seen + INTERVAL 700 DAY > (SELECT max(seen) FROM o) - INTERVAL 36 HOUR)
+SELECT 'svc-' || c_custkey AS target, k AS attempt, CASE WHEN o_orderstatus = 'O' THEN 'not-go-module' WHEN o_orderstatus = 'F' THEN 'ok' END AS status, CASE WHEN k % 3 > 0 THEN 'c' || k WHEN k IS NOT NULL THEN '' END AS commit, CAST(seen AS DATE) AS scanned, k IS NULL AS to_do FROM customer LEFT JOIN h ON o_custkey = c_custkey""",
         "tree_hashes": "SELECT p_brand AS root, count(*) AS n_files, sha256(string_agg(path || chr(0) || sha256(p_name) || chr(10), '' ORDER BY path)) AS content_hash FROM (SELECT *, p_type || '/' || p_partkey || '.yaml' AS path FROM part) GROUP BY 1",
     }
