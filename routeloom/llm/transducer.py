@@ -8,8 +8,8 @@ transitions of its own, which end in the state between pre-tokens. Two tokens ma
 merging their letters gives the two again, which fixes the last token of every prefix; so the counts are exact.
 
 Before it, a scanner of seven states cuts a text into pre-tokens by character class. The state of both together is
-(scanner's state, transducer's state, letter read last, whose transition depends on whether it is the last one). Long
-texts are cut into chunks at any place. The map of a chunk takes a state before it to (state after it, tokens emitted
+(scanner's state, transducer's state, letter read last, whose transition depends on whether it is the last one). Texts
+are cut into chunks at any place. The map of a chunk takes a state before it to (state after it, tokens emitted
 in it). There are too many states to tabulate all, so a map is tabulated at the states that are asked of it; at white
 space all states agree, so what follows the first one in a chunk is computed once for all of them. Maps compose
 associatively by a prefix scan; a map has a fixed size, whatever the length of a text or of its words.
@@ -156,6 +156,9 @@ def pre_tokens(word: str) -> Iterator[str]:
         yield word[start:]
 
 
+CHUNK = 1 << 10  # code points; shorter texts are one chunk
+
+
 class Map:
     """Of a stretch of text: state before -> (state after, tokens emitted), tabulated at the states asked for."""
 
@@ -194,7 +197,7 @@ def scan(maps: list[Map]) -> list[Map]:
 class Counter:
     """Token counts of whole texts."""
 
-    def __init__(self, path: str, chunk: int = 1 << 16):
+    def __init__(self, path: str, chunk: int = CHUNK):
         self.machine, self.chunk, self.path = Transducer(path), chunk, path
         with open(path, encoding="utf-8") as f:
             specials = [t["content"] for t in json.load(f)["added_tokens"]]
@@ -266,16 +269,16 @@ class Counter:
         fixed += n
 
         def of(state: tuple) -> tuple[tuple, int]:
-            before, m = self.feed(state, text[lo : first.start()])
+            head = text[lo : first.start()]
+            if not state[0]:  # between pre-tokens a word's rest counts like a word
+                return after, (self.word[head] if head else 0) + fixed
+            before, m = self.feed(state, head)
             return after, m + self.finish(before) + fixed
 
         return Map(of)
 
     def _count(self, text: str) -> int:
-        text = lowered(text)
-        if len(text) <= self.chunk:
-            words = BETWEEN.split(text) if re.search("[\x1c-\x1f]", text) else text.split()
-            return sum(map(self.word.__getitem__, filter(None, words)))
+        text = lowered(text) + " "  # its end is like white space
         whole = scan([self.chunk_map(text, i, min(len(text), i + self.chunk)) for i in range(0, len(text), self.chunk)])[-1]
         after, n = whole(self.start)
         return n + self.finish(after)
