@@ -2,9 +2,9 @@
 
 A text and a template are aligned on the words that both have exactly once: of these the longest increasing
 subsequence are anchors, anchors grow over equal words on either side, and the gaps between them are aligned
-again in the same way. Coverage is the share of the template's words that are aligned. A licence may be spread over
-`SPAN` times the template's length; long texts are aligned window by window, where the words there allow enough
-coverage.
+again in the same way. Coverage is the share of the template's words that are aligned. Words that the template hasn't
+don't count, however many they are; of those it has, a licence may be spread over `SPAN` times the template's length, or
+any number. Long texts are aligned window by window, where the words there allow enough coverage.
 """
 
 from __future__ import annotations
@@ -63,8 +63,9 @@ TEMPLATES = {
     **TEXTS,
 }
 COVERAGE = 0.8
-SPAN = 4  # template lengths that a licence may take up in a text
-SHORT, NOTICE = 20, 200  # words: shorter templates must occur whole; those between the two must agree in the telling words
+SPAN = 4  # template lengths that a licence may take up in a text, of words that the template has; None: no limit
+SHORT, NOTICE = 20, 200  # words: shorter templates must align whole; those between the two must agree in the telling words
+BETWEEN = 2  # other words inside a short template's place
 VERSION = frozenset(b"%d" % i for i in range(10))
 FAMILY = frozenset([b"lesser", b"affero"])
 OTHERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -122,38 +123,52 @@ def align(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def best(text: list[bytes], template: list[bytes], least: float, span: int = SPAN) -> list[tuple[int, int]]:
+def best(text: list[bytes], template: list[bytes], least: float, span: int | None = SPAN) -> list[tuple[int, int]]:
     """The alignment that covers most of the template, at its first place; [] below `least`.
 
-    Windows of twice `span` template lengths overlap by half, so an alignment over `span` lengths lies in one whole.
-    Where a window's alignment is too small, perhaps because copies hide each other's words, its parts are aligned.
+    Only words that the template has are aligned, so any number of others may stand between. Windows of twice `span`
+    template lengths of such words overlap by half, so an alignment over `span` lengths lies in one whole; with None
+    the first window is the whole text. Where a window's alignment isn't full, perhaps because copies hide each
+    other's words, its parts are aligned too.
     """
     need, known, m, top = least * len(template), set(template), len(template), []
     at = [i for i, w in enumerate(text) if w in known]
     if len(at) < need:
         return top
-    step = span * m
-    starts = sorted({max(0, i // step * step - k * step) for i in at for k in (0, 1)})
-    todo = [(s, min(len(text), s + 2 * step)) for s in reversed(starts)]
+    own, step = [text[i] for i in at], len(at) if span is None else span * m
+    todo = [(s, min(len(own), s + 2 * step)) for s in range((len(own) - 1) // step * step, -1, -step)]
     want = Counter(template)
-    while todo:
+    while todo and len(top) < m:
         lo, hi = todo.pop()
-        part = text[lo:hi]
-        if (Counter(w for w in part if w in known) & want).total() < need:
+        part = own[lo:hi]
+        if (Counter(part) & want).total() < max(len(top) + 1, need - 1e-9):
             continue
         found = align(part, template)
         if len(found) > max(len(top), need - 1e-9):
-            top = [(lo + i, j) for i, j in found]
-        elif len(found) < need and hi - lo > m:
+            top = [(at[lo + i], j) for i, j in found]
+        if len(found) < m and hi - lo > m:
             size = max(m, (hi - lo) // 2)
             todo += [(s, s + size) for s in range(hi - size, lo - 1, -max(1, size // 2))]
     return top
 
 
-def whole(text: bytes, template: list[bytes]) -> int:
-    """Word at which `template` occurs in a text whose words have one space before and after each; -1: nowhere."""
-    at = text.find(b" " + b" ".join(template) + b" ")
-    return text.count(b" ", 0, at) if at > 0 else at
+def near(text: list[bytes], template: list[bytes], between: int = BETWEEN) -> list[tuple[int, int]]:
+    """The first place where a short template aligns whole, with `between` other words inside at most; [] if nowhere.
+
+    It is looked for around its word that the text has least often: the bare length first, so words repeated beside an
+    occurrence can't hide it, then with room.
+    """
+    m, many = len(template), Counter(text)
+    pivot = min(template, key=many.__getitem__)
+    turns = [j for j, w in enumerate(template) if w == pivot]
+    for p in (i for i, w in enumerate(text) if w == pivot):
+        for room in (0, between):
+            for j in turns:
+                lo = max(0, p - j - room)
+                found = align(text[lo : p - j + m + room], template)
+                if len(found) == m and found[-1][0] - found[0][0] < m + between:
+                    return [(lo + i, k) for i, k in found]
+    return []
 
 
 def tells_apart(text: list[bytes], template: list[bytes], found: list[tuple[int, int]]) -> bool:
@@ -172,13 +187,14 @@ def outer(hits: list[tuple]) -> list[tuple]:
     return [h for h in hits if not any(o[1] > h[1] and o[2] <= h[2] and h[3] <= o[3] and o[4].split(" ")[0] != h[4].split(" ")[0] for o in hits)]
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = COVERAGE) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = COVERAGE, span: int | None = SPAN, between: int = BETWEEN) -> DataFrame:
     """For each row of `docs` (doc_id, text): its best licence (null: none), coverage, place, and all that reach `least`.
 
     Ties go to the template named first. Null and empty texts have no licence; repeated rows give repeated rows; other
     columns are not read. Whole texts of any length are scanned, window by window.
-    A template is skipped only where its words in the text can't reach `least`. Templates under `SHORT` words must
-    occur whole, notices that name a version must agree in it, and a hit inside a larger one of another licence is
+    A template is skipped only where its words in the text can't reach `least`. A licence may be spread over `span`
+    template lengths of words that the template has, and over any number of others; None sets no limit. Templates under
+    `SHORT` words must align whole with `between` other words inside at most, notices that name a version must agree in it, and a hit inside a larger one of another licence is
     part of that. No shuffle.
     """
     own = {k: words(t) for k, t in (templates or TEMPLATES).items()}
@@ -193,14 +209,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
             for text in b.column(1).to_pylist():
                 w = words(text)
                 here = every.intersection(w)
-                hits, joined = [], b" " + b" ".join(w) + b" "
+                hits = []
                 for k, t in own.items():
                     if len(here & sets[k]) < fewest[k]:
                         continue
-                    if len(t) < SHORT:
-                        if t and (at := whole(joined, t)) >= 0:
-                            hits.append((1.0, len(t), at, at + len(t), k))
-                    elif (found := best(w, t, least)) and len(found) >= least * len(t) and tells_apart(w, t, found):
+                    found = (near(w, t, between) if t else []) if len(t) < SHORT else best(w, t, least, span)
+                    if found and tells_apart(w, t, found):
                         hits.append((len(found) / len(t), len(found), found[0][0], found[-1][0] + 1, k))
                 hits = outer(hits)
                 top = max(hits, key=lambda h: h[:2], default=(0.0, 0, None, None, None))
