@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -50,23 +50,22 @@ class Last(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle, self.held = handle, handle.getValueState("held", HELD)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         before = self.held.get()
         top = before
-        for part in rows:
-            for r in part[part["complete"]][["attempt", "status", "commit", "scanned_us", "expires_ms"]].itertuples(index=False):
-                if top is None or (r[3], r[0], r[1], r[2]) > (top[3], top[0], top[1], top[2]):
-                    top = (int(r[0]), r[1], r[2], int(r[3]), int(r[4]))
+        for r in rows:
+            if r["complete"] and (top is None or (r["scanned_us"], r["attempt"], r["status"], r["commit"]) > (top[3], top[0], top[1], top[2])):
+                top = (r["attempt"], r["status"], r["commit"], r["scanned_us"], r["expires_ms"])
         if top is not None and top is not before:
             if before is not None:
                 self.handle.deleteTimer(before[4])
             self.held.update(top)
             self.handle.registerTimer(top[4])
-            yield pd.DataFrame({"target": [key[0]], "held": [True]})
+            yield Row(target=key[0], held=True)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.held.clear()
-        yield pd.DataFrame({"target": [key[0]], "held": [False]})
+        yield Row(target=key[0], held=False)
 
     def close(self) -> None:
         pass
@@ -111,7 +110,7 @@ def observe(results: DataFrame, path: str, identity: dict[str, str], keep: timed
     # Failures move time on too, so they reach the state's tasks: a filter here would be pushed below the watermark.
     rows = rows.withWatermark("expires_at", f"{most + int(delay / timedelta(milliseconds=1))} milliseconds")
     with settings(spark, STATE):
-        changes = rows.groupBy("target").transformWithStateInPandas(Last(), "target string, held boolean", "Update", "EventTime")
+        changes = rows.groupBy("target").transformWithState(Last(), "target string, held boolean", "Update", "EventTime")
         changes.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{path.rstrip('/')}/state").trigger(availableNow=True).start().awaitTermination()
 
 
