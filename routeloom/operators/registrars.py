@@ -100,6 +100,7 @@ def resolved(events: DataFrame, followed: DataFrame, depth: int = DEPTH) -> Data
     """entry, at, var, value_at, value_var: the definition (engine or group) that a variable of an instance stands for.
 
     A parameter points to its caller's variable, a variable bound to a factory's engine to what the factory returns.
+    What a body defines itself comes after its parameters are bound, so it stands before a parameter of the same name.
     A factory that returns several variables is not resolved. Chains are followed by doubling.
     """
     made = events.where("kind in ('engine', 'group')").select("entry", "at", F.col("out").alias("var"), F.col("at").alias("to_at"), F.col("out").alias("to_var"), F.lit(True).alias("end"))
@@ -107,7 +108,9 @@ def resolved(events: DataFrame, followed: DataFrame, depth: int = DEPTH) -> Data
     back = events.where("kind = 'return' and var is not null").groupBy("entry", F.col("at").alias("t")).agg(F.min("var").alias("to_var"), F.count_distinct("var").alias("n")).where("n = 1")
     bound = followed.where("var is null and out is not null").select("entry", "at", F.col("out").alias("var"), "t").join(back, ["entry", "t"])
     links = made.unionByName(passed).unionByName(bound.select("entry", "at", "var", F.col("t").alias("to_at"), "to_var", F.lit(False).alias("end")))
-    links = written(links.dropDuplicates(["entry", "at", "var"]), "links")
+    deepest = F.max(F.struct("end", F.length("to_at").alias("deep"), "to_at", "to_var"))  # an engine or group, then what a call gives, then a parameter
+    links = links.groupBy("entry", "at", "var").agg(deepest.alias("to"))
+    links = written(links.select("entry", "at", "var", "to.to_at", "to.to_var", "to.end"), "links")
     for _ in range(max(1, (2 * depth).bit_length())):
         if links.where("not end").isEmpty():
             break

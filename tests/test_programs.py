@@ -145,6 +145,18 @@ def test_random_programs(spark, seed):
     assert found(spark, steps) == interpret(steps)
 
 
+def test_an_engine_stands_before_a_parameter_of_its_name(spark):
+    rows = []
+    for i in range(40):
+        main, inner = f"p.Main{i}", f"p.Inner{i}"
+        rows += [step(main, 0, "engine", out="r"), step(main, 1, "group", "r", "g", "/outer", ["m"]), step(main, 2, "call", "g", callee=inner, param="r")]
+        rows += [step(inner, 0, "engine", out="r"), step(inner, 1, "route", "r", path="/x", symbols=["h"]), step(inner, 2, "call", "r", callee=f"p.Leaf{i}", param="r")]
+        rows += [step(f"p.Leaf{i}", 0, "route", "r", path="/y", symbols=["h"])]
+    got = registrars.discover(spark.createDataFrame(rows, registrars.STEPS))
+    assert got.diagnostics.isEmpty()
+    assert Counter((r["path"], tuple(r["chain"])) for r in got.routes.collect()) == {("/x", ()): 80, ("/y", ()): 80}
+
+
 def test_no_steps(spark):
     assert found(spark, []) == (Counter(), Counter())
 
