@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import route_key
 from ..functions.symbols import candidate_id, known_non_auth, name_hint
+from ..sinks.tables import written
 
 
 def suggest(routes: DataFrame, shapes: DataFrame, *by: str, samples: int = 5, globals_: DataFrame | None = None) -> DataFrame:
     """Candidates of each module: symbol, route_count (distinct keys), shape, hints, first samples, rank.
 
-    Distinct (symbol, key) pairs are made before they are gathered; samples are the smallest few, kept while
+    Distinct (symbol, key) pairs are made and written before they are gathered; samples are the smallest few, kept while
     combining. applies_to_all compares distinct keys to all rows, so duplicates make it false. Ranked by shape
     (confirmed, other, contradicted), hint, known others last, symbols on all routes last, fewer routes first.
     `globals_` (by, symbol): global middleware, candidates without routes of their own. `shapes` may have an excerpt.
     """
     key = route_key(F.col("method"), F.col("normalizedPath"))
-    pairs = routes.select(*by, key.alias("route"), F.explode("middleware.canonicalSymbol").alias("symbol")).where("symbol is not null").distinct()
+    pairs = routes.select(*by, key.alias("route"), F.explode_outer("middleware.canonicalSymbol").alias("symbol")).where("symbol is not null").distinct()
+    pairs = written(pairs, "pairs")  # counts, samples and all who join the candidates read them; chains are opened once
     totals = routes.groupBy(*by).agg(F.count(F.lit(1)).alias("total_routes"))
     first = Window.partitionBy(*by, "symbol").orderBy("route")
     few = pairs.withColumn("at", F.row_number().over(first)).where(F.col("at") <= samples).groupBy(*by, "symbol").agg(F.array_sort(F.collect_list("route")).alias("samples"))

@@ -117,8 +117,12 @@ def classify(routes: DataFrame, config: Config, shapes: dict[str, str] | None =
 
 
 def findings_of(routes: DataFrame, *keep: str) -> DataFrame:
-    """The per-route findings of classify() as rows: keep, ord, ruleId, severity, fingerprint, route, detail."""
-    rows = routes.select(*keep, "ord", route_key(F.col("method"), F.col("normalizedPath")).alias("route"), "source", F.explode("route_findings").alias("f"))
+    """The per-route findings of classify() as rows: keep, ord, ruleId, severity, fingerprint, route, detail.
+
+    Routes without findings are left out after they are opened: a filter on the list itself would be pushed below the
+    classification, whose steps would then be computed over and over within it.
+    """
+    rows = routes.select(*keep, "ord", route_key(F.col("method"), F.col("normalizedPath")).alias("route"), "source", F.explode_outer("route_findings").alias("f")).where("f is not null")
     return rows.select(*keep, "ord", "f.ruleId", "f.severity", fingerprint(F.col("f.ruleId"), F.col("route")).alias("fingerprint"), "route", "source", "f.detail", "f.recommendation")
 
 
@@ -150,10 +154,11 @@ def verb_gaps(routes: DataFrame) -> DataFrame:
     """Paths whose routes differ in status; accepted routes and those without classification don't count.
 
     Equal (path, method, status) are counted before the shuffle, so a hot path gathers a few rows; `methods` lists
-    METHOD=status with repetitions, in order.
+    METHOD=status with repetitions, in order. Routes that don't count are not counted, rather than filtered: a filter
+    would be pushed below the classification and repeat its steps.
     """
-    rows = routes.where("auth is not null and not auth.accepted").select("normalizedPath", "method", F.col("auth.authStatus").alias("status"))
-    counts = rows.groupBy("normalizedPath", "method", "status").agg(F.count(F.lit(1)).alias("n"))
+    rows = routes.select("normalizedPath", "method", F.col("auth.authStatus").alias("status"), F.expr("auth is not null and not auth.accepted").alias("counts"))
+    counts = rows.groupBy("normalizedPath", "method", "status").agg(F.count_if("counts").alias("n")).where("n > 0")
     paths = counts.groupBy("normalizedPath").agg(F.count_distinct("status").alias("kinds"), F.array_sort(F.collect_list(F.struct("method", "status", "n"))).alias("all")).where("kinds >= 2")
     methods = F.array_join(F.transform("all", lambda x: F.concat(x["method"], F.lit("="), x["status"])), ", ")
     return paths.select("normalizedPath", F.lit("per-verb-gap").alias("ruleId"), F.lit("high").alias("severity"), fingerprint(F.lit("per-verb-gap"), F.col("normalizedPath")).alias("fingerprint"), methods.alias("methods"), F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_routes"))

@@ -71,9 +71,10 @@ def compare_routes(baseline: DataFrame, current: DataFrame, *by: str) -> DataFra
 
 
 def compare_findings(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """fingerprint, change (new, resolved)."""
-    b, a = baseline.select("fingerprint").distinct(), current.select("fingerprint").distinct()
-    return a.join(b, "fingerprint", "left_anti").withColumn("change", F.lit("new")).unionByName(b.join(a, "fingerprint", "left_anti").withColumn("change", F.lit("resolved")))
+    """fingerprint, change (new, resolved): one aggregate that reads each side once. Fingerprints are never null."""
+    sides = baseline.select("fingerprint", F.lit(False).alias("now")).unionByName(current.select("fingerprint", F.lit(True).alias("now")))
+    found = sides.groupBy("fingerprint").agg(F.bool_or("now").alias("new"), F.bool_and("now").alias("only"))
+    return found.where("not new or only").select("fingerprint", F.when(F.col("new"), "new").otherwise("resolved").alias("change"))
 
 
 def incompatibilities(baseline: DataFrame, current: DataFrame) -> DataFrame:

@@ -108,6 +108,6 @@ def evaluate(routes: DataFrame, config: Config, now: str, *keep: str) -> DataFra
         for e in p.exceptions:
             exempt = exempt | (exception_active(F.lit(e.expires), now) & selects(e.match))
         checks.append(F.when(selects(p.match) & ~satisfied(p.require) & ~exempt, F.struct(F.lit(i).alias("policy_ord"), F.lit(p.id).alias("policyId"))))
-    violated = F.filter(F.array(*checks), lambda x: x.isNotNull()) if checks else F.array().cast("array<struct<policy_ord:int,policyId:string>>")
-    rows = routes.select(*keep, "ord", route_key(F.col("method"), F.col("normalizedPath")).alias("route"), "source", F.explode(violated).alias("v"))
+    violated = F.array(*checks) if checks else F.array().cast("array<struct<policy_ord:int,policyId:string>>")
+    rows = routes.select(*keep, "ord", route_key(F.col("method"), F.col("normalizedPath")).alias("route"), "source", F.explode_outer(violated).alias("v")).where("v is not null")
     return rows.select(*keep, "ord", "v.policy_ord", "v.policyId", "route", "source", F.lit("policy-violation").alias("ruleId"), F.lit("high").alias("severity"), fingerprint(F.lit("policy-violation"), F.col("v.policyId"), F.col("route")).alias("fingerprint"))

@@ -33,10 +33,11 @@ METHOD = {"click": "GET", "view": "GET", "signup": "POST", "purchase": "PUT"}
 
 def facts(spark: SparkSession, sf_dir: str, snapshot: int = 0) -> DataFrame:
     """target, module_id and the ROUTE columns of one snapshot."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k, i = F.get_json_object("props", "$.k").cast("long"), F.col("event_id")
-    g = (k % 20 + (i % 2 * 3 if snapshot else i % 3)) % 11
-    place = k % 20 + (F.when(i % 29 == 0, 40) if snapshot else F.when(i % 31 == 0, 20)).otherwise(0)
+    k, i = F.col("k"), F.col("event_id")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    # each step has its own projection, so that JSON is read once a row and not once a use
+    events = events.withColumns({"g": (k % 20 + (i % 2 * 3 if snapshot else i % 3)) % 11, "place": k % 20 + (F.when(i % 29 == 0, 40) if snapshot else F.when(i % 31 == 0, 20)).otherwise(0)})
+    g, place = F.col("g"), F.col("place")
 
     def entry(symbol, ordering: int, opaque=None, wrapped=None):
         names = [f.split(" ")[0] for f in ("displayName", "canonicalSymbol")]
@@ -48,12 +49,13 @@ def facts(spark: SparkSession, sf_dir: str, snapshot: int = 0) -> DataFrame:
         ).cast(MIDDLEWARE)
 
     symbol = F.when(g < 4, USER).when(g < 6, ADMIN).when(g == 6, LEGACY).when(g == 8, WRAP).when(g == 9, CHECK)
-    chain = F.array(entry(F.lit(LOGGER), 0), F.when(g < 10, entry(symbol, 1, g == 7, g == 8)), F.when(F.col("event_id") % 13 == 0, entry(F.lit(LEGACY), 2)))
+    none = F.array().cast(f"array<{MIDDLEWARE}>")
+    chain = F.concat(F.array(entry(F.lit(LOGGER), 0)), F.when(g < 10, F.array(entry(F.col("symbol"), 1, g == 7, g == 8))).otherwise(none), F.when(i % 13 == 0, F.array(entry(F.lit(LEGACY), 2))).otherwise(none))
     method = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in METHOD.items() for x in kv)), F.col("event_type")), F.lit("DELETE"))
     path = F.concat(F.lit("/api/v1/r"), place.cast("string"))
-    return events.select(
+    return events.withColumn("symbol", symbol).select(
         F.concat(F.lit("repo-"), (F.col("user_id") % 5).cast("string")).alias("target"), F.concat(F.lit("mod-"), (F.col("user_id") % 3).cast("string")).alias("module_id"),
         F.col("event_id").alias("ord"), method.alias("method"), path.alias("ginPath"), path.alias("normalizedPath"), F.lit("http").alias("surfaceKind"), F.lit("direct").alias("registrationKind"),
-        F.array_compact(chain).alias("middleware"), entry(F.concat(F.lit("acme/api.Handler"), (k % 10).cast("string")), 0).alias("finalHandler"),
+        chain.alias("middleware"), entry(F.concat(F.lit("acme/api.Handler"), (k % 10).cast("string")), 0).alias("finalHandler"),
         F.struct(F.lit("router.go").alias("file"), F.col("event_id").cast("int").alias("line")).alias("source"), F.lit("high").alias("pathConfidence"),
     )
