@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import clean_path
 from ..functions.symbols import valid_module_id, valid_target_name
 from ..schema import TARGET_STATUS
+from ..sinks.tables import written
 
 TARGETS = "target string, status string, complete boolean, ref string, commit string, source_fingerprint string, inventory_complete boolean, category string"
 MODULES = "target string, module_id string, kind string, status string, complete boolean, report string, api_html string"
@@ -55,6 +56,12 @@ def _double(frame: DataFrame, *key: str) -> DataFrame:
     return frame.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def _differ(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The rows that aren't as often in one frame as in the other: one aggregate, counts combined before they are shuffled."""
+    sides = one.withColumn("side", F.lit(1)).unionByName(other.withColumn("side", F.lit(-1)))
+    return sides.groupBy(*one.columns).agg(F.sum("side").alias("more")).where("more <> 0").drop("more")
+
+
 def problems(targets: DataFrame, modules: DataFrame, artifacts: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """target, module_id, problem: everything wrong with the records of a saved fleet; null names and sets are wrong too.
 
@@ -76,7 +83,7 @@ def problems(targets: DataFrame, modules: DataFrame, artifacts: DataFrame, group
     ]
     if groups is not None:
         own, stated = targets.select("target", "category"), groups.select(F.col("name").alias("target"), "category")
-        differ = own.exceptAll(stated).unionByName(stated.exceptAll(own)).select("target").distinct()
+        differ = _differ(own, stated).select("target").distinct()
         more.append(_rows(differ, F.lit("repository groups do not match targets")))
     for m in more:
         out = out.unionByName(m)
@@ -92,14 +99,18 @@ def verified(targets: DataFrame, found: DataFrame, most: int = 20) -> DataFrame:
 
 
 def expected(modules: DataFrame, formats: tuple[str, ...] = ("json",), html: bool = False) -> DataFrame:
-    """target, module_id, tree, path of the files that a complete scan of `modules` leaves. Targets with several modules have a folder each."""
+    """target, module_id, tree, path of the files that a complete scan of `modules` leaves. Targets with several modules have a folder each.
+
+    `n`, the modules of a row's target, is counted unless it is there.
+    """
     names = [FILES[f] for f in dict.fromkeys(("json", *formats)) if f in FILES]
-    n = modules.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    if "n" not in modules.columns:
+        modules = modules.join(modules.groupBy("target").agg(F.count(F.lit(1)).alias("n")), "target")
     base = F.concat(F.lit("targets/"), "target", F.when(F.col("n") > 1, F.concat(F.lit("/modules/"), "module_id")).otherwise(""))
     files = [F.struct(F.lit("").alias("tree"), F.lit(f).alias("name")) for f in names]
     if html and "openapi" in formats:
         files.append(F.struct(F.lit("html").alias("tree"), F.lit("api.html").alias("name")))
-    rows = modules.join(n, "target").select("target", "module_id", base.alias("base"), F.explode(F.array(*files)).alias("f"))
+    rows = modules.select("target", "module_id", base.alias("base"), F.explode(F.array(*files)).alias("f"))
     return rows.select("target", "module_id", "f.tree", F.concat("base", F.lit("/"), "f.name").alias("path"))
 
 
@@ -113,38 +124,39 @@ def reuse_problems(targets: DataFrame, modules: DataFrame, artifacts: DataFrame,
     surplus file therefore concerns its own target only.
     """
     of = lambda frame, problem: frame.select("target", F.lit(problem).alias("problem")).distinct()
-    rows = targets.join(current.select("target", F.col("fingerprint").alias("now")), "target", "left")
+    meet = lambda left, right, on, how: left.join(right.hint("merge"), on, how)  # noqa: E731  sides grow with the fleet: sorted and merged, never sent to the driver
+    rows = meet(targets, current.select("target", F.col("fingerprint").alias("now")), "target", "left")
     state = (
         F.when(~F.coalesce("complete", F.lit(False)), "result is incomplete")
         .when((F.coalesce("source_fingerprint", F.lit("")) == "") | ~F.col("source_fingerprint").eqNullSafe(F.col("now")), "source identity changed")
         .when(F.col("status") == "not-go-module", F.when(~F.coalesce("inventory_complete", F.lit(False)), "repository inventory is incomplete"))
         .when(~F.coalesce(F.col("status") == "ok", F.lit(False)), "status is not reusable")
     )
-    rows = rows.withColumn("problem", state)
+    rows = written(rows.select("target", "status", state.alias("problem")), "states")
     good, foreign = rows.where("problem is null and status = 'ok'").select("target"), rows.where("problem is null and status = 'not-go-module'").select("target")
-    inside = modules.select("target").unionByName(artifacts.select("target")).distinct()
-    own = modules.join(good, "target", "left_semi")
-    record = artifacts.join(good, "target", "left_semi").withColumn("tree", F.coalesce("tree", F.lit("")))
+    inside = modules.select("target").unionByName(artifacts.select("target"))
+    own = meet(modules, good, "target", "left_semi")
+    own = written(meet(own, own.groupBy("target").agg(F.count(F.lit(1)).alias("n")), "target", "inner"), "modules")
+    record = written(meet(artifacts, good, "target", "left_semi").withColumn("tree", F.coalesce("tree", F.lit(""))), "records")
     want, key = expected(own, formats, html), ["target", "tree", "path"]
     whole, parts = record.where("module_id is null").select(*key, "bytes", "sha256"), record.where("module_id is not null")
     listed = parts.select("target", "module_id", "tree", "path")
     there = files.select(F.coalesce("tree", F.lit("")).alias("tree"), "path", "bytes", "sha256")
     report = F.concat(F.lit("targets/"), "target", F.when(F.col("n") > 1, F.concat(F.lit("/modules/"), "module_id")).otherwise(""), F.lit("/routes.json"))
-    placed = own.join(own.groupBy("target").agg(F.count(F.lit(1)).alias("n")), "target")
     page = F.regexp_replace(report, "routes.json$", "api.html") if html and "openapi" in formats else F.lit("")
     checks = [
         rows.where("problem is not null").select("target", "problem"),
-        of(foreign.join(inside, "target", "left_semi"), "unexpected module artifacts"),
-        of(good.join(modules, "target", "left_anti"), "no module inventory"),
+        of(meet(foreign, inside, "target", "left_semi"), "unexpected module artifacts"),
+        of(meet(good, modules, "target", "left_anti"), "no module inventory"),
         of(own.where(~F.coalesce(valid_module_id(F.col("module_id")), F.lit(False))), "invalid module id"),
         of(_double(own, "target", "module_id"), "duplicate module id"),
         of(own.where("not (coalesce(status = 'ok', false) and coalesce(complete, false))"), "a module is not complete"),
-        of(placed.where(~F.coalesce(F.col("report"), F.lit("")).eqNullSafe(report)), "non-canonical report path"),
-        of(placed.where(F.coalesce(F.col("api_html"), F.lit("")) != page), "unexpected HTML path"),
+        of(own.where(~F.coalesce(F.col("report"), F.lit("")).eqNullSafe(report)), "non-canonical report path"),
+        of(own.where(F.coalesce(F.col("api_html"), F.lit("")) != page), "unexpected HTML path"),
         of(record.where(artifact_problem(*map(F.col, ("tree", "path", "bytes", "sha256"))).isNotNull()), "an artifact record is not in form"),
-        of(want.exceptAll(listed).unionByName(listed.exceptAll(want)), "a module's artifact set is not complete"),
-        of(whole.exceptAll(parts.select(*key, "bytes", "sha256")).unionByName(parts.select(*key, "bytes", "sha256").exceptAll(whole)), "target artifacts do not match its modules"),
-        of(whole.join(there, ["tree", "path", "bytes", "sha256"], "left_anti"), "an artifact failed integrity verification"),
+        of(_differ(want, listed), "a module's artifact set is not complete"),
+        of(_differ(whole, parts.select(*key, "bytes", "sha256")), "target artifacts do not match its modules"),
+        of(meet(whole, there, ["tree", "path", "bytes", "sha256"], "left_anti"), "an artifact failed integrity verification"),
     ]
     out = checks[0]
     for c in checks[1:]:

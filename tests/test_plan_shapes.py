@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from routeloom.operators import candidates, classify, compare, policy
+from routeloom.operators import candidates, classify, compare, integrity, policy
+from routeloom.plans import fleets
 from routeloom.plans import queries as q
 from routeloom.plans.adapter import CONFIG, NOW, facts
 
@@ -36,3 +37,13 @@ def test_findings_are_compared_in_one_pass(spark):
 def test_candidates_open_chains_once(spark):
     rows = candidates.suggest(facts(spark, DATA), q.shapes(spark))
     assert "Generate" not in plan(rows) and rows.agg(F.sum("route_count")).first()[0] > 0
+
+
+def test_reuse_sends_nothing_to_the_driver(spark):
+    assert "Broadcast" not in fleets.reuse_problems(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sets_that_differ(spark):
+    of = lambda *rows: spark.createDataFrame(rows, "target string, path string")
+    got = integrity._differ(of(("a", "x"), ("a", "x"), ("b", None), ("c", "z")), of(("a", "x"), ("b", None), ("d", "z")))
+    assert sorted(map(tuple, got.collect())) == [("a", "x"), ("c", "z"), ("d", "z")]
