@@ -11,24 +11,27 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, LongType, MapType, StringType, StructType
 
 from ..functions.paths import route_key
 from ..functions.symbols import severity_rank
 from ..schema import AUTH_STATUS, RULESET_VERSION, SCHEMA_VERSION, SEVERITIES, TARGET_STATUS, TOOL_VERSION
 
 
-def reports_json(routes: DataFrame, findings: DataFrame | None, target: Column, *by: str, command: str = "audit", profile: str = "typed", policies: tuple[str, ...] = (), delta: DataFrame | None = None, diagnostics: DataFrame | None = None, coverage: DataFrame | None = None) -> DataFrame:
+def reports_json(routes: DataFrame, findings: DataFrame | None, target: Column, *by: str, command: str = "audit", profile: str = "typed", policies: tuple[str, ...] = (), delta: DataFrame | None = None, diagnostics: DataFrame | None = None, coverage: DataFrame | None = None, lists: bool = True) -> DataFrame:
     """`report`: the whole envelope of each report as JSON, which readers.reports() reads back.
 
     `target`: a struct with module and buildContext. Lists are there even when empty, in order; an audit has summary,
     findings, policyEvaluation and activeExceptions, an inventory has none of them. `delta` is compare_routes() with
     `by`, `coverage` summary.coverage(); without the latter the scan counts as complete. A report is one document, so its routes meet in one row; write_reports() has no such row.
+    Without `lists` the envelope's routes and findings are empty lists and come by report_items() as rows, for reports of any size.
     """
-    names = ["method", "ginPath", "normalizedPath", "surfaceKind", "registrationKind", "middleware", "finalHandler", "source", "pathConfidence"] + ["auth"] * (command == "audit")
+    names = _route_fields(command)
     listed = lambda rows, at, value: F.transform(F.array_sort(F.collect_list(F.struct(at, value.alias("x")))), lambda e: e["x"])
     joined = lambda left, right: (left.join(right, list(by), "left") if by else left.join(right))
-    out = routes.groupBy(*by).agg(F.first(target).alias("report_target"), listed(routes, F.col("ord"), F.struct(*[c for c in names if c in routes.columns])).alias("routes"))
+    whole = listed(routes, F.col("ord"), F.struct(*[c for c in names if c in routes.columns])) if lists else F.array()
+    out = routes.groupBy(*by).agg(F.first(target).alias("report_target"), whole.alias("routes"))
     nothing = lambda kind: F.array().cast(f"array<{kind}>")
     if diagnostics is not None:
         rows = diagnostics.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("code", "severity", "message", "route"))).alias("diagnostics"))
@@ -47,8 +50,7 @@ def reports_json(routes: DataFrame, findings: DataFrame | None, target: Column,
     if command == "audit":
         counts = {"totalRoutes": F.lit(True), "proven": F.col("auth.authStatus") == "proven", "provenByAttestedUnresolved": F.col("auth.classificationBasis") == "configured-guard-attested", "public": F.col("auth.authStatus") == "public", "unknown": F.col("auth.authStatus") == "unknown"}
         out = joined(out, routes.groupBy(*by).agg(F.struct(*(F.count_if(c).alias(k) for k, c in counts.items())).alias("n")))
-        f = F.struct(F.col("fingerprint").alias("id"), "ruleId", "fingerprint", "severity", "route", "source", "detail", "recommendation")
-        found = findings.groupBy(*by).agg(listed(findings, F.struct(severity_rank(F.col("severity")).alias("s"), "fingerprint", "ord"), f).alias("findings"))
+        found = findings.groupBy(*by).agg((listed(findings, F.struct(severity_rank(F.col("severity")).alias("s"), "fingerprint", "ord"), _finding()) if lists else F.array()).alias("findings"))
         severities = findings.groupBy(*by, "severity").count().groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "count")))).alias("severities"))
         out = joined(joined(out, found), severities)
         n = F.col("n")
@@ -65,6 +67,64 @@ def reports_json(routes: DataFrame, findings: DataFrame | None, target: Column,
     return out.select(*by, F.to_json(F.struct(*(c.alias(k) for k, c in fields.items()))).alias("report"))
 
 
+def _route_fields(command: str = "audit") -> list[str]:
+    return ["method", "ginPath", "normalizedPath", "surfaceKind", "registrationKind", "middleware", "finalHandler", "source", "pathConfidence"] + ["auth"] * (command == "audit")
+
+
+def _finding() -> Column:
+    return F.struct(F.col("fingerprint").alias("id"), "ruleId", "fingerprint", "severity", "route", "source", "detail", "recommendation")
+
+
+def report_items(routes: DataFrame, findings: DataFrame | None, *by: str, command: str = "audit") -> DataFrame:
+    """by, list (routes, findings), severity, fingerprint, ord, item: what stands in the lists of each report, an element a row.
+
+    `item` is JSON as reports_json() has it; ordered by severity, fingerprint and ord (the first two are null for
+    routes) the items of a list are those of the document.
+    """
+    rows = routes.select(*by, F.lit("routes").alias("list"), F.lit(None).cast("int").alias("severity"), F.lit(None).cast("string").alias("fingerprint"), "ord", F.to_json(F.struct(*[c for c in _route_fields(command) if c in routes.columns])).alias("item"))
+    if findings is None:
+        return rows
+    return rows.unionByName(findings.select(*by, F.lit("findings").alias("list"), severity_rank(F.col("severity")).alias("severity"), "fingerprint", "ord", F.to_json(_finding()).alias("item")))
+
+
+def digests(lines: DataFrame, by: list[str], order: list[str], line: str = "line", between: str = "between") -> DataFrame:
+    """by, n, md5 of each group's lines in order with `between` (a column, one value a group) between them.
+
+    A task reads its groups sorted and keeps a digest, not the lines; null lines count but have no text.
+    """
+    own = lines.select(*by, *order, line, between).repartition(*by).sortWithinPartitions(*by, *order).select(*by, F.col(line).alias("line"), F.col(between).alias("between"))
+    kinds = own.select(*by).schema
+
+    def run(batches):
+        import hashlib
+        from itertools import groupby
+
+        import pyarrow as pa
+
+        out = pa.schema(list(zip(named, types)))
+        at, digest, n, empty = None, None, 0, True
+
+        def done():
+            return pa.record_batch([pa.array([v], t) for v, t in zip((*at, n, digest.hexdigest()), types)], schema=out)
+
+        for b in batches:
+            for key, rows in groupby(zip(*(c.to_pylist() for c in b.columns)), lambda r: r[:-2]):
+                if at != key:
+                    if at is not None:
+                        yield done()
+                    at, digest, n, empty = key, hashlib.md5(), 0, True
+                for *_, text, gap in rows:
+                    n += 1
+                    if text is not None:
+                        digest.update((text if empty else gap + text).encode())
+                        empty = False
+        if at is not None:
+            yield done()
+
+    types, named = [*(to_arrow_type(f.dataType) for f in kinds), to_arrow_type(LongType()), to_arrow_type(StringType())], [*by, "n", "md5"]
+    return own.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "n long", "md5 string"]))
+
+
 def write_reports(routes: DataFrame, path: str, report: str) -> None:
     """Evidence as JSON lines by report; Spark's committer publishes all files or none."""
     routes.write.partitionBy(report).mode("errorifexists").option("ignoreNullFields", "false").json(path)

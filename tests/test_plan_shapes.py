@@ -1,12 +1,16 @@
 """Plans that compute a step once a row: nothing is pushed below the classification, JSON is read once, sides are read once."""
 
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from routeloom.operators import candidates, classify, compare, integrity, policy
-from routeloom.plans import fleets
+from routeloom.plans import fleets, rules
 from routeloom.plans import queries as q
 from routeloom.plans.adapter import CONFIG, NOW, facts
+from routeloom.sinks import render
 
 DATA = "/root/testdata/sf0.001"
 
@@ -47,3 +51,26 @@ def test_sets_that_differ(spark):
     of = lambda *rows: spark.createDataFrame(rows, "target string, path string")
     got = integrity._differ(of(("a", "x"), ("a", "x"), ("b", None), ("c", "z")), of(("a", "x"), ("b", None), ("d", "z")))
     assert sorted(map(tuple, got.collect())) == [("a", "x"), ("c", "z"), ("d", "z")]
+
+
+def test_a_report_s_lists_never_meet_in_a_row(spark):
+    text = plan(rules.report_json(spark, DATA))
+    assert "collect_list(struct(ord" not in text and "collect_list(struct(col1" not in text
+
+
+def test_digests_of_ordered_lines(spark):
+    rows = [(g, i, None if i % 50 == 7 else f"é{i}", g + ";") for g in "abc" for i in range(3000)] + [("d", 0, None, ",")]
+    frame = spark.createDataFrame(rows, "g string, i int, line string, between string").orderBy(F.rand(3))
+    want = {g: (len([r for r in rows if r[0] == g]), hashlib.md5(f"{g};".join(r[2] for r in rows if r[0] == g and r[2] is not None).encode()).hexdigest()) for g in "abcd"}
+    assert {r["g"]: (r["n"], r["md5"]) for r in render.digests(frame, ["g"], ["i"]).collect()} == want
+
+
+def test_items_are_the_elements_of_the_document(spark):
+    routes = q.classified(spark, DATA)
+    found = classify.findings_of(routes, "target")
+    head = F.struct(F.lit("m").alias("module"))
+    whole = {r["target"]: json.loads(r["report"]) for r in render.reports_json(routes, found, head, "target").collect()}
+    bare = {r["target"]: json.loads(r["report"]) for r in render.reports_json(routes, found, head, "target", lists=False).collect()}
+    for r in render.report_items(routes, found, "target").orderBy("severity", "fingerprint", "ord").collect():
+        bare[r["target"]][r["list"]].append(json.loads(r["item"]))
+    assert bare == whole
