@@ -236,3 +236,22 @@ def test_constants(spark):
         want[c, n] = brute_fold(n, nodes, {"A": "/a"}, bound)
     assert {(r["context"], r["id"]): r["value"] for r in got.collect()} == want
     assert sum(v is not None for v in want.values()) > 40
+
+
+def test_an_expression_is_opened_once_for_all_contexts(spark, monkeypatch):
+    counts, real = [], constants.written
+
+    def counted(frame, name):
+        out = real(frame, name)
+        if name == "parts":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(constants, "written", counted)
+    nodes = spark.createDataFrame([("a", "concat", None, "b", "c", None, None), ("b", "literal", "/x", None, None, None, None), ("c", "field", None, None, None, "p", "Path")], constants.NODES)
+    wanted = spark.range(50).selectExpr("cast(id AS string) AS context", "'a' AS id").union(spark.sql("SELECT CAST(NULL AS string), 'b'"))
+    fields = spark.range(0, 50, 2).selectExpr("cast(id AS string) AS context", "'p' AS name", "'Path' AS field", "concat('/', id) AS value")
+    nothing = spark.sql("SELECT 'n' AS name, 'v' AS value")
+    got = {(r["context"], r["id"]): r["value"] for r in constants.folded(wanted, nodes, nothing, nothing.select("name"), fields).collect()}
+    assert got == {(str(i), "a"): f"/x/{i}" if i % 2 == 0 else None for i in range(50)} | {(None, "b"): "/x"}
+    assert sum(counts) == 3
