@@ -24,6 +24,7 @@ BASIC = {
 #: Words for truth values in tags (fixed values).
 TRUE, FALSE = ("1", "t", "T", "TRUE", "true", "True"), ("0", "f", "F", "FALSE", "false", "False")
 OVERRIDES = ("integer", "number", "boolean", "object")
+SHOWN = ("example", "default", "enums")  # tags that a schema shows
 
 
 def component_id(name: Column) -> Column:
@@ -38,7 +39,7 @@ def json_text(value: Column) -> Column:
 
 def tag_of(tag: Column, key: str) -> Column:
     """The value of a key in a struct tag; null without it."""
-    return F.when(tag.rlike(f'(^|\\s){key}:"'), F.regexp_extract(tag, f'(?:^|\\s){key}:"((?:[^"\\\\]|\\\\.)*)"', 1))
+    return F.when(tag.contains(f'{key}:"') & tag.rlike(f'(^|\\s){key}:"'), F.regexp_extract(tag, f'(?:^|\\s){key}:"((?:[^"\\\\]|\\\\.)*)"', 1))
 
 
 def literal(text: Column) -> Column:
@@ -51,8 +52,8 @@ def literal(text: Column) -> Column:
 
 def members(**values: Column | None) -> Column:
     """A JSON object of those values (JSON texts) that aren't null, by key."""
-    each = F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in sorted(values.items()) if v is not None))
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.filter(each, lambda e: e["v"].isNotNull()), lambda e: F.concat(F.lit('"'), e["k"], F.lit('":'), e["v"])), ","), F.lit("}"))
+    each = [F.concat(F.lit(f'"{k}":'), v) for k, v in sorted(values.items()) if v is not None]
+    return F.concat(F.lit("{"), F.concat_ws(",", *each), F.lit("}"))
 
 
 def base_of(kind: Column) -> Column:
@@ -60,9 +61,12 @@ def base_of(kind: Column) -> Column:
     return F.regexp_replace(kind, f"^({WRAP})+", "")
 
 
-def shape(kind: Column) -> Column:
-    """struct ref, type, format, items, values, nullable of a type's text; ref and type are null where nothing can be said."""
-    base = base_of(kind)
+def shape(kind: Column, base: Column | None = None) -> Column:
+    """struct ref, type, format, items, values, nullable of a type's text; ref and type are null where nothing can be said.
+
+    `base` is base_of(kind), where a column holds it already.
+    """
+    base = base_of(kind) if base is None else base
     named = base.rlike(r"^[\w./~-]+$") & (base.contains(".") | base.rlike(r"^\p{Lu}")) & ~base.isin(*BASIC)
     text = lambda c: c.cast("string")
     table = F.create_map(*(x for k, (t, f) in BASIC.items() for x in (F.lit(k), F.struct(F.lit(t).alias("type"), text(F.lit(f)).alias("format")))))
@@ -90,23 +94,23 @@ def rendered(s: Column, **more: Column) -> Column:
 
 def properties(fields: DataFrame) -> DataFrame:
     """struct, ord, property, schema, required, embeds (the struct whose fields are promoted in its place) of fields that count."""
-    tag = F.coalesce("tag", F.lit(""))
-    said = tag_of(tag, "json")
-    stated = F.element_at(F.split(F.coalesce(said, F.lit("")), ","), 1)
-    rows = fields.where(F.col("name").rlike(r"^\p{Lu}") & ~F.coalesce(said == "-", F.lit(False)) & ~F.coalesce(tag_of(tag, "swaggerignore") == "true", F.lit(False)))
-    override = tag_of(tag, "swaggertype")
+    tag, value = F.coalesce("tag", F.lit("")), F.col
+    # each step has its own projection, so that a tag's values and a type's base are read once a row and not once a use
+    rows = fields.where(F.col("name").rlike(r"^\p{Lu}")).withColumns({"said": tag_of(tag, "json"), "ignored": tag_of(tag, "swaggerignore"), "base": base_of(F.col("type"))} | {key: F.nullif(tag_of(tag, key), F.lit("")) for key in ("swaggertype", *SHOWN, "binding", "validate")})
+    rows = rows.where(~F.coalesce(value("said") == "-", F.lit(False)) & ~F.coalesce(value("ignored") == "true", F.lit(False)))
+    stated = F.element_at(F.split(F.coalesce("said", F.lit("")), ","), 1)
+    override = value("swaggertype")
     word = F.trim(F.element_at(F.split(override, ","), 1))
     second = F.trim(F.try_element_at(F.split(override, ","), F.lit(2)))
     simple = F.when(second.isin(*OVERRIDES), second).otherwise("string")
     plain = F.concat(F.lit('"'), simple, F.lit('"'))
-    of = shape(F.col("type"))
-    chosen = F.when(F.coalesce(override, F.lit("")) != "", F.struct(F.lit(None).cast("string").alias("ref"), F.when(word == "array", "array").otherwise(simple).alias("type"), F.lit(None).cast("string").alias("format"), F.when(word == "array", F.concat(F.lit('{"type":'), plain, F.lit("}"))).alias("items"), F.lit(None).cast("string").alias("values"), F.lit(False).alias("nullable"))).otherwise(of)
-    rows = rows.select("struct", "ord", "name", "type", "embedded", tag.alias("tag"), F.when(stated == "", F.col("name")).otherwise(stated).alias("property"), chosen.alias("shape"))
-    value = lambda key: F.when(F.coalesce(tag_of(F.col("tag"), key), F.lit("")) != "", tag_of(F.col("tag"), key))
+    of = shape(F.col("type"), value("base"))
+    chosen = F.when(override.isNotNull(), F.struct(F.lit(None).cast("string").alias("ref"), F.when(word == "array", "array").otherwise(simple).alias("type"), F.lit(None).cast("string").alias("format"), F.when(word == "array", F.concat(F.lit('{"type":'), plain, F.lit("}"))).alias("items"), F.lit(None).cast("string").alias("values"), F.lit(False).alias("nullable"))).otherwise(of)
+    rows = rows.withColumns({"property": F.when(stated == "", F.col("name")).otherwise(stated), "shape": chosen})
     enums = F.concat(F.lit("["), F.array_join(F.transform(F.split(value("enums"), ","), lambda v: literal(F.trim(v))), ","), F.lit("]"))
     schema = rendered(F.col("shape"), example=literal(value("example")), default=literal(value("default")), enum=enums)
-    must = lambda key: F.exists(F.split(F.coalesce(tag_of(F.col("tag"), key), F.lit("")), ","), lambda x: F.trim(x) == "required")
-    embeds = F.when(F.coalesce("embedded", F.lit(False)) & (F.col("property") == F.col("name")) & F.col("shape.ref").isNotNull(), base_of(F.col("type")))
+    must = lambda key: F.coalesce(F.exists(F.split(value(key), ","), lambda x: F.trim(x) == "required"), F.lit(False))
+    embeds = F.when(F.coalesce("embedded", F.lit(False)) & (F.col("property") == F.col("name")) & F.col("shape.ref").isNotNull(), value("base"))
     return rows.select("struct", "ord", "property", schema.alias("schema"), (must("binding") | must("validate")).alias("required"), embeds.alias("embeds"))
 
 
@@ -121,28 +125,31 @@ def promoted(own: DataFrame, structs: DataFrame, depth: int = DEPTH) -> DataFram
     plain = own.where("embeds is null").unionByName(own.where("embeds is not null").join(there, "embeds", "left_anti"))
     plain = written(plain.select("struct", "property", "schema", "required", F.concat(F.lit("0"), F.lpad((F.lit(999_999_999) - F.col("ord")).cast("string"), 9, "0")).alias("place")), "fields")
     edges = written(inner.select(F.col("struct").alias("at"), "embeds", F.concat(F.lit("1"), F.lpad(F.col("ord").cast("string"), 9, "0")).alias("step")), "embeds")
-    level, out = written(edges.select(F.col("at").alias("struct"), F.col("embeds").alias("inside"), F.col("step").alias("place"), F.array("at", "embeds").alias("above")), "level"), [plain]
+    level, walks = written(edges.select(F.col("at").alias("struct"), F.col("embeds").alias("inside"), F.col("step").alias("place"), F.array("at", "embeds").alias("above")), "level"), None
     for _ in range(depth):
         if level.isEmpty():
             break
-        out.append(level.join(plain.select(F.col("struct").alias("inside"), "property", "schema", "required", F.col("place").alias("last")), "inside").select("struct", "property", "schema", "required", F.concat("place", "last").alias("place")))
+        walk = level.select("struct", "inside", F.col("place").alias("first"))
+        walks = walk if walks is None else walks.unionByName(walk)
         deeper = level.join(edges, F.col("inside") == F.col("at")).where(~F.array_contains("above", F.col("embeds")))
         level = written(deeper.select("struct", F.col("embeds").alias("inside"), F.concat("place", "step").alias("place"), F.array_append("above", F.col("embeds")).alias("above")), "level")
-    every = out[0]
-    for o in out[1:]:
-        every = every.unionByName(o)
-    return every
+    if walks is None:
+        return plain
+    # one join for all levels: the fields are read once more, not once a level
+    below = walks.join(plain.withColumnRenamed("struct", "inside"), "inside")
+    return plain.unionByName(below.select("struct", "property", "schema", "required", F.concat("first", "place").alias("place")))
 
 
 def reached(wanted: DataFrame, fields: DataFrame, depth: int = DEPTH) -> DataFrame:
     """struct: the structs that `wanted` (type) names or that lie inside them, each once, however they refer to each other."""
     edges = written(fields.select("struct", base_of(F.col("type")).alias("to")).distinct(), "edges")
-    known = edges.select("struct").distinct()
+    known = written(edges.select("struct").distinct(), "known")
+    edges = written(edges.join(known.select(F.col("struct").alias("to")), "to", "left_semi"), "edges")
     frontier = written(wanted.select(base_of(F.col("type")).alias("struct")).distinct().join(known, "struct", "left_semi"), "structs")
     seen = frontier
     for _ in range(depth):
         onward = edges.join(frontier, "struct", "left_semi").select(F.col("to").alias("struct")).distinct()
-        frontier = written(onward.join(known, "struct", "left_semi").join(seen, "struct", "left_anti"), "structs")
+        frontier = written(onward.join(seen, "struct", "left_anti"), "structs")
         if frontier.isEmpty():
             break
         seen = written(seen.unionByName(frontier), "structs")
@@ -159,11 +166,12 @@ def components(wanted: DataFrame, fields: DataFrame, depth: int = DEPTH) -> Data
     """
     structs = reached(wanted, fields, depth)
     own = written(properties(fields.join(structs, "struct", "left_semi")), "properties")
-    every = written(promoted(own, structs, depth), "promoted")
-    chosen = every.groupBy("struct", "property").agg(F.min_by("schema", "place").alias("schema")).where("schema is not null")
-    said = F.concat(json_text(F.col("property")), F.lit(":"), "schema")
-    bodies = chosen.groupBy("struct").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("property", said.alias("said")))), lambda x: x["said"]), ",").alias("properties"))
-    must = every.where("required").groupBy("struct").agg(F.array_join(F.transform(F.array_sort(F.collect_list("property")), json_text), ",").alias("required"))
-    rows = structs.join(bodies, "struct", "left").join(must, "struct", "left")
+    every = promoted(own, structs, depth)
+    named = every.groupBy("struct", "property").agg(F.min_by("schema", "place").alias("schema"), F.count_if("required").cast("int").alias("musts"))
+    said = F.when(F.col("schema").isNotNull(), F.struct("property", F.concat(json_text(F.col("property")), F.lit(":"), "schema").alias("said")))
+    lists = named.groupBy("struct").agg(F.array_sort(F.collect_list(said)).alias("said"), F.array_sort(F.flatten(F.collect_list(F.when(F.col("musts") > 0, F.array_repeat("property", F.col("musts")))))).alias("musts"))
+    some = lambda c, text: F.when(F.size(c) > 0, F.array_join(F.transform(c, text), ","))
+    bodies = lists.select("struct", some("said", lambda x: x["said"]).alias("properties"), some("musts", json_text).alias("required"))
+    rows = structs.join(bodies, "struct", "left")
     braces = lambda a, c, b: F.concat(F.lit(a), F.col(c), F.lit(b))
     return rows.select(component_id(F.col("struct")).alias("id"), "struct", members(properties=braces("{", "properties", "}"), required=braces("[", "required", "]"), type=F.lit('"object"')).alias("schema"))

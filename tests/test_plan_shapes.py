@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from routeloom.operators import candidates, classify, compare, integrity, policy
+from routeloom.operators import candidates, classify, compare, integrity, policy, structs
 from routeloom.plans import fleets, rules
 from routeloom.plans import queries as q
 from routeloom.plans.adapter import CONFIG, NOW, facts
@@ -74,3 +74,10 @@ def test_items_are_the_elements_of_the_document(spark):
     for r in render.report_items(routes, found, "target").orderBy("severity", "fingerprint", "ord").collect():
         bare[r["target"]][r["list"]].append(json.loads(r["item"]))
     assert bare == whole
+
+
+def test_a_field_s_tag_is_read_once(spark):
+    fields = spark.createDataFrame([("m.A", 0, "X", "*string", 'json:"x" default:"1"', False)], structs.FIELDS)
+    text = plan(structs.properties(fields))
+    assert [text.count(f'(?:^|\\s){key}:"') for key in ("example", "default", "enums", "binding", "validate")] == [1] * 5
+    assert [(r["property"], json.loads(r["schema"]), r["required"]) for r in structs.properties(fields).collect()] == [("x", {"type": ["string", "null"], "default": 1}, False)]
