@@ -31,9 +31,10 @@ def bodies(functions: DataFrame, returns: DataFrame, hops: int = HOPS) -> DataFr
     """func, body, package: what runs for each request; functions whose body isn't found have no row."""
     one = returns.groupBy("body").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("kind", "callee", "literal", "literal_takes_context"))).where("n = 1")
     known = written(functions.where("body is not null").join(one.drop("n"), "body", "left"), "functions")
-    level, out = known.select("func", F.col("func").alias("of"), F.col("package").alias("home")), None
+    level, out = None, None
     for n in range(hops + 1):
-        here = level.join(known.withColumnRenamed("func", "of"), "of").where("package = home")
+        # a function itself is the first level; only what a factory calls is looked up
+        here = known.withColumn("home", F.col("package")) if level is None else level.join(known.withColumnRenamed("func", "of"), "of").where("package = home")
         found = here.where("takes_context").select("func", "body", "package")
         if n < hops:
             made = here.where("not takes_context and returns_handler")

@@ -6,8 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from routeloom.operators import candidates, classify, compare, integrity, policy, structs
-from routeloom.plans import fleets, rules
+from routeloom.operators import candidates, classify, compare, enforcement, integrity, policy, structs
+from routeloom.plans import fleets, programs, rules
 from routeloom.plans import queries as q
 from routeloom.plans.adapter import CONFIG, NOW, facts
 from routeloom.sinks import render
@@ -81,3 +81,18 @@ def test_a_field_s_tag_is_read_once(spark):
     text = plan(structs.properties(fields))
     assert [text.count(f'(?:^|\\s){key}:"') for key in ("example", "default", "enums", "binding", "validate")] == [1] * 5
     assert [(r["property"], json.loads(r["schema"]), r["required"]) for r in structs.properties(fields).collect()] == [("x", {"type": ["string", "null"], "default": 1}, False)]
+
+
+def test_statements_are_projections_of_what_is_written(spark):
+    assert not [frame for frame in programs.code(spark, DATA) if any(step in plan(frame) for step in ("Join", "Window", "Aggregate"))]
+
+
+def test_functions_are_not_joined_with_themselves(spark):
+    functions, returns = spark.createDataFrame([("f", "p", "b", True, False)], enforcement.FUNCTIONS), spark.createDataFrame([], enforcement.RETURNS)
+    text = []
+    held, enforcement.written = enforcement.written, lambda df, name: text.append(plan(df)) or held(df, name)
+    try:
+        assert list(map(tuple, enforcement.bodies(functions, returns, 0).collect())) == [("f", "b", "p")]
+    finally:
+        enforcement.written = held
+    assert "Join" not in text[-1]
