@@ -6,9 +6,11 @@ import sys
 from datetime import datetime, timedelta
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from routeloom.plans import fleets
 from routeloom.sinks import publish
 from routeloom.streaming import resume
 
@@ -119,3 +121,19 @@ def test_no_results(spark, tmp_path):
     spark.createDataFrame([], resume.RESULTS).write.parquet(src)
     resume.observe(spark.readStream.schema(resume.RESULTS).parquet(src), path, {}, timedelta(days=1))
     assert resume.held(spark, path).count() == 0
+
+
+def test_a_target_s_last_session_counts_and_no_step_is_python(spark, tmp_path):
+    day, src, path = datetime(2024, 1, 1), f"file://{tmp_path}/in", f"file://{tmp_path}/run"
+    rows = [("t", 1, "ok", True, "a", day), ("t", 2, "ok", True, "b", day + timedelta(days=15)), ("t", 3, "failed", False, "c", day + timedelta(days=16)), ("u", 4, "ok", True, None, day - timedelta(days=1)), ("v", 5, "ok", True, "d", day - timedelta(days=9, microseconds=1))]
+    spark.createDataFrame(rows, resume.RESULTS).coalesce(1).write.parquet(src)
+    resume.observe(spark.readStream.schema(resume.RESULTS).parquet(src), path, {}, timedelta(days=10), timedelta(days=15))
+    assert sorted(map(tuple, resume.held(spark, path).select("target", "attempt", "status", "commit", "scanned_at").collect())) == [("t", 2, "ok", "b", rows[1][5]), ("u", 4, "ok", "", rows[3][5])]
+    assert [r[0] for r in spark.read.format("state-metadata").load(f"{path}/state").select("operatorName").distinct().collect()] == ["sessionWindowStateStoreSaveExec"]
+
+
+def test_resumed_targets_by_value(spark):
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("customer", "orders"):
+        con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
+    assert sorted(map(tuple, fleets.resumed_targets(spark, d).collect())) == sorted(con.sql(fleets.oracle_sql()["resumed_targets"]).fetchall())
