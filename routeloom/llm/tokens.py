@@ -46,13 +46,24 @@ def spelled(s: str) -> str:
 def doubtful() -> re.Pattern:
     """Code points that are letters or numbers to one Unicode version here and not to another: the library decides."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    one = set(regex.findall(r"[\p{L}\p{N}]", every))
-    points = [ord(c) for c in every if (unicodedata.category(c)[0] in "LN") != (c in one)]
+    kinds = {"Lu", "Ll", "Lt", "Lm", "Lo", "Nd", "Nl", "No"}
+    one, other = set("".join(regex.findall(r"[\p{L}\p{N}]+", every))), {c for c, k in zip(every, map(unicodedata.category, every), strict=True) if k in kinds}
+    points = sorted(map(ord, one ^ other))
     starts = [p for p, q in zip(points, [-2, *points], strict=False) if p != q + 1]
     stops = [p for p, q in zip(points, [*points[1:], -2], strict=True) if p + 1 != q]
     return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, stops, strict=True)) + "]" if points else r"(?!)")
 
 
+WIDE = "".join(c for c in SPACES if not c.isascii())
+
+
+@lru_cache(maxsize=1)
+def rare() -> re.Pattern:
+    """Wide spaces, doubtful code points, and all beyond U+FFFF: one class that is quick to search, as no slow ranges are in it."""
+    low = "".join(doubtful().findall("".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]))))
+    return re.compile(f"[{WIDE}{low}\U00010000-\U0010ffff]")
+
+
 def lowered(text: str) -> str:
     """Lower case letter by letter (no final sigma), after canonical composition."""
     if text.isascii():
@@ -73,7 +84,8 @@ class Ids:
         self.word = Memo(self._word, words)
         self.lower = self.tok.normalizer is not None
         self.pattern = regex.compile(WORD_PATTERN if self.lower else BYTE_PATTERN)
-        self.odd = re.compile("[\x1c-\x1f]" if self.lower else rf"[{SPACES.replace(chr(10), '').replace(' ', '')}]|^[ \n]|[ \n]$|[ \n][ \n]")
+        # a word vocabulary's texts are cut by split(), which also cuts at these; a byte vocabulary's are cut at single spaces and breaks
+        self.odd = "\x1c\x1d\x1e\x1f" if self.lower else [*"\t\x0b\x0c\r", "  ", " \n", "\n ", "\n\n"]
         self.runs = re.compile(rf"[^{SPACES}]+")
 
     def _part(self, s: str) -> bytes:
@@ -81,11 +93,11 @@ class Ids:
 
     def _word(self, s: str) -> bytes:
         if not self.lower:  # a line break stands for itself; anything else follows a space
-            if s.isalpha():  # one pre-token
-                return self.part[" " + s]
+            if s.isalpha():  # one pre-token, kept as a word only
+                return self._part(" " + s)
             s = s if s[0] == "\n" else " " + s
         elif s.isalpha() and s.isascii():
-            return self.part[s]
+            return self._part(s)
         return b"".join(map(self.part.__getitem__, self.pattern.findall(s)))
 
     def whole(self, text: str) -> bytes:
@@ -94,12 +106,13 @@ class Ids:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in self.specials) or not text.isascii() and doubtful().search(text):
+        plain = text.isascii() or not rare().search(text)
+        if any(s in text for s in self.specials) or not plain and doubtful().search(text):
             return self.whole(text)
         if self.lower:
             text = lowered(text)
-            return b"".join(map(self.word.__getitem__, self.runs.findall(text) if self.odd.search(text) else text.split()))
-        if self.odd.search(text):
+            return b"".join(map(self.word.__getitem__, self.runs.findall(text) if any(s in text for s in self.odd) else text.split()))
+        if any(s in text for s in self.odd) or text[0] in " \n" or text[-1] in " \n" or not plain and any(s in text for s in WIDE):
             return b"".join(map(self.part.__getitem__, self.pattern.findall(text)))
         first, *rest = text.replace("\n", " \n").split(" ")
         return b"".join([*map(self.part.__getitem__, self.pattern.findall(first)), *map(self.word.__getitem__, rest)])

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import Memo, forget
-from .tokens import SPACES, doubtful, ids_of, lowered, spelled
+from .tokens import SPACES, doubtful, ids_of, lowered, rare, spelled
 
 END = "</w>"
 LETTER, NUMBER = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
@@ -286,7 +286,7 @@ class Counter:
     def __call__(self, text: str | None) -> int:
         if not text:
             return 0
-        if not text.isascii() and doubtful().search(text):  # the character classes differ between Unicode versions
+        if not text.isascii() and rare().search(text) and doubtful().search(text):  # the character classes differ between Unicode versions
             return len(ids_of(self.path).whole(text)) // 4
         if any(s in text for s in self.specials):
             return sum(map(self._count, self.special.split(text))) + len(self.special.findall(text))

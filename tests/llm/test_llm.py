@@ -659,3 +659,17 @@ def test_very_long_texts(spark):
     assert {i: x["component_id"] for i, x in by(neardup.near_duplicates(docs)).items()} == {1: 1, 2: 1, 3: 3, 4: 4}
     assert by(langid.predict(docs, langid.learn(docs)))[1]["lang_pred"] == "en"
     assert by(tokenfiles.token_files(docs, BYTE))[2]["n_tokens"] > 200_000
+
+
+def test_rare_characters_are_one_quick_class():
+    found = {c for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)]) if tokens.rare().match(c)}
+    assert found == {c for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)]) if c >= "\U00010000" or c in tokens.SPACES and not c.isascii() or tokens.doubtful().match(c)}
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_texts_of_odd_spaces(name):
+    rng, path = random.Random(7), common.vocabulary(name)
+    own, lib = tokens.ids_of(path), Tokenizer.from_file(path)
+    signs = [*" \n\t\r\x0b\x0c\x1c\x1f\x85\xa0", "\u2009", "\u3000", *"aZ1!", "'s", "é", "Σ", "中", "\u0301", "\U0001d54f", "\U0001f600"]
+    for text in ["".join(rng.choices(signs, k=rng.randrange(1, 12))) for _ in range(2000)]:
+        assert own(text) == array("I", lib.encode(text, add_special_tokens=False).ids).tobytes()
