@@ -77,29 +77,37 @@ class Fertility:
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes = {i for i in range(self.model.get_piece_size()) if self.model.is_byte(i)}
-        self.words = Memo(self._word, 80_000)
+        self.words = Memo(self._word, 200_000)
 
     def _word(self, word: bytes) -> tuple:
         s = word.decode("utf-8", "replace")
         ids = tuple(self.model.encode(s))
         if s.isascii():
-            latin = sum(map(str.isalpha, s))
+            latin = len(s) if s.isalpha() else sum(map(str.isalpha, s))
             return ids, 0, (("LATIN", latin),) if latin else ()
-        return ids, sum(i in self.bytes for i in ids), tuple((Counter(map(script, s)) - Counter({"": len(s)})).items())
+        kinds = [*map(script, s)]
+        return ids, sum(map(self.bytes.__contains__, ids)), tuple((k, kinds.count(k)) for k in {*kinds} if k)
 
     def measure(self, words: Counter) -> tuple[int, int, str, float, float]:
         """Pieces, letters, main script, byte share and entropy of a text's words."""
-        pieces, scripts, fallback = defaultdict(int), defaultdict(int), 0
+        scripts, fallback, once, more = defaultdict(int), 0, [], []
         for word, n in words.items():
             ids, low, kinds = self.words[word]
-            fallback += n * low
-            for i in ids:
-                pieces[i] += n
+            if low:
+                fallback += n * low
+            if n == 1:
+                once += ids
+            else:
+                more.append((ids, n))
             for kind, k in kinds:
                 scripts[kind] += n * k
-        total = sum(pieces.values())
+        pieces = Counter(once)
+        for ids, n in more:
+            for i in ids:
+                pieces[i] += n
+        total = pieces.total()
         main = max(sorted(scripts), key=scripts.__getitem__, default="")
-        bits = math.log2(total) - sum(n * math.log2(n) for n in pieces.values()) / total if total else 0.0
+        bits = math.log2(total) - math.fsum(n * math.log2(n) for n in pieces.values()) / total if total else 0.0
         return total, sum(scripts.values()), main, fallback / total if total else 0.0, bits
 
 

@@ -107,3 +107,17 @@ def test_bands_decide(spark):
     got = {r["doc_id"]: r["reason"] for r in quality.quality(docs, PIECE).collect()}
     want = {r["doc_id"]: brute(r["text"]) for r in docs.select("doc_id", "text").collect()}
     assert got == want and "few letters a token" in set(got.values())
+
+
+def test_measures_do_not_depend_on_repeats_order_or_the_memo():
+    m = quality.Fertility(common.vocabulary("piece_bpe_32k.model"))
+    for text in ["the cat the dog", "naïve Ωmega naïve 12 дом дом", "\U0001f600 a1 中文字 中文字 #", "x", ""]:
+        words = text.encode().split()
+        pieces = [i for w in words for i in m.model.encode(w.decode())]
+        letters = [k for k in map(quality.script, text) if k]
+        total, n, main, low, bits = m.measure(Counter(words))
+        counts = Counter(pieces)
+        assert (total, n) == (len(pieces), len(letters)) and main == max(sorted(set(letters)), key=letters.count, default="")
+        assert low == (sum(map(m.model.is_byte, pieces)) / total if total else 0.0)
+        assert bits == pytest.approx(-sum(c / total * math.log2(c / total) for c in counts.values()) if total else 0.0, abs=1e-12)
+        assert m.measure(Counter(words[::-1])) == (total, n, main, low, bits)
