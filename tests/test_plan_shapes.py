@@ -31,6 +31,23 @@ def test_facts_read_json_once(spark, snapshot):
     assert plan(facts(spark, DATA, snapshot)).count("get_json_object") == 1
 
 
+@pytest.mark.parametrize("snapshot", [0, 1])
+def test_routes_of_one_row_group_are_dealt_out(spark, snapshot):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")  # else this small table would be put together again
+    try:
+        assert facts(spark, DATA, snapshot).select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset(name)
+
+
+def test_snapshots_share_the_shuffle_of_events(spark):
+    rows = q.finding_diff(spark, DATA)
+    rows.collect()
+    text = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert text.count("FileScan") == 1 and "ReusedExchange" in text
+
+
 def test_findings_are_compared_in_one_pass(spark):
     of = lambda *names: spark.createDataFrame([(n,) for n in names], "fingerprint string")
     got = compare.compare_findings(of("a", "b", "b", "c"), of("b", "d", "d"))
