@@ -19,6 +19,11 @@ def is_opaque(m: Column) -> Column:
     return F.coalesce((m["resolutionStatus"] == "unresolved") | m["callableKind"].isin("anonymous", "unknown"), F.lit(False))
 
 
+def among(value: Column, values) -> Column:
+    """Whether a value is one of the driver's, of which there may be none."""
+    return value.isin(*values) if values else F.lit(False)
+
+
 def lookup(values: dict[str, str], kind: str = "string") -> Column:
     """A driver-side dictionary as a map constant."""
     return F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.lit(v)))) if values else F.create_map().cast(f"map<string,{kind}>")
@@ -48,36 +53,32 @@ def classify(routes: DataFrame, config: Config, shapes: dict[str, str] | None =
     `shapes`: symbol to confirmed-shape, contradicted or unresolved (the default).
     """
     shapes = shapes or {}
-    assurance, shape = lookup({s: g.assurance for s, g in config.guards.items()}), lookup({s: v for s, v in shapes.items() if s in config.guards})
-    confirmed = strings([s for s, v in shapes.items() if v == "confirmed-shape"])
-    names, wrappers = strings(config.guards), strings(config.wrappers)
+    shape = {s: "unresolved" if shapes.get(s) is None else shapes[s] for s in config.guards}
+    attested = [s for s, g in config.guards.items() if shape[s] == "unresolved" and g.assurance == "attested"]
+    proving = attested + [s for s in shape if shape[s] == "confirmed-shape"]
+    contradicted = [s for s in shape if shape[s] == "contradicted"]
+    unconfirmed = [s for s, g in config.guards.items() if shape[s] == "unresolved" and g.assurance not in (None, "attested")]
+    unlisted = [s for s, v in shapes.items() if v == "confirmed-shape" and s not in config.guards and s not in config.wrappers]
 
     def guard(m: Column) -> Column:
         """The configured guard that a chain entry stands for, or null."""
         s = m["canonicalSymbol"]
-        inner = F.try_element_at(F.filter(F.coalesce(m["wrappedSymbols"], F.array().cast("array<string>")), lambda w: F.array_contains(names, w)), F.lit(1))
-        return F.when(F.array_contains(names, s), s).when(F.array_contains(wrappers, s), inner)
-
-    def entry(m: Column) -> Column:
-        g = guard(m)
-        return F.struct(g.alias("symbol"), F.try_element_at(assurance, g).alias("assurance"), F.coalesce(F.try_element_at(shape, g), F.lit("unresolved")).alias("shape"))
-
-    def first(kind) -> Column:
-        return F.try_element_at(F.filter("guards", kind), F.lit(1))
-
-    rows = routes.withColumn("guards", F.filter(F.transform("middleware", entry), lambda g: g["symbol"].isNotNull()))
-    proven = first(lambda g: (g["shape"] == "confirmed-shape") | (g["shape"] == "unresolved") & (g["assurance"] == "attested"))
-    contradicted, unconfirmed = first(lambda g: g["shape"] == "contradicted"), first(lambda g: (g["shape"] == "unresolved") & (g["assurance"] != "attested"))
-    chosen = F.coalesce(proven, contradicted, unconfirmed)
-    opaque = F.exists("middleware", is_opaque)
-    loose = F.filter("middleware", lambda m: F.array_contains(confirmed, m["canonicalSymbol"]) & ~F.array_contains(names, m["canonicalSymbol"]) & ~F.array_contains(wrappers, m["canonicalSymbol"]) & ~is_opaque(m))
-    rows = rows.withColumns({"chosen": chosen, "proven": proven, "opaque": opaque, "loose": F.try_element_at(loose, F.lit(1))["canonicalSymbol"]})
+        inner = F.try_element_at(F.filter(F.coalesce(m["wrappedSymbols"], F.array().cast("array<string>")), lambda w: among(w, config.guards)), F.lit(1))
+        return F.when(among(s, config.guards), s).when(among(s, config.wrappers), inner)
+
+    def first(values) -> Column:
+        return F.try_element_at(F.filter("guards", lambda s: among(s, values)), F.lit(1))
+
+    # functions on arrays are interpreted, so chains are opened once: what a guard's symbol implies is looked up by symbol
+    loose = F.filter("middleware", lambda m: among(m["canonicalSymbol"], unlisted) & ~is_opaque(m))
+    rows = routes.withColumns({"guards": F.filter(F.transform("middleware", guard), lambda s: s.isNotNull()), "opaque": F.exists("middleware", is_opaque), "loose": F.try_element_at(loose, F.lit(1))["canonicalSymbol"]})
+    rows = rows.withColumn("chosen", F.coalesce(*map(first, (proving, contradicted, unconfirmed))))
     key = route_key(F.col("method"), F.col("normalizedPath"))
-    has, sure = F.col("chosen").isNotNull(), F.col("proven").isNotNull()
     c = F.col("chosen")
+    has, sure = c.isNotNull(), c.isNotNull() & among(c, proving)
     basis = (
-        F.when(sure, F.when(c["shape"] == "unresolved", "configured-guard-attested").otherwise("configured-guard-confirmed"))
-        .when(has, F.when(c["shape"] == "contradicted", "configured-guard-contradicted").otherwise("configured-guard-unconfirmed"))
+        F.when(sure, F.when(among(c, attested), "configured-guard-attested").otherwise("configured-guard-confirmed"))
+        .when(has, F.when(among(c, contradicted), "configured-guard-contradicted").otherwise("configured-guard-unconfirmed"))
         .when(F.col("opaque"), "opaque-middleware-present")
         .when(F.col("loose").isNotNull(), "unconfigured-guard-confirmed-shape")
         .otherwise("no-configured-guard-matched")
@@ -88,14 +89,14 @@ def classify(routes: DataFrame, config: Config, shapes: dict[str, str] | None =
 
     def of_guard(what: str) -> Column:
         table = F.create_map(*(x for s, g in config.guards.items() for x in (F.lit(s), strings(getattr(g, what))))) if config.guards else F.create_map().cast("map<string,array<string>>")
-        return F.when(has, F.try_element_at(table, c["symbol"])).otherwise(F.array().cast("array<string>"))
+        return F.when(has, F.try_element_at(table, c)).otherwise(F.array().cast("array<string>"))
 
     auth = F.struct(
         F.when(sure, "proven").when(public, "public").otherwise("unknown").alias("authStatus"),
         F.col("basis").alias("classificationBasis"),
-        F.when(has, c["assurance"]).alias("assurance"),
-        F.when(has, c["shape"]).when(F.col("basis") == "unconfigured-guard-confirmed-shape", "confirmed-shape").alias("enforcementAnalysis"),
-        F.when(has, c["symbol"]).when(F.col("basis") == "unconfigured-guard-confirmed-shape", F.col("loose")).alias("matchedEvidence"),
+        F.when(has, F.try_element_at(lookup({s: g.assurance for s, g in config.guards.items()}), c)).alias("assurance"),
+        F.when(has, F.try_element_at(lookup(shape), c)).when(F.col("basis") == "unconfigured-guard-confirmed-shape", "confirmed-shape").alias("enforcementAnalysis"),
+        F.when(has, c).when(F.col("basis") == "unconfigured-guard-confirmed-shape", F.col("loose")).alias("matchedEvidence"),
         F.when(sure | public, "high").otherwise("medium").alias("confidence"),
         of_guard("tags").alias("tags"),
         of_guard("roles").alias("roles"),
@@ -106,14 +107,14 @@ def classify(routes: DataFrame, config: Config, shapes: dict[str, str] | None =
     def found(rule: str, severity: str, detail: Column, advice: str | Column) -> Column:
         return F.struct(F.lit(rule).alias("ruleId"), F.lit(severity).alias("severity"), detail.alias("detail"), (F.lit(advice) if isinstance(advice, str) else advice).alias("recommendation"))
 
-    broken = F.transform(F.filter("guards", lambda g: g["shape"] == "contradicted"), lambda g: found("matched-but-unenforced", "high", F.concat(F.lit('configured guard "'), g["symbol"], F.lit('" is on the chain, but its control flow never ends it')), "Make this middleware deny, or take it out of authMiddleware."))
+    broken = F.transform(F.filter("guards", lambda s: among(s, contradicted)), lambda s: found("matched-but-unenforced", "high", F.concat(F.lit('configured guard "'), s, F.lit('" is on the chain, but its control flow never ends it')), "Make this middleware deny, or take it out of authMiddleware."))
     one = (
         F.when(F.col("basis") == "opaque-middleware-present", F.array(found("opaque-middleware", "medium", F.lit("an unresolved or anonymous middleware of the chain may hide an authentication check"), "Give the middleware a name at package level, or configure it.")))
         .when(F.col("basis") == "unconfigured-guard-confirmed-shape", F.array(found("unconfigured-guard", "medium", F.concat(F.lit('middleware "'), F.col("loose"), F.lit('" is not configured, but its own control flow can abort the chain')), "Review it, and add it to authMiddleware if it authenticates.")))
         .when(public & ~accepted, F.array(found("public-route", "medium", F.lit("no configured guard is on the chain"), "Add authentication, or list the route in acceptedPublic.")))
         .otherwise(F.array())
     )
-    return rows.withColumns({"auth": auth, "route_findings": F.concat(broken, one)}).drop("guards", "chosen", "proven", "opaque", "loose", "basis")
+    return rows.withColumns({"auth": auth, "route_findings": F.concat(broken, one)}).drop("guards", "chosen", "opaque", "loose", "basis")
 
 
 def findings_of(routes: DataFrame, *keep: str) -> DataFrame:

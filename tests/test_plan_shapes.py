@@ -48,6 +48,11 @@ def test_snapshots_share_the_shuffle_of_events(spark):
     assert text.count("FileScan") == 1 and "ReusedExchange" in text
 
 
+def test_chains_are_opened_by_one_projection(spark):
+    text = plan(classify.findings_of(q.classified(spark, DATA)))
+    assert len([line for line in text.splitlines() if "lambdafunction" in line and ".canonicalSymbol" in line]) == 1
+
+
 def test_findings_are_compared_in_one_pass(spark):
     of = lambda *names: spark.createDataFrame([(n,) for n in names], "fingerprint string")
     got = compare.compare_findings(of("a", "b", "b", "c"), of("b", "d", "d"))
