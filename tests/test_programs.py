@@ -7,6 +7,7 @@ import pytest
 
 from routeloom.operators import classify, constants, enforcement, registrars
 from routeloom.operators.config import Config, Guard
+from routeloom.plans import programs
 
 # --- registrars
 
@@ -255,3 +256,34 @@ def test_an_expression_is_opened_once_for_all_contexts(spark, monkeypatch):
     got = {(r["context"], r["id"]): r["value"] for r in constants.folded(wanted, nodes, nothing, nothing.select("name"), fields).collect()}
     assert got == {(str(i), "a"): f"/x/{i}" if i % 2 == 0 else None for i in range(50)} | {(None, "b"): "/x"}
     assert sum(counts) == 3
+
+
+def test_depth_has_no_limit(spark, monkeypatch):
+    monkeypatch.setattr(constants, "LEVELS", 20, raising=False)
+    n, frame = 66, spark.createDataFrame
+    nodes = [(f"e{i}", "concat", None, f"e{i + 1}", f"t{i}", None, None) for i in range(n)] + [(f"t{i}", "literal", f"/{i}", None, None, None, None) for i in range(n)] + [(f"e{n}", "literal", "/a", None, None, None, None)]
+    nodes += [(f"l{i}", "concat", None, f"l{(i + 1) % 5}", "t0", None, None) for i in range(5)]
+    nothing = spark.sql("SELECT 'n' AS name, 'v' AS value")
+    wanted = frame([("c", "e0"), ("c", f"e{n - 1}"), ("c", "l0")], "context string, id string")
+    got = {r["id"]: r["value"] for r in constants.folded(wanted, frame(nodes, constants.NODES), nothing, nothing.select("name"), nothing.selectExpr("'c' AS context", "name", "'f' AS field", "value")).collect()}
+    assert got == {"e0": "/a" + "".join(f"/{i}" for i in reversed(range(n))), f"e{n - 1}": f"/a/{n - 1}", "l0": None}
+
+
+def test_folded_paths_asks_for_all_parts_and_suppliers(spark, tmp_path):
+    parts, suppliers, orders = 1200, 60, 2500
+    for table, key, n in (("part", "p_partkey", parts), ("supplier", "s_suppkey", suppliers), ("customer", "c_custkey", 40)):
+        spark.range(n).withColumnRenamed("id", key).write.parquet(f"{tmp_path}/{table}.parquet")
+    spark.range(orders).selectExpr("id AS o_orderkey", "id % 40 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    nodes = {}
+    for k in range(parts):
+        if k > 0 and 2 * k + 1 < parts and k % 3 != 1:
+            nodes[k] = ("concat", None, 2 * k, 2 * k + 1, None, None)
+        else:
+            kind = {1: "variable", 2: "field"}.get(k % 7, "other" if k % 61 == 5 else "literal")
+            nodes[k] = (kind, f"/{k % 17}", None, None, k % suppliers if kind == "variable" else "route", "Type" if k % 2 else "Path")
+    held = {s: f"/s{s}" for s in range(suppliers) if s % 9 != 4 and s % 11 != 3}
+    want = {(str(c), str(i)): brute_fold(i, nodes, held, {("route", "Path"): f"/c{c % 8}"} if c % 4 != 1 else {}) for c, i in {(o % 40, o % parts) for o in range(orders)}}
+    got = {(r["context"], r["id"]): r["value"] for r in programs.folded_paths(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert {i for _, i in got} == {str(k) for k in range(parts)}
+    assert {v for v in got.values() if v and v in held.values()} == set(held.values())
