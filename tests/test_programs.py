@@ -269,7 +269,9 @@ def test_depth_has_no_limit(spark, monkeypatch):
     assert got == {"e0": "/a" + "".join(f"/{i}" for i in reversed(range(n))), f"e{n - 1}": f"/a/{n - 1}", "l0": None}
 
 
-def test_folded_paths_asks_for_all_parts_and_suppliers(spark, tmp_path):
+@pytest.mark.parametrize("few", [constants.FEW, 40])
+def test_folded_paths_asks_for_all_parts_and_suppliers(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(constants, "FEW", few)
     parts, suppliers, orders = 1200, 60, 2500
     for table, key, n in (("part", "p_partkey", parts), ("supplier", "s_suppkey", suppliers), ("customer", "c_custkey", 40)):
         spark.range(n).withColumnRenamed("id", key).write.parquet(f"{tmp_path}/{table}.parquet")
